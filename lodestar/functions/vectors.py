@@ -1,0 +1,78 @@
+"""Elementwise functions of vector columns: normalisation, padding, bit packing,
+statistics of a column of vectors."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from lodestar.functions.metrics import norm
+
+
+def l2_normalise(v: Column) -> Column:
+    """Unit length; zero vectors stay as they are."""
+    n = norm(v)
+    return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / F.when(n > 0, n))).otherwise(v.cast("array<double>"))
+
+
+def center(v: Column, mean: Column) -> Column:
+    return F.zip_with(v, mean, lambda x, m: x - m)
+
+
+def remap(v: Column, source: list[int]) -> Column:
+    """Dimension i of the result is dimension source[i], 0 where that is -1."""
+    return F.array(*(F.lit(0.0) if i < 0 else F.get(v, F.lit(i)).cast("double") for i in source))
+
+
+def fma(a: Column, factor: float, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + F.lit(factor) * y)
+
+
+def argmin(v: Column) -> Column:
+    return F.array_position(v, F.array_min(v)).cast("int") - 1
+
+
+def sign_words(v: Column) -> Column:
+    """Bits of v > 0 in 32-bit words of longs, the first dimension lowest."""
+    words = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / 32).cast("int"))
+    bits = lambda w: F.aggregate(
+        F.slice(v, w * 32 + 1, F.lit(32)), F.struct(F.lit(0).cast("long").alias("word"), F.lit(1).cast("long").alias("bit")),
+        lambda s, x: F.struct((s["word"] + F.when(x > 0, s["bit"]).otherwise(F.lit(0))).alias("word"), (s["bit"] * 2).alias("bit")),
+        lambda s: s["word"])
+    return F.transform(words, bits)
+
+
+def pack_bits(fields: Column, bits: int) -> Column:
+    """Fields of ``bits`` bits as one array of bytes, the lowest bits first."""
+    joined = F.flatten(F.transform(fields, lambda f: F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: F.call_function("shiftright", f.cast("long"), i) % 2)))
+    n = F.ceil(F.size(joined) / 8).cast("int")
+    byte = lambda b: F.aggregate(F.reverse(F.slice(joined, b * 8 + 1, F.lit(8))), F.lit(0).cast("long"), lambda s, x: s * 2 + x)
+    return F.transform(F.sequence(F.lit(0), n - 1), byte).cast("array<int>")
+
+
+def unpack_bits(packed: Column, bits: int, n: int) -> Column:
+    """The first n fields of ``bits`` bits of an array of bytes."""
+    bit = lambda i: F.call_function("shiftright", F.get(packed, F.floor(i / 8).cast("int")), (i % 8).cast("int")) % 2
+    field = lambda f: F.aggregate(F.sequence(f * bits + bits - 1, f * bits, F.lit(-1)), F.lit(0).cast("long"), lambda s, i: s * 2 + bit(i))
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), field)
+
+
+def k_smallest(v: Column, k: int, largest: bool = False) -> Column:
+    """The k smallest (or largest) values with their positions, ties by position."""
+    pairs = F.transform(v, lambda x, i: F.struct((-x if largest else x).alias("key"), i.alias("pos"), x.alias("value")))
+    return F.transform(F.slice(F.array_sort(pairs), 1, k), lambda p: F.struct(p["pos"], p["value"]))
+
+
+def matrix_stats(vectors: DataFrame, embedding: str = "embedding") -> DataFrame:
+    """A row for each dimension: least, most, mean, stddev, and how many values
+    are NaN, infinite or zero."""
+    x = F.col("x").cast("double")
+    finite = F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+    return vectors.select(F.posexplode(embedding).alias("dim", "x")).groupBy("dim").agg(
+        F.count(F.lit(1)).alias("n"), F.min(finite).alias("least"), F.max(finite).alias("most"), F.avg(finite).alias("mean"), F.stddev_pop(finite).alias("stddev"),
+        F.count_if(F.isnan(x)).alias("n_nan"), F.count_if(F.abs(x) == float("inf")).alias("n_inf"), F.count_if(x == 0).alias("n_zero"))
+
+
+def id_lookup(keys: DataFrame, table: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
+    """``keys`` with their value in ``table``, -1 where there is none."""
+    return keys.join(table.select(key, value), key, "left").withColumn(value, F.coalesce(value, F.lit(-1)))

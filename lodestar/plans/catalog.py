@@ -1,6 +1,13 @@
-"""All queries of the engine and the SQL of those that SQL can express."""
+"""All queries of the engine and the SQL of those that SQL can express.
+
+A query takes the session and a data folder and reads whole tables. Searches
+take as queries every row whose id is divisible by 100."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from lodestar.plans import queries_approximate, queries_evaluation, queries_search
+from lodestar.plans.registry import ORACLE_SQL, QUERIES
+
+MODULES = (queries_search, queries_evaluation, queries_approximate)
+
+__all__ = ["MODULES", "ORACLE_SQL", "QUERIES"]
