@@ -290,10 +290,10 @@ def id_map_lookup(spark, sf_dir):
     return vectors.id_lookup(orders, known, value="nation").select("o_orderkey", "nation")
 
 
-@query("WITH f AS (SELECT o_orderkey, [o_orderkey % 16, o_custkey % 16, (o_orderkey + o_custkey) % 16]::BIGINT[] AS f FROM orders) SELECT o_orderkey, (f[1] + f[2] * 16) || ' ' || f[3] AS packed, f[1] || ' ' || f[2] || ' ' || f[3] AS unpacked FROM f")
+@query("WITH f AS (SELECT o_orderkey, [o_orderkey % 16, o_custkey % 16, (o_orderkey + o_custkey) % 16]::BIGINT[] AS f FROM orders) SELECT o_orderkey, (f[1] + f[2] * 16) || ' ' || f[3] AS packed_bytes, f[1] || ' ' || f[2] || ' ' || f[3] AS unpacked FROM f")
 def bit_fields(spark, sf_dir):
     """Fields of four bits packed into bytes and back."""
     fields = F.array((F.col("o_orderkey") % 16), F.col("o_custkey") % 16, (F.col("o_orderkey") + F.col("o_custkey")) % 16)
     out = table(spark, sf_dir, "orders").select("o_orderkey", vectors.pack_bits(fields, 4).alias("packed"))
     text = lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), " ")
-    return out.select("o_orderkey", text("packed").alias("packed"), text(vectors.unpack_bits(F.col("packed"), 4, 3)).alias("unpacked"))
+    return out.select("o_orderkey", text("packed").alias("packed_bytes"), text(vectors.unpack_bits(F.col("packed"), 4, 3)).alias("unpacked"))
