@@ -8,7 +8,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.operators.evaluate import ALL
+from lodestar.operators.evaluate import everything
 
 
 def lid(neighbours: DataFrame, k: int) -> DataFrame:
@@ -118,9 +118,9 @@ def recommended(curve: DataFrame, eps: float = 0.001) -> DataFrame:
     """``curve`` (ef, recall) with its running maximum, what is left to gain, and
     the recommended ef: the first with no more than ``eps`` left."""
     w = Window.orderBy("ef").rowsBetween(Window.unboundedPreceding, 0)
-    c = curve.withColumn("cumulative", F.max("recall").over(w)).withColumn("most", F.max("recall").over(ALL))
+    c = curve.withColumn("cumulative", F.max("recall").over(w)).withColumn("most", F.max("recall").over(everything()))
     c = c.withColumn("left", F.col("most") - F.col("cumulative")).withColumn("gain", F.col("cumulative") - F.lag("cumulative").over(Window.orderBy("ef")))
-    pick = F.coalesce(F.min(F.when(F.col("left") <= eps, F.col("ef"))).over(ALL), F.max("ef").over(ALL))
+    pick = F.coalesce(F.min(F.when(F.col("left") <= eps, F.col("ef"))).over(everything()), F.max("ef").over(everything()))
     return c.select("ef", "recall", "cumulative", "left", "gain", pick.alias("recommended_ef"))
 
 
@@ -128,7 +128,7 @@ def difficulty(queries: DataFrame, share: float = 0.3) -> DataFrame:
     """``queries`` (qid, recall, first_step) with rank, percentile and group: the
     first share of them is easy, the last hard."""
     rank = F.row_number().over(Window.orderBy(F.col("recall").desc(), "first_step", "qid"))
-    q = queries.withColumn("rank", rank).withColumn("n", F.count(F.lit(1)).over(ALL)).withColumn("cut", F.floor(F.col("n") * share))
+    q = queries.withColumn("rank", rank).withColumn("n", F.count(F.lit(1)).over(everything())).withColumn("cut", F.floor(F.col("n") * share))
     group = F.when(F.col("rank") <= F.col("cut"), "easy").when(F.col("rank") > F.col("n") - F.col("cut"), "hard").otherwise("medium")
     return q.select("qid", "recall", "first_step", "rank", F.coalesce(F.try_divide(F.col("rank") - 1, F.col("n") - 1), F.lit(0.0)).alias("percentile"), group.alias("group"))
 

@@ -8,10 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ALL = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 SO_FAR = (Window.unboundedPreceding, Window.currentRow)
 
 
+def everything():
+    """The window of all rows; windows need a session, so it isn't a constant."""
+    return Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
 def recall(result: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """(qid, hits, recall) at k, for each query of the truth."""
     found = result.where(F.col("rank") <= k).select("qid", "id", F.lit(1).alias("hit")).distinct()
@@ -148,5 +152,5 @@ def ks(values: DataFrame, value: str, group: str) -> DataFrame:
     v = values.select(F.col(value).alias("v"), F.col(group).cast("boolean").alias("g")).dropna()
     n = v.groupBy("v").agg(F.count_if("g").alias("n1"), F.count_if(~F.col("g")).alias("n0"))
     w = Window.orderBy("v").rowsBetween(*SO_FAR)
-    parts = n.select((F.sum("n1").over(w) / F.sum("n1").over(ALL)).alias("f1"), (F.sum("n0").over(w) / F.sum("n0").over(ALL)).alias("f0"))
+    parts = n.select((F.sum("n1").over(w) / F.sum("n1").over(everything())).alias("f1"), (F.sum("n0").over(w) / F.sum("n0").over(everything())).alias("f0"))
     return parts.agg(F.max(F.abs(F.col("f1") - F.col("f0"))).alias("ks"))

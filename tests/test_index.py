@@ -1,0 +1,149 @@
+import itertools
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lodestar.operators import cluster, codecs, evaluate, ivf, knn
+from lodestar.plans import factory
+from lodestar.sources import datasets, vecs
+from lodestar.streaming import ingest
+from tests.test_search import frame
+
+RANDOM = np.random.default_rng(3)
+BASE = np.concatenate([RANDOM.normal(size=(100, 8)) + 6 * i for i in range(3)])
+
+
+def test_exact_split_of_numbers():
+    x = sorted(RANDOM.integers(0, 40, 9).tolist())
+    cost = lambda parts: sum(((np.array(p) - np.mean(p)) ** 2).sum() for p in parts)
+    best = min(cost([x[: a], x[a:b], x[b:]]) for a, b in itertools.combinations(range(1, 9), 2))
+    c = cluster.kmeans_1d(x, 3)
+    assert sum(min((v - k) ** 2 for k in c) for v in x) == pytest.approx(best)
+
+
+def test_kmeans_finds_clusters(spark):
+    base = frame(spark, BASE)
+    c, costs = cluster.kmeans(base, cluster.KMeans(3, 10, init="plusplus"))
+    assert sorted(np.rint(c.mean(1) / 6).tolist()) == [0, 1, 2] and costs == sorted(costs, reverse=True)
+    assert sorted(r["count"] for r in ivf.assign_lists(base, cluster.centroid_frame(spark, c)).groupBy("list_no").count().collect()) == [100, 100, 100]
+    sizes = [r["count"] for r in cluster.balanced_assignment(base, c[:2], 5).groupBy("list_no").count().collect()]
+    assert sum(sizes) == 300
+
+
+def test_empty_clusters_split():
+    c, n = np.ones((2, 4)), np.array([10.0, 0.0])
+    cluster.split_empty(c, n)
+    assert n.tolist() == [5, 5] and not np.array_equal(c[0], c[1])
+
+
+def test_codec_round_trips(spark):
+    v = RANDOM.normal(size=(200, 8))
+    base = frame(spark, v)
+    r = codecs.random_rotation(8, 8)
+    assert np.allclose(r.back(r(v)), v)
+    p = codecs.pca(base, 8)
+    assert np.allclose(p.back(p(v)), v) and np.allclose(p(v).mean(0), 0, atol=1e-9)
+    white = codecs.pca(base, 8, -0.5)(v)
+    assert np.allclose(np.cov(white.T, bias=True), np.eye(8), atol=1e-6)
+    sq = codecs.scalar_quantizer(base)
+    back = np.array([x.e for x in base.select("id", sq.decode(sq.encode(F.col("embedding"))).alias("e")).orderBy("id").collect()])
+    assert abs(back - v).max() <= max(sq.step)
+    rq = codecs.ResidualQuantizer.train(base, 3, 4)
+    codes = rq.encode(v)
+    one = ((v - codecs.ResidualQuantizer(rq.books[:1]).decode(codes[:, :1])) ** 2).sum()
+    assert ((v - rq.decode(codes)) ** 2).sum() < one
+    assert ((v - rq.decode(rq.refine(v, codes))) ** 2).sum() <= ((v - rq.decode(codes)) ** 2).sum() + 1e-9
+    assert np.allclose(np.linalg.norm(codecs.hadamard_rotation(8)(v), axis=1), np.linalg.norm(v, axis=1))
+
+
+def test_lattice_is_nearest():
+    v = RANDOM.normal(size=(20, 4))
+    points = np.array([p for p in itertools.product(range(-3, 4), repeat=4) if sum(x * x for x in p) == 9])
+    got = codecs.Lattice(9).encode(v)
+    assert np.allclose((got * v).sum(1), (v @ points.T).max(1))
+
+
+def test_rabitq_estimates(spark):
+    v = RANDOM.normal(size=(300, 32))
+    base = frame(spark, v)
+    true = ((v[:5, None] - v) ** 2).sum(-1)
+    for bits, most in ((1, 0.25), (4, 0.06)):
+        c = codecs.RaBitQ.train(base, bits)
+        assert np.median(abs(c.estimate(v[:5], c.encode(v)) - true)[true > 1] / true[true > 1]) < most
+
+
+@pytest.mark.parametrize("text", ["Flat", "PCA32,IVF16,PQ8x4,Refine(Flat)", "IDMap,OPQ16_32,IVF256_HNSW32,SQ8", "RR64,RaBitQ4", "HNSW32", "RQ4x6", "LSHrt"])
+def test_factory_strings_come_back(text):
+    assert str(factory.parse(text)) == text
+    assert factory.code_size(factory.parse(text), 64) > 0
+
+
+@pytest.mark.parametrize("text", ["", "IVF16", "Flat,Flat,Flat", "PQ", "Refine(Flat", "nonsense"])
+def test_factory_rejects(text):
+    with pytest.raises(ValueError):
+        factory.parse(text)
+
+
+@pytest.mark.parametrize("text,least", [("Flat", 1.0), ("IVF3,Flat", 0.9), ("PQ4x4,Refine(Flat)", 0.5)])
+def test_factory_builds(spark, text, least):
+    base = frame(spark, BASE)
+    q = base.where("id % 50 = 0").toDF("qid", "qv")
+    found = factory.build(base, text).search(q, 10, nprobe=2)
+    assert evaluate.recall(found, knn.knn(q, base, 10), 10).groupBy().avg("recall").first()[0] >= least
+
+
+def test_list_containers(spark):
+    a = spark.createDataFrame([(1, 0), (2, 1)], "id long, list_no int")
+    b = spark.createDataFrame([(3, 1), (4, 2)], "id long, list_no int")
+    ids = lambda d: sorted((r.id, r.list_no) for r in d.collect())
+    assert ids(ivf.stacked([a, b], vertical=True)) == [(1, 0), (2, 1), (3, 3), (4, 4)]
+    assert ids(ivf.masked(a, b)) == [(1, 0), (2, 1), (4, 2)]
+    assert ids(ivf.sliced(b, 1, 2)) == [(3, 0)]
+    assert ids(ivf.without_large(a.unionAll(b), 1)) == [(1, 0), (4, 2)]
+
+
+def test_vector_files(spark, tmp_path):
+    base = frame(spark, np.arange(12).reshape(4, 3))
+    for kind in ("fvecs", "bvecs", "ivecs"):
+        path = f"file://{tmp_path}/x.{kind}"
+        vecs.write_vectors(base, path, kind)
+        assert sorted((r.id, r.embedding) for r in vecs.read_vectors(spark, path).collect())[2] == (2, [6.0, 7.0, 8.0])
+    (tmp_path / "x.fbin").write_bytes(np.array([2, 2], "<i4").tobytes() + np.arange(4, dtype="<f4").tobytes())
+    assert [r.embedding for r in vecs.read_vectors(spark, f"file://{tmp_path}/x.fbin").orderBy("id").collect()] == [[0, 1], [2, 3]]
+    (tmp_path / "bad.fvecs").write_bytes(np.array([3], "<i4").tobytes() + b"1234")
+    with pytest.raises(Exception, match="whole rows"):
+        vecs.read_vectors(spark, f"file://{tmp_path}/bad.fvecs").collect()
+    with pytest.raises(ValueError):
+        vecs.check_chunks(["a_0", "a_2"])
+
+
+def test_synthetic_is_stable(spark):
+    a, b = datasets.synthetic(spark, 8, 20, 5), datasets.synthetic(spark, 8, 20, 5)
+    assert sorted(map(str, a.base.collect())) == sorted(map(str, b.base.repartition(3).collect()))
+    assert a.ground_truth(3).count() == 15
+
+
+def test_csv_rows_are_replaced(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    one = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    one.write.csv(path, header=True)
+    out = datasets.replace_rows(spark, path, spark.createDataFrame([("b", 3)], "k string, v int"), ["k"], ["k"])
+    assert [(r.k, r.v) for r in out.orderBy("k").collect()] == [("a", 1), ("b", 3)]
+
+
+def test_stream_appends_slices_once(spark, tmp_path):
+    frame(spark, BASE[:10]).write.parquet(f"{tmp_path}/in")
+    for _ in range(2):
+        stream = spark.readStream.schema("id long, embedding array<double>").parquet(f"{tmp_path}/in")
+        ingest.append(stream, f"{tmp_path}/base", f"{tmp_path}/ck").awaitTermination(60)
+    base = spark.read.parquet(f"{tmp_path}/base")
+    assert base.count() == 10 and ingest.newest(base, 1).count() == 10 and ingest.latest(base).count() == 10
+
+
+def test_streamed_queries(spark, tmp_path):
+    base = frame(spark, BASE)
+    base.where("id < 3").toDF("qid", "qv").write.parquet(f"{tmp_path}/q")
+    stream = spark.readStream.schema("qid long, qv array<double>").parquet(f"{tmp_path}/q")
+    ingest.searched(stream, base, 2, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination(60)
+    assert sorted((r.qid, r.id) for r in spark.read.parquet(f"{tmp_path}/out").where("rank = 1").collect()) == [(0, 0), (1, 1), (2, 2)]
