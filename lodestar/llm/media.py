@@ -110,7 +110,7 @@ def read_media(files: DataFrame) -> DataFrame:
     fingerprints."""
     new = ("payload", "marks")
     rows = files.select(*(c for c in files.columns if c.lower() not in new))
-    schema = rows.select("*", F.lit(b"").alias("payload"), F.array().cast(f"array<{MARK}>").alias("marks")).schema
+    schema = rows.select("*", F.lit(None).cast("binary").alias("payload"), F.array().cast(f"array<{MARK}>").alias("marks")).schema
 
     def make():
         import pyarrow as pa
