@@ -76,3 +76,35 @@ def matrix_stats(vectors: DataFrame, embedding: str = "embedding") -> DataFrame:
 def id_lookup(keys: DataFrame, table: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
     """``keys`` with their value in ``table``, -1 where there is none."""
     return keys.join(table.select(key, value), key, "left").withColumn(value, F.coalesce(value, F.lit(-1)))
+
+
+def bits_to_signs(words: Column, bits: int) -> Column:
+    """Binary codes in 32-bit words as vectors of -1 and 1: a float index over
+    them ranks as Hamming distances do."""
+    bit = lambda i: F.call_function("shiftright", F.get(words, F.floor(i / 32).cast("int")), (i % 32).cast("int")) % 2
+    return F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: (bit(i) * 2 - 1).cast("double"))
+
+
+def random_vectors(rows: DataFrame, d: int, seed: int = 1234, normal: bool = False, id: str = "id") -> DataFrame:
+    """``(id, embedding)`` of numbers in [0, 1), or normal ones, that depend only
+    on the seed and the id."""
+    unit = lambda *k: F.pmod(F.xxhash64(F.col(id), F.lit(seed), *k), F.lit(1 << 53)) / float(1 << 53)
+    dims = F.sequence(F.lit(0), F.lit(d - 1))
+    if normal:  # Box and Muller
+        x = F.transform(dims, lambda i: F.sqrt(-2 * F.log(1 - unit(i, F.lit(0)))) * F.cos(unit(i, F.lit(1)) * 6.283185307179586))
+    else:
+        x = F.transform(dims, lambda i: unit(i, F.lit(0)))
+    return rows.select(id, x.alias("embedding"))
+
+
+def smooth_vectors(rows: DataFrame, d: int, latent: int = 10, seed: int = 1234, id: str = "id") -> DataFrame:
+    """Vectors on a sine-warped surface of fewer dimensions."""
+    mix = lambda i, j: F.pmod(F.xxhash64(F.lit(seed), i, j), F.lit(1 << 20)) / float(1 << 20)
+    low = random_vectors(rows, latent, seed, True, id).withColumnRenamed("embedding", "low")
+    dot = lambda i: F.aggregate(F.transform("low", lambda x, j: x * mix(i, j)), F.lit(0.0), lambda a, x: a + x)
+    return low.select(id, F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.sin(dot(i) * (4 * mix(i, F.lit(-1)) + 0.1))).alias("embedding"))
+
+
+def checksum(vectors: DataFrame, embedding: str = "embedding") -> DataFrame:
+    """One number for all vectors, whatever their order."""
+    return vectors.agg(F.sum(F.xxhash64(embedding).cast("decimal(38,0)")).alias("checksum"))

@@ -205,3 +205,32 @@ def load_policy(spark, settings: dict, path: str, efs: list[int] | None = None)
             raise ValueError(f"the saved policy lacks ef {sorted(missing)}")
         out = out.where(F.col("ef").isin(list(efs)))
     return out
+
+
+def cost_by_step(times: DataFrame) -> DataFrame:
+    """Offline cost: the median seconds of each step over its repeats, and its
+    share of all steps of its run. ``times`` is (run, step, repeat, seconds)."""
+    steps = times.groupBy("run", "step").agg(F.count(F.lit(1)).alias("repeats"), F.percentile("seconds", F.lit(0.5)).alias("seconds"))
+    return steps.withColumn("share", F.col("seconds") / F.sum("seconds").over(Window.partitionBy("run")))
+
+
+def ablation(runs: DataFrame, variant: str = "variant") -> DataFrame:
+    """For each variant and ef of ``runs`` (variant, ef, method, recall,
+    seconds): how much faster adaptive search is and what share of recall it
+    loses."""
+    of = lambda method: runs.where(F.col("method") == method).select(variant, "ef", F.col("recall").alias(f"{method}_recall"), F.col("seconds").alias(f"{method}_seconds"))
+    both = of("vanilla").join(of("adaptive"), [variant, "ef"])
+    return both.select(variant, "ef", (F.col("vanilla_seconds") / F.col("adaptive_seconds")).alias("speedup"), ((F.col("vanilla_recall") - F.col("adaptive_recall")) / F.col("vanilla_recall")).alias("loss"))
+
+
+def truth_drift(pseudo: DataFrame, exact: DataFrame, k: int) -> DataFrame:
+    """How many true neighbours a pseudo ground truth holds for each query."""
+    from lodestar.operators.evaluate import recall
+
+    return recall(pseudo, exact, k)
+
+
+def ndis_savings(weak: DataFrame, strong: DataFrame) -> DataFrame:
+    """Distances that a better graph saves, by ef: both are (ef, ndis)."""
+    a, b = weak.groupBy("ef").agg(F.avg("ndis").alias("weak")), strong.groupBy("ef").agg(F.avg("ndis").alias("strong"))
+    return a.join(b, "ef").select("ef", "weak", "strong", (1 - F.col("strong") / F.col("weak")).alias("saved"))

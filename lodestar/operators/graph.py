@@ -548,3 +548,21 @@ def recall_log(graph: Graph, queries, w: Walk, interval: int, truth: Sequence[fr
             at = walk(graph, q, replace(w, budget=f["ndis"]))
             log.append((f, len(true & set(at["ids"])) / max(1, len(true))))
     return log
+
+
+def save(index: DataFrame, path: str) -> None:
+    index.write.parquet(path)
+
+
+def load_or_build(base: DataFrame, path: str, name: str = "l2", **options) -> DataFrame:
+    """The index at a path, built and saved there first if there is none."""
+    from pyspark.errors import AnalysisException
+
+    spark = base.sparkSession
+    try:
+        return spark.read.schema(INDEX).parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    save(build(base, name, options.pop("m", 16), options.pop("candidates", 64), **options), path)
+    return spark.read.schema(INDEX).parquet(path)

@@ -232,6 +232,23 @@ def hit_bursts(spark, sf_dir):
     return calibrate.hit_bursts(lines.select("qid", "step", found.alias("found")), 2)
 
 
+@query("WITH t AS (SELECT event_type AS run, user_id % 5 AS step, quantile_cont(value, 0.5) AS seconds, count(*)::BIGINT AS repeats FROM events GROUP BY ALL) SELECT run, step, repeats, round(seconds, 6) AS seconds, round(seconds / sum(seconds) OVER (PARTITION BY run), 6) AS share FROM t")
+def offline_cost(spark, sf_dir):
+    """Events as timed steps of runs."""
+    times = table(spark, sf_dir, "events").select(F.col("event_type").alias("run"), (F.col("user_id") % 5).alias("step"), F.col("event_id").alias("repeat"), F.col("value").alias("seconds"))
+    out = calibrate.cost_by_step(times)
+    return out.select("run", "step", "repeats", F.round("seconds", 6).alias("seconds"), F.round("share", 6).alias("share"))
+
+
+@query("WITH r AS (SELECT l_returnflag AS v, l_linenumber::INT AS ef, avg(l_quantity) / 50 AS a, avg(l_discount) * 10 AS b, sum(l_extendedprice) AS s, sum(l_extendedprice * (1 - l_discount)) AS t FROM lineitem GROUP BY ALL) SELECT v AS variant, ef, round(s / t, 6) AS speedup, round((a - b) / a, 6) AS loss FROM r")
+def ablation_summary(spark, sf_dir):
+    """Line items as runs of two methods by variant and width."""
+    g = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("variant"), F.col("l_linenumber").alias("ef"))
+    r = g.agg((F.avg("l_quantity") / 50).alias("a"), (F.avg("l_discount") * 10).alias("b"), F.sum("l_extendedprice").alias("s"), F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("t"))
+    runs = r.select("variant", "ef", F.lit("vanilla").alias("method"), F.col("a").alias("recall"), F.col("s").alias("seconds")).unionByName(r.select("variant", "ef", F.lit("adaptive").alias("method"), F.col("b").alias("recall"), F.col("t").alias("seconds")))
+    return calibrate.ablation(runs).select("variant", "ef", F.round("speedup", 6).alias("speedup"), F.round("loss", 6).alias("loss"))
+
+
 # --- text embeddings ---
 
 _WORDS = r"w AS (SELECT doc_id, unnest([x for x in regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+') if x <> '']) AS word FROM documents)"

@@ -205,6 +205,13 @@ def generalized_hamming_pairs(spark, sf_dir):
     return a.join(b, "qid").select("qid", generalized_hamming(F.col("x"), F.col("y")).alias("differ"))
 
 
+@query(f"{sql_hits('4 * ' + sql_sum('CASE WHEN (z[1] > 0) <> (z[2] > 0) THEN 1 ELSE 0 END') + '::DOUBLE')}, {sql_top()} SELECT qid, rank, id, dist FROM r")
+def binary_from_float(spark, sf_dir):
+    """Sign codes as vectors of -1 and 1 under L2."""
+    signs = base_of(spark, sf_dir).select("id", vectors.bits_to_signs(vectors.sign_words(F.col("embedding")), 64).alias("embedding"))
+    return knn.knn(queries_of(signs), signs, 10, exclude_self=True)
+
+
 # --- merges ---
 
 @query(f"{sql_hits()}, {sql_top()} {RESULT}")

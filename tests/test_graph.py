@@ -135,3 +135,14 @@ def test_explore_prunes_and_keeps_the_frontier():
     points = sweep.explore({"nprobe": [1, 2, 4, 8, 16, 32]}, run)
     assert [p["params"]["nprobe"] for p in points][-1] == 8
     assert sweep.time_for(points, 0.5) == 4.0
+
+
+def test_index_is_built_once(spark, tmp_path):
+    base, path = frame(spark, VECTORS[:50]), f"file://{tmp_path}/index"
+    first = graph.load_or_build(base, path).count()
+    assert graph.load_or_build(base.limit(0), path).count() == first == 1
+
+
+def test_ndis_savings(spark):
+    a, b = spark.createDataFrame([(64, 100), (64, 300)], "ef int, ndis int"), spark.createDataFrame([(64, 100)], "ef int, ndis int")
+    assert calibrate.ndis_savings(a, b).first().saved == 0.5

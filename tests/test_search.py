@@ -127,3 +127,12 @@ def test_bits(spark):
 @pytest.mark.parametrize("name,space", [("msmarco-angular", "ip"), ("text2image", "ip"), ("coco-t2i", "cosine"), ("glove-100", "cosine"), ("sift-128", "l2"), ("other", "l2")])
 def test_space(name, space):
     assert space_of(name) == space
+
+
+def test_random_vectors(spark):
+    rows = spark.range(500)
+    for normal, mean in ((False, 0.5), (True, 0.0)):
+        v = vectors.random_vectors(rows, 8, normal=normal)
+        m = np.array([r.embedding for r in v.collect()])
+        assert abs(m.mean() - mean) < 0.05 and vectors.checksum(v).first() == vectors.checksum(v.repartition(5)).first()
+    assert np.abs(np.array([r.embedding for r in vectors.smooth_vectors(rows, 6).collect()])).max() <= 1
