@@ -1,41 +1,18 @@
-"""What several operators of this subpackage need: the shared folder, tables
-written to it, Arrow-batched maps, and connected components."""
+"""What several operators of this subpackage need: Arrow-batched maps, written
+tables, and connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from lodestar.sources.shared import materialize
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the session's ``spark.checkpoint.dir``. Where that is unset, a
-    temporary folder does in local mode; on a cluster it is an error, as
-    executors don't see each other's disks."""
-    conf = spark.sparkContext.getConf()
-    found = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="lodestar-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: later
-    jobs start from files that survive lost executors, not from shuffle files."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestar-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["arrow_map", "connected_components", "digest128", "free_name", "materialize"]
 
 
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str | StructType, rows: int = 512) -> DataFrame:
