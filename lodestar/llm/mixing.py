@@ -97,9 +97,14 @@ def taken(rows: DataFrame, mix: Mix = Mix()) -> DataFrame:
     return rows.join(sums, ["at", "range"]).select("doc_id", "source", "size", "tie", "source_size", "target", (epochs * F.col("size") + cut).cast("long").alias("taken"))
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """128 bits of the whole row."""
+    return F.struct(F.xxhash64(*docs.columns).alias("a"), F.xxhash64(F.lit("second"), *docs.columns).alias("b"))
+
+
 def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """For each row of ``docs``: doc_id, source, size, source_size, target, taken."""
-    rows = docs.select("doc_id", "source", count_tokens(F.col("text")).alias("size"), F.xxhash64(*docs.columns).alias("tie"))
+    rows = docs.select("doc_id", "source", count_tokens(F.col("text")).alias("size"), row_hash(docs).alias("tie"))
     return taken(rows, mix).drop("tie")
 
 
@@ -107,22 +112,17 @@ def mixed(docs: DataFrame, mix: Mix = Mix(), n_chars: str | None = None) -> Data
     """The mix itself: rows of ``docs`` as often as the mix takes them, and the
     row at a source's cut up to its last token that fits. Rows that the mix
     doesn't take are absent."""
-    tie, ids, sizes, one, part = (free_name(docs, f"_{n}") for n in ("tie", "id", "sizes", "one", "part"))
-    rows = docs.select("doc_id", "source", count_tokens(F.col("text")).alias("size"), F.xxhash64(*docs.columns).alias("tie"))
-    parts = (
-        taken(rows, mix).where("taken > 0")
-        .groupBy(F.col("tie").alias(tie), F.col("doc_id").alias(ids))
-        .agg(F.collect_list(F.struct("size", "taken")).alias(sizes))
-    )
+    a, b, sizes, one, part = (free_name(docs, f"_{n}") for n in ("a", "b", "sizes", "one", "part"))
+    rows = docs.select("doc_id", "source", count_tokens(F.col("text")).alias("size"), row_hash(docs).alias("tie"))
+    parts = taken(rows, mix).where("taken > 0").groupBy(F.col("tie.a").alias(a), F.col("tie.b").alias(b)).agg(F.collect_list(F.struct("size", "taken")).alias(sizes))
     whole = F.flatten(F.transform(F.col(sizes), lambda x: F.concat(
         F.array_repeat(F.lit(None).cast("long"), F.floor(x["taken"] / x["size"]).cast("int")),
         F.when(x["taken"] % x["size"] > 0, F.array(x["taken"] % x["size"])).otherwise(F.array().cast("array<long>")),
     )))
     # rows alike in all columns meet here: one of them stands for all, as parts has what the mix takes of each
-    alike = Window.partitionBy(tie, ids).orderBy(F.lit(1))
-    hashed = docs.withColumn(tie, F.xxhash64(*docs.columns))
-    parts = parts.withColumnRenamed(tie, tie + "r")
-    out = hashed.join(parts, (hashed[tie] == parts[tie + "r"]) & hashed["doc_id"].eqNullSafe(parts[ids]))
+    alike = Window.partitionBy(a, b).orderBy(F.lit(1))
+    h = row_hash(docs)
+    out = docs.withColumns({a: h["a"], b: h["b"]}).join(parts, [a, b])
     out = out.withColumn(one, F.row_number().over(alike)).where(F.col(one) == 1).withColumn(part, F.explode(whole))
     out = out.withColumn("text", F.when(F.col(part).isNull(), F.col("text")).otherwise(first_tokens(F.col("text"), F.col(part))))
     if n_chars:
