@@ -11,8 +11,8 @@ and a spanning forest of the links, at most one edge for each vector. Components
 of all forests are those of all links.
 
 Rows: vectors that are null, empty, zero or hold null or non-finite components
-link with nothing, as do those with a null label; vectors of different lengths
-don't link. Rows with one vec_id are vectors of their own, which link like any
+link with nothing, as do those with a null label or vec_id; vectors of different
+lengths don't link. Rows with one vec_id are vectors of their own, which link like any
 others; in the result they stand as one row for each input row, with the sums of
 their vec_id. An empty table gives no rows."""
 
@@ -146,4 +146,4 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, vec_id: str = "
     out = vectors.select(F.col(vec_id).cast("long").alias("vec_id"))
     out = out.join(links, "vec_id", "left").join(parts.withColumnRenamed("id", "vec_id"), "vec_id", "left")
     component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("vec_id")).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))

@@ -150,7 +150,7 @@ def test_shards_are_written(spark, tmp_path):
 # --- embedding near-dedup ---
 
 def brute_links(rows):
-    ok = [(i, np.array(v, float), c) for i, v, c in rows if v and c is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    ok = [(i, np.array(v, float), c) for i, v, c in rows if i is not None and v and c is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     return [(a, b) for k, (a, x, c) in enumerate(ok) for b, y, d in ok[:k] if c == d and len(x) == len(y) and x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.93]
 
 
@@ -159,12 +159,12 @@ def test_vectors_by_brute_force(spark, monkeypatch):
     centres = RANDOM.normal(size=(6, 8))
     rows = [(i, (centres[i % 6] + RANDOM.normal(size=8) * 0.28).tolist(), i % 2) for i in range(200)]
     rows += [(300 + i, rows[0][1], 0) for i in range(40)]
-    rows += [(400, None, 0), (401, [0.0] * 8, 0), (402, [float("nan")] + [1.0] * 7, 0), (403, [float("inf")] * 8, 0), (404, [], 0), (405, rows[0][1], None), (406, [1.0, 2.0], 0), (407, [None] + [1.0] * 7, 0), (408, [2.0, 4.0], 0)]
+    rows += [(400, None, 0), (401, [0.0] * 8, 0), (402, [float("nan")] + [1.0] * 7, 0), (403, [float("inf")] * 8, 0), (404, [], 0), (405, rows[0][1], None), (406, [1.0, 2.0], 0), (407, [None] + [1.0] * 7, 0), (408, [2.0, 4.0], 0), (None, rows[0][1], 0)]
     out = embed_dedup.near_duplicates(spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label int, n_links int")).collect()
     links = brute_links(rows)
-    n, parts = Counter(x for e in links for x in e), brute.components([r[0] for r in rows], links)
+    n, parts = Counter(x for e in links for x in e), brute.components([r[0] for r in rows if r[0] is not None], links) | {None: None}
     assert len(out) == len(rows) and {r.vec_id: (r.n_links, r.component_id) for r in out} == {i: (n[i], parts[i]) for i, *_ in rows}
-    assert all(r.kept == (r.vec_id == r.component_id) for r in out)
+    assert all(r.kept == (r.vec_id == r.component_id) for r in out)  # a null one too
 
 
 def test_bound_holds():
