@@ -184,6 +184,15 @@ def build(base: DataFrame, name: str = "l2", m: int = 16, candidates: int = 64,
     return dealt.groupBy("shard").applyInPandas(make, INDEX)
 
 
+def build_binary(codes: DataFrame, bits: int, **options) -> DataFrame:
+    """An index over ``(id, code)``, codes in 32-bit words: vectors of -1 and 1,
+    whose L2 distance is four times the Hamming distance."""
+    from lodestar.functions.vectors import bits_to_signs
+
+    c = codes.toDF("id", "code")
+    return build(c.select("id", bits_to_signs(F.col("code"), bits).alias("embedding")), "l2", **options)
+
+
 def load(row: dict) -> Graph:
     import numpy as np
 
@@ -319,7 +328,10 @@ class Walk:
     """Parameters of a walk. ``hide_self`` leaves the query's own id out of the
     graph; ``budget`` ends the walk at a number of distances; ``radius`` returns
     all hits strictly within it; ``stop`` is asked every ``interval`` distances
-    with the walk's features; ``allowed`` says which ids may be hits."""
+    with the walk's features; ``predict`` is asked once, after ``after``
+    distances, for the budget; ``allowed`` says which ids may be hits;
+    ``entries`` are ids at which the lowest level is entered, in place of the
+    way down."""
 
     k: int = 10
     ef: int = 64
@@ -332,6 +344,9 @@ class Walk:
     stop: Callable[[dict], bool] | None = None
     allowed: Callable | None = None
     target_hits: int = 0
+    after: int = 0
+    predict: Callable[[dict], float] | None = None
+    entries: tuple[int, ...] = ()
 
 
 def features(ndis: int, hops: int, inserted: int, first: float, results: list[float]) -> dict:
@@ -358,9 +373,13 @@ def walk(g: Graph, q, w: Walk, hidden: int = -1, wanted: frozenset = frozenset()
     out = {"ids": [], "dists": [], "ndis": 0, "nhops": 0, "full_pops": 0, "window_obs": 0, "cfr_mean": None, "effective_ef": width, "first_hit": None, "trace": [] if w.trace else None}
     if entry < 0:
         return out
-    near, d_near = entry, float(g.distances(q, np.array([entry]))[0])
-    ndis, hops = 1, 0
-    for lv in range(level, 0, -1):
+    start = [i for i in np.flatnonzero(np.isin(g.ids, w.entries)).tolist() if i != hidden] if w.entries else [entry]
+    if not start:
+        return out
+    d_start = g.distances(q, np.array(start)).tolist()
+    near, d_near = start[0], d_start[0]
+    ndis, hops = len(start), 0
+    for lv in range(0 if w.entries else level, 0, -1):
         while True:
             nodes = g.links[lv][near]
             nodes = nodes[(nodes >= 0) & (nodes != hidden)]
@@ -373,11 +392,13 @@ def walk(g: Graph, q, w: Walk, hidden: int = -1, wanted: frozenset = frozenset()
                 break
             near, d_near, hops = int(nodes[i]), float(d[i]), hops + 1
 
+    if not w.entries:
+        start, d_start = [near], [d_near]
     seen = np.zeros(n, bool)
-    seen[near] = True
+    seen[start] = True
     if hidden >= 0:
         seen[hidden] = True
-    beam, first, inserted = _Beam(width), d_near, 0
+    beam, first, inserted, budget = _Beam(width), min(d_start), 0, w.budget
     hits: list[tuple[float, int]] = []  # a heap of (-distance, -id), the worst first
     within: list[tuple[float, int]] = []
     ok = w.allowed
@@ -399,7 +420,8 @@ def walk(g: Graph, q, w: Walk, hidden: int = -1, wanted: frozenset = frozenset()
         inserted += 1
         return True
 
-    offer(d_near, near)
+    for d, i in zip(d_start, start):
+        offer(d, i)
     full = window = 0
     smoothed, total, mean, asked, classified = math.nan, 0.0, math.nan, 0, False
     start, end, decay = (a.start, a.end, a.decay) if a else (4, 16, 0.8)
@@ -438,7 +460,9 @@ def walk(g: Graph, q, w: Walk, hidden: int = -1, wanted: frozenset = frozenset()
                                  "furthest_dist": g.external(beam.rows[-1][0]), "best_dist": g.external(beam.rows[0][0]), "kth_dist": g.external(-hits[0][0]) if hits else None, "hits": found})
         if wanted and out["first_hit"] is None and sum(-i in wanted for _, i in hits) >= min(w.target_hits or len(wanted), len(wanted)):
             out["first_hit"] = hops
-        if w.budget is not None and ndis >= w.budget:
+        if w.predict is not None and budget is None and ndis >= w.after:
+            budget = w.predict(features(ndis, hops, inserted, first, [-x for x, _ in hits]))
+        if budget is not None and ndis >= budget:
             break
         if w.stop is not None and w.interval and ndis - asked >= w.interval:
             asked = ndis

@@ -50,7 +50,7 @@ def _name(s: Step) -> str:
     if s.kind == "LSH":
         return "LSH" + o.get("flags", "")
     n = o.get("d", o.get("m", o.get("bits", "")))
-    return f"{s.kind}{n if n is not None else ''}" + (f"_{o['out']}" if o.get("out") else "")
+    return f"{s.kind}{n if n is not None else ''}" + (f"_{o['out']}" if o.get("out") else "") + (f",{o['storage']}" if "storage" in o else "")
 
 
 def _split(text: str) -> list[str]:
@@ -151,6 +151,12 @@ class Index:
     codes: DataFrame | None = None
     graphs: DataFrame | None = None
 
+    def kept(self) -> DataFrame:
+        """``(id, embedding)`` as the codec keeps them."""
+        if self.spec.codec.kind == "PQ":
+            return codecs.decoded(self.codes, self.codec)
+        return self.moved(self.base) if self.codes is None else self.codes
+
     def moved(self, vectors: DataFrame) -> DataFrame:
         for t in self.transforms:
             vectors = codecs.mapped(vectors.toDF("id", "embedding"), t)
@@ -209,6 +215,8 @@ def build(base: DataFrame, text: str, name: str = "l2") -> Index:
             index.codec = codecs.scalar_quantizer(rows, int(o["type"]))
             index.codes = rows.select("id", index.codec.decode(index.codec.encode(F.col("embedding"))).alias("embedding"))
     elif kind in ("HNSW", "NSG"):
+        if "storage" in o:  # the graph is over what the codec keeps
+            rows = build(rows, o["storage"], name).kept()
         index.graphs = graph.build(rows, name, max(2, o["m"] // 2), max(64, 2 * o["m"]))
     else:
         index.codes = rows

@@ -146,3 +146,26 @@ def test_index_is_built_once(spark, tmp_path):
 def test_ndis_savings(spark):
     a, b = spark.createDataFrame([(64, 100), (64, 300)], "ef int, ndis int"), spark.createDataFrame([(64, 100)], "ef int, ndis int")
     assert calibrate.ndis_savings(a, b).first().saved == 0.5
+
+
+def test_entries_and_predicted_budget():
+    best = int(np.argmin(((VECTORS - QUERIES[0]) ** 2).sum(1)))
+    found = graph.walk(G, QUERIES[0], graph.Walk(ef=64, entries=(best, 5)))
+    assert found["ids"][0] == best
+    assert graph.walk(G, QUERIES[0], graph.Walk(ef=64, entries=(10**6,)))["ids"] == []
+    asked = []
+    found = graph.walk(G, QUERIES[0], graph.Walk(ef=64, after=60, predict=lambda f: asked.append(f) or 100))
+    assert len(asked) == 1 and asked[0]["ndis"] >= 60 and found["ndis"] < 140
+
+
+def test_binary_graph(spark):
+    from pyspark.sql import functions as F
+
+    from lodestar.functions.vectors import bits_to_signs, sign_words
+
+    codes = frame(spark, VECTORS).select("id", sign_words(F.col("embedding")).alias("embedding"))
+    q = codes.where("id < 5").select("id", bits_to_signs(F.col("embedding"), 12)).toDF("qid", "qv")
+    found = graph.hits(graph.search(q, graph.build_binary(codes, 12, m=8, candidates=48), graph.Walk(k=5, ef=100)), 5)
+    exact = {(r.qid, r.rank): r.dist for r in knn.hamming_knn(codes.where("id < 5").toDF("qid", "qv"), codes, 5).collect()}
+    got = {(r.qid, r.rank): r.dist / 4 for r in found.collect()}
+    assert np.mean([got[k] == exact[k] for k in exact]) >= 0.9

@@ -73,7 +73,7 @@ def test_rabitq_estimates(spark):
         assert np.median(abs(c.estimate(v[:5], c.encode(v)) - true)[true > 1] / true[true > 1]) < most
 
 
-@pytest.mark.parametrize("text", ["Flat", "PCA32,IVF16,PQ8x4,Refine(Flat)", "IDMap,OPQ16_32,IVF256_HNSW32,SQ8", "RR64,RaBitQ4", "HNSW32", "RQ4x6", "LSHrt"])
+@pytest.mark.parametrize("text", ["Flat", "PCA32,IVF16,PQ8x4,Refine(Flat)", "IDMap,OPQ16_32,IVF256_HNSW32,SQ8", "RR64,RaBitQ4", "HNSW32", "RQ4x6", "LSHrt", "HNSW32,SQ8"])
 def test_factory_strings_come_back(text):
     assert str(factory.parse(text)) == text
     assert factory.code_size(factory.parse(text), 64) > 0
@@ -85,7 +85,7 @@ def test_factory_rejects(text):
         factory.parse(text)
 
 
-@pytest.mark.parametrize("text,least", [("Flat", 1.0), ("IVF3,Flat", 0.9), ("PQ4x4,Refine(Flat)", 0.5)])
+@pytest.mark.parametrize("text,least", [("Flat", 1.0), ("IVF3,Flat", 0.9), ("PQ4x4,Refine(Flat)", 0.5), ("HNSW16,SQ8", 0.8)])
 def test_factory_builds(spark, text, least):
     base = frame(spark, BASE)
     q = base.where("id % 50 = 0").toDF("qid", "qv")
