@@ -60,6 +60,35 @@ def knn(queries: DataFrame, base: DataFrame, k: int, name: str | Metric = "l2",
     return top(tiles(queries, base, kernel, HITS), k, m.larger_is_better)
 
 
+def knn_by_group(queries: DataFrame, base: DataFrame, per_group: int, name: str | Metric = "l2", exclude_self: bool = False) -> DataFrame:
+    """``(qid, id, group, dist)``: the nearest ``per_group`` rows of each group,
+    for a base ``(id, embedding, group)`` with whole numbers as groups. A tile
+    returns no more than that of a group, so hits are never all pairs."""
+    m = metric(name)
+    b = base.toDF("id", "v", "group").where("group is not null")
+    # the group travels as one more component, which doubles carry exactly
+    b = b.select("id", F.concat(F.col("v").cast("array<double>"), F.array(F.col("group").cast("double"))))
+    q = queries.toDF("qid", "qv").select("qid", F.concat(F.col("qv").cast("array<double>"), F.array(F.lit(0.0))))
+
+    def kernel(qids, q, ids, v):
+        import numpy as np
+
+        groups, d = v[:, -1].astype(np.int64), m.tile(q[:, :-1], v[:, :-1], None)
+        key, out = np.where(np.isnan(d), np.inf, -d if m.larger_is_better else d), []
+        for r, qid in enumerate(qids):
+            order = np.lexsort((ids, key[r], groups))
+            if exclude_self:
+                order = order[ids[order] != qid]
+            g = groups[order]
+            order = order[np.arange(len(g)) - np.searchsorted(g, g) < per_group]
+            out.append((np.full(len(order), qid), ids[order], groups[order], d[r, order]))
+        return dict(zip(("qid", "id", "group", "dist"), map(np.concatenate, zip(*out))))
+
+    found = tiles(q, b, kernel, "qid long, id long, group long, dist double")
+    nth = F.row_number().over(Window.partitionBy("qid", "group").orderBy(*_order(m.larger_is_better)))
+    return found.withColumn("nth", nth).where(F.col("nth") <= per_group).drop("nth")
+
+
 def range_search(queries: DataFrame, base: DataFrame, radius: float, name: str | Metric = "l2", p: float | None = None, exclude_self: bool = False) -> DataFrame:
     """All hits strictly within the radius (beyond it for similarities)."""
     m = metric(name)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.operators.knn import assign, top
+from lodestar.operators.knn import assign, knn_by_group, top
 
 
 def union(frames: Sequence[DataFrame]) -> DataFrame:
@@ -60,17 +60,17 @@ def first_of_each(rows: DataFrame, code: str, id: str = "id") -> DataFrame:
     return rows.join(firsts, code).withColumn("inserted", F.col(id) == F.col("_first")).drop("_first")
 
 
-def diverse(hits: DataFrame, groups: DataFrame, k: int, per_group: int) -> DataFrame:
-    """The best k hits with at most ``per_group`` of each group; ``groups`` is
-    (id, group)."""
-    in_group = F.row_number().over(Window.partitionBy("qid", "group").orderBy("dist", "id"))
-    return top(hits.join(groups.toDF("id", "group"), "id").withColumn("nth", in_group).where(F.col("nth") <= per_group), k)
+def diverse(queries: DataFrame, base: DataFrame, k: int, per_group: int, name: str = "l2", exclude_self: bool = False) -> DataFrame:
+    """The k nearest rows with at most ``per_group`` of each group; the base is
+    (id, embedding, group)."""
+    return top(knn_by_group(queries, base, per_group, name, exclude_self).select("qid", "id", "dist"), k)
 
 
-def best_documents(hits: DataFrame, documents: DataFrame, k: int) -> DataFrame:
-    """The k best documents by their nearest vector; ``documents`` is (id, doc)."""
-    best = hits.join(documents.toDF("id", "doc"), "id").groupBy("qid", "doc").agg(F.min("dist").alias("dist"))
-    return top(best.select("qid", F.col("doc").alias("id"), "dist"), k)
+def best_documents(queries: DataFrame, base: DataFrame, k: int, name: str = "l2", exclude_self: bool = False) -> DataFrame:
+    """The k best documents by their nearest vector; the base is (id, embedding,
+    document)."""
+    best = knn_by_group(queries, base, 1, name, exclude_self)
+    return top(best.select("qid", F.col("group").alias("id"), "dist"), k)
 
 
 def split_search(queries: DataFrame, parts: Sequence[tuple[DataFrame, int, int]]) -> DataFrame:

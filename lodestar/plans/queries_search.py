@@ -227,8 +227,7 @@ def diverse_knn(spark, sf_dir):
     """At most two hits of each label."""
     base = base_of(spark, sf_dir, "label")
     vecs = base.select("id", "embedding")
-    hits = knn.range_search(queries_of(vecs), vecs, float("inf"), exclude_self=True)
-    return result(merge.diverse(hits, base.select("id", "label"), 10, 2))
+    return result(merge.diverse(queries_of(vecs), base, 10, 2, exclude_self=True))
 
 
 @query(f"{sql_hits()}, d AS (SELECT qid, label::BIGINT AS id, min(dist) AS dist FROM h GROUP BY qid, label), {sql_top(4, source='d')} {RESULT}")
@@ -236,8 +235,7 @@ def multi_vector_documents(spark, sf_dir):
     """Labels as documents of many vectors: the nearest by their best vector."""
     base = base_of(spark, sf_dir, "label")
     vecs = base.select("id", "embedding")
-    hits = knn.range_search(queries_of(vecs), vecs, float("inf"), exclude_self=True)
-    return result(merge.best_documents(hits, base.select("id", F.col("label").cast("long")), 4))
+    return result(merge.best_documents(queries_of(vecs), base, 4, exclude_self=True))
 
 
 @query(f"{sql_hits()}, {sql_top(5)} SELECT qid, rank, id * 10 + 1 AS id, round(dist, 5) AS dist FROM r")
