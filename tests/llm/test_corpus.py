@@ -49,13 +49,14 @@ def test_weak_labels_find_accuracies():
 
 
 def test_held_out_accuracy(spark):
-    big = "/root/testdata/sf0.01"
+    # of a few hundred documents only two or three are junk of some kinds, which is too few to learn from
+    big = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
     model = quality.fit(docs.where("doc_id % 2 = 0"))
     out = quality.score(docs.where("doc_id % 2 = 1"), model).join(labels, "doc_id").select("kept", "quality").collect()
     bad = [not r.kept for r in out if r.quality == 0]
     kept = [r.kept for r in out if r.quality == 1]
-    assert np.mean(bad) >= 0.9 and np.mean(kept) >= 0.98
+    assert np.mean(bad) >= 0.97 and np.mean(kept) >= 0.99
 
 
 def test_quality_of_odd_rows(spark):
