@@ -6,6 +6,10 @@ how often each labeller gives each vote on good and on bad documents, without
 any true labels. The posterior labels of a bounded sample train a logistic
 scorer over hashed features, and the scorer decides on every document.
 
+The share of distinct words falls with a text's length, so it is taken in
+windows of 200 words over the whole text: their mean makes the vote, and a text
+with a window that would be bad by itself gets no good vote.
+
 Rows: null, empty and wordless texts have score 0 and are rejected. Every row
 stands for itself; ties and repeated rows get equal scores. Extra columns stay; a
 column that has the name of one that is added is replaced. A table without any
@@ -28,17 +32,27 @@ WIDTH = 1 << 16
 SAMPLE = 4000
 #: Bytes of a text whose trigrams are counted at once.
 CHUNK = 1 << 20
+#: Words of a window in which distinct words are counted.
+WINDOW = 200
 
 _WORDY = re.compile(r"\w")
 _MARKS = re.compile(r"[^\w\s]{2,}")
 
 
+def distinct_shares(words: list[str]) -> list[float]:
+    """The share of distinct words in each of the consecutive windows; the last
+    one ends with the text, and a shorter text is one window."""
+    starts = [*range(0, len(words) - WINDOW, WINDOW), max(0, len(words) - WINDOW)]
+    return [len(set(words[i : i + WINDOW])) / min(len(words), WINDOW) for i in starts]
+
+
 def measures(text: str) -> dict[str, float] | None:
     """Shares that the labellers vote by; None for a text without words."""
     words = text.split()
     if not words or not _WORDY.search(text):
         return None
     n = len(words)
+    distinct = distinct_shares(words)
     lines = [x for x in map(str.strip, text.split("\n")) if x]
     alnum = sum(map(str.isalnum, text))
     upper = sum(map(str.isupper, text))
@@ -47,7 +61,8 @@ def measures(text: str) -> dict[str, float] | None:
         "words": float(n),
         "marked": len(_MARKS.findall(text)) / n,
         "upper": upper / max(1, upper + lower),
-        "distinct": len(set(words)) / min(n, 200) if n < 200 else len(set(words[:200]) | set(words[-200:])) / min(n, 400),
+        "distinct": sum(distinct) / len(distinct),
+        "least_distinct": min(distinct),
         "repeat": sum(a == b for a, b in zip(words, words[1:])) / max(1, n - 1),
         "bare": sum(len(w) == 1 and not w.isalnum() for w in words) / n,
         "line_repeat": 1 - len(set(lines)) / max(1, len(lines)),
@@ -73,11 +88,17 @@ LABELLERS = (
     ("bare marks", "bare", 0.02, 0.2),
     ("repeated lines", "line_repeat", 0.2, 0.6),
 )
+#: Measures of a text's worst part: if it is bad, the text gets no good vote.
+WORST = {"distinct": "least_distinct"}
 
 
 def votes(text: str | None) -> list[int]:
     m = measures(text or "")
-    return [NONE] * len(LABELLERS) if m is None else [_vote(m[k], good, bad) for _, k, good, bad in LABELLERS]
+    if m is None:
+        return [NONE] * len(LABELLERS)
+    out = [_vote(m[k], good, bad) for _, k, good, bad in LABELLERS]
+    worst = [_vote(m[WORST.get(k, k)], good, bad) for _, k, good, bad in LABELLERS]
+    return [NONE if v == GOOD and w == BAD else v for v, w in zip(out, worst)]
 
 
 @dataclass

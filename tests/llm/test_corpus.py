@@ -48,6 +48,20 @@ def test_weak_labels_find_accuracies():
     assert ((model.posterior(votes) > 0.5) == good).mean() > 0.97
 
 
+def test_distinct_words_of_whole_texts():
+    at = [name for name, *_ in quality.LABELLERS].index("distinct words")
+    clean, junk = [f"w{i}" for i in range(3000)], [f"j{i % 7}" for i in range(3000)]
+    vote = lambda *parts: quality.votes(" ".join(w for p in parts for w in p))[at]
+    assert vote(clean) == quality.GOOD and vote(junk) == quality.BAD
+    # junk only in the middle, much of it and little
+    assert vote(clean[:200], junk, clean[-200:]) == quality.BAD
+    assert vote(clean[:400], junk, clean[-400:]) == vote(clean, junk[:500], clean) == quality.NONE
+    assert vote(junk[:200], clean * 6, junk[-200:]) != quality.BAD  # clean but for its ends
+    words = [f"w{i}" for i in range(1000)] + ["x"] * 100
+    assert quality.distinct_shares(words) == [1.0] * 5 + [101 / 200]
+    assert [quality.distinct_shares(words[:n]) for n in (1, 200, 201, 400)] == [[1.0], [1.0], [1.0] * 2, [1.0] * 2]
+
+
 def test_held_out_accuracy(spark):
     # of a few hundred documents only two or three are junk of some kinds, which is too few to learn from
     big = "/root/testdata/sf0.1"
