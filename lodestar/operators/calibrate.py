@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.operators.evaluate import everything
+from lodestar.sources.shared import materialize
+
+_PROBES = "selection_rank int, id long, lid double, bucket_lower double, bucket_upper double, target_lid double, used_fallback boolean"
 
 
 def lid(neighbours: DataFrame, k: int) -> DataFrame:
@@ -39,35 +42,69 @@ def trimmed(lids: DataFrame, low: float = 1, high: float = 99) -> DataFrame:
     return lids.join(F.broadcast(p), F.col("lid").between(F.col("lid_min"), F.col("lid_max")))
 
 
+def at_places(rows: DataFrame, places: list[int]) -> dict[int, tuple[float, int]]:
+    """The (lid, id) that have these places, from 0, in the order of (lid, id).
+    Rows are range-partitioned, so no task holds them all."""
+    dealt = materialize(rows.select("lid", "id").repartitionByRange("lid", "id").withColumn("part", F.spark_partition_id()), "parts")  # bounds are sampled: once
+    found, before = {}, 0
+    wanted = []
+    for part, n in sorted((r.part, r["count"]) for r in dealt.groupBy("part").count().collect()):
+        wanted += [(part, p - before + 1, p) for p in sorted(set(places)) if before <= p < before + n]
+        before += n
+    if wanted:
+        nth = F.row_number().over(Window.partitionBy("part").orderBy("lid", "id"))
+        w = rows.sparkSession.createDataFrame(wanted, "part int, nth int, place long")
+        found = {r.place: (r.lid, r.id) for r in dealt.withColumn("nth", nth).join(F.broadcast(w), ["part", "nth"]).collect()}
+    return found
+
+
 def quantile_probes(pool: DataFrame, n: int) -> DataFrame:
     """The middle row of each of n chunks of the pool by (lid, id); larger
-    chunks come first. The pool is a bounded sample."""
-    chunk = F.ntile(n).over(Window.orderBy("lid", "id"))
-    w = Window.partitionBy("chunk")
-    placed = pool.withColumn("chunk", chunk).withColumn("place", F.row_number().over(w.orderBy("lid", "id"))).withColumn("n", F.count(F.lit(1)).over(w))
-    placed = placed.withColumn("bucket_lower", F.min("lid").over(w)).withColumn("bucket_upper", F.max("lid").over(w)).withColumn("target_lid", F.percentile("lid", F.lit(0.5)).over(w))
-    return placed.where(F.col("place") == F.floor(F.col("n") / 2) + 1).select((F.col("chunk") - 1).alias("selection_rank"), "id", "lid", "bucket_lower", "bucket_upper", "target_lid", F.lit(False).alias("used_fallback"))
+    chunks come first."""
+    pool = materialize(pool.select("lid", "id"), "pool")
+    total, chunks = pool.count(), []
+    for i in range(min(n, total)):
+        start, size = i * (total // n) + min(i, total % n), total // n + (i < total % n)
+        chunks.append((start, start + size // 2, start + size - 1, start + (size - 1) // 2))
+    at = at_places(pool, [p for c in chunks for p in c])
+    out = [(i, at[middle][1], at[middle][0], at[low][0], at[high][0], (at[middle][0] + at[left][0]) / 2, False) for i, (low, middle, high, left) in enumerate(chunks)]
+    return pool.sparkSession.createDataFrame(out, _PROBES)
 
 
 def uniform_probes(pool: DataFrame, n: int) -> DataFrame:
     """The row nearest to the middle of each of n equal ranges of lid, without
     replacement; an empty range takes the nearest row of all that are left. Each
-    choice depends on the ones before, so the bounded pool goes to the driver."""
-    rows = sorted((r.lid, r.id) for r in pool.select("lid", "id").collect())
-    if not rows:
+    choice depends on the ones before, but at most n rows are taken, so of each
+    range the driver needs the n lowest, the n highest and the n nearest to its
+    middle."""
+    bounded = {"lid_min", "lid_max"} <= set(pool.columns)
+    pool = materialize(pool.select("lid", "id", *(("lid_min", "lid_max") if bounded else ())), "pool")
+    spark = pool.sparkSession
+    bounds = pool.agg(F.count(F.lit(1)), F.min("lid_min" if bounded else "lid"), F.max("lid_max" if bounded else "lid")).first()
+    total, low, high = bounds
+    if not total:
         raise ValueError("the pool is empty")
-    spark, low, high = pool.sparkSession, rows[0][0], rows[-1][0]
-    bounds = pool.select("lid_min", "lid_max").first() if {"lid_min", "lid_max"} <= set(pool.columns) else None
-    low, high = (bounds.lid_min, bounds.lid_max) if bounds else (low, high)
-    n, out = min(n, len(rows)), []
+    n, out = min(n, total), []
     edge = [low + (high - low) * i / n for i in range(n)] + [high]
+    middle = [(a + b) / 2 for a, b in zip(edge, edge[1:])]
+    within = F.lit(0)
+    for e in edge[1:-1]:
+        within = within + (F.col("lid") >= e).cast("int")
+    ranged = pool.withColumn("range", F.when(F.col("lid") < low, -1).when(F.col("lid") > high, n).otherwise(within))
+    to_middle = F.abs(F.col("lid") - F.coalesce(F.get(F.array(*map(F.lit, middle)), F.greatest(F.col("range"), F.lit(0))), F.lit(high)))
+    few = None
+    for order in ((F.col("lid").asc(),), (F.col("lid").desc(),), (to_middle.asc(), F.col("lid").asc())):
+        nth = F.row_number().over(Window.partitionBy("range").orderBy(*order, F.col("id").asc()))
+        part = ranged.withColumn("nth", nth).where(F.col("nth") <= n).select("lid", "id")
+        few = part if few is None else few.unionAll(part)
+    rows = sorted((r.lid, r.id) for r in few.distinct().collect())
     for i in range(n):
         a, b = edge[i], edge[i + 1]
         inside = [r for r in rows if a <= r[0] and (r[0] <= b if i == n - 1 else r[0] < b)]
-        pick = min(inside or rows, key=lambda r: abs(r[0] - (a + b) / 2))
+        pick = min(inside or rows, key=lambda r: abs(r[0] - middle[i]))
         rows.remove(pick)
-        out.append((i, pick[1], pick[0], a, b, (a + b) / 2, not inside))
-    return spark.createDataFrame(out, "selection_rank int, id long, lid double, bucket_lower double, bucket_upper double, target_lid double, used_fallback boolean")
+        out.append((i, pick[1], pick[0], a, b, middle[i], not inside))
+    return spark.createDataFrame(out, _PROBES)
 
 
 def routes(efs: DataFrame, buckets: int = 4, gap: int = 2) -> DataFrame:

@@ -134,13 +134,6 @@ def _lids(spark, sf_dir):
     return calibrate.lid(near, 20)
 
 
-def _pool(spark, sf_dir):
-    """Calibration looks at 10,000 rows at most, chosen by hash."""
-    base = base_of(spark, sf_dir)
-    chosen = materialize(calibrate.sampled(base, 10_000), "pool")
-    return calibrate.trimmed(calibrate.lid(knn.knn(chosen.toDF("qid", "qv"), base, 20, exclude_self=True), 20))
-
-
 @query(f"{_LID} SELECT id, round(lid, 4) AS lid FROM lid")
 def local_dimension(spark, sf_dir):
     """The local intrinsic dimension at every vector."""
@@ -150,16 +143,21 @@ def local_dimension(spark, sf_dir):
 _TRIM = f"{_LID}, b AS (SELECT quantile_cont(lid, 0.01) AS a, quantile_cont(lid, 0.99) AS z FROM lid), trimmed AS (SELECT lid.* FROM lid, b WHERE lid BETWEEN a AND z)"
 
 
+def _trimmed(spark, sf_dir):
+    """The dimensions of all vectors within their percentiles, computed once."""
+    return calibrate.trimmed(materialize(_lids(spark, sf_dir), "lids"))
+
+
 @query(f"{_TRIM}, c AS (SELECT *, ntile(50) OVER (ORDER BY lid, id) AS chunk FROM trimmed), p AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY lid, id) AS place, count(*) OVER (PARTITION BY chunk) AS n, min(lid) OVER (PARTITION BY chunk) AS low, max(lid) OVER (PARTITION BY chunk) AS high FROM c) SELECT (chunk - 1)::INT AS selection_rank, id, round(lid, 4) AS lid, round(low, 4) AS bucket_lower, round(high, 4) AS bucket_upper FROM p WHERE place = n // 2 + 1")
 def quantile_probes(spark, sf_dir):
     """Fifty calibration probes along the trimmed dimensions."""
-    out = calibrate.quantile_probes(_pool(spark, sf_dir), 50)
+    out = calibrate.quantile_probes(_trimmed(spark, sf_dir), 50)
     return out.select("selection_rank", "id", F.round("lid", 4).alias("lid"), F.round("bucket_lower", 4).alias("bucket_lower"), F.round("bucket_upper", 4).alias("bucket_upper"))
 
 
 @query()
 def uniform_probes(spark, sf_dir):
-    return calibrate.uniform_probes(_pool(spark, sf_dir), 50)
+    return calibrate.uniform_probes(_trimmed(spark, sf_dir), 50)
 
 
 @query("WITH e AS (SELECT unnest([64, 80, 96, 128, 160, 192, 256, 320, 384, 512, 640, 768, 1024])::INT AS ef), r AS (SELECT ef, j - 1 AS route_idx, greatest(1, ef * j // 4)::INT AS route_ef FROM e, range(1, 4) t(j)) SELECT ef, route_idx::INT AS route_idx, route_ef, greatest(1, route_ef // 2)::INT AS pair_ef FROM r")

@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.operators import cluster, codecs, evaluate, ivf, knn
+from lodestar.operators import calibrate, cluster, codecs, evaluate, ivf, knn
 from lodestar.plans import factory
+from lodestar.plans.catalog import QUERIES
 from lodestar.sources import datasets, vecs
 from lodestar.streaming import ingest
 from tests.test_search import frame
@@ -147,3 +148,45 @@ def test_streamed_queries(spark, tmp_path):
     stream = spark.readStream.schema("qid long, qv array<double>").parquet(f"{tmp_path}/q")
     ingest.searched(stream, base, 2, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination(60)
     assert sorted((r.qid, r.id) for r in spark.read.parquet(f"{tmp_path}/out").where("rank = 1").collect()) == [(0, 0), (1, 1), (2, 2)]
+
+
+# --- probes of calibration ---
+
+def plain_uniform(rows, n, low, high):
+    rows, out = sorted(rows), []
+    edge = [low + (high - low) * i / n for i in range(n)] + [high]
+    for i in range(n):
+        a, b = edge[i], edge[i + 1]
+        inside = [r for r in rows if a <= r[0] and (r[0] <= b if i == n - 1 else r[0] < b)]
+        out.append(min(inside or rows, key=lambda r: abs(r[0] - (a + b) / 2)))
+        rows.remove(out[-1])
+    return [i for _, i in out]
+
+
+def test_probes_look_at_every_vector(spark, tmp_path):
+    n = 11_000  # more than the sample that they once took
+    x = np.random.default_rng(4).normal(size=(n, 3)).astype(np.float32)
+    spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    x, lid = x.astype(float), np.zeros(n)
+    for i in range(n):
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        d[i] = np.inf
+        near = np.partition(d, 19)[:20]
+        lid[i] = -20 / np.log(near / near.max()).sum()
+    low, high = np.percentile(lid, [1, 99])
+    rows = sorted((v, i) for i, v in enumerate(lid.tolist()) if low <= v <= high)
+    chunks = [c.tolist() for c in np.array_split(np.arange(len(rows)), 50)]
+    got = sorted(QUERIES["quantile_probes"](spark, str(tmp_path)).collect())
+    assert [r.id for r in got] == [rows[c[len(c) // 2]][1] for c in chunks]
+    assert np.allclose([[r.lid, r.bucket_lower, r.bucket_upper] for r in got], [[rows[p][0] for p in (c[len(c) // 2], c[0], c[-1])] for c in chunks], atol=1e-4)
+    got = sorted(QUERIES["uniform_probes"](spark, str(tmp_path)).collect())
+    assert [r.id for r in got] == plain_uniform(rows, 50, low, high)
+
+
+@pytest.mark.parametrize("n", [1, 7, 40])
+def test_uniform_probes_by_brute_force(spark, n):
+    r = np.random.default_rng(n)
+    lids = np.round(np.concatenate([r.normal(3, 0.1, 300), r.normal(9, 0.5, 15), [20.0] * 5]), 2)  # ties and empty ranges
+    rows = [(v, i) for i, v in enumerate(lids.tolist())]
+    out = sorted(calibrate.uniform_probes(spark.createDataFrame(rows, "lid double, id long"), n).collect())
+    assert [p.id for p in out] == plain_uniform(rows, n, min(lids), max(lids))
