@@ -18,7 +18,7 @@ HITS = "qid long, id long, dist double"
 
 def _order(larger: bool):
     d = F.col("dist")
-    return F.isnan(d), d.desc() if larger else d.asc(), F.col("id").asc()
+    return F.isnan(d), d.desc() if larger else d.asc(), F.col("id").asc_nulls_last()
 
 
 def top(hits: DataFrame, k: int, larger: bool = False, by: str = "qid") -> DataFrame:
@@ -62,31 +62,40 @@ def knn(queries: DataFrame, base: DataFrame, k: int, name: str | Metric = "l2",
 
 def knn_by_group(queries: DataFrame, base: DataFrame, per_group: int, name: str | Metric = "l2", exclude_self: bool = False) -> DataFrame:
     """``(qid, id, group, dist)``: the nearest ``per_group`` rows of each group,
-    for a base ``(id, embedding, group)`` with whole numbers as groups. A tile
-    returns no more than that of a group, so hits are never all pairs."""
+    for a base ``(id, embedding, group)``; rows with a null group are a group of
+    their own. A tile returns no more than that of a group, so hits are never all
+    pairs."""
     m = metric(name)
-    b = base.toDF("id", "v", "group").where("group is not null")
-    # the group travels as one more component, which doubles carry exactly
-    b = b.select("id", F.concat(F.col("v").cast("array<double>"), F.array(F.col("group").cast("double"))))
+    b = base.toDF("id", "v", "group")
+    # groups are numbered by ranges of their values, a null one first
+    groups = materialize(b.select("group").distinct().repartitionByRange("group").withColumn("part", F.spark_partition_id()), "groups")
+    sizes = groups.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    nth = F.row_number().over(Window.partitionBy("part").orderBy("group"))
+    codes = groups.withColumn("nth", nth).join(F.broadcast(sizes.select("part", before.alias("before"))), "part")
+    codes = materialize(codes.select("group", (F.col("before") + F.col("nth")).alias("code")), "codes")
+    coded = b.join(codes.withColumnRenamed("group", "known"), F.col("group").eqNullSafe(F.col("known")))
+    # the code travels as one more component, which doubles carry exactly
+    b = coded.select("id", F.concat(F.col("v").cast("array<double>"), F.array(F.col("code").cast("double"))))
     q = queries.toDF("qid", "qv").select("qid", F.concat(F.col("qv").cast("array<double>"), F.array(F.lit(0.0))))
 
     def kernel(qids, q, ids, v):
         import numpy as np
 
-        groups, d = v[:, -1].astype(np.int64), m.tile(q[:, :-1], v[:, :-1], None)
+        codes, d = v[:, -1].astype(np.int64), m.tile(q[:, :-1], v[:, :-1], None)
         key, out = np.where(np.isnan(d), np.inf, -d if m.larger_is_better else d), []
         for r, qid in enumerate(qids):
-            order = np.lexsort((ids, key[r], groups))
+            order = np.lexsort((ids, key[r], codes))
             if exclude_self:
                 order = order[ids[order] != qid]
-            g = groups[order]
+            g = codes[order]
             order = order[np.arange(len(g)) - np.searchsorted(g, g) < per_group]
-            out.append((np.full(len(order), qid), ids[order], groups[order], d[r, order]))
-        return dict(zip(("qid", "id", "group", "dist"), map(np.concatenate, zip(*out))))
+            out.append((np.full(len(order), qid), ids[order], codes[order], d[r, order]))
+        return dict(zip(("qid", "id", "code", "dist"), map(np.concatenate, zip(*out))))
 
-    found = tiles(q, b, kernel, "qid long, id long, group long, dist double")
-    nth = F.row_number().over(Window.partitionBy("qid", "group").orderBy(*_order(m.larger_is_better)))
-    return found.withColumn("nth", nth).where(F.col("nth") <= per_group).drop("nth")
+    found = tiles(q, b, kernel, "qid long, id long, code long, dist double")
+    nth = F.row_number().over(Window.partitionBy("qid", "code").orderBy(*_order(m.larger_is_better)))
+    return found.withColumn("nth", nth).where(F.col("nth") <= per_group).join(codes, "code").select("qid", "id", "group", "dist")
 
 
 def range_search(queries: DataFrame, base: DataFrame, radius: float, name: str | Metric = "l2", p: float | None = None, exclude_self: bool = False) -> DataFrame:

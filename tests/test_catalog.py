@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from lodestar.plans.catalog import ORACLE_SQL, QUERIES
 from tests.conftest import SMALL
@@ -37,6 +38,21 @@ def test_has_rows(spark, name):
     assert QUERIES[name](spark, SMALL).count() > 0
 
 
+@pytest.mark.parametrize("name", ["diverse_knn", "multi_vector_documents"])
+def test_null_labels_are_a_group(spark, tmp_path, name):
+    # every third vector has no label, and two labels differ beyond what doubles carry
+    e = spark.read.parquet(f"{SMALL}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 3 == 0, None).when(F.col("vec_id") % 3 == 1, 2**53 + F.col("vec_id") % 2).otherwise(F.col("label"))
+    e.withColumn("label", label.cast("long")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    columns = ["qid", "rank", "id", "dist"]
+    want = [tuple(None if v != v else v for v in r) for r in con.sql(ORACLE_SQL[name]).fetchall()]
+    got = [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).select(columns).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert name == "diverse_knn" or any(r[2] is None for r in want)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
