@@ -37,7 +37,8 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign(_read(spark, sf_dir, "documents", "doc_id", "text"))
+    """Writes the shards; a row for each document that lies in one."""
+    return sharding.shard(_read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

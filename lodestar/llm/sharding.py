@@ -13,11 +13,14 @@ further; if it is over the limit it is marked ``oversized``."""
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lodestar.llm.shared import free_name, materialize
+from lodestar.sources.shared import shared_dir
 
 BITS = 60
 #: Bytes of text that a shard may hold.
@@ -69,11 +72,39 @@ def assign(docs: DataFrame, limit: int = LIMIT, doc_id: str = "doc_id", text: st
     return out.select("doc_id", "bytes", F.col("depth").cast("int").alias("depth"), "prefix", name.alias("shard"), "shard_bytes", "shard_docs", (F.col("shard_bytes") > limit).alias("oversized"))
 
 
+def placed(docs: DataFrame, shards: DataFrame, doc_id: str = "doc_id") -> tuple[DataFrame, str]:
+    """``docs`` with the name of each row's shard, and that column's name. Shards
+    are few, as each pair of them exceeds the limit, so they go to the rows and
+    texts don't move for it."""
+    known = materialize(shards.select("depth", "prefix", "shard").distinct(), "known")
+    s, h = free_name(docs, "shard"), free_name(docs, "_hash")
+    out, names = docs.withColumn(h, hash_bits(F.col(doc_id))), []
+    for d in sorted(r.depth for r in known.select("depth").distinct().collect()):
+        p, n = free_name(docs, f"_prefix{d}"), free_name(docs, f"_shard{d}")
+        here = known.where(F.col("depth") == d).select(F.col("prefix").alias(p), F.col("shard").alias(n))
+        out = out.join(F.broadcast(here), F.shiftrightunsigned(h, BITS - d) == F.col(p), "left")
+        names.append(n)
+    return out.select(*(docs[c] for c in docs.columns), F.coalesce(F.lit(None).cast("string"), *map(F.col, names)).alias(s)), s
+
+
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Write ``docs`` with one folder for each shard, and return the assignment
     of its doc_ids."""
     shards = materialize(assign(docs, limit, doc_id, text), "shards")
-    i, s = free_name(docs, "_id"), free_name(docs, "shard")
-    by_id = shards.select(F.col("doc_id").alias(i), F.col("shard").alias(s)).distinct()
-    docs.join(by_id, docs[doc_id].eqNullSafe(by_id[i])).drop(i).repartition(s).write.partitionBy(s).parquet(path)
+    rows, s = placed(docs, shards, doc_id)
+    rows.repartition(s).write.partitionBy(s).parquet(path)
     return shards
+
+
+def shard(docs: DataFrame, limit: int = LIMIT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Write ``docs`` as shards in the shared folder and return a row for each
+    row that lies there, with the columns of ``assign``: sizes are those of the
+    written texts, shards those of their folders."""
+    spark = docs.sparkSession
+    path, s = f"{shared_dir(spark)}/lodestar-{uuid.uuid4().hex}/shards", free_name(docs, "shard")
+    write_shards(docs, path, limit, doc_id, text)
+    there = spark.read.schema(StructType([*docs.schema.fields, StructField(s, StringType())])).parquet(path)
+    rows = materialize(there.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"), F.col(s).alias("shard")), "there")
+    sums = rows.groupBy("shard").agg(F.sum("bytes").alias("shard_bytes"), F.count(F.lit(1)).alias("shard_docs"))
+    depth, prefix = (F.split("shard", "-")[i] for i in (0, 1))
+    return rows.join(F.broadcast(sums), "shard").select("doc_id", "bytes", depth.cast("int").alias("depth"), F.conv(prefix, 16, 10).cast("long").alias("prefix"), "shard", "shard_bytes", "shard_docs", (F.col("shard_bytes") > limit).alias("oversized"))

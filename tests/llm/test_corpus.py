@@ -1,5 +1,6 @@
 """Quality, mixing, sharding, near-dedup of vectors and documents, pipeline."""
 
+import glob
 import math
 from collections import Counter
 
@@ -162,6 +163,25 @@ def test_shards_are_written(spark, tmp_path):
     assert got.count() == 40 and got.groupBy("shard_").agg(F.sum(F.length("text")).alias("n")).where("n > 400").count() == 0
 
 
+@pytest.mark.parametrize("limit", [300, 10**9])
+def test_rows_of_written_shards(spark, limit):
+    rows = [(i, "é" * int(RANDOM.integers(0, 90)), "a") for i in range(150)] + [(200, "y" * 5000, "b"), (201, None, None), (None, "null", "c"), (3, "again", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard string")
+    columns = sharding.assign(docs, limit).columns
+    out = sharding.shard(docs, limit)
+    assert out.columns == columns and sorted(map(str, out.collect())) == sorted(map(str, sharding.assign(docs, limit).collect()))
+    assert sharding.shard(docs.limit(0), limit).count() == 0
+
+
+def test_op4_writes_the_texts(spark):
+    root = shared.materialize(spark.range(1), "one").inputFiles()[0].removeprefix("file://").rsplit("/", 3)[0]
+    before = set(glob.glob(f"{root}/*/shards/shard=*"))
+    got = {r.doc_id: r.shard for r in QUERIES["op4_sharding"](spark, SMALL).collect()}
+    new = set(glob.glob(f"{root}/*/shards/shard=*")) - before
+    there = Counter((r.doc_id, r.text, path.rsplit("=")[-1]) for path in new for r in spark.read.parquet(f"file://{path}").collect())
+    assert there == Counter((r.doc_id, r.text, got[r.doc_id]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect())
+
+
 # --- embedding near-dedup ---
 
 def brute_links(rows):
