@@ -20,12 +20,14 @@ The IDF counts all documents. It has a fixed number of buckets, so it is bounded
 whatever the corpus holds; since the share of documents that meet in a bucket
 doesn't depend on their number, it weighs alike at every size.
 
-Rows: null or wordless texts are a class each. Fewer than five words are one
+Rows: null or empty texts are a class each; other wordless texts have exact
+copies only. Fewer than five words are one
 shingle. Rows of one doc_id are one document, repeated or not; rows with a null
 doc_id are left out. Extra columns don't matter. An empty table gives no rows."""
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from dataclasses import dataclass
@@ -44,6 +46,8 @@ STEPS = 4096
 BLOCK = 128
 #: Shingles whose samples are drawn at once.
 DRAWN = 256
+#: The digest of null and empty texts.
+EMPTY = hashlib.blake2b(b"", digest_size=16).digest()
 #: Words whose hashes a task remembers before it starts anew.
 REMEMBERED = 500_000
 
@@ -234,8 +238,6 @@ def signatures(docs: DataFrame, idf, params: Params, doc_id: str, text: str) ->
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     def make():
-        import hashlib
-
         sampler, hashes = Sampler(params), _Hashes()
 
         def one(t):
@@ -366,9 +368,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     idf = inverse_frequencies(source, "text", params.words)
     rows = materialize(signatures(source, idf, params, "doc_id", "text"), "signatures")
-    wordy = rows.where(F.size("bands") > 0)
+    filled = rows.where(F.col("digest") != F.lit(EMPTY))
     classes = materialize(
-        wordy.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first(F.struct("total", "sketch", "bands")).alias("s")).select("digest", "rep", "copies", "s.*"), "classes")
+        filled.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first(F.struct("total", "sketch", "bands")).alias("s")).select("digest", "rep", "copies", "s.*"), "classes")
     members = classes.select("rep", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last"))
     buckets = materialize(buckets.where("lead != last").select("key", "lead"), "buckets")
@@ -407,7 +409,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     many = classes.where("copies > 1").select("digest", "rep")
     # rows of one doc_id are one document, so its texts' classes are linked too
-    shared = rows.where(F.size("bands") > 0).join(many, "digest").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a != b")
+    shared = filled.join(many, "digest").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a != b")
     parts = materialize(connected_components(edges.unionAll(shared)), "parts").withColumnRenamed("id", "doc_id")
     out = rows.select("doc_id").join(parts, "doc_id", "left").withColumn("class_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))

@@ -269,6 +269,14 @@ def test_odd_documents(spark):
     assert minhash.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_copies_without_words(spark):
+    rows = [(1, "* * *"), (2, "🙂🙂"), (3, "* * *"), (4, "🙂🙂"), (5, "* *"), (6, None), (7, None), (8, ""), (9, ""), (10, "* * *"), (11, " "), (12, " ")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(d).collect()}
+    assert got == {i: i for i in (1, 2, 5, 6, 7, 8, 9, 11)} | {3: 1, 4: 2, 10: 1, 12: 11}
+    assert {r.doc_id for r in minhash.drop_near_duplicates(d).collect()} == {1, 2, 5, 6, 7, 8, 9, 11}
+
+
 # --- pipeline ---
 
 def test_pipeline_by_brute_force(spark):
