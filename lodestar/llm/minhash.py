@@ -5,10 +5,10 @@ the logarithm of the shingle's count, times the IDF of its bucket, as in hashed
 TF-IDF. The IDF is
 from 1 to 2, so that shingles which a large group of near copies shares don't
 weigh next to nothing beside the few that differ. Consistent weighted samples
-are banded; documents that share a band's samples are candidates. Four bits of
-every sample tell candidates apart that can hardly be similar enough, and the
-others count as near copies if their weighted Jaccard similarity, computed from
-their whole texts, reaches the threshold.
+are banded; documents that share a band's samples are candidates. They count as
+near copies if their weighted Jaccard similarity, computed from their whole
+texts, reaches the threshold; only those are left out whose total weights rule
+that out. Four bits of every sample tell which candidates to compare first.
 
 Exact copies are one class from the start. Within a band's bucket all members
 are first held against the smallest one; only members that still lie in
@@ -55,16 +55,13 @@ REMEMBERED = 500_000
 @dataclass(frozen=True)
 class Params:
     """At similarity 0.8, 24 bands of 5 samples miss a pair once in 14,000
-    times, and once in 2 million at 0.85. A pair goes on to the whole texts if no
-    more than ``apart`` of its samples differ: at 0.8, 22.5 of the 120 do on
-    average, with a standard deviation of 4.3."""
+    times, and once in 2 million at 0.85."""
 
     words: int = 5
     threshold: float = 0.8
     bands: int = 24
     rows: int = 5
     seed: int = 11
-    apart: int = 44
 
 
 class _Hashes(dict):
@@ -310,8 +307,8 @@ def tiles(rows: DataFrame, compare) -> DataFrame:
 def _compare(params: Params, idf, texts: bool):
     """Compares the members of a tile that lie in different parts, where the
     tile's band is the first that both share. Without ``texts`` it returns (key,
-    member) of those whose samples call for a comparison; with them, the links
-    that join parts."""
+    member) of those that are to be compared; with them, the links that join parts,
+    of which the likeliest are looked for first."""
     def run(key: int, x: list[dict], y: list[dict] | None) -> list[tuple[int, int]]:
         import numpy as np
 
@@ -330,11 +327,11 @@ def _compare(params: Params, idf, texts: bool):
         z = sketch[i] ^ sketch2[j]
         z |= z >> np.uint64(1)
         z |= z >> np.uint64(2)
-        near = np.bitwise_count(z & np.uint64(0x1111111111111111)).sum(axis=1) <= params.apart
-        i, j = i[near], j[near]
+        order = np.argsort(np.bitwise_count(z & np.uint64(0x1111111111111111)).sum(axis=1), kind="stable")
+        i, j = i[order], j[order]
         same = bands[i] == bands2[j]
         first = same.argmax(axis=1)
-        mine = bands[i, first] == key if len(i) else near[:0]
+        mine = bands[i, first] == key
         i, j = i[mine], j[mine]
         if not texts:
             return [(key, r) for r in np.unique(np.concatenate([rep[i], rep2[j]])).tolist()]
@@ -376,19 +373,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     buckets = materialize(buckets.where("lead != last").select("key", "lead"), "buckets")
     members = materialize(members.join(buckets, "key"), "members")
 
-    words = -(-params.bands * params.rows // 16)
-    sketches = classes.select("rep", "total", "sketch")
-
-    def alike(x: str, y: str) -> Column:
-        """Whether the similarity of two rows' texts can reach the threshold: it
-        is below it if one's total weight is, and hardly any pair above it has
-        so many different samples."""
-        t, u = F.col(f"{x}.total"), F.col(f"{y}.total")
-        return (F.least(t, u) >= (params.threshold - 1e-9) * F.greatest(t, u)) & (samples_apart(F.col(f"{x}.sketch"), F.col(f"{y}.sketch"), words) <= params.apart)
-
+    totals = classes.select("rep", "total")
     star = members.where("rep != lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    side = lambda n: sketches.select(F.col("rep").alias(n), F.struct("total", "sketch").alias(f"{n}_sketch"))
-    star = star.join(side("a"), "a").join(side("b"), "b").where(alike("a_sketch", "b_sketch"))
+    side = lambda n: totals.select(F.col("rep").alias(n), F.col("total").alias(f"{n}_total"))
+    t, u = F.col("a_total"), F.col("b_total")  # the similarity is no more than the lesser over the greater
+    star = star.join(side("a"), "a").join(side("b"), "b").where(F.least(t, u) >= (params.threshold - 1e-9) * F.greatest(t, u))
     star = materialize(star.select("a", "b").distinct(), "star")
     ids = materialize(members.select(F.col("rep").alias("doc_id")).distinct(), "ids")
     texts = materialize(source.join(ids.hint("shuffle_hash"), "doc_id").dropDuplicates(["doc_id", "text"]), "texts")

@@ -269,6 +269,15 @@ def test_odd_documents(spark):
     assert minhash.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_sketches_drop_no_pair(spark, monkeypatch):
+    real = minhash.signatures
+    differing = lambda *a: real(*a).withColumn("sketch", F.transform("sketch", lambda x: F.xxhash64("doc_id", x)))
+    monkeypatch.setattr(minhash, "signatures", differing)
+    rows = corpus()
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.near_classes(rows)
+
+
 def test_copies_without_words(spark):
     rows = [(1, "* * *"), (2, "🙂🙂"), (3, "* * *"), (4, "🙂🙂"), (5, "* *"), (6, None), (7, None), (8, ""), (9, ""), (10, "* * *"), (11, " "), (12, " ")]
     d = spark.createDataFrame(rows, "doc_id long, text string")
