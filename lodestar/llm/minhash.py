@@ -27,8 +27,10 @@ doc_id are left out. Extra columns don't matter. An empty table gives no rows.""
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
+import sys
 import zlib
 from dataclasses import dataclass
 
@@ -48,8 +50,10 @@ BLOCK = 128
 DRAWN = 256
 #: The digest of null and empty texts.
 EMPTY = hashlib.blake2b(b"", digest_size=16).digest()
-#: Words whose hashes a task remembers before it starts anew.
-REMEMBERED = 500_000
+#: Code points of a text that are hashed at once; a longer word is hashed by itself.
+PIECE = 1 << 16
+#: What a code point counts for at each place of a word: powers of an odd number.
+STEP = 0xA0761D6478BD642F
 
 
 @dataclass(frozen=True)
@@ -64,16 +68,6 @@ class Params:
     seed: int = 11
 
 
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        if len(self) > REMEMBERED:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
-
-
 def _mix(h):
     import numpy as np
 
@@ -81,19 +75,75 @@ def _mix(h):
     return h ^ (h >> np.uint64(29))
 
 
-def shingles(text: str | None, words: int, hashes: _Hashes):
+@functools.cache
+def _tables():
+    """Which code points belong to words, and the powers of ``STEP`` and of its
+    inverse modulo 2^64."""
+    import numpy as np
+
+    wordy = np.zeros(sys.maxunicode + 1, bool)
+    for m in WORD.finditer("".join(map(chr, range(len(wordy))))):
+        wordy[m.start() : m.end()] = True
+    powers = []
+    for x in (STEP, pow(STEP, -1, 1 << 64)):
+        row = np.full(PIECE, x, np.uint64)
+        row[0] = 1
+        powers.append(np.cumprod(row, dtype=np.uint64))
+    return wordy, *powers
+
+
+def word_hashes(text: str):
+    """A hash of each match of ``WORD``, in order: the sum of its mixed code
+    points by the powers of their places, from prefix sums of a whole piece."""
+    import numpy as np
+    import xxhash
+
+    wordy, powers, inverse = _tables()
+    out, at = [np.zeros(0, np.uint64)], 0
+    while at < len(text):
+        points = np.frombuffer(text[at : at + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)
+        inside = wordy[points]
+        if inside[-1] and at + PIECE < len(text) and wordy[ord(text[at + PIECE])]:  # a word goes on: cut before it
+            gaps = np.flatnonzero(~inside)
+            if not len(gaps):
+                end = WORD.match(text, at).end()
+                out.append(np.array([xxhash.xxh3_64_intdigest(text[at:end].encode("utf-8", "surrogatepass"))], np.uint64))
+                at = end
+                continue
+            points, inside = points[: gaps[-1] + 1], inside[: gaps[-1] + 1]
+        at += len(points)
+        edge = np.empty(len(points) + 1, bool)
+        edge[0], edge[-1] = inside[0], inside[-1]
+        np.not_equal(inside[1:], inside[:-1], out=edge[1:-1])
+        edges = np.flatnonzero(edge)
+        total = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum(_mix(points.astype(np.uint64) * np.uint64(STEP)) * powers[: len(points)], out=total[1:])
+        out.append(_mix((total[edges[1::2]] - total[edges[::2]]) * inverse[edges[::2]]))
+    return out[1] if len(out) == 2 else np.concatenate(out)
+
+
+def _distinct(ordered):
+    """Where each value of a sorted array begins."""
+    import numpy as np
+
+    new = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
+def shingles(text: str | None, words: int):
     """Sorted hashes of the text's shingles, and their counts."""
     import numpy as np
 
-    found = WORD.findall((text or "").lower())
-    if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
-    n = max(1, len(h) - words + 1)
+    h = word_hashes((text or "").lower())
+    n = max(min(1, len(h)), len(h) - words + 1)
     out = h[:n].copy()
     for i in range(1, min(words, len(h))):
         out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
-    return np.unique(_mix(_mix(out)), return_counts=True)
+    out = _mix(_mix(out))
+    out.sort()
+    first = _distinct(out)
+    return out[first], np.diff(first, append=len(out))
 
 
 def _buckets(h):
@@ -110,12 +160,13 @@ def inverse_frequencies(docs: DataFrame, text: str, words: int):
     def count(batches):
         import pyarrow as pa
 
-        total, n, hashes = np.zeros(1 << BUCKET_BITS, np.int64), 0, _Hashes()
+        total, n = np.zeros(1 << BUCKET_BITS, np.int64), 0
         for batch in batches:
             for t in batch.column(0):
-                h, _ = shingles(t.as_py(), words, hashes)
+                h, _ = shingles(t.as_py(), words)
                 if len(h):
-                    total[np.unique(_buckets(h))] += 1
+                    found = _buckets(h)  # as sorted as the hashes, whose first bits they are
+                    total[found[_distinct(found)]] += 1
                     n += 1
         parts = [(i, total[i * RANGE : (i + 1) * RANGE]) for i in range(len(total) // RANGE)] if n else []
         rows = [(i, zlib.compress(p.astype("<i8").tobytes(), 1)) for i, p in parts if p.any()] + [(-1, np.array([n], "<i8").tobytes())] * bool(n)
@@ -235,10 +286,10 @@ def signatures(docs: DataFrame, idf, params: Params, doc_id: str, text: str) ->
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     def make():
-        sampler, hashes = Sampler(params), _Hashes()
+        sampler = Sampler(params)
 
         def one(t):
-            h, c = shingles(t, params.words, hashes)
+            h, c = shingles(t, params.words)
             if not len(h):
                 return 0.0, [], []
             w = weights(h, c, shared.value)
@@ -261,13 +312,13 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, params: Params) -> DataFra
     rows = pairs.join(a, "a").join(b, "b").select("a", "text_a", "b", "text_b")
 
     def make():
-        hashes, known = _Hashes(), {}
+        known = {}
 
         def vector(i, t):
             if (found := known.get(i)) is None or found[0] != t:
                 if len(known) > 64:
                     known.clear()
-                h, c = shingles(t, params.words, hashes)
+                h, c = shingles(t, params.words)
                 found = known[i] = (t, (h, weights(h, c, shared.value)))
             return found[1]
 
@@ -335,11 +386,11 @@ def _compare(params: Params, idf, texts: bool):
         i, j = i[mine], j[mine]
         if not texts:
             return [(key, r) for r in np.unique(np.concatenate([rep[i], rep2[j]])).tolist()]
-        hashes, known, root, out = _Hashes(), {}, {}, []
+        known, root, out = {}, {}, []
 
         def vector(row):
             if (found := known.get(row["rep"])) is None:
-                h, c = shingles(row["text"], params.words, hashes)
+                h, c = shingles(row["text"], params.words)
                 found = known[row["rep"]] = h, weights(h, c, idf)
             return found
 

@@ -79,9 +79,9 @@ def near_classes(docs, threshold=0.8):
     """Classes of (doc_id, text) by all pairs."""
     from lodestar.llm import minhash
 
-    hashes, rows, df = minhash._Hashes(), [], np.zeros(1 << minhash.BUCKET_BITS)
+    rows, df = [], np.zeros(1 << minhash.BUCKET_BITS)
     for i, t in docs:
-        h, c = minhash.shingles(t, 5, hashes)
+        h, c = minhash.shingles(t, 5)
         rows.append((i, h, c))
         if len(h):
             df[np.unique(minhash._buckets(h))] += 1

@@ -2,11 +2,14 @@
 
 import glob
 import math
+import sys
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestar.llm import embed_dedup, minhash, mixing, quality, sharding, shared
@@ -239,6 +242,34 @@ def test_near_classes_by_brute_force(spark, monkeypatch, block):
     assert got == brute.near_classes(rows)
 
 
+@given(text=st.text(st.sampled_from("ab1_é中 \n-.\ud800\U0001f642²"), max_size=60), piece=st.sampled_from([1, 2, 3, 7, 1 << 16]))
+def test_words_are_those_of_the_pattern(text, piece):
+    known = {w: minhash.word_hashes(w)[0] for w in minhash.WORD.findall(text)}
+    assert len(set(known.values())) == len(known)
+    assert minhash.word_hashes(text).tolist() == [known[w] for w in minhash.WORD.findall(text)]
+    wide = minhash.PIECE
+    try:  # words that are longer than a piece have other hashes, the same wherever they stand
+        minhash.PIECE = piece
+        found = dict(zip(minhash.WORD.findall(text), minhash.word_hashes(text).tolist()))
+        assert minhash.word_hashes(text).tolist() == [found[w] for w in minhash.WORD.findall(text)] and len(set(found.values())) == len(found)
+    finally:
+        minhash.PIECE = wide
+
+
+def test_every_code_point_is_a_word_or_not():
+    wordy = minhash._tables()[0]
+    assert all(wordy[i] == bool(minhash.WORD.match(chr(i))) for i in range(0, sys.maxunicode + 1, 7)) and wordy[:128].sum() == 63
+
+
+def test_shingles_by_brute_force():
+    text = "a b a b a b a b c " * 30 + "long" * 40000 + " a b a b a b"
+    words = minhash.WORD.findall(text)
+    want = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+    h, n = minhash.shingles(text, 5)
+    assert sorted(n) == sorted(want.values()) and (np.diff(h.astype(object)) > 0).all()
+    assert [len(x) for x in minhash.shingles(None, 5)] == [0, 0] and minhash.shingles("One", 5)[0] == minhash.shingles("one!", 5)[0]
+
+
 def test_samples_estimate_similarity():
     p = minhash.Params(bands=100, rows=10)
     s, h = minhash.Sampler(p), np.sort(RANDOM.integers(0, 2**62, 400).astype(np.uint64) * np.uint64(3))
