@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.operators.evaluate import everything
+from lodestar.operators.ordered import numbered
 from lodestar.sources.shared import materialize
 
 _PROBES = "selection_rank int, id long, lid double, bucket_lower double, bucket_upper double, target_lid double, used_fallback boolean"
@@ -164,10 +165,10 @@ def recommended(curve: DataFrame, eps: float = 0.001) -> DataFrame:
 def difficulty(queries: DataFrame, share: float = 0.3) -> DataFrame:
     """``queries`` (qid, recall, first_step) with rank, percentile and group: the
     first share of them is easy, the last hard."""
-    rank = F.row_number().over(Window.orderBy(F.col("recall").desc(), "first_step", "qid"))
-    q = queries.withColumn("rank", rank).withColumn("n", F.count(F.lit(1)).over(everything())).withColumn("cut", F.floor(F.col("n") * share))
+    q = numbered(queries, [F.col("recall").desc(), F.col("first_step").asc(), F.col("qid").asc()])
+    q = q.join(F.broadcast(queries.agg(F.count(F.lit(1)).alias("n"))), F.lit(True)).withColumn("cut", F.floor(F.col("n") * share))
     group = F.when(F.col("rank") <= F.col("cut"), "easy").when(F.col("rank") > F.col("n") - F.col("cut"), "hard").otherwise("medium")
-    return q.select("qid", "recall", "first_step", "rank", F.coalesce(F.try_divide(F.col("rank") - 1, F.col("n") - 1), F.lit(0.0)).alias("percentile"), group.alias("group"))
+    return q.select("qid", "recall", "first_step", F.col("rank").cast("int").alias("rank"), F.coalesce(F.try_divide(F.col("rank") - 1, F.col("n") - 1), F.lit(0.0)).alias("percentile"), group.alias("group"))
 
 
 def drill_down(groups: DataFrame, runs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SO_FAR = (Window.unboundedPreceding, Window.currentRow)
+from lodestar.operators.ordered import running
 
 
 def everything():
@@ -91,8 +91,13 @@ def latencies(times: DataFrame, by: list[str], ms: str = "ms") -> DataFrame:
 
 def pareto(points: DataFrame, better: str, cost: str, by: list[str] | None = None) -> DataFrame:
     """Points that no other one dominates: none is at least as good for less."""
-    w = Window.partitionBy(*(by or [])).orderBy(F.col(better).desc(), F.col(cost)).rowsBetween(Window.unboundedPreceding, -1)
-    return points.withColumn("_least", F.min(cost).over(w)).where(F.col("_least").isNull() | (F.col(cost) < F.col("_least"))).drop("_least")
+    order = [F.col(better).desc(), F.col(cost).asc()]
+    if by:
+        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        marked = points.withColumn("_least", F.min(cost).over(w))
+    else:
+        marked = running(points, order, {"_least": ("min", F.col(cost))})
+    return marked.where(F.col("_least").isNull() | (F.col(cost) < F.col("_least"))).drop("_least")
 
 
 def recall_qps_frontier(points: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -100,8 +105,12 @@ def recall_qps_frontier(points: DataFrame, by: list[str] | None = None) -> DataF
     rises on the way down from the highest recall."""
     by = by or []
     best = points.withColumn("recall", F.round("recall", 10)).groupBy(*by, "recall").agg(F.max("qps").alias("qps"))
-    above = Window.partitionBy(*by).orderBy(F.col("recall").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    return best.withColumn("_most", F.max("qps").over(above)).where(F.col("_most").isNull() | (F.col("qps") > F.col("_most"))).drop("_most")
+    if by:
+        above = Window.partitionBy(*by).orderBy(F.col("recall").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        marked = best.withColumn("_most", F.max("qps").over(above))
+    else:
+        marked = running(best, [F.col("recall").desc()], {"_most": ("max", F.col("qps"))})
+    return marked.where(F.col("_most").isNull() | (F.col("qps") > F.col("_most"))).drop("_most")
 
 
 def at_recall(curve: DataFrame, target: float, value: str, by: list[str], log: bool = False, clamp: bool = False) -> DataFrame:
@@ -122,14 +131,25 @@ def at_recall(curve: DataFrame, target: float, value: str, by: list[str], log: b
 
 
 def ecdf(values: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    return values.withColumn("ecdf", F.cume_dist().over(Window.partitionBy(*(by or [])).orderBy(value)))
+    """Adds ``ecdf``, the share of rows (of the group) up to each value. Rows are
+    counted by value first, so a window holds distinct values only."""
+    n = values.groupBy(*(by or []), value).agg(F.count(F.lit(1)).alias("_n"))
+    if by:
+        w = Window.partitionBy(*by)
+        sums = n.withColumn("_up", F.sum("_n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(w))
+    else:
+        sums = running(n, [F.col(value).asc()], {"_up": ("sum", F.col("_n"))}, including=True).join(F.broadcast(n.agg(F.sum("_n").alias("_all"))), F.lit(True))
+    keys = [*(by or []), value]
+    sums = sums.select(*(F.col(k).alias(f"_{i}") for i, k in enumerate(keys)), (F.col("_up") / F.col("_all")).alias("ecdf"))
+    on = [values[k].eqNullSafe(sums[f"_{i}"]) for i, k in enumerate(keys)]
+    return values.join(sums, on).drop(*(f"_{i}" for i in range(len(keys))))
 
 
 def _ranked(values: DataFrame, value: str, alias: str) -> DataFrame:
     """Mean ranks: counts by value, then sums along the distinct values."""
     n = values.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return n.select(value, (before + (F.col("_n") + 1) / 2).alias(alias))
+    sums = running(n, [value], {"_before": ("sum", F.col("_n"))})
+    return sums.select(value, (F.col("_before") + (F.col("_n") + 1) / 2).alias(alias))
 
 
 def rank_correlation(values: DataFrame, x: str, y: str) -> DataFrame:
@@ -151,6 +171,6 @@ def ks(values: DataFrame, value: str, group: str) -> DataFrame:
     true and of those where it is false."""
     v = values.select(F.col(value).alias("v"), F.col(group).cast("boolean").alias("g")).dropna()
     n = v.groupBy("v").agg(F.count_if("g").alias("n1"), F.count_if(~F.col("g")).alias("n0"))
-    w = Window.orderBy("v").rowsBetween(*SO_FAR)
-    parts = n.select((F.sum("n1").over(w) / F.sum("n1").over(everything())).alias("f1"), (F.sum("n0").over(w) / F.sum("n0").over(everything())).alias("f0"))
-    return parts.agg(F.max(F.abs(F.col("f1") - F.col("f0"))).alias("ks"))
+    sums = running(n, ["v"], {"s1": ("sum", F.col("n1")), "s0": ("sum", F.col("n0"))}, including=True)
+    both = F.broadcast(n.agg(F.sum("n1").alias("a1"), F.sum("n0").alias("a0")))
+    return sums.join(both, F.lit(True)).agg(F.max(F.abs(F.try_divide("s1", "a1") - F.try_divide("s0", "a0"))).alias("ks"))

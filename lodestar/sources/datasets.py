@@ -55,6 +55,46 @@ def load(spark: SparkSession, folder: str, name: str, layout: str = "vecs", has:
     return Dataset(name, read["base"], read["queries"].toDF("qid", "qv"), read.get("train"), truth)
 
 
+def save(d: Dataset, folder: str) -> None:
+    """Write a dataset's tables where ``load`` finds them by the Parquet layout."""
+    for part in ("base", "queries", "train", "truth"):
+        if (rows := getattr(d, part)) is not None:
+            rows.write.parquet(f"{folder.rstrip('/')}/{LAYOUTS['parquet'][part].format(name=d.name)}")
+
+
+def load_hdf5(spark: SparkSession, path: str, name: str) -> Dataset:
+    """A dataset in an HDF5 file with ``train`` (the base), ``test`` (the queries)
+    and, if it is there, ``neighbors`` (ids by query). Executors read ranges of
+    rows, so the file has to be in a folder that all of them have; h5py has to be
+    installed."""
+    try:
+        import h5py
+    except ImportError as e:
+        raise ImportError("HDF5 files need h5py; the Parquet layout needs nothing more") from e
+    with h5py.File(path, "r") as f:
+        shapes = {k: f[k].shape for k in ("train", "test", "neighbors") if k in f}
+
+    def table(key: str, kind: str):
+        def read(batches):
+            import h5py
+            import numpy as np
+            import pyarrow as pa
+
+            with h5py.File(path, "r") as f:
+                for batch in batches:
+                    for start in batch.column(0).to_pylist():
+                        m = f[key][start : start + 4096]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.arange(start, start + len(m))), pa.array(list(m), pa.list_(pa.float32() if kind == "float" else pa.int64()))], names=["id", "embedding"])
+
+        return spark.range(0, shapes[key][0], 4096).mapInArrow(read, f"id long, embedding array<{kind}>")
+
+    truth = None
+    if "neighbors" in shapes:
+        truth = table("neighbors", "bigint").select(F.col("id").alias("qid"), F.posexplode("embedding").alias("pos", "x"))
+        truth = truth.select("qid", (F.col("pos") + 1).alias("rank"), F.col("x").alias("id"), F.lit(None).cast("double").alias("dist"))
+    return Dataset(name, table("train", "float"), table("test", "float").toDF("qid", "qv"), truth=truth)
+
+
 def synthetic(spark: SparkSession, d: int, n_base: int, n_queries: int, n_train: int = 0, seed: int = 1338, latent: int = 10) -> Dataset:
     """Points on a sine-warped low-dimensional surface. Each row depends only on
     the seed and its number, so executors make them without a driver's matrix."""

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,11 +26,46 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+class _Written(threading.local):
+    """Folders of the tables that this thread has written and not removed."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_written = _Written()
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: later
     jobs start from files that survive lost executors, not from shuffle files,
-    and random or sampled steps before it run once."""
+    and random or sampled steps before it run once. The table stays until
+    ``settled`` or ``clear`` removes it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestar-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = f"{shared_dir(spark)}/lodestar-{uuid.uuid4().hex}"
+    _written.paths.append(folder)
+    df.write.parquet(f"{folder}/{name}")
+    return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str = "table") -> DataFrame:
+    """``materialize`` of what ``make`` returns; the tables that it wrote on the
+    way, which the result no longer needs, are removed."""
+    before = len(_written.paths)
+    out = materialize(make(), name)
+    gone, _written.paths[before:] = _written.paths[before:-1], _written.paths[-1:]
+    _remove(spark, gone)
+    return out
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all tables that this thread's queries have written. Results that
+    haven't been read or written yet need them."""
+    gone, _written.paths[:] = _written.paths[:], []
+    _remove(spark, gone)
+
+
+def _remove(spark: SparkSession, folders: list[str]) -> None:
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -86,19 +86,46 @@ def to_rows(vectors: DataFrame, kind: str = "fvecs") -> DataFrame:
     return vectors.toDF("id", "v").mapInArrow(run, "id long, raw binary")
 
 
+def _writer(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+
+
 def write_vectors(vectors: DataFrame, path: str, kind: str = "fvecs") -> None:
     """One file of rows in the order of ids, through the file system that the
-    path names; rows come to the writer one partition at a time."""
-    if kind not in ("fvecs", "ivecs", "bvecs"):
-        raise ValueError("only kinds without a header are written")
+    path names; rows come to the writer one partition at a time. Kinds with a
+    header begin with the number of rows and their width."""
+    import numpy as np
+
     spark = vectors.sparkSession
     ordered = to_rows(vectors, kind).orderBy("id").select("raw")
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(conf).create(target, True)
+    headed = kind in ("fbin", "ibin")
+    out = _writer(spark, path)
     try:
+        if headed:
+            n, width = vectors.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(vectors.columns[1])), F.lit(0))).first()
+            out.write(np.array([n, width], "<i4").tobytes())
         for row in ordered.toLocalIterator():
-            out.write(bytes(row.raw))
+            out.write(bytes(row.raw[4:] if headed else row.raw))
+    finally:
+        out.close()
+
+
+def write_sparse(rows: DataFrame, path: str) -> None:
+    """``(id, indices, values)`` in the order of ids as a CSR matrix in one .npz
+    file, which is made in memory: for matrices that one machine holds."""
+    import io
+
+    import numpy as np
+
+    found = rows.orderBy("id").toPandas()
+    ends = np.concatenate([[0], np.cumsum(found["indices"].str.len().to_numpy(np.int64))])
+    flat = lambda c, kind: np.concatenate([np.asarray(x, kind) for x in found[c]] or [np.zeros(0, kind)])
+    raw = io.BytesIO()
+    np.savez(raw, indptr=ends, indices=flat("indices", np.int32), data=flat("values", float))
+    out = _writer(rows.sparkSession, path)
+    try:
+        out.write(raw.getvalue())
     finally:
         out.close()
 
