@@ -63,6 +63,48 @@ def k_smallest(v: Column, k: int, largest: bool = False) -> Column:
     return F.transform(F.slice(F.array_sort(pairs), 1, k), lambda p: F.struct(p["pos"], p["value"]))
 
 
+def nth_smallest(v: Column, n: Column | int) -> Column:
+    """The n-th smallest element that is a number (n from 1); null if there are
+    fewer."""
+    return F.get(F.array_sort(F.filter(v, lambda x: x.isNotNull() & ~F.isnan(x))), F.lit(n) - 1 if isinstance(n, int) else n - 1)
+
+
+def partition(v: Column, least: int, most: int) -> Column:
+    """A threshold and the positions of ``least`` to ``most`` of the smallest
+    elements: all below the threshold, and as many equal to it as there is room
+    for, in order of position."""
+    limit = nth_smallest(v, least)
+    at = F.transform(v, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+    below = F.transform(F.filter(at, lambda p: p["x"] < limit), lambda p: p["i"])
+    equal = F.transform(F.filter(at, lambda p: p["x"] == limit), lambda p: p["i"])
+    return F.struct(limit.alias("threshold"), F.array_sort(F.concat(below, F.slice(equal, F.lit(1), F.lit(most) - F.size(below)))).alias("positions"))
+
+
+def bucket_sort(rows: DataFrame, value: str = "value", id: str = "id") -> DataFrame:
+    """``(value, n, before, ids)``: the ids of each value in order, and how many rows
+    have a smaller value. Values are few enough for one sorted pass over them; ids
+    of a value are one array, so ``code_counts`` is for values that very many have."""
+    from pyspark.sql import Window
+
+    n = rows.groupBy(value).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(id)).alias("ids"))
+    before = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    sums = F.broadcast(n.select(F.col(value).alias("_value"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")))
+    return n.join(sums, F.col(value).eqNullSafe(F.col("_value"))).select(value, "n", "before", "ids")
+
+
+def histogram(rows: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
+    """``(bin, n)`` of equal ranges from ``low`` to ``high``, this not included;
+    values outside are left out, and empty bins have 0."""
+    x = F.col(value).cast("double")
+    found = rows.where((x >= low) & (x < high)).groupBy(F.least(F.floor((x - low) / (high - low) * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).join(found, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def code_counts(rows: DataFrame, code: str = "code") -> DataFrame:
+    """``(code, n)`` of codes of any kind."""
+    return rows.groupBy(code).agg(F.count(F.lit(1)).alias("n"))
+
+
 def matrix_stats(vectors: DataFrame, embedding: str = "embedding") -> DataFrame:
     """A row for each dimension: least, most, mean, stddev, and how many values
     are NaN, infinite or zero."""

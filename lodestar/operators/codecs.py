@@ -158,6 +158,90 @@ def opq(base: DataFrame, m: int, bits: int = 8, iterations: int = 10, seed: int
     return Linear(r)
 
 
+# --- codecs of rows ---
+
+class RowCodec:
+    """A codec of the rows of a matrix: ``encode`` gives a matrix of codes,
+    ``decode`` what they keep, ``row_bytes`` and ``from_bytes`` store a code in as
+    few bytes as it needs, and ``distances`` compares queries with codes."""
+
+    #: Bits of an element of a code; None: elements are doubles.
+    bits: int | None = None
+
+    def encode(self, v):
+        return v
+
+    def decode(self, codes):
+        return codes
+
+    def distances(self, q, codes, name: str = "l2"):
+        return metric(name).tile(q, self.decode(codes))
+
+    def larger_is_better(self, name: str) -> bool:
+        return metric(name).larger_is_better
+
+    def from_doubles(self, codes):
+        """Codes that travelled as doubles."""
+        return codes if self.bits is None else codes.astype(int)
+
+    def row_bytes(self, codes) -> list[bytes]:
+        import numpy as np
+
+        if self.bits is None:
+            return [x.tobytes() for x in np.ascontiguousarray(codes, "<f8")]
+        return [x.tobytes() for x in pack_rows(codes, self.bits)]
+
+    def from_bytes(self, raw: bytes, n: int, width: int):
+        """The codes of n rows, ``width`` elements each."""
+        import numpy as np
+
+        return np.frombuffer(raw, "<f8").reshape(n, -1) if self.bits is None else unpack_rows(raw, n, width, self.bits)
+
+
+def pack_rows(codes, bits: int):
+    """Rows of whole numbers below 2^bits as rows of bytes."""
+    import numpy as np
+
+    c = np.asarray(codes)
+    if bits in (8, 16, 32):
+        return c.astype(f"<u{bits // 8}").view(np.uint8).reshape(len(c), -1)
+    planes = (c.astype(np.uint32)[:, :, None] >> np.arange(bits, dtype=np.uint32)) & 1
+    return np.packbits(planes.astype(np.uint8).reshape(len(c), -1), axis=1, bitorder="little")
+
+
+def unpack_rows(raw: bytes, n: int, width: int, bits: int):
+    import numpy as np
+
+    if bits in (8, 16, 32):
+        return np.frombuffer(raw, f"<u{bits // 8}").reshape(n, width).astype(np.int64)
+    rows = np.frombuffer(raw, np.uint8).reshape(n, -1)
+    planes = np.unpackbits(rows, axis=1, count=width * bits, bitorder="little").reshape(n, width, bits)
+    return (planes.astype(np.int64) << np.arange(bits)).sum(axis=2)
+
+
+@dataclass
+class Half(RowCodec):
+    """Components as fp16 or bf16 keep them."""
+
+    kind: str
+    bits: int | None = 16
+
+    def encode(self, v):
+        import numpy as np
+
+        if self.kind == "fp16":
+            return v.astype("<f2").view("<u2").astype(np.int64)
+        raw = v.astype(np.float32).view(np.uint32).astype(np.int64)
+        return (raw + 0x7FFF + ((raw >> 16) & 1)) >> 16
+
+    def decode(self, codes):
+        import numpy as np
+
+        if self.kind == "fp16":
+            return codes.astype("<u2").view("<f2").astype(float)
+        return (codes.astype(np.uint32) << np.uint32(16)).view(np.float32).astype(float)
+
+
 # --- scalar quantizers ---
 
 @dataclass(frozen=True)
@@ -173,11 +257,38 @@ class ScalarQuantizer:
         at = F.zip_with(F.zip_with(v, F.array(*map(F.lit, self.low)), lambda x, a: x.cast("double") - a), F.array(*map(F.lit, self.step)), lambda x, s: F.when(s > 0, F.floor(x / F.when(s > 0, s))).otherwise(0))
         return F.transform(at, lambda x: F.least(F.greatest(x, F.lit(0)), F.lit((1 << self.bits) - 1)).cast("int"))
 
+    def rows(self) -> ScalarRows:
+        return ScalarRows(self)
+
     def decode(self, codes: Column) -> Column:
         mid = F.zip_with(codes, F.array(*map(F.lit, self.step)), lambda c, s: (c + 0.5) * s)
         return F.zip_with(mid, F.array(*map(F.lit, self.low)), lambda x, a: x + a)
 
 
+class ScalarRows(RowCodec):
+    """The same quantizer over matrices."""
+
+    def __init__(self, of: ScalarQuantizer):
+        self.of, self.bits = of, of.bits
+
+    def encode(self, v):
+        import numpy as np
+
+        step = np.array(self.of.step)
+        return np.clip(np.where(step > 0, np.floor((v - np.array(self.of.low)) / np.where(step > 0, step, 1)), 0), 0, (1 << self.bits) - 1).astype(np.int64)
+
+    def decode(self, codes):
+        import numpy as np
+
+        return (codes + 0.5) * np.array(self.of.step) + np.array(self.of.low)
+
+    @staticmethod
+    def train_on(v, bits: int, widen: float = 0.0) -> ScalarRows:
+        a, b = v.min(axis=0), v.max(axis=0)
+        a, b = a - (b - a) * widen, b + (b - a) * widen
+        return ScalarRows(ScalarQuantizer(a.tolist(), ((b - a) / (1 << bits)).tolist(), bits))
+
+
 def scalar_quantizer(base: DataFrame, bits: int = 8, uniform: bool = False, widen: float = 0.0) -> ScalarQuantizer:
     dims = base.toDF("id", "v").select(F.posexplode("v").alias("dim", "x")).groupBy("dim").agg(F.min(F.col("x").cast("double")).alias("a"), F.max(F.col("x").cast("double")).alias("b"))
     rows = sorted((r.dim, r.a, r.b) for r in dims.collect())
@@ -190,14 +301,8 @@ def scalar_quantizer(base: DataFrame, bits: int = 8, uniform: bool = False, wide
 
 def rounded(base: DataFrame, kind: str) -> DataFrame:
     """Components as fp16 or bf16 would keep them."""
-    import numpy as np
-
-    def bf16(v):
-        raw = v.astype(np.float32).view(np.uint32).astype(np.uint64)
-        raw = (raw + 0x7FFF + ((raw >> 16) & 1)) & 0xFFFF0000
-        return raw.astype(np.uint32).view(np.float32).astype(float)
-
-    return mapped(base, {"fp16": lambda v: v.astype(np.float16).astype(float), "bf16": bf16}[kind])
+    half = Half(kind)
+    return mapped(base, lambda v: half.decode(half.encode(v)))
 
 
 def row_min_max(v: Column, bits: int = 8) -> Column:
@@ -230,11 +335,20 @@ def _lloyd(v, k: int, iterations: int, seed: int):
 
 
 @dataclass
-class ProductQuantizer:
+class ProductQuantizer(RowCodec):
     """``m`` slices of the dimensions with a codebook each."""
 
     books: list
 
+    def __post_init__(self):
+        self.bits = _bits_of(self.books)
+
+    def distances(self, q, codes, name: str = "l2"):
+        """By the tables of each query: what a scan adds up."""
+        if name not in ("l2", "ip"):
+            return metric(name).tile(q, self.decode(codes))
+        return sum(t[:, codes[:, i]] for i, t in enumerate(self.table(q, name)))
+
     @staticmethod
     def train_on(v, m: int, bits: int = 8, iterations: int = 25, seed: int = 1234) -> ProductQuantizer:
         import numpy as np
@@ -271,6 +385,11 @@ class ProductQuantizer:
         return [metric("l2").tile(b, b) for b in self.books]
 
 
+def _bits_of(books) -> int:
+    """Bits of a code of the largest book."""
+    return max(1, max(len(b) - 1 for b in books).bit_length())
+
+
 def encoded(base: DataFrame, codec) -> DataFrame:
     """``(id, code)`` by any codec with ``encode`` of a matrix."""
     return mapped(base, lambda v: codec.encode(v).astype(int), "array<int>").toDF("id", "code")
@@ -280,25 +399,30 @@ def decoded(codes: DataFrame, codec) -> DataFrame:
     return mapped(codes, lambda c: codec.decode(c.astype(int))).toDF("id", "embedding")
 
 
-def code_search(queries: DataFrame, codes: DataFrame, pq: ProductQuantizer, k: int, name: str = "l2", symmetric: bool = False) -> DataFrame:
-    """Nearest codes by distance tables of each query; with ``symmetric`` the
-    queries are quantized too."""
+def code_search(queries: DataFrame, codes: DataFrame, codec: RowCodec, k: int, name: str = "l2", symmetric: bool = False) -> DataFrame:
+    """Nearest codes ``(id, code)`` by the codec's own distances; with
+    ``symmetric`` the queries are quantized too."""
     from lodestar.operators.knn import HITS
     from lodestar.operators.blocks import tiles
 
-    m = metric(name)
+    larger = codec.larger_is_better(name)
 
     def kernel(qids, q, ids, c):
-        import numpy as np
+        c = codec.from_doubles(c)
+        d = codec.distances(codec.decode(codec.encode(q)) if symmetric else q, c, name)
+        return best_of_tile(qids, ids, d, k, larger)
+
+    return top(tiles_of_two_widths(queries, codes, kernel, HITS, tiles), k, larger)
 
-        c = c.astype(int)
-        tables = pq.table(pq.decode(pq.encode(q)) if symmetric else q, name)
-        d = sum(t[:, c[:, i]] for i, t in enumerate(tables))
-        n = min(k, len(ids))
-        order = np.lexsort((np.broadcast_to(ids, d.shape), -d if m.larger_is_better else d))[:, :n]
-        return {"qid": np.repeat(qids, n), "id": ids[order].ravel(), "dist": np.take_along_axis(d, order, 1).ravel()}
 
-    return top(tiles_of_two_widths(queries, codes, kernel, HITS, tiles), k, m.larger_is_better)
+def best_of_tile(qids, ids, d, k: int, larger: bool) -> dict:
+    """The best k of each row of a tile of distances, ties by id."""
+    import numpy as np
+
+    key = np.where(np.isnan(d), np.inf, -d if larger else d)
+    n = min(k, len(ids))
+    order = np.lexsort((np.broadcast_to(ids, d.shape), key))[:, :n]
+    return {"qid": np.repeat(qids, n), "id": ids[order].ravel(), "dist": np.take_along_axis(d, order, 1).ravel()}
 
 
 def tiles_of_two_widths(queries: DataFrame, base: DataFrame, kernel, schema: str, tiles) -> DataFrame:
@@ -313,23 +437,54 @@ def tiles_of_two_widths(queries: DataFrame, base: DataFrame, kernel, schema: str
 
 
 @dataclass
-class ResidualQuantizer:
+class ResidualQuantizer(RowCodec):
     """Codebooks one after the other, each for what the ones before leave; the
-    encoder follows the best ``beam`` partial codes."""
+    encoder follows the best ``beam`` partial codes, then, if there are
+    ``searches``, changes codes one at a time."""
 
     books: list
     beam: int = 5
+    searches: int = 0
+
+    def __post_init__(self):
+        self.bits = _bits_of(self.books)
 
     @staticmethod
     def train(base: DataFrame, m: int, bits: int = 8, iterations: int = 10, beam: int = 5) -> ResidualQuantizer:
-        left, books = sample(base), []
+        return ResidualQuantizer.train_on(sample(base), m, bits, iterations, beam)
+
+    @staticmethod
+    def train_on(v, m: int, bits: int = 8, iterations: int = 10, beam: int = 5) -> ResidualQuantizer:
+        import numpy as np
+
+        left, books = v, []
         for i in range(m):
             books.append(_lloyd(left, 1 << bits, iterations, 1234 + i))
-            import numpy as np
-
             left = left - books[-1][np.argmin(metric("l2").tile(left, books[-1]), axis=1)]
         return ResidualQuantizer(books, beam)
 
+    @staticmethod
+    def train_local_search(v, m: int, bits: int = 8, rounds: int = 6, searches: int = 4) -> ResidualQuantizer:
+        """Books that local search trains: by turns codes are improved one
+        position at a time, and all books are solved for at once."""
+        import numpy as np
+
+        q = ResidualQuantizer.train_on(v, m, bits)
+        q.searches = searches
+        codes = q.encode(v)
+        for _ in range(rounds):
+            sizes = [len(b) for b in q.books]
+            at = np.concatenate([[0], np.cumsum(sizes)[:-1]]) + codes
+            gram, right = np.zeros((sum(sizes), sum(sizes))), np.zeros((sum(sizes), v.shape[1]))
+            for i in range(m):
+                np.add.at(right, at[:, i], v)
+                for j in range(m):
+                    np.add.at(gram, (at[:, i], at[:, j]), 1)
+            flat = np.linalg.solve(gram + 1e-3 * np.eye(len(gram)), right)
+            q.books = np.split(flat, np.cumsum(sizes)[:-1])
+            codes = q.refine(v, codes, searches)
+        return q
+
     def encode(self, v):
         import numpy as np
 
@@ -342,7 +497,7 @@ class ResidualQuantizer:
                 i, j = np.unravel_index(pick, d.shape)
                 codes, left = np.column_stack([codes[i], j]), left[i] - b[j]
             out[r] = codes[0]
-        return out
+        return self.refine(v, out, self.searches) if self.searches else out
 
     def decode(self, codes):
         return sum(b[codes[:, i]] for i, b in enumerate(self.books))
@@ -376,7 +531,28 @@ def medians(base: DataFrame) -> list[float]:
 
 
 @dataclass
-class RaBitQ:
+class Signs(RowCodec):
+    """Bits of components above thresholds, optionally after a rotation; compared
+    by how many differ from the query's."""
+
+    thresholds: object = None
+    rotation: Linear | None = None
+    bits: int | None = 1
+
+    def encode(self, v):
+        x = self.rotation(v) if self.rotation else v
+        return (x > (0 if self.thresholds is None else self.thresholds)).astype(int)
+
+    def distances(self, q, codes, name: str = "l2"):
+        x, y = self.encode(q).astype(float), codes.astype(float)
+        return x.sum(1)[:, None] + y.sum(1) - 2 * (x @ y.T)
+
+    def larger_is_better(self, name: str) -> bool:
+        return False
+
+
+@dataclass
+class RaBitQ(RowCodec):
     """Rotated sign bits, 1 to 9 a component, with the factors that make inner
     products of codes unbiased estimates. ``center`` is subtracted first."""
 
@@ -386,9 +562,48 @@ class RaBitQ:
 
     @staticmethod
     def train(base: DataFrame, bits: int = 1, seed: int = 1234) -> RaBitQ:
-        v = sample(base)
+        return RaBitQ.train_on(sample(base), bits, seed)
+
+    @staticmethod
+    def train_on(v, bits: int = 1, seed: int = 1234) -> RaBitQ:
         return RaBitQ(random_rotation(v.shape[1], v.shape[1], seed), v.mean(0), bits)
 
+    def from_doubles(self, codes):
+        return codes
+
+    def row_bytes(self, codes) -> list[bytes]:
+        """The bits, and the three factors as 32-bit floats."""
+        import numpy as np
+
+        whole, factors = pack_rows(codes[:, :-3].astype(int), self.bits), np.ascontiguousarray(codes[:, -3:], "<f4")
+        return [a.tobytes() + b.tobytes() for a, b in zip(whole, factors)]
+
+    def from_bytes(self, raw: bytes, n: int, width: int):
+        import numpy as np
+
+        rows = np.frombuffer(raw, np.uint8).reshape(n, -1)
+        whole = unpack_rows(np.ascontiguousarray(rows[:, :-12]).tobytes(), n, width - 3, self.bits)
+        return np.column_stack([whole, np.ascontiguousarray(rows[:, -12:]).view("<f4").astype(float)])
+
+    def distances(self, q, codes, name: str = "l2"):
+        """Estimates, of squared L2 or of inner products."""
+        if name == "ip":
+            x = self.rotation(q - self.center)
+            d = self.estimate(q, codes)
+            centred = ((x * x).sum(1)[:, None] + codes[:, -3] ** 2 - d) / 2
+            return centred + (q @ self.center)[:, None] + (self.decode(codes) - self.center) @ self.center
+        if name != "l2":
+            raise ValueError(f"no estimates of {name}")
+        return self.estimate(q, codes)
+
+    def decode(self, codes):
+        """The vectors that the estimates take codes for."""
+        import numpy as np
+
+        y, length, size, cosine = codes[:, :-3] - ((1 << self.bits) - 1) / 2, codes[:, -3], codes[:, -2], codes[:, -1]
+        scale = length / np.maximum(size, 1e-30) / np.where(np.abs(cosine) > 1e-12, cosine, 1)
+        return self.rotation.back(y * scale[:, None]) + self.center
+
     def encode(self, v):
         """Codes and, in the last three columns, the length of each centred
         vector, the length of its code, and their cosine."""
@@ -430,19 +645,7 @@ class RaBitQ:
 
 def rabitq_search(queries: DataFrame, base: DataFrame, codec: RaBitQ, k: int) -> DataFrame:
     """Nearest rows by estimates from codes."""
-    from lodestar.operators.blocks import tiles
-    from lodestar.operators.knn import HITS
-
-    def kernel(qids, q, ids, c):
-        import numpy as np
-
-        d = codec.estimate(q, c)
-        n = min(k, len(ids))
-        order = np.lexsort((np.broadcast_to(ids, d.shape), d))[:, :n]
-        return {"qid": np.repeat(qids, n), "id": ids[order].ravel(), "dist": np.take_along_axis(d, order, 1).ravel()}
-
-    codes = mapped(base, lambda v: codec.encode(v))
-    return top(tiles_of_two_widths(queries, codes, kernel, HITS, tiles), k)
+    return code_search(queries, mapped(base, lambda v: codec.encode(v)), codec, k)
 
 
 def refined(candidates: DataFrame, queries: DataFrame, base: DataFrame, k: int, name: str = "l2") -> DataFrame:
@@ -453,7 +656,7 @@ def refined(candidates: DataFrame, queries: DataFrame, base: DataFrame, k: int,
 
 
 @dataclass
-class Lattice:
+class Lattice(RowCodec):
     """Points of the unit sphere nearest to integer vectors of squared length
     ``r2``: a codec of directions."""
 
@@ -493,3 +696,57 @@ class Lattice:
             fill([], self.r2)
             self.known[d] = np.array(found)
         return self.known[d]
+
+
+# --- polysemous codes ---
+
+@dataclass
+class Polysemous(ProductQuantizer):
+    """A product quantizer whose codes can also be compared as bits: each book is
+    ordered so that codes of near centroids differ in few bits. Codes over ``ht``
+    differing bits from the query's are passed over."""
+
+    ht: int | None = None
+
+    @staticmethod
+    def of(pq: ProductQuantizer, ht: int | None = None, rounds: int = 20_000, seed: int = 1234) -> Polysemous:
+        return Polysemous([b[annealed_order(b, rounds, seed + i)] for i, b in enumerate(pq.books)], ht)
+
+    def distances(self, q, codes, name: str = "l2"):
+        import numpy as np
+
+        d = super().distances(q, codes, name)
+        if self.ht is None:
+            return d
+        own, apart = self.encode(q), np.zeros(d.shape, np.int64)
+        for i in range(codes.shape[1]):
+            apart += np.bitwise_count(own[:, i][:, None] ^ codes[:, i])
+        return np.where(apart <= self.ht, d, np.nan)
+
+
+def annealed_order(book, rounds: int = 20_000, seed: int = 1234):
+    """An order of a book's centroids, by simulated annealing over swaps: the
+    numbers of bits in which two places differ follow the distances between the
+    centroids there, near ones counting more."""
+    import numpy as np
+
+    n = len(book)
+    order, random = np.arange(n), np.random.default_rng(seed)
+    if n < 3:
+        return order
+    far = np.sqrt(np.maximum(metric("l2").tile(book, book), 0))
+    bits = np.bitwise_count(np.arange(n)[:, None] ^ np.arange(n)).astype(float)
+    aim = far / max(far.mean(), 1e-30) * bits.mean()
+    weight = np.exp(-np.log(4) * far / max(far.max(), 1e-30) * 4)
+    cost = lambda rows: sum(float((weight[order[r], order] * (bits[r] - aim[order[r], order]) ** 2).sum()) for r in rows)
+    heat = 0.7 * cost(range(n)) / n
+    for a, b, u in zip(random.integers(0, n, rounds).tolist(), random.integers(0, n, rounds).tolist(), random.random(rounds).tolist()):
+        heat *= 0.9997
+        if a == b:
+            continue
+        before = cost((a, b))
+        order[a], order[b] = order[b], order[a]
+        worse = cost((a, b)) - before
+        if worse > 0 and u >= np.exp(-worse / max(heat, 1e-12)):
+            order[a], order[b] = order[b], order[a]
+    return order

@@ -2,10 +2,11 @@
 the base.
 
 A shard's graph is built in one task from the exact neighbours of its own rows,
-thinned by the diversity rule and linked both ways; it is one packed row. Query
-blocks meet the shards in an equi-join and each query walks each shard's graph
-in NumPy; the union of the shards' hits is ranked as over one base. The walk can
-be adaptive: it watches how the popped distance relates to the beam's farthest
+thinned by the diversity rule and linked both ways; it is one packed row. Rows go
+to shards by hash, or to the shards of their nearest centroid, so that a query
+needs to walk only the routes of the centroids near it. Query blocks meet the
+shards in an equi-join and walk their graphs in NumPy; the union of the shards'
+hits is ranked as over one base. The walk can be adaptive: it watches how the popped distance relates to the beam's farthest
 one and lowers the beam's width once for queries that look easy."""
 
 from __future__ import annotations
@@ -23,12 +24,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from lodestar.functions.metrics import metric
-from lodestar.operators.blocks import query_blocks, unpack
+from lodestar.operators.blocks import unpack
 from lodestar.operators.knn import top
 
-#: Rows of a shard aim at this number.
-SHARD_ROWS = 4096
-INDEX = "shard int, ids binary, width int, vectors binary, degree int, links binary, upper binary, top_level int, entry int, metric string"
+#: Rows of a shard aim at this number; queries that walk it in one go at the other.
+SHARD_ROWS, WALKED = 4096, 1024
+INDEX = "shard int, route int, ids binary, width int, vectors binary, degree int, links binary, upper binary, top_level int, entry int, metric string"
 
 
 @dataclass
@@ -165,23 +166,335 @@ def build_graph(ids, vectors, name: str, m: int = 16, candidates: int = 64, seed
     return Graph(np.asarray(ids, np.int64), vectors, links, entry, name)
 
 
-def build(base: DataFrame, name: str = "l2", m: int = 16, candidates: int = 64, shard_rows: int = SHARD_ROWS, shards: int | None = None) -> DataFrame:
-    """An index over ``(id, embedding)``: a row for each shard."""
-    rows = base.toDF("id", "v").where("id is not null and v is not null")
-    n = shards or max(1, -(-rows.count() // shard_rows))
+def nsg_graph(ids, vectors, name: str, degree: int = 32, candidates: int = 64) -> Graph:
+    """A navigating spreading-out graph: one level, entered at the row nearest to
+    the mean. Each row chooses among its exact neighbours and the rows that a
+    search for it passes, by the diversity rule; links back are added and thinned,
+    and rows that can't be reached get a link."""
+    import numpy as np
+
+    v = np.asarray(vectors, np.float64)
+    dist, n = _rank_distance(v, name), len(v)
+    middle = int(np.argmin(dist(v.mean(0)[None, :], v)[0])) if n else -1
+    near = link(v, name, 2 * degree, candidates)
+    first = Graph(np.asarray(ids, np.int64), v, [near], middle, name)
+    out = [[] for _ in range(n)]
+    for i in range(n):
+        passed = [j for _, j in beam_level(first, v[i], 0, [middle], max(degree, candidates // 2))]
+        pool = np.array(sorted({*near[i][near[i] >= 0].tolist(), *passed} - {i}), int)
+        own = dist(v[i : i + 1], v[pool])[0]
+        order = np.lexsort((pool, own))
+        pool, own = pool[order], own[order]
+        out[i] = diverse_neighbours(pool.tolist(), own, dist(v[pool], v[pool]), degree)
+    links = np.full((n, degree), -1, np.int32)
+    for i, x in enumerate(out):
+        links[i, : len(x)] = x
+    for i, x in enumerate(out):
+        for j in x:
+            link_back(v, links, j, i, dist)
+    if n:
+        connect(v, links, middle, name)
+    return Graph(first.ids, v, [links], middle, name)
+
+
+def beam_level(g: Graph, q, level: int, entries: list[int], ef: int) -> list[tuple[float, int]]:
+    """The nearest ``ef`` nodes that a beam finds on one level, near to far."""
+    import numpy as np
+
+    seen = set(entries)
+    beam = _Beam(ef)
+    for d, i in zip(g.distances(q, np.array(entries)).tolist(), entries):
+        beam.push(d, i)
+    while (popped := beam.pop()) is not None:
+        nodes = [int(i) for i in g.links[level][popped[1]] if i >= 0 and int(i) not in seen]
+        if nodes:
+            seen.update(nodes)
+            for d, i in zip(g.distances(q, np.array(nodes)).tolist(), nodes):
+                beam.push(d, i)
+    return beam.rows
+
+
+def link_back(vectors, links, node: int, new: int, dist) -> None:
+    """Add ``new`` to the links of ``node``; where there is no room, what the
+    diversity rule keeps of all stays."""
+    import numpy as np
+
+    row = links[node]
+    if (row == new).any():
+        return
+    free = np.flatnonzero(row < 0)
+    if len(free):
+        row[free[0]] = new
+        return
+    every = np.append(row, new)
+    own = dist(vectors[node : node + 1], vectors[every])[0]
+    order = np.lexsort((every, own))
+    kept = diverse_neighbours(every[order].tolist(), own[order], dist(vectors[every[order]], vectors[every[order]]), len(row))
+    links[node] = -1
+    links[node, : len(kept)] = kept
+
+
+def inserted(g: Graph, ids, vectors, ef: int = 64, seed: int = 12345) -> Graph:
+    """The graph with more nodes, each linked to the diverse ones of those that a
+    beam of ``ef`` finds for it on each of its levels, and back. ``ef`` may be one
+    number for each node."""
+    import numpy as np
+
+    new = np.asarray(vectors, np.float64).reshape(len(ids), -1)
+    if not len(ids):
+        return g
+    m = g.links[0].shape[1] // 2 if g.links else 16
+    first, n = len(g.ids), len(g.ids) + len(ids)
+    out = Graph(np.concatenate([g.ids, np.asarray(ids, np.int64)]), np.concatenate([g.vectors.reshape(first, -1), new]) if first else new, [], g.entry, g.metric)
+    for x in g.links or [np.zeros((0, 2 * m), np.int32)]:
+        out.links.append(np.concatenate([x, np.full((len(ids), x.shape[1]), -1, np.int32)]))
+    dist, tops = _rank_distance(out.vectors, g.metric), draw_levels(n, m, seed)[first:]
+    widths = np.broadcast_to(ef, len(ids))
+    for i, top_level, width in zip(range(first, n), tops.tolist(), widths.tolist()):
+        q, at = out.vectors[i], [out.entry]
+        for level in range(len(out.links) - 1, -1, -1):
+            if out.entry < 0:
+                break
+            found = beam_level(out, q, level, at, width if level <= top_level else 1)
+            at = [j for _, j in found]
+            if level <= top_level:
+                kept = diverse_neighbours(at, [d for d, _ in found], dist(out.vectors[at], out.vectors[at]), m)
+                out.links[level][i, : len(kept)] = kept
+                for j in kept:
+                    link_back(out.vectors, out.links[level], j, i, dist)
+        while len(out.links) <= top_level:
+            out.links.append(np.full((n, m), -1, np.int32))
+            out.entry = i
+        if out.entry < 0:
+            out.entry = i
+    return out
+
+
+def without(g: Graph, gone) -> Graph:
+    """The graph without the nodes whose ids are in ``gone``: each node that linked
+    to one chooses anew among its other links and those of the lost ones, and
+    parts that lost their way in get a link."""
+    import numpy as np
+
+    lost = np.isin(g.ids, np.asarray(list(gone), np.int64))
+    if not lost.any():
+        return g
+    left = np.flatnonzero(~lost)
+    place = np.full(len(g.ids), -1, np.int64)
+    place[left] = np.arange(len(left))
+    v, dist, links, entry = g.vectors[left], _rank_distance(g.vectors, g.metric), [], -1
+    for level, x in enumerate(g.links):
+        x = x.copy()
+        there = (x >= 0).any(axis=1) | (np.arange(len(x)) == g.entry)
+        for i in left[(lost[np.maximum(x[left], 0)] & (x[left] >= 0)).any(axis=1)]:
+            pool = {int(j) for j in x[i] if j >= 0}
+            pool |= {int(k) for j in x[i] if j >= 0 and lost[j] for k in x[j] if k >= 0}
+            pool = np.array(sorted(j for j in pool - {int(i)} if not lost[j]), int)
+            own = dist(g.vectors[i : i + 1], g.vectors[pool])[0] if len(pool) else np.zeros(0)
+            pool, own = pool[np.lexsort((pool, own))], np.sort(own)
+            kept = diverse_neighbours(pool.tolist(), own, dist(g.vectors[pool], g.vectors[pool]), x.shape[1]) if len(pool) else []
+            x[i] = -1
+            x[i, : len(kept)] = kept
+        x = x[left]
+        x = np.where(x >= 0, place[np.maximum(x, 0)], -1).astype(np.int32)
+        nodes = np.flatnonzero(there[left])
+        if level and not len(nodes):
+            break
+        links.append(x)
+        if len(nodes):
+            entry = int(nodes[0])
+    for level, x in enumerate(links):
+        nodes = np.arange(len(left)) if level == 0 else np.flatnonzero((x >= 0).any(axis=1) | (np.arange(len(x)) == entry))
+        if len(nodes) > 1 and entry in nodes:
+            spot = np.full(len(left), -1, np.int64)
+            spot[nodes] = np.arange(len(nodes))
+            local = np.where(x[nodes] >= 0, spot[np.maximum(x[nodes], 0)], -1)
+            connect(v[nodes], local, int(spot[entry]), g.metric)
+            x[nodes] = np.where(local >= 0, nodes[local], -1)
+    return Graph(g.ids[left], v, links, entry if len(left) else -1, g.metric)
+
+
+def relinked(g: Graph, neighbours: dict[int, list[int]]) -> Graph:
+    """Level 0 from given neighbours: ids by id, near to far; those of other graphs
+    are left out. The rest is as ``link`` does with exact neighbours."""
+    import numpy as np
+
+    place, dist = {int(i): p for p, i in enumerate(g.ids)}, _rank_distance(g.vectors, g.metric)
+    links = np.full_like(g.links[0], -1)
+    near = [[place[j] for j in neighbours.get(int(i), ()) if j in place and j != i] for i in g.ids]
+    for i, x in enumerate(near):
+        own = dist(g.vectors[i : i + 1], g.vectors[x])[0] if x else []
+        kept = diverse_neighbours(x, own, dist(g.vectors[x], g.vectors[x]), links.shape[1] // 2) if x else []
+        links[i, : len(kept)] = kept
+    for i in range(len(links)):
+        for j in links[i][links[i] >= 0].tolist():
+            link_back(g.vectors, links, j, i, dist)
+    connect(g.vectors, links, g.entry, g.metric)
+    return Graph(g.ids, g.vectors, [links, *g.links[1:]], g.entry, g.metric)
+
+
+def reordered(g: Graph, most: int | None = None) -> Graph:
+    """Links of level 0 from near to far, the first ``most`` of them."""
+    import numpy as np
+
+    dist, links = _rank_distance(g.vectors, g.metric), np.full_like(g.links[0], -1)
+    for i, x in enumerate(g.links[0]):
+        x = x[x >= 0]
+        x = x[np.lexsort((x, dist(g.vectors[i : i + 1], g.vectors[x])[0]))][:most]
+        links[i, : len(x)] = x
+    return Graph(g.ids, g.vectors, [links, *g.links[1:]], g.entry, g.metric)
+
+
+def random_links(g: Graph, degree: int, seed: int = 12345) -> Graph:
+    """Level 0 with links to random nodes: what a graph is to beat."""
+    import numpy as np
+
+    n, random = len(g.ids), np.random.default_rng(seed)
+    links = np.full_like(g.links[0], -1)
+    k = min(degree, n - 1, links.shape[1])
+    for i in range(n):
+        x = random.choice(n - 1, k, replace=False)
+        links[i, :k] = x + (x >= i)
+    return Graph(g.ids, g.vectors, [links, *g.links[1:]], g.entry, g.metric)
+
+
+def packed_row(g: Graph, shard: int, route: int, m: int) -> dict:
+    """The graph as a row of an index."""
+    import numpy as np
+
+    upper = np.stack(g.links[1:]) if len(g.links) > 1 else np.zeros((0, 0, 0), np.int32)
+    level = g.links[0] if g.links else np.zeros((0, 2 * m), np.int32)
+    return {"shard": shard, "route": route, "ids": g.ids.tobytes(), "width": g.vectors.shape[1], "vectors": np.ascontiguousarray(g.vectors, np.float64).tobytes(), "degree": level.shape[1],
+            "links": zlib.compress(np.ascontiguousarray(level, np.int32).tobytes(), 1), "upper": zlib.compress(np.ascontiguousarray(upper, np.int32).tobytes(), 1), "top_level": max(0, len(g.links) - 1), "entry": g.entry, "metric": g.metric}
+
+
+def build(base: DataFrame, name: str = "l2", m: int = 16, candidates: int = 64, shard_rows: int = SHARD_ROWS, shards: int | None = None, nsg: bool = False, centroids: DataFrame | None = None) -> DataFrame:
+    """An index over ``(id, embedding)``: a row for each shard. Rows are dealt by
+    the hashes of their ids; with ``centroids`` (list_no, centroid) they go to the
+    nearest one, its number being the shard's ``route``, and only what exceeds a
+    shard's rows is dealt over more shards of that route."""
+    rows = base.toDF("id", "v").where("id is not null and v is not null").select("id", F.col("v").cast("array<double>").alias("v"))
+    if centroids is None:
+        n = shards or max(1, -(-rows.count() // shard_rows))
+        dealt = rows.withColumn("route", F.lit(0)).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    else:
+        from lodestar.operators.ivf import assign_lists, in_blocks
+        from lodestar.sources.shared import materialize
+
+        placed = materialize(assign_lists(rows, centroids, name).toDF("id", "v", "list_no"), "placed")
+        dealt = in_blocks(placed, shard_rows, "id").select("id", "v", F.col("list_no").alias("route"), (F.col("list_no") + F.lit(1 << 16) * F.col("block")).alias("shard"))
 
     def make(pdf):
         import numpy as np
         import pandas as pd
 
         pdf = pdf.sort_values("id")
-        g = build_graph(pdf["id"].to_numpy(), np.stack(pdf["v"].to_numpy()), name, m, candidates)
-        upper = np.stack(g.links[1:]) if len(g.links) > 1 else np.zeros((0, 0, 0), np.int32)
-        return pd.DataFrame([{"shard": int(pdf["shard"].iloc[0]), "ids": g.ids.tobytes(), "width": g.vectors.shape[1], "vectors": g.vectors.tobytes(), "degree": 2 * m,
-                              "links": zlib.compress(g.links[0].tobytes(), 1), "upper": zlib.compress(upper.tobytes(), 1), "top_level": len(g.links) - 1, "entry": g.entry, "metric": name}])
+        ids, v = pdf["id"].to_numpy(), np.stack(pdf["v"].to_numpy())
+        g = nsg_graph(ids, v, name, 2 * m, candidates) if nsg else build_graph(ids, v, name, m, candidates)
+        return pd.DataFrame([packed_row(g, int(pdf["shard"].iloc[0]), int(pdf["route"].iloc[0]), m)])
+
+    return dealt.select("shard", "route", "id", "v").groupBy("shard").applyInPandas(make, INDEX)
+
+
+def changed(index: DataFrame, f: Callable[[Graph], Graph]) -> DataFrame:
+    """The index with ``f`` applied to each shard's graph."""
+    arrow = to_arrow_schema(_parse_datatype_string(INDEX))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield pa.RecordBatch.from_pylist([packed_row(f(load(row)), row["shard"], row["route"], row["degree"] // 2)], schema=arrow)
+
+    return index.mapInArrow(run, INDEX)
+
+
+def _with_rows(index: DataFrame, rows: DataFrame, f: Callable) -> DataFrame:
+    """``f(graph, rows)`` for each shard with its rows ``(shard, ...)``, a pandas
+    frame."""
+    def run(key, graphs, more):
+        import pandas as pd
+
+        if not len(graphs):
+            return pd.DataFrame(columns=graphs.columns)
+        row = graphs.iloc[0].to_dict()
+        return pd.DataFrame([packed_row(f(load(row), more), int(row["shard"]), int(row["route"]), int(row["degree"]) // 2)])
+
+    return index.groupBy("shard").cogroup(rows.groupBy("shard")).applyInPandas(run, INDEX)
+
+
+def shards_of(index: DataFrame, rows: DataFrame, centroids: DataFrame | None = None, name: str = "l2") -> DataFrame:
+    """``rows(id, v)`` with the shard that a new row goes to."""
+    known = sorted((r.route, r.shard) for r in index.select("route", "shard").collect())  # a row for each shard
+    if centroids is None:
+        return rows.withColumn("shard", F.get(F.array(*(F.lit(s) for _, s in known)), F.pmod(F.xxhash64("id"), F.lit(len(known))).cast("int")))
+    from lodestar.operators.ivf import assign_lists
+
+    by_route = index.sparkSession.createDataFrame([(r, [s for x, s in known if x == r]) for r in sorted({r for r, _ in known})], "list_no int, of array<int>")
+    alive = centroids.join(by_route.select("list_no"), "list_no", "left_semi")  # a route without rows has no shard
+    placed = assign_lists(rows.toDF("id", "embedding"), alive, name).join(F.broadcast(by_route), "list_no")
+    return placed.select("id", F.col("embedding").alias("v"), F.get("of", F.pmod(F.xxhash64("id"), F.size("of")).cast("int")).alias("shard"))
+
+
+def add(index: DataFrame, base: DataFrame, ef: int = 64, centroids: DataFrame | None = None, name: str = "l2") -> DataFrame:
+    """The index with more rows ``(id, embedding)``; a third column, ``ef``, is a
+    row's own width of the search for its links. Shards grow; ``build`` deals
+    anew."""
+    own = "ef" in base.columns
+    rows = base.select(F.col(base.columns[0]).alias("id"), F.col(base.columns[1]).cast("array<double>").alias("v"))
+    placed = shards_of(index, rows, centroids, name)
+    if own:
+        placed = placed.join(base.select(F.col(base.columns[0]).alias("id"), F.col("ef").cast("int").alias("ef")), "id")
+
+    def f(g, more):
+        import numpy as np
+
+        more = more.sort_values("id")
+        return inserted(g, more["id"].to_numpy(), np.stack(more["v"].to_numpy()), more["ef"].to_numpy() if own else ef) if len(more) else g
+
+    return _with_rows(index, placed, f)
+
+
+def remove(index: DataFrame, ids: DataFrame) -> DataFrame:
+    """The index without the rows whose ``id`` is in ``ids``."""
+    shard_of = members(index).join(ids.select("id").distinct(), "id")
+    return _with_rows(index, shard_of, lambda g, more: without(g, more["id"].tolist()))
 
-    dealt = rows.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("shard"), "id", F.col("v").cast("array<double>").alias("v"))
-    return dealt.groupBy("shard").applyInPandas(make, INDEX)
+
+def update(index: DataFrame, base: DataFrame, ef: int = 64, centroids: DataFrame | None = None, name: str = "l2") -> DataFrame:
+    """The index with new vectors for rows that it has, or may have."""
+    from lodestar.sources.shared import materialize
+
+    return add(materialize(remove(index, base.select(F.col(base.columns[0]).alias("id"))), "left"), base, ef, centroids, name)
+
+
+def members(index: DataFrame) -> DataFrame:
+    """``(shard, id)`` of all rows of an index."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for shard, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x = np.frombuffer(ids, np.int64)
+                yield pa.RecordBatch.from_pydict({"shard": np.full(len(x), shard, np.int32), "id": x})
+
+    return index.select("shard", "ids").mapInArrow(run, "shard int, id long")
+
+
+def vectors_of(index: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """``(id, embedding)`` that an index holds, of ``ids`` or of all rows."""
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                i, v = unpack(row["ids"], row["width"], row["vectors"])
+                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(list(v), pa.list_(pa.float64()))], names=["id", "embedding"])
+
+    rows = index.select("ids", "width", "vectors").mapInArrow(run, "id long, embedding array<double>")
+    return rows if ids is None else rows.join(ids.select("id").distinct(), "id", "left_semi")
 
 
 def build_binary(codes: DataFrame, bits: int, **options) -> DataFrame:
@@ -474,40 +787,52 @@ def walk(g: Graph, q, w: Walk, hidden: int = -1, wanted: frozenset = frozenset()
                   "cfr_mean": total / window if window else None, "effective_ef": limit}
 
 
-def search(queries: DataFrame, index: DataFrame, w: Walk = Walk(), wanted: DataFrame | None = None) -> DataFrame:
-    """Walk every shard for every query: a row for each with its hits and what
-    the walk did. ``queries`` is (qid, qv); ``wanted`` is (qid, ids). A query's
-    own ef may stand in a third column, ``ef``, which replaces the walk's."""
+def search(queries: DataFrame, index: DataFrame, w: Walk = Walk(), wanted: DataFrame | None = None, routes: DataFrame | None = None) -> DataFrame:
+    """Walk the shards for the queries: a row for each with its hits and what the
+    walk did. ``queries`` is (qid, qv); ``wanted`` is (qid, ids). A query's own ef
+    may stand in a third column, ``ef``, which replaces the walk's. ``routes``
+    (qid, list_no), such as ``ivf.probes`` of an index's centroids, says which
+    routes each query takes; without it, it takes all."""
     own_ef = "ef" in queries.columns
-    q, n, small = query_blocks(queries.select(*queries.columns[:2]))
-    extra = None
-    if wanted is not None or own_ef:
-        extra = queries.select(F.col("qid"), *([F.col("ef").cast("int").alias("ef")] if own_ef else []))
-        extra = extra.join(wanted.select("qid", "ids"), "qid", "left") if wanted is not None else extra
-        extra = extra.withColumn("q", F.pmod(F.xxhash64("qid"), F.lit(n)).cast("int")).groupBy("q").agg(F.collect_list(F.struct("qid", *(c for c in ("ef", "ids") if c in extra.columns))).alias("extra"))
-        q = q.join(extra, "q", "left")
+    q = queries.select(F.col(queries.columns[0]).alias("qid"), F.col(queries.columns[1]).cast("array<double>").alias("qv"), *([F.col("ef").cast("int").alias("ef")] if own_ef else [])).where("qid is not null and qv is not null")
+    if wanted is not None:
+        q = q.join(wanted.select("qid", "ids"), "qid", "left")
+    extra = [c for c in ("ef", "ids") if c in q.columns]
+    own = F.struct("qid", *extra) if extra else F.lit(None).cast("struct<qid:bigint>")
+    q = q.select("qid", "qv", own.alias("own"), F.size("qv").alias("width"))
+    if routes is not None:
+        from lodestar.operators.ivf import in_blocks
+
+        q = in_blocks(q.join(routes.select("qid", "list_no"), "qid"), WALKED, "qid").withColumnRenamed("list_no", "route")
+        on = ["route", "width"]
     else:
-        q = q.withColumn("extra", F.lit(None).cast("array<struct<qid:bigint>>"))
-    work = index.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(F.broadcast(q) if small else q, ["q", "width"])
+        n = max(1, -(-q.count() // WALKED))
+        q = q.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(n)).cast("int"))
+        index = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        on = ["block", "width"]
+    q = q.groupBy(*dict.fromkeys([*on, "block"])).agg(F.collect_list(F.struct("qid", "qv", "own")).alias("queries"))
+    work = index.join(q, on)
     arrow = to_arrow_schema(_parse_datatype_string(FOUND))
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
+        known: dict = {}
         for batch in batches:
             for r in range(batch.num_rows):
                 row = batch.slice(r, 1).to_pylist()[0]
-                g = load(row)
-                qids, vectors = unpack(row["ids_q"], row["width"], row["vectors_q"])
-                place = {int(i): p for p, i in enumerate(g.ids)}
-                own = {x["qid"]: x for x in row["extra"] or ()}
+                if (key := (row["shard"], zlib.crc32(row["links"]), zlib.crc32(row["ids"]))) not in known:
+                    known.clear()  # one graph at a time; rows of a shard tend to follow each other
+                    g = load(row)
+                    known[key] = g, {int(i): p for p, i in enumerate(g.ids)}
+                g, place = known[key]
                 out = []
-                for qid, v in zip(qids.tolist(), vectors):
-                    x = own.get(qid, {})
-                    mine = replace(w, ef=x["ef"]) if x.get("ef") else w
-                    found = walk(g, np.asarray(v), mine, place.get(qid, -1) if w.hide_self else -1, frozenset(x.get("ids") or ()))
-                    out.append({"qid": qid, "shard": row["shard"], **found})
+                for x in row["queries"]:
+                    own = x["own"] or {}
+                    mine = replace(w, ef=own["ef"]) if own.get("ef") else w
+                    found = walk(g, np.asarray(x["qv"], float), mine, place.get(x["qid"], -1) if w.hide_self else -1, frozenset(own.get("ids") or ()))
+                    out.append({"qid": x["qid"], "shard": row["shard"], **found})
                 yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
     return work.mapInArrow(run, FOUND)
@@ -539,8 +864,12 @@ def within_epsilon(queries: DataFrame, base: DataFrame, epsilon: float, least: i
     """Hits within epsilon, but at least ``least`` and at most ``most``."""
     from lodestar.operators.knn import knn
 
-    found = knn(queries, base, most, name)
-    return found.where((F.col("dist") < epsilon) | (F.col("rank") <= least))
+    return at_most_within(knn(queries, base, most, name), epsilon, least)
+
+
+def at_most_within(hits: DataFrame, epsilon: float, least: int) -> DataFrame:
+    """Those of a result that are within epsilon, and the first ``least`` anyway."""
+    return hits.where((F.col("dist") < epsilon) | (F.col("rank") <= least))
 
 
 def train_stop(log: Sequence[tuple[dict, float]], ridge: float = 1e-3):
@@ -561,15 +890,16 @@ def stop_at(predict: Callable[[dict], float], target: float, k: int) -> Callable
     return lambda f: f["inserted"] >= k and predict(f) >= target
 
 
-def recall_log(graph: Graph, queries, w: Walk, interval: int, truth: Sequence[frozenset]) -> list[tuple[dict, float]]:
+def recall_log(graph: Graph, queries, w: Walk, interval: int, truth: Sequence[frozenset], hidden: Sequence[int] | None = None) -> list[tuple[dict, float]]:
     """Features of walks at intervals with the recall that held there: what a
-    learned stop trains on."""
+    learned stop trains on. ``hidden`` are nodes left out, one for each query, such
+    as the query's own."""
     log: list[tuple[dict, float]] = []
-    for q, true in zip(queries, truth):
+    for q, true, own in zip(queries, truth, hidden or [-1] * len(truth)):
         seen: list[dict] = []
-        walk(graph, q, replace(w, interval=interval, stop=lambda f: seen.append(f) or False))
+        walk(graph, q, replace(w, interval=interval, stop=lambda f: seen.append(f) or False), own)
         for f in seen:
-            at = walk(graph, q, replace(w, budget=f["ndis"]))
+            at = walk(graph, q, replace(w, budget=f["ndis"]), own)
             log.append((f, len(true & set(at["ids"])) / max(1, len(true))))
     return log
 
