@@ -5,16 +5,19 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.operators import cluster, codecs, graph, ivf, knn
+from lodestar.operators import cluster, codecs, graph, ivf, merge
+from lodestar.operators.blocks import tiles
+from lodestar.operators.knn import HITS, top
+from lodestar.sources.shared import materialize
 
 _TRANSFORM = re.compile(r"(PCAWR|PCAW|PCAR|PCA|OPQ|RR|HR|ITQ|L2norm|Pad)(\d+)?(?:_(\d+))?$")
 _COARSE = re.compile(r"(IVF|IMI2x)(\d+)(k)?(?:_HNSW(\d+)?)?$")
-_CODEC = re.compile(r"(?:(Flat|FlatDedup)|(SQ)(4|6|8|fp16|bf16)|PQ(\d+)(?:x(\d+))?|RQ(\d+)x(\d+)|LSH(r?t?)|RaBitQ(\d)?|HNSW(\d+)?|NSG(\d+)?)$")
+_CODEC = re.compile(r"(?:(Flat|FlatDedup)|(SQ)(4|6|8|fp16|bf16)|PQ(\d+)(?:x(\d+))?|RQ(\d+)x(\d+)|LSH(r?t?)|LSQ(\d+)x(\d+)|RaBitQ(\d)?|HNSW(\d+)?|NSG(\d+)?)$")
 
 
 @dataclass(frozen=True)
@@ -45,7 +48,7 @@ def _name(s: Step) -> str:
         return f"{s.kind}{o['n']}" + ("_HNSW" + (str(o["m"]) if o.get("m") else "") if "m" in o else "")
     if s.kind == "SQ":
         return f"SQ{o['type']}"
-    if s.kind in ("PQ", "RQ"):
+    if s.kind in ("PQ", "RQ", "LSQ"):
         return f"{s.kind}{o['m']}x{o['bits']}"
     if s.kind == "LSH":
         return "LSH" + o.get("flags", "")
@@ -82,10 +85,12 @@ def _codec(part: str) -> Step | None:
         return Step("RQ", {"m": int(m[6]), "bits": int(m[7])})
     if part.startswith("LSH"):
         return Step("LSH", {"flags": m[8] or ""})
+    if m[9]:
+        return Step("LSQ", {"m": int(m[9]), "bits": int(m[10])})
     if part.startswith("RaBitQ"):
-        return Step("RaBitQ", {"bits": int(m[9] or 1)})
+        return Step("RaBitQ", {"bits": int(m[11] or 1)})
     kind = "HNSW" if part.startswith("HNSW") else "NSG"
-    return Step(kind, {"m": int((m[10] if kind == "HNSW" else m[11]) or 32)})
+    return Step(kind, {"m": int((m[12] if kind == "HNSW" else m[13]) or 32)})
 
 
 def parse(text: str) -> Spec:
@@ -112,7 +117,26 @@ def parse(text: str) -> Spec:
         if coarse or transforms:
             raise ValueError(f"{text!r} names no codec")
         raise ValueError("the string is empty")
-    return Spec(tuple(transforms), coarse, codec, id_map, refine)
+    spec = Spec(tuple(transforms), coarse, codec, id_map, refine)
+    if why := _refused(spec):
+        raise ValueError(f"{text!r}: {why}")
+    return spec
+
+
+def _refused(spec: Spec) -> str | None:
+    """Why no index of these steps is built."""
+    k = spec.codec.kind
+    if spec.coarse and k in ("HNSW", "NSG"):
+        return "graphs have no lists; a graph over centroids is IVFn_HNSWm"
+    if k == "FlatDedup" and not spec.coarse:
+        return "FlatDedup is for lists"
+    if spec.refine and spec.refine.kind in ("LSH", "HNSW", "NSG", "FlatDedup"):
+        return f"{spec.refine.kind} can't rank again"
+    if spec.codec.options.get("storage", "").startswith(("LSH", "HNSW", "NSG", "FlatDedup")):
+        return f"graphs don't store {spec.codec.options['storage']}"
+    if spec.coarse and spec.coarse.kind == "IMI2x" and ("m" in spec.coarse.options or spec.coarse.options["n"] > 12):
+        return "a multi-index has 1 to 12 bits for each half and no graph"
+    return None
 
 
 def code_size(spec: Spec, d: int) -> int:
@@ -124,7 +148,7 @@ def code_size(spec: Spec, d: int) -> int:
         size = 4 * d
     elif k == "SQ":
         size = 2 * d if o["type"] in ("fp16", "bf16") else math.ceil(d * int(o["type"]) / 8)
-    elif k in ("PQ", "RQ"):
+    elif k in ("PQ", "RQ", "LSQ"):
         size = math.ceil(o["m"] * o["bits"] / 8)
     elif k == "LSH":
         size = math.ceil(d / 8)
@@ -133,102 +157,375 @@ def code_size(spec: Spec, d: int) -> int:
     else:
         size = 4 * d + 2 * o["m"] * 4
     if spec.coarse:
-        size += math.ceil(math.log2(max(2, spec.coarse.options["n"])) / 8)
+        n = spec.coarse.options["n"]
+        size += math.ceil((2 * n if spec.coarse.kind == "IMI2x" else math.log2(max(2, n))) / 8)
     return size
 
 
+# --- coarse quantizers ---
+
+@dataclass
+class Centroids:
+    """Lists by the nearest of n centroids; with a graph over them, probes walk it."""
+
+    matrix: object
+    name: str
+    graph: list | None = None
+
+    def assign(self, v):
+        return ivf.nearest_rows(v, self.matrix, self.name)[0]
+
+    def centroid(self, list_no):
+        return self.matrix[list_no]
+
+    def probes(self, queries: DataFrame, nprobe: int) -> DataFrame:
+        spark = queries.sparkSession
+        if self.graph is None:
+            return ivf.probes(queries, cluster.centroid_frame(spark, self.matrix), nprobe, self.name)
+        index = spark.createDataFrame(self.graph, graph.INDEX)
+        found = graph.hits(graph.search(queries, index, graph.Walk(k=nprobe, ef=max(64, 2 * nprobe))), nprobe, self.name)
+        return found.select("qid", F.col("id").cast("int").alias("list_no"), F.col("rank").alias("probe"), F.col("dist").alias("coarse"))
+
+
+@dataclass
+class Cells:
+    """Lists by the nearest centroid of each half of the dimensions: a cell is a
+    pair of them, the first half's lowest in its number."""
+
+    books: list
+    name: str
+
+    def assign(self, v):
+        d = self.books[0].shape[1]
+        first, second = (ivf.nearest_rows(x, b, "l2")[0] for x, b in zip((v[:, :d], v[:, d:]), self.books))
+        return first + second * len(self.books[0])
+
+    def centroid(self, list_no):
+        import numpy as np
+
+        n = len(self.books[0])
+        return np.concatenate([self.books[0][list_no % n], self.books[1][list_no // n]], axis=-1)
+
+    def probes(self, queries: DataFrame, nprobe: int) -> DataFrame:
+        spark = queries.sparkSession
+        books = [spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(b)], "id long, embedding array<double>") for b in self.books]
+        found = ivf.multi_index(queries, books, nprobe)
+        return found.select("qid", F.col("id").cast("int").alias("list_no"), F.col("rank").alias("probe"), F.col("dist").alias("coarse"))
+
+
+# --- indexes ---
+
 @dataclass
 class Index:
-    """A built index: ``search(queries, k)`` over ``(qid, qv)``."""
+    """A built index. ``codes`` has ``(id, list_no, code)``, a code as few bytes as
+    its codec needs; ``blocks`` are the same packed by list, if there are lists. A
+    code is of the vector, or, if ``residual``, of its difference from its list's
+    centroid."""
 
     spec: Spec
     name: str
-    base: DataFrame
     transforms: list
-    centroids: DataFrame | None = None
-    lists: DataFrame | None = None
-    codec: object = None
+    codec: codecs.RowCodec | None = None
+    width: int = 0
+    coarse: Centroids | Cells | None = None
+    residual: bool = False
     codes: DataFrame | None = None
+    blocks: DataFrame | None = None
     graphs: DataFrame | None = None
-
-    def kept(self) -> DataFrame:
-        """``(id, embedding)`` as the codec keeps them."""
-        if self.spec.codec.kind == "PQ":
-            return codecs.decoded(self.codes, self.codec)
-        return self.moved(self.base) if self.codes is None else self.codes
+    copies: DataFrame | None = None
+    refine_codec: codecs.RowCodec | None = None
+    refine_codes: DataFrame | None = None
+    base: DataFrame | None = None
 
     def moved(self, vectors: DataFrame) -> DataFrame:
         for t in self.transforms:
             vectors = codecs.mapped(vectors.toDF("id", "embedding"), t)
-        return vectors
+        return vectors.toDF("id", "embedding")
+
+    def coded(self, vectors: DataFrame) -> DataFrame:
+        """``(id, list_no, code)`` of vectors that the transforms have moved."""
+        codec, coarse, residual = self.codec, self.coarse, self.residual
+        shared = vectors.sparkSession.sparkContext.broadcast((codec, coarse))
+
+        def run(batches):
+            import numpy as np
+            import pyarrow as pa
 
-    def search(self, queries: DataFrame, k: int, nprobe: int = 1, ef: int = 64, k_factor: float = 4) -> DataFrame:
+            codec, coarse = shared.value
+            for batch in batches:
+                if batch.num_rows:
+                    v = ivf.matrix_of(batch.column(1))
+                    where = coarse.assign(v) if coarse else np.zeros(len(v), np.int64)
+                    codes = codec.row_bytes(codec.encode(v - coarse.centroid(where) if residual else v))
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(where.astype(np.int32)), pa.array(codes, pa.binary())], names=["id", "list_no", "code"])
+
+        return vectors.toDF("id", "embedding").where("id is not null and embedding is not null").select(F.col("id").cast("long").alias("id"), "embedding").mapInArrow(run, "id long, list_no int, code binary")
+
+    def kept(self) -> DataFrame:
+        """``(id, embedding)`` as the codes keep them, in the moved space."""
+        codec, coarse, residual, width = self.codec, self.coarse, self.residual, self.width
+        shared = self.codes.sparkSession.sparkContext.broadcast((codec, coarse))
+
+        def run(batches):
+            import pyarrow as pa
+
+            codec, coarse = shared.value
+            for batch in batches:
+                if batch.num_rows:
+                    v = codec.decode(codec.from_bytes(b"".join(batch.column(2).to_pylist()), batch.num_rows, width))
+                    v = v + coarse.centroid(batch.column(1).to_numpy()) if residual else v
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(v), pa.list_(pa.float64()))], names=["id", "embedding"])
+
+        return self.codes.select("id", "list_no", "code").mapInArrow(run, "id long, embedding array<double>")
+
+    def _distances(self):
+        """Distances of queries to the codes of a list."""
+        codec, coarse, residual, name = self.codec, self.coarse, self.residual, self.name
+
+        def run(q, codes, list_no):
+            if not residual:
+                return codec.distances(q, codes, name)
+            c = coarse.centroid(list_no)
+            return codec.distances(q, codes, "ip") + (q @ c)[:, None] if name == "ip" else codec.distances(q - c, codes, name)
+
+        return run
+
+    def larger_is_better(self) -> bool:
+        return self.codec.larger_is_better(self.name)
+
+    def chosen(self, queries: DataFrame, nprobe: int, max_codes: int | None = None) -> DataFrame:
+        """The lists that a search of ``queries`` scans."""
+        found = self.coarse.probes(self.moved(queries).toDF("qid", "qv"), nprobe)
+        return found if max_codes is None else ivf.limited_probes(found, self.blocks, max_codes)
+
+    def _hits(self, q: DataFrame, kernel, chosen: DataFrame | None) -> DataFrame:
+        """``kernel(query ids, ids, distances)`` over all tiles of the search."""
+        distances, codec, width = self._distances(), self.codec, self.width
+        if chosen is not None:
+            return ivf.list_tiles(q, chosen, self.blocks, lambda qids, x, ids, c, n: kernel(qids, ids, distances(x, c, n)), HITS, codec, width)
+        return tiles(q, self.codes.select("id", "code"), lambda qids, x, ids, raw: kernel(qids, ids, distances(x, codec.from_bytes(raw, len(ids), width), 0)), HITS)
+
+    def search(self, queries: DataFrame, k: int, nprobe: int = 1, ef: int = 64, k_factor: float = 4, max_codes: int | None = None) -> DataFrame:
+        """The k nearest rows of ``(qid, qv)``."""
         q = self.moved(queries).toDF("qid", "qv")
         wide = int(k * k_factor) if self.spec.refine else k
         if self.graphs is not None:
             out = graph.hits(graph.search(q, self.graphs, graph.Walk(k=wide, ef=max(ef, wide))), wide, self.name)
-        elif self.lists is not None:
-            # lists hold what the codec keeps of each vector
-            out = ivf.search(q, self.centroids, self.lists, wide, nprobe, self.name)
-        elif self.spec.codec.kind == "PQ":
-            out = codecs.code_search(q, self.codes, self.codec, wide, self.name)
-        elif self.spec.codec.kind == "RaBitQ":
-            out = codecs.rabitq_search(q, self.moved(self.base), self.codec, wide)
-        elif self.spec.codec.kind == "LSH":
-            out = knn.hamming_knn(q.select("qid", codecs.lsh(F.col("qv"), self.codec)), self.codes, wide)
         else:
-            out = knn.knn(q, self.codes, wide, self.name)
+            larger = self.larger_is_better()
+            out = top(self._hits(q, lambda qids, ids, d: codecs.best_of_tile(qids, ids, d, wide, larger), self.chosen(queries, nprobe, max_codes) if self.coarse else None), wide, larger)
+        if self.copies is not None:
+            out = merge.expand_duplicates(out, self.copies, wide)
         if self.spec.refine:
-            out = codecs.refined(out, queries.toDF("qid", "qv"), self.base, k, self.name)
+            out = codecs.refined(out, queries.toDF("qid", "qv"), self.refining(), k, self.name)
         return out
 
+    def range_search(self, queries: DataFrame, radius: float, nprobe: int = 1) -> DataFrame:
+        """``(qid, id, dist)`` strictly within the radius, by the codes' distances."""
+        if self.graphs is not None:
+            found = graph.search(self.moved(queries).toDF("qid", "qv"), self.graphs, graph.Walk(k=10, ef=64, radius=radius))
+            return found.select("qid", F.explode(F.arrays_zip("ids", "dists")).alias("h")).select("qid", F.col("h.ids").alias("id"), F.col("h.dists").alias("dist"))
+        larger = self.larger_is_better()
+
+        def kernel(qids, ids, d):
+            import numpy as np
+
+            i, j = np.nonzero(d > radius if larger else d < radius)
+            return {"qid": qids[i], "id": ids[j], "dist": d[i, j]}
+
+        out = self._hits(self.moved(queries).toDF("qid", "qv"), kernel, self.chosen(queries, nprobe) if self.coarse else None)
+        if self.copies is not None:
+            g = self.copies.toDF("representative", "copy")
+            out = out.join(g, out["id"] == g["representative"]).select("qid", F.col("copy").alias("id"), "dist")
+        return out
+
+    def refining(self) -> DataFrame:
+        """``(id, embedding)`` by which hits are ranked again."""
+        if self.refine_codes is None:
+            return self.base
+        return Index(self.spec, self.name, [], self.refine_codec, _elements(self.refine_codec, self.refine_codes), codes=self.refine_codes).kept()
+
+    def searched_codes(self, result: DataFrame) -> DataFrame:
+        """A result with the list and the code of each hit."""
+        return result.join(self.codes, "id")
+
+    def add(self, vectors: DataFrame) -> Index:
+        """The index with more rows; what was trained stays."""
+        if self.graphs is not None or self.copies is not None:
+            raise ValueError(f"{self.spec} takes no more rows")
+        rows = vectors.toDF("id", "embedding")
+        new = materialize(self.coded(self.moved(rows)), "codes")
+        out = replace(self, codes=self.codes.unionByName(new))
+        if self.blocks is not None:
+            out.blocks = self.blocks.unionByName(materialize(ivf.list_blocks(new, "code"), "blocks"))
+        if self.refine_codes is not None:
+            out.refine_codes = self.refine_codes.unionByName(materialize(replace(self, codec=self.refine_codec, coarse=None, residual=False).coded(rows), "refine"))
+        if self.base is not None:
+            out.base = self.base.unionByName(rows)
+        return out
+
+    def remove(self, ids: DataFrame) -> Index:
+        """The index without the rows whose ``id`` is in ``ids``."""
+        if self.graphs is not None or self.copies is not None:
+            raise ValueError(f"rows of {self.spec} can't be removed")
+        gone = ids.select("id").distinct()
+        left = lambda rows: None if rows is None else materialize(rows.join(gone, "id", "left_anti").select(rows.columns), "left")
+        out = replace(self, codes=left(self.codes), refine_codes=left(self.refine_codes), base=left(self.base))
+        out.blocks = materialize(ivf.list_blocks(out.codes, "code"), "blocks") if self.blocks is not None else None
+        return out
+
+    def update(self, vectors: DataFrame) -> Index:
+        """The index with new vectors for ids that it has, or may have."""
+        rows = vectors.toDF("id", "embedding")
+        return self.remove(rows).add(rows)
+
+    def merge_from(self, other: Index, shift: int = 0) -> Index:
+        """The rows of an index that was trained alike, their ids shifted."""
+        if str(other.spec) != str(self.spec) or _meta(other) != _meta(self):
+            raise ValueError("only indexes of one training merge")
+        both = lambda x, y: None if x is None else x.unionByName(y.withColumn("id", F.col("id") + shift))
+        out = replace(self, codes=both(self.codes, other.codes), refine_codes=both(self.refine_codes, other.refine_codes), base=both(self.base, other.base))
+        if self.blocks is not None:
+            out.blocks = self.blocks.unionByName(other.blocks.withColumn("ids", F.transform("ids", lambda i: i + shift)))
+        return out
+
+    def empty(self) -> Index:
+        """What was trained, without rows."""
+        none = lambda x: None if x is None else x.limit(0)
+        return replace(self, codes=none(self.codes), blocks=none(self.blocks), refine_codes=none(self.refine_codes), base=none(self.base))
+
+    def save(self, path: str) -> None:
+        """Write the index to a folder: what was trained, and its tables."""
+        spark = next(x for x in (self.codes, self.graphs) if x is not None).sparkSession
+        spark.createDataFrame([(bytearray(_meta(self)),)], "trained binary").write.parquet(f"{path}/trained")
+        for name in TABLES:
+            if (rows := getattr(self, name)) is not None:
+                rows.write.parquet(f"{path}/{name}")
+
+
+#: The tables of an index.
+TABLES = ("codes", "blocks", "graphs", "copies", "refine_codes", "base")
+
+
+def _meta(index: Index) -> bytes:
+    from pyspark import cloudpickle
+
+    return cloudpickle.dumps((index.spec, index.name, index.transforms, index.codec, index.width, index.coarse, index.residual, index.refine_codec, tuple(n for n in TABLES if getattr(index, n) is not None)))
+
+
+def load(spark: SparkSession, path: str) -> Index:
+    """An index that ``save`` wrote. What was trained is unpickled, so load only
+    folders that you trust."""
+    from pyspark import cloudpickle
+
+    spec, name, transforms, codec, width, coarse, residual, refine, tables = cloudpickle.loads(bytes(spark.read.parquet(f"{path}/trained").first().trained))
+    return Index(spec, name, transforms, codec, width, coarse, residual, refine_codec=refine, **{n: spark.read.parquet(f"{path}/{n}") for n in tables})
+
+
+def _elements(codec: codecs.RowCodec, codes: DataFrame) -> int:
+    """How many elements a code has: those of its bytes, or as many as the codec
+    itself knows."""
+    if isinstance(codec, codecs.ProductQuantizer | codecs.ResidualQuantizer):
+        return len(codec.books)
+    if isinstance(codec, codecs.ScalarRows):
+        return len(codec.of.low)
+    if isinstance(codec, codecs.RaBitQ):
+        return len(codec.center) + 3
+    first = codes.first()
+    return 0 if first is None else len(first.code) * 8 // (codec.bits or 64)
+
+
+def _codec_of(step: Step, v) -> codecs.RowCodec:
+    """The codec of a step, trained on a matrix."""
+    import numpy as np
+
+    o = step.options
+    if step.kind in ("Flat", "FlatDedup"):
+        return codecs.RowCodec()
+    if step.kind == "SQ":
+        return codecs.Half(o["type"]) if o["type"] in ("fp16", "bf16") else codecs.ScalarRows.train_on(v, int(o["type"]))
+    if step.kind == "PQ":
+        return codecs.ProductQuantizer.train_on(v, o["m"], o["bits"])
+    if step.kind == "RQ":
+        return codecs.ResidualQuantizer.train_on(v, o["m"], o["bits"])
+    if step.kind == "LSQ":
+        return codecs.ResidualQuantizer.train_local_search(v, o["m"], o["bits"])
+    if step.kind == "RaBitQ":
+        return codecs.RaBitQ.train_on(v, o["bits"])
+    if step.kind == "LSH":
+        rotation = codecs.random_rotation(v.shape[1], v.shape[1]) if "r" in o["flags"] else None
+        return codecs.Signs(np.median(rotation(v) if rotation else v, axis=0) if "t" in o["flags"] else None, rotation)
+    raise ValueError(f"{step.kind} is no codec")
+
+
+def _transform(step: Step, rows: DataFrame):
+    width = len(rows.first().embedding)
+    d = step.options["d"] or width
+    if step.kind.startswith("PCA"):
+        return codecs.pca(rows, d, -0.5 if "W" in step.kind else 0.0, step.kind.endswith("R"))
+    if step.kind == "OPQ":  # OPQm_d: principal components first, if d is less
+        first = codecs.pca(rows, step.options["out"]) if (step.options["out"] or width) < width else None
+        r = codecs.opq(codecs.mapped(rows, first) if first else rows, d)
+        return codecs.Linear(r.a @ first.a, r.a @ first.b) if first else r
+    return {"ITQ": lambda: codecs.itq(rows, d), "RR": lambda: codecs.random_rotation(width, d), "HR": lambda: codecs.hadamard_rotation(width), "Pad": lambda: _padded(d), "L2norm": lambda: _unit}[step.kind]()
+
 
 def build(base: DataFrame, text: str, name: str = "l2") -> Index:
-    """Train and fill the index that ``text`` names over ``(id, embedding)``."""
+    """Train and fill the index that ``text`` names over ``(id, embedding)``.
+    Strings that name what isn't built are a ValueError."""
     spec = parse(text)
-    index = Index(spec, name, base.toDF("id", "embedding"), [])
-    rows = index.base
+    kind = spec.codec.kind
+    if kind == "RaBitQ" and name not in ("l2", "ip"):
+        raise ValueError(f"no estimates of {name}")
+    given = base.toDF("id", "embedding")
+    spark, rows = base.sparkSession, given
+    index = Index(spec, name, [])
     for t in spec.transforms:
-        width = len(rows.first().embedding)
-        d = t.options["d"] or width
-        f = (codecs.pca(rows, d, -0.5 if "W" in t.kind else 0.0, t.kind.endswith("R")) if t.kind.startswith("PCA") else codecs.opq(rows, d) if t.kind == "OPQ" else
-             codecs.itq(rows, d) if t.kind == "ITQ" else codecs.random_rotation(width, d) if t.kind == "RR" else codecs.hadamard_rotation(width) if t.kind == "HR" else
-             _padded(d) if t.kind == "Pad" else _unit)
-        index.transforms.append(f)
-        rows = codecs.mapped(rows, f)
-    kind, o = spec.codec.kind, spec.codec.options
-    if kind == "PQ":
-        index.codec = codecs.ProductQuantizer.train(rows, o["m"], o["bits"])
-        index.codes = codecs.encoded(rows, index.codec)
-    elif kind == "RQ":
-        index.codec = codecs.ResidualQuantizer.train(rows, o["m"], o["bits"])
-        index.codes = codecs.decoded(codecs.encoded(rows, index.codec), index.codec)
-    elif kind == "RaBitQ":
-        index.codec = codecs.RaBitQ.train(rows, o["bits"])
-    elif kind == "LSH":
-        index.codec = codecs.medians(rows) if "t" in o["flags"] else None
-        index.codes = rows.select("id", codecs.lsh(F.col("embedding"), index.codec).alias("code"))
-    elif kind == "SQ":
-        if o["type"] in ("fp16", "bf16"):
-            index.codes = codecs.rounded(rows, o["type"])
-        else:
-            index.codec = codecs.scalar_quantizer(rows, int(o["type"]))
-            index.codes = rows.select("id", index.codec.decode(index.codec.encode(F.col("embedding"))).alias("embedding"))
-    elif kind in ("HNSW", "NSG"):
-        if "storage" in o:  # the graph is over what the codec keeps
-            rows = build(rows, o["storage"], name).kept()
-        index.graphs = graph.build(rows, name, max(2, o["m"] // 2), max(64, 2 * o["m"]))
-    else:
-        index.codes = rows
-    if spec.coarse and index.graphs is None:
-        kept = codecs.decoded(index.codes, index.codec) if kind == "PQ" else rows if index.codes is None or kind == "LSH" else index.codes
-        c, _ = cluster.kmeans(rows, cluster.KMeans(spec.coarse.options["n"], 10))
-        index.centroids = cluster.centroid_frame(base.sparkSession, c)
-        where = ivf.assign_lists(rows, index.centroids, name).select("id", "list_no")
-        index.lists = kept.join(where, "id")
+        index.transforms.append(_transform(t, rows))
+        rows = codecs.mapped(rows, index.transforms[-1])
+    if spec.refine and spec.refine.kind == "Flat":
+        index.base = given
+    elif spec.refine:
+        index.refine_codec = _codec_of(spec.refine, codecs.sample(given))
+        index.refine_codes = materialize(replace(index, codec=index.refine_codec).coded(given), "refine")
+    if kind in ("HNSW", "NSG"):
+        storage = spec.codec.options.get("storage")
+        if storage:  # the graph is over what the codec keeps
+            rows = build(rows, storage, name).kept()
+        m = spec.codec.options["m"]
+        index.graphs = materialize(graph.build(rows, name, max(2, m // 2), max(64, 2 * m), nsg=kind == "NSG"), "graphs")
+        return index
+    if kind == "FlatDedup":
+        index.copies = materialize(merge.duplicate_groups(rows), "copies")
+        rows = rows.join(index.copies.select(F.col("representative").alias("id")).distinct(), "id").select("id", "embedding")
+    v = codecs.sample(rows)
+    if spec.coarse:
+        index.coarse = _coarse_of(spec.coarse, rows, name, spark)
+        index.residual = name in ("l2", "ip") and kind in ("PQ", "RQ", "LSQ", "SQ", "RaBitQ", "LSH") and spec.codec.options.get("type") not in ("fp16", "bf16")
+        v = v - index.coarse.centroid(index.coarse.assign(v)) if index.residual else v
+    index.codec = _codec_of(spec.codec, v)
+    index.codes = materialize(index.coded(rows), "codes")
+    index.width = _elements(index.codec, index.codes)
+    if spec.coarse:
+        index.blocks = materialize(ivf.list_blocks(index.codes, "code"), "blocks")
     return index
 
 
+def _coarse_of(step: Step, rows: DataFrame, name: str, spark: SparkSession) -> Centroids | Cells:
+    n = step.options["n"]
+    if step.kind == "IMI2x":
+        d = len(rows.first().embedding) // 2
+        half = lambda a, b: cluster.kmeans(rows.select("id", F.expr(f"slice(embedding, {a + 1}, {b})").alias("embedding")), cluster.KMeans(1 << n, 10, init="hash"))[0]
+        return Cells([half(0, d), half(d, 1 << 20)], name)
+    c, _ = cluster.kmeans(rows, cluster.KMeans(n, 10), "l2")
+    out = Centroids(c, name)
+    if "m" in step.options:
+        m = step.options["m"] or 32
+        frame = cluster.centroid_frame(spark, c).select(F.col("list_no").cast("long").alias("id"), F.col("centroid").alias("embedding"))
+        out.graph = graph.build(frame, name, max(2, m // 2), max(64, 2 * m), shards=1).collect()
+    return out
+
+
 def _unit(v):
     import numpy as np
 

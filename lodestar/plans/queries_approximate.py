@@ -1,4 +1,4 @@
-"""Queries of clustering, inverted lists, codecs, graphs and sweeps."""
+"""Queries of inverted lists and codecs."""
 
 from __future__ import annotations
 
@@ -6,10 +6,8 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import vectors
 from lodestar.functions.metrics import distance
-from lodestar.operators import cluster, codecs, evaluate, graph, ivf, knn
-from lodestar.plans import factory, sweep
+from lodestar.operators import cluster, codecs, ivf, knn
 from lodestar.plans.registry import L2, VECTORS, base_of, queries_of, query, result, sql_hits, sql_sum, sql_top, table
-from lodestar.sources.shared import materialize
 
 # --- clustering and inverted lists, with the 16 rows of least id as centroids ---
 
@@ -116,26 +114,6 @@ def multi_index_cells(spark, sf_dir):
     return result(ivf.multi_index(queries_of(base), [book(0), book(32)], 5))
 
 
-@query()
-def kmeans(spark, sf_dir):
-    """Centroids of a whole run; their sizes."""
-    base = base_of(spark, sf_dir)
-    c, _ = cluster.kmeans(base, cluster.KMeans(16, 10))
-    return cluster.lloyd_step(base, cluster.centroid_frame(spark, c)).select("list_no", "n")
-
-
-@query()
-def kmeans_balanced(spark, sf_dir):
-    base = base_of(spark, sf_dir)
-    c, _ = cluster.kmeans(base, cluster.KMeans(16, 5))
-    return cluster.balanced_assignment(base, c, rounds=5)
-
-
-@query()
-def nn_descent(spark, sf_dir):
-    return ivf.nn_descent(base_of(spark, sf_dir), 10, 3).select("qid", "rank", "id")
-
-
 # --- codecs ---
 
 _SQ8 = f"WITH {VECTORS}, x AS (SELECT id, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM v), s AS (SELECT i, min(x) AS a, (max(x) - min(x)) / 256 AS s FROM x GROUP BY i), e AS (SELECT id, i, least(255, greatest(0, floor((x - a) / s)))::INT AS c, a, s FROM x JOIN s USING (i))"
@@ -172,91 +150,3 @@ def row_min_max_codes(spark, sf_dir):
     code = codecs.row_min_max(F.col("embedding"))
     rows = base_of(spark, sf_dir).select("id", code.alias("c"))
     return rows.select("id", F.round("c.low", 6).alias("low"), F.round("c.step", 8).alias("step"), F.aggregate("c.codes", F.lit(0).cast("long"), lambda s, x: s + x).alias("code_sum"))
-
-
-def _recall_of(spark, sf_dir, text: str, **search):
-    """Recall at 10 of an index of the factory, against exact search."""
-    base = base_of(spark, sf_dir)
-    q = queries_of(base)
-    found = materialize(factory.build(base, text).search(q, 10, **search), "found")
-    truth = knn.knn(q, base, 10)
-    return evaluate.recall(found, truth, 10).agg(F.avg("recall").alias("recall")).select(F.lit(text).alias("index"), "recall")
-
-
-for _name, _text, _search in (
-    ("factory_flat", "Flat", {}), ("factory_pca_flat", "PCA48,Flat", {}), ("factory_opq_pq", "OPQ16,PQ16x8", {}), ("factory_ivf_pq_refine", "IVF16,PQ16x8,Refine(Flat)", {"nprobe": 8}),
-    ("factory_ivf_sq8", "IVF16,SQ8", {"nprobe": 8}), ("factory_sq4", "SQ4", {}), ("factory_fp16", "SQfp16", {}), ("factory_bf16", "SQbf16", {}), ("factory_rq", "RQ4x6,Refine(Flat)", {}),
-    ("factory_lsh_refine", "ITQ,LSH,Refine(Flat)", {}), ("factory_rabitq_refine", "RaBitQ,Refine(Flat)", {}), ("factory_rabitq4", "RaBitQ4", {}), ("factory_rotated", "RR64,SQ8", {}), ("factory_hadamard", "HR64,SQ8", {}), ("factory_hnsw", "HNSW32", {"ef": 128}),
-):
-    query(name=_name)(lambda spark, sf_dir, t=_text, s=_search: _recall_of(spark, sf_dir, t, **s))
-
-
-# --- graphs and adaptive search ---
-
-def _graph(spark, sf_dir):
-    base = base_of(spark, sf_dir)
-    return base, materialize(graph.build(base, "cosine"), "graph")
-
-
-@query()
-def hnsw_search(spark, sf_dir):
-    base, index = _graph(spark, sf_dir)
-    return result(graph.hits(graph.search(queries_of(base), index, graph.Walk(k=10, ef=128, hide_self=True)), 10, "cosine"))
-
-
-@query()
-def hnsw_filtered(spark, sf_dir):
-    """Rows that the filter leaves out are walked through but aren't hits."""
-    base, index = _graph(spark, sf_dir)
-    walk = graph.Walk(k=10, ef=128, allowed=lambda i: i % 2 == 0)
-    return result(graph.hits(graph.search(queries_of(base), index, walk), 10, "cosine"))
-
-
-@query()
-def hnsw_range(spark, sf_dir):
-    base, index = _graph(spark, sf_dir)
-    found = graph.search(queries_of(base), index, graph.Walk(k=10, ef=128, radius=0.8, hide_self=True))
-    return found.select("qid", F.explode("ids").alias("id"))
-
-
-@query()
-def hnsw_graph_stats(spark, sf_dir):
-    _, index = _graph(spark, sf_dir)
-    return graph.graph_stats(graph.edges(index))
-
-
-@query()
-def hnsw_integrity(spark, sf_dir):
-    base, index = _graph(spark, sf_dir)
-    return graph.integrity(graph.edges(index), base)
-
-
-@query()
-def adaptive_search(spark, sf_dir):
-    base, index = _graph(spark, sf_dir)
-    walk = graph.Walk(k=10, ef=128, adaptive=graph.Adaptive(tau=0.9, gammas=(0.7, 0.85, 1.0)), hide_self=True)
-    return graph.stats(graph.search(queries_of(base), index, walk))
-
-
-@query()
-def adaptive_trace(spark, sf_dir):
-    """Every step of each walk, with the hits of the exact result so far."""
-    base, index = _graph(spark, sf_dir)
-    q = queries_of(base)
-    truth = knn.knn(q, base, 10, "cosine", exclude_self=True).groupBy("qid").agg(F.collect_list("id").alias("ids"))
-    return graph.steps(graph.search(q, index, graph.Walk(k=10, ef=64, trace=True, hide_self=True), truth))
-
-
-@query()
-def calibrated_policy(spark, sf_dir):
-    base, index = _graph(spark, sf_dir)
-    return sweep.calibrated(base, index, [64, 128, 256], 10, "cosine", n_probes=40)["policy"]
-
-
-@query()
-def width_sweep(spark, sf_dir):
-    base, index = _graph(spark, sf_dir)
-    q = queries_of(base)
-    policy = spark.createDataFrame([(64, 0, 0.7, 0.9), (64, 1, 0.85, 0.9), (64, 2, 1.0, 0.9)], "ef int, route_idx int, gamma double, tau double")
-    truth = materialize(knn.knn(q, base, 10, "cosine", exclude_self=True), "truth")
-    return sweep.sweep(q, index, truth, [32, 64], 10, "cosine", policy, base=graph.Walk(hide_self=True)).select("ef", "method", "recall", "ndis", "effective_ef")

@@ -155,11 +155,6 @@ def quantile_probes(spark, sf_dir):
     return out.select("selection_rank", "id", F.round("lid", 4).alias("lid"), F.round("bucket_lower", 4).alias("bucket_lower"), F.round("bucket_upper", 4).alias("bucket_upper"))
 
 
-@query()
-def uniform_probes(spark, sf_dir):
-    return calibrate.uniform_probes(_trimmed(spark, sf_dir), 50)
-
-
 @query("WITH e AS (SELECT unnest([64, 80, 96, 128, 160, 192, 256, 320, 384, 512, 640, 768, 1024])::INT AS ef), r AS (SELECT ef, j - 1 AS route_idx, greatest(1, ef * j // 4)::INT AS route_ef FROM e, range(1, 4) t(j)) SELECT ef, route_idx::INT AS route_idx, route_ef, greatest(1, route_ef // 2)::INT AS pair_ef FROM r")
 def route_table(spark, sf_dir):
     from lodestar.plans.sweep import EFS
@@ -265,14 +260,6 @@ def word_idf(spark, sf_dir):
     return text_embedding.idf(table(spark, sf_dir, "documents")).select("word", "df", F.round("idf", 6).alias("idf"))
 
 
-@query()
-def text_embeddings(spark, sf_dir):
-    """Documents as IDF-weighted means of hashed subword vectors."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    weights = text_embedding.idf(docs)
-    return text_embedding.embed(docs, text_embedding.subword_vectors(weights, 16), weights, 16)
-
-
 @query("SELECT doc_id FROM documents JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) USING (doc_id)")
 def query_subset(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestar.operators import calibrate, evaluate, graph, knn
 from lodestar.plans import sweep
@@ -169,3 +170,76 @@ def test_binary_graph(spark):
     exact = {(r.qid, r.rank): r.dist for r in knn.hamming_knn(codes.where("id < 5").toDF("qid", "qv"), codes, 5).collect()}
     got = {(r.qid, r.rank): r.dist / 4 for r in found.collect()}
     assert np.mean([got[k] == exact[k] for k in exact]) >= 0.9
+
+
+def test_inserted_and_removed_nodes():
+    g = graph.build_graph(np.arange(150), VECTORS[:150], "l2")
+    g = graph.inserted(g, np.arange(150, len(VECTORS)), VECTORS[150:], 48)
+    assert len(g.ids) == len(VECTORS) and recall_of(g, VECTORS) >= 0.95
+    gone = set(range(0, len(VECTORS), 3))
+    g = graph.without(g, gone)
+    assert not set(g.ids.tolist()) & gone and all((x < len(g.ids)).all() for x in g.links)
+    left = np.array([i for i in range(len(VECTORS)) if i not in gone])
+    assert graph._reached(g.links[0], g.entry).all() and recall_of(g, VECTORS[left], left) >= 0.95
+    empty = graph.without(graph.build_graph(np.arange(5), VECTORS[:5], "l2"), range(5))
+    assert not len(empty.ids) and graph.walk(empty, VECTORS[0], graph.Walk())["ids"] == []
+    again = graph.inserted(empty, np.arange(3), VECTORS[:3])
+    assert sorted(graph.walk(again, VECTORS[0], graph.Walk(k=3))["ids"]) == [0, 1, 2]
+
+
+def recall_of(g, vectors, ids=None):
+    ids = np.arange(len(vectors)) if ids is None else ids
+    hits = 0
+    for i in range(0, len(vectors), 10):
+        true = set(ids[np.argsort(((vectors - vectors[i]) ** 2).sum(1), kind="stable")[:10]].tolist())
+        hits += len(true & set(graph.walk(g, vectors[i], graph.Walk(k=10, ef=64))["ids"]))
+    return hits / (10 * len(range(0, len(vectors), 10)))
+
+
+def test_other_links():
+    g = graph.build_graph(np.arange(len(VECTORS)), VECTORS, "l2")
+    near = {i: np.argsort(((VECTORS - VECTORS[i]) ** 2).sum(1), kind="stable")[1:25].tolist() for i in range(len(VECTORS))}
+    assert recall_of(graph.relinked(g, near), VECTORS) >= 0.95
+    short = graph.reordered(g, 8)
+    assert ((short.links[0] >= 0).sum(1) <= 8).all()
+    own = [((VECTORS[i] - VECTORS[x[x >= 0]]) ** 2).sum(1) for i, x in enumerate(short.links[0])]
+    assert all((np.diff(d) >= 0).all() for d in own)
+    r = graph.random_links(g, 6)
+    assert ((r.links[0] >= 0).sum(1) == 6).all() and (r.links[0] != np.arange(len(VECTORS))[:, None]).all()
+    n = graph.nsg_graph(np.arange(len(VECTORS)), VECTORS, "l2", 16, 32)
+    assert len(n.links) == 1 and graph._reached(n.links[0], n.entry).all() and recall_of(n, VECTORS) >= 0.95
+
+
+def test_changes_of_an_index(spark):
+    base = frame(spark, VECTORS)
+    index = graph.build(base.where("id < 200"), "l2", shards=3)
+    more = graph.add(index, base.where("id >= 200"))
+    assert sorted(r.id for r in graph.members(more).collect()) == list(range(len(VECTORS)))
+    moved = base.where("id = 7").select("id", F.transform("embedding", lambda x: x + 100).alias("embedding"))
+    new = graph.update(more, moved)
+    assert {r.id: r.embedding[0] for r in graph.vectors_of(new, moved).collect()} == {7: VECTORS[7][0] + 100}
+    assert graph.members(new).count() == len(VECTORS)
+    left = graph.remove(new, base.where("id >= 10"))
+    assert sorted(r.id for r in graph.members(left).collect()) == list(range(10))
+
+
+def test_queries_take_their_routes(spark):
+    from lodestar.operators import cluster, ivf
+
+    base = frame(spark, VECTORS)
+    c = cluster.centroid_frame(spark, VECTORS[:4])
+    index = graph.build(base, "l2", centroids=c, shard_rows=40).cache()
+    assert index.count() > 4 and {r.route for r in index.collect()} <= set(range(4))
+    q = base.where("id % 20 = 0").toDF("qid", "qv")
+    all_routes = graph.hits(graph.search(q, index, graph.Walk(k=5, ef=len(VECTORS)), routes=ivf.probes(q, c, 4)), 5)
+    assert sorted((r.qid, r.rank, r.id) for r in all_routes.collect()) == sorted((r.qid, r.rank, r.id) for r in knn.knn(q, base, 5).collect())
+    one = graph.search(q, index, graph.Walk(k=5), routes=ivf.probes(q, c, 1))
+    assert one.select("qid", "shard").distinct().count() < q.count() * index.count()
+
+
+def test_annealed_order_is_a_permutation():
+    from lodestar.operators import codecs
+
+    b = RANDOM.normal(size=(16, 4))
+    order = codecs.annealed_order(b, 3000)
+    assert sorted(order.tolist()) == list(range(16)) and codecs.annealed_order(b[:2]).tolist() == [0, 1]

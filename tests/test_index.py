@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.operators import calibrate, cluster, codecs, evaluate, ivf, knn
-from lodestar.plans import factory
+from lodestar.plans import factory, queries_evaluation
 from lodestar.plans.catalog import QUERIES
 from lodestar.sources import datasets, vecs
 from lodestar.streaming import ingest
@@ -74,19 +74,19 @@ def test_rabitq_estimates(spark):
         assert np.median(abs(c.estimate(v[:5], c.encode(v)) - true)[true > 1] / true[true > 1]) < most
 
 
-@pytest.mark.parametrize("text", ["Flat", "PCA32,IVF16,PQ8x4,Refine(Flat)", "IDMap,OPQ16_32,IVF256_HNSW32,SQ8", "RR64,RaBitQ4", "HNSW32", "RQ4x6", "LSHrt", "HNSW32,SQ8"])
+@pytest.mark.parametrize("text", ["Flat", "PCA32,IVF16,PQ8x4,Refine(Flat)", "IDMap,OPQ16_32,IVF256_HNSW32,SQ8", "RR64,RaBitQ4", "HNSW32", "RQ4x6", "LSQ4x6", "LSHrt", "HNSW32,SQ8", "IMI2x4,PQ8x6", "IVF16,FlatDedup", "NSG24", "PQ8x4,Refine(SQ8)"])
 def test_factory_strings_come_back(text):
     assert str(factory.parse(text)) == text
     assert factory.code_size(factory.parse(text), 64) > 0
 
 
-@pytest.mark.parametrize("text", ["", "IVF16", "Flat,Flat,Flat", "PQ", "Refine(Flat", "nonsense"])
+@pytest.mark.parametrize("text", ["", "IVF16", "Flat,Flat,Flat", "PQ", "Refine(Flat", "nonsense", "IVF16,HNSW32", "FlatDedup", "Flat,Refine(LSH)", "HNSW32,LSH", "IMI2x20,Flat", "PQ8x4fs", "IVF16,NSG16"])
 def test_factory_rejects(text):
     with pytest.raises(ValueError):
         factory.parse(text)
 
 
-@pytest.mark.parametrize("text,least", [("Flat", 1.0), ("IVF3,Flat", 0.9), ("PQ4x4,Refine(Flat)", 0.5), ("HNSW16,SQ8", 0.8)])
+@pytest.mark.parametrize("text,least", [("Flat", 1.0), ("IVF3,Flat", 0.9), ("PQ4x4,Refine(Flat)", 0.5), ("HNSW16,SQ8", 0.8), ("IVF3,PQ4x4", 0.3), ("IVF3,RaBitQ4", 0.5), ("IVF3,LSH,Refine(Flat)", 0.3), ("IMI2x2,Flat", 0.4), ("NSG16", 0.9)])
 def test_factory_builds(spark, text, least):
     base = frame(spark, BASE)
     q = base.where("id % 50 = 0").toDF("qid", "qv")
@@ -94,6 +94,132 @@ def test_factory_builds(spark, text, least):
     assert evaluate.recall(found, knn.knn(q, base, 10), 10).groupBy().avg("recall").first()[0] >= least
 
 
+def test_steps_that_are_named_make_a_difference(spark):
+    # each pair differs in one step, and so do the distances that it finds
+    base = frame(spark, BASE + RANDOM.normal(size=BASE.shape))
+    q = base.where("id % 50 = 0").toDF("qid", "qv")
+    dist = lambda text: [(r.qid, r.rank, round(r.dist, 6)) for r in factory.build(base, text).search(q, 10, nprobe=2).orderBy("qid", "rank").collect()]
+    for one, two in (("IVF3,Flat", "IVF3,RaBitQ"), ("IVF3,Flat", "IVF3,LSH"), ("IVF3,PQ4x4", "PQ4x4"), ("PQ4x2,Refine(Flat)", "PQ4x2,Refine(SQ4)"), ("Flat", "SQ4"), ("RQ2x3", "LSQ2x3")):
+        assert dist(one) != dist(two), (one, two)
+
+
+def test_duplicates_of_lists_come_back(spark):
+    twice = np.concatenate([BASE[:50]] * 3)
+    base = frame(spark, twice)
+    index = factory.build(base, "IVF3,FlatDedup")
+    assert index.codes.count() == 50
+    got = sorted((r.qid, r.id) for r in index.search(base.where("id < 3").toDF("qid", "qv"), 3, nprobe=3).collect())
+    assert got == sorted((i, i + 50 * k) for i in range(3) for k in range(3))
+
+
+@pytest.mark.parametrize("codec,width", [(codecs.RowCodec(), 8), (codecs.Half("fp16"), 8), (codecs.Signs(), 8), (codecs.ScalarRows.train_on(BASE, 4), 8), (codecs.ScalarRows.train_on(BASE, 6), 8), (codecs.ProductQuantizer.train_on(BASE, 4, 3), 4), (codecs.RaBitQ.train_on(BASE, 2), 11)])
+def test_codes_are_stored(codec, width):
+    codes = codec.encode(BASE)
+    back = codec.from_bytes(b"".join(codec.row_bytes(codes)), len(BASE), width)
+    assert np.allclose(back, codes, rtol=1e-6)
+
+
+def test_residual_codes_lose_less(spark):
+    base = frame(spark, BASE)
+    loss = lambda index: sum(((np.array(r.embedding) - BASE[r.id]) ** 2).sum() for r in index.kept().collect())
+    assert loss(factory.build(base, "IVF3,PQ4x3")) < 0.9 * loss(factory.build(base, "PQ4x3"))
+
+
+def test_index_changes(spark, tmp_path):
+    base = frame(spark, BASE)
+    index = factory.build(base, "IVF3,SQ8,Refine(Flat)")
+    fewer = index.remove(base.where("id % 2 = 0"))
+    assert {r.id for r in fewer.codes.collect()} == set(range(1, 300, 2)) == {i for r in fewer.blocks.collect() for i in r.ids}
+    fewer.save(f"file://{tmp_path}/x")
+    again = factory.load(spark, f"file://{tmp_path}/x").add(base.where("id % 2 = 0"))
+    q = base.where("id < 5").toDF("qid", "qv")
+    assert {r.qid: r.id for r in again.search(q, 1, nprobe=3).collect()} == {i: i for i in range(5)}
+    with pytest.raises(ValueError):
+        factory.build(base, "IVF3,SQ8").merge_from(factory.build(base, "IVF2,SQ8"))
+    with pytest.raises(ValueError):
+        factory.build(base, "HNSW16").add(base)
+
+
+def test_parts_of_vectors_find_the_same(spark):
+    from lodestar.operators import panorama
+
+    v = BASE * np.array([9, 7, 5, 3, 1, 0.5, 0.2, 0.1])
+    base, q = frame(spark, v), frame(spark, v).where("id % 50 = 0").toDF("qid", "qv")
+    p = codecs.Linear(codecs.pca(base, 8).a)
+    got = [(r.qid, r.rank, r.id) for r in panorama.search(q, base, 7, 4, p).orderBy("qid", "rank").collect()]
+    assert got == [(r.qid, r.rank, r.id) for r in knn.knn(q, base, 7).orderBy("qid", "rank").collect()]
+    n = panorama.looked_at(q, base, 7, 4, p).first()
+    assert n.looked < 0.8 * n.every
+
+
+def test_large_query_sets_meet_the_base_in_groups(spark, monkeypatch):
+    from lodestar.operators import blocks
+
+    base = frame(spark, BASE).repartition(3)
+    q = base.toDF("qid", "qv")
+    want = [(r.qid, r.rank, r.id) for r in knn.knn(q, base, 5).orderBy("qid", "rank").collect()]
+    for name, value in (("BROADCAST_BYTES", 0), ("QUERY_ROWS", 32), ("BASE_ROWS", 64), ("GROUP_BLOCKS", 3)):
+        monkeypatch.setattr(blocks, name, value)
+    monkeypatch.setattr(blocks.query_blocks, "__defaults__", (32,))
+    assert [(r.qid, r.rank, r.id) for r in knn.knn(q, base, 5).orderBy("qid", "rank").collect()] == want
+
+
+def test_lists_without_a_broadcast(spark, monkeypatch):
+    base = frame(spark, BASE)
+    c = cluster.centroid_frame(spark, BASE[:20])
+    want = {r.id: r.list_no for r in ivf.assign_lists(base, c).collect()}
+    monkeypatch.setattr(ivf, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(ivf, "CELLS", 64)
+    assert {r.id: r.list_no for r in ivf.assign_lists(base, c).collect()} == want
+    assert ivf.assign_lists(base.limit(0), c).count() == 0
+
+
+def test_batches_of_lists_go_on(spark):
+    base = frame(spark, BASE)
+    c, q = cluster.centroid_frame(spark, BASE[::30]), base.where("id % 20 = 0").toDF("qid", "qv")
+    lists, chosen = ivf.assign_lists(base, c), ivf.probes(q, c, 4)
+    rows = lambda d: sorted((r.qid, r.rank, r.id) for r in d.collect())
+    want = rows(ivf.search_preassigned(q, chosen, lists, 5))
+    assert rows(ivf.big_batch_search(q, chosen, lists, 5, batches=3)) == want
+    # what a broken run has found isn't computed again: here a batch that found nothing
+    done = spark.createDataFrame([(-1, -1, 0.0, 1)], "qid long, id long, dist double, batch int")
+    assert len(rows(ivf.big_batch_search(q, chosen, lists, 5, batches=3, done=done))) <= len(want) + 1
+
+
+def test_offline_run_goes_on(spark, tmp_path):
+    from lodestar.plans import offline
+
+    base = frame(spark, np.concatenate([BASE, BASE[:10]]))
+    q = base.where("id % 50 = 0").toDF("qid", "qv")
+    path = f"file://{tmp_path}/run"
+    first = offline.run(base, q, "IVF3,SQ8", path, shards=2, nprobe=3)
+    assert first["unique"].count() == 300 and first["scores"].agg(F.min("recall")).first()[0] == 1
+    again = offline.run(base.limit(0), q, "IVF3,SQ8", path, shards=2, nprobe=3)  # all steps are there
+    assert again["refined"].count() == first["refined"].count() > 0
+
+
+def test_settled_keeps_only_its_result(spark):
+    import os
+
+    from lodestar.sources.shared import _written, clear, materialize, settled
+
+    out = settled(spark, lambda: materialize(spark.range(5), "a").unionAll(materialize(spark.range(3), "b")), "c")
+    kept = _written.paths[-1].removeprefix("file://")
+    assert out.count() == 8 and os.listdir(kept) == ["c"]
+    clear(spark)
+    assert not os.path.exists(kept) and not _written.paths
+
+
+def test_running_sums_by_brute_force(spark):
+    from lodestar.operators import ordered
+
+    x = RANDOM.permutation(500).tolist()
+    rows = spark.createDataFrame([(v, (v * 7) % 11) for v in x], "k int, w int").repartition(7)
+    got = {r.k: (r.before, r.least, r.rank) for r in ordered.numbered(ordered.running(rows, ["k"], {"before": ("sum", F.col("w")), "least": ("min", F.col("w"))}), ["k"]).collect()}
+    w = [(v * 7) % 11 for v in range(500)]
+    assert got == {k: (sum(w[:k]), min(w[:k], default=None), k + 1) for k in range(500)}
+
+
 def test_list_containers(spark):
     a = spark.createDataFrame([(1, 0), (2, 1)], "id long, list_no int")
     b = spark.createDataFrame([(3, 1), (4, 2)], "id long, list_no int")
@@ -179,7 +305,7 @@ def test_probes_look_at_every_vector(spark, tmp_path):
     got = sorted(QUERIES["quantile_probes"](spark, str(tmp_path)).collect())
     assert [r.id for r in got] == [rows[c[len(c) // 2]][1] for c in chunks]
     assert np.allclose([[r.lid, r.bucket_lower, r.bucket_upper] for r in got], [[rows[p][0] for p in (c[len(c) // 2], c[0], c[-1])] for c in chunks], atol=1e-4)
-    got = sorted(QUERIES["uniform_probes"](spark, str(tmp_path)).collect())
+    got = sorted(calibrate.uniform_probes(queries_evaluation._trimmed(spark, str(tmp_path)), 50).collect())
     assert [r.id for r in got] == plain_uniform(rows, 50, low, high)
 
 
