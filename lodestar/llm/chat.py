@@ -11,8 +11,11 @@ outside the template.
 What stands between ``{% generation %}`` and ``{% endgeneration %}`` is a span of
 the loss mask, in code points of the output.
 
-Control strings inside texts are escaped by a backslash, as are backslashes, so
-that a formatted conversation can be read back whatever its texts hold."""
+Control strings inside texts are escaped by a backslash after their first
+character, so that none stands whole in an escaped text, and backslashes by
+another before them; a formatted conversation can be read back whatever its texts
+hold. Operators and filters on values that they don't take raise TemplateError,
+when the template is compiled if the values are constants."""
 
 from __future__ import annotations
 
@@ -44,7 +47,7 @@ _MARK = re.compile(r"\\.|" + "|".join(f"({re.escape(c)})" for c in CONTROL), re.
 
 
 def escape(text: str) -> str:
-    return _ESCAPE.sub(lambda m: "\\" + m[0], text)
+    return _ESCAPE.sub(lambda m: "\\\\" if m[0] == "\\" else m[0][0] + "\\" + m[0][1:], text)
 
 
 def unescape(text: str) -> str:
@@ -165,6 +168,17 @@ _TWO = {
 }
 
 
+def _checked(f: Callable, name: str) -> Callable:
+    """``f`` with unlike operands as an error of the template's."""
+    def run(*values):
+        try:
+            return f(*values)
+        except (TypeError, ZeroDivisionError) as e:
+            raise TemplateError(f"{name} doesn't take {', '.join(type(v).__name__ for v in values)}: {e}") from None
+
+    return run
+
+
 def fold(tree):
     """A node whose operands are all constants is its value."""
     if tree[0] in ("const", "name") or any(isinstance(x, tuple) and x[0] != "const" for x in tree[1:]):
@@ -184,14 +198,14 @@ def closure(tree) -> Callable[[dict], object]:
     if kind == "not":
         return lambda names: not a(names)
     if kind == "filter":
-        f = FILTERS[of[1]]
+        f = _checked(FILTERS[of[1]], of[1])
         return lambda names: f(a(names))
     b = closure(of[1])
     if kind == "and":
         return lambda names: a(names) and b(names)
     if kind == "or":
         return lambda names: a(names) or b(names)
-    f = _TWO[kind]
+    f = _checked(_TWO[kind], kind)
     return lambda names: f(a(names), b(names))
 
 
@@ -350,6 +364,8 @@ def _step(statement: tuple) -> Callable[[dict, _Out], None]:
     def loop(names, out):
         own = dict(names)
         items = values(names) or ()
+        if not isinstance(items, (list, tuple, str, dict)):
+            raise TemplateError(f"for doesn't take {type(items).__name__}")
         for i, x in enumerate(items):
             own[name] = x
             own["loop"] = {"index": i + 1, "index0": i, "first": i == 0, "last": i + 1 == len(items), "length": len(items)}
