@@ -3,11 +3,14 @@
 Lines become 128-bit hashes of their keys. The hashes are range-partitioned with
 a secondary sort by document and position, and a streaming window passes on the
 first document of each key. The result is a run-length compressed keep bitmap
-for each document; texts move only in the final join that applies the bitmaps.
+for each document that loses lines: start and length of each run of kept lines.
+Texts move only in the final join, where each document's bitmap picks its lines.
 
-A key that many documents hold is dealt over ``SALTS`` chunks by document: the
-first window finds each chunk's first document, and only the rows of those
-documents meet in the second window, at most ``SALTS`` documents for a key.
+A key that many documents hold is dealt over chunks by document, about as many
+as the square root of all lines: the first window finds each chunk's first
+document, and only the rows of those documents meet in the second window. So
+neither window holds more rows of a key than that, but for lines which one
+document repeats.
 
 Rows: a null text is an empty line. A row whose doc_id is null keeps all its
 lines and doesn't count as a document. Rows of one doc_id count as one document,
@@ -16,6 +19,7 @@ same name."""
 
 from __future__ import annotations
 
+import math
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,8 +27,8 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.shared import digest128, free_name, materialize
 
-#: Chunks over which the documents of one key are dealt.
-SALTS = 64
+#: The documents of one key are dealt over so many chunks at least.
+CHUNKS = 64
 #: Shorter keys never lose a line, in code points.
 LEAST_CHARS = 10
 #: What a key loses at both ends.
@@ -44,87 +48,74 @@ def _version(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def dropped_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, version, runs)`` of documents that lose lines; ``runs`` has the
-    start and length of each run of dropped lines, in order."""
-    lines = (
-        docs.where(F.col(doc_id).isNotNull())
-        .select(F.col(doc_id).alias("doc_id"), _version(F.col(text)).alias("version"), F.posexplode(split_lines(F.col(text))).alias("pos", "line"))
-        .withColumn("key", line_key(F.col("line"))).where(F.char_length("key") >= LEAST_CHARS)
-    )
+def keep_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(doc_id, version, n_lines, bitmap)`` of documents that lose lines;
+    ``bitmap`` has the start and length of each run of kept lines, in order."""
+    split = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), _version(F.col(text)).alias("version"), split_lines(F.col(text)).alias("lines"))
+    lines = split.select("doc_id", "version", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("pos", "line"))
+    lines = lines.withColumn("key", line_key(F.col("line"))).where(F.char_length("key") >= LEAST_CHARS)
     h1, h2 = digest128(F.col("key"))
-    lines = materialize(lines.select(h1.alias("h1"), h2.alias("h2"), "doc_id", "version", "pos"), "lines")
+    lines = materialize(lines.select(h1.alias("h1"), h2.alias("h2"), "doc_id", "version", "n_lines", "pos"), "lines")
+    chunks = max(CHUNKS, math.isqrt(lines.count()))
     order = ("doc_id", "version", "pos")
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
     chunk = Window.partitionBy("h1", "h2", "chunk").orderBy(*order)
     first = (
-        lines.withColumn("chunk", salt).repartitionByRange("h1", "h2", "chunk")
+        lines.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int")).repartitionByRange("h1", "h2", "chunk")
         .withColumn("first", F.first("doc_id").over(chunk))
         .withColumn("chunk", F.when(F.col("doc_id") == F.col("first"), F.lit(-1)).otherwise(F.col("chunk")))
         .repartitionByRange("h1", "h2", "chunk")
         .withColumn("first", F.first("doc_id").over(chunk))
     )
-    drop = first.where((F.col("chunk") >= 0) | (F.col("doc_id") != F.col("first"))).select(*order)
+    drop = first.where((F.col("chunk") >= 0) | (F.col("doc_id") != F.col("first"))).select(*order, "n_lines")
     by_doc = Window.partitionBy("doc_id", "version").orderBy("pos")
-    return (
+    dropped = (
         drop.withColumn("run", F.col("pos") - F.dense_rank().over(by_doc))
-        .groupBy("doc_id", "version", "run").agg(F.min("pos").alias("start"), (F.max("pos") - F.min("pos") + 1).alias("len"))
-        .groupBy("doc_id", "version").agg(F.sort_array(F.collect_list(F.struct("start", "len"))).alias("runs"))
+        .groupBy("doc_id", "version", "run").agg(F.min("pos").alias("start"), (F.max("pos") - F.min("pos") + 1).alias("len"), F.first("n_lines").alias("n_lines"))
+        .groupBy("doc_id", "version").agg(F.first("n_lines").alias("n_lines"), F.sort_array(F.collect_list(F.struct("start", "len"))).alias("runs"))
     )
+    return dropped.select("doc_id", "version", "n_lines", between(F.col("runs"), F.col("n_lines")).alias("bitmap"))
 
 
-def keep_bitmap(runs: Column, n_lines: Column) -> Column:
-    """The keep bitmap as run lengths: kept, dropped, kept, ... lines. It ends
-    with the lines kept after the last dropped one, and adds up to n_lines."""
-    ends = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(runs, i - 1)["start"] + F.get(runs, i - 1)["len"])
-    body = F.flatten(F.transform(runs, lambda r, i: F.array(r["start"] - ends(i), r["len"])))
-    last = F.element_at(runs, -1)
-    return F.when(runs.isNull(), F.array(n_lines)).otherwise(F.concat(body, F.array(n_lines - last["start"] - last["len"])))
+def between(runs: Column, n_lines: Column) -> Column:
+    """The runs of lines that lie between ``runs``, none of them empty."""
+    end = lambda r: r["start"] + r["len"]
+    before = F.transform(runs, lambda r, i: F.struct(F.when(i == 0, F.lit(0)).otherwise(end(F.get(runs, i - 1))).alias("start"), r["start"].alias("end")))
+    every = F.concat(before, F.array(F.struct(end(F.element_at(runs, -1)).alias("start"), n_lines.alias("end"))))
+    return F.transform(F.filter(every, lambda r: r["end"] > r["start"]), lambda r: F.struct(r["start"].alias("start"), (r["end"] - r["start"]).alias("len")))
 
 
-def _kept_text(text: Column, runs: Column) -> Column:
-    """The lines between the runs, joined."""
+def kept_text(text: Column, bitmap: Column) -> Column:
+    """The lines that the bitmap keeps, joined; without one, all."""
     lines = split_lines(text)
-    before = F.transform(
-        runs,
-        lambda r, i: F.slice(lines, F.when(i == 0, F.lit(1)).otherwise(F.get(runs, i - 1)["start"] + F.get(runs, i - 1)["len"] + 1),
-                             r["start"] - F.when(i == 0, F.lit(0)).otherwise(F.get(runs, i - 1)["start"] + F.get(runs, i - 1)["len"])),
-    )
-    last = F.element_at(runs, -1)
-    tail = F.slice(lines, last["start"] + last["len"] + 1, F.size(lines) - last["start"] - last["len"])
-    whole = F.array_join(F.concat(F.flatten(before), tail), "\n")
-    return F.when(runs.isNull(), F.coalesce(text, F.lit(""))).otherwise(whole)
+    kept = F.flatten(F.transform(bitmap, lambda r: F.slice(lines, r["start"] + 1, r["len"])))
+    return F.when(bitmap.isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(kept, "\n"))
 
 
-def _with_runs(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, str]:
-    runs = dropped_runs(docs, doc_id, text)
-    i, v, r = (free_name(docs, f"_{n}") for n in ("id", "version", "runs"))
-    runs = runs.select(F.col("doc_id").alias(i), F.col("version").alias(v), F.col("runs").alias(r))
-    on = (docs[doc_id] == runs[i]) & (_version(docs[text]) == runs[v])
-    return docs.join(runs.hint("shuffle_hash"), on, "left").drop(i, v), r
+def _with_bitmaps(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, str]:
+    i, v, b = (free_name(docs, f"_{n}") for n in ("id", "version", "bitmap"))
+    bitmaps = keep_bitmaps(docs, doc_id, text).select(F.col("doc_id").alias(i), F.col("version").alias(v), F.col("bitmap").alias(b))
+    on = (docs[doc_id] == bitmaps[i]) & (_version(docs[text]) == bitmaps[v])
+    return docs.join(bitmaps.hint("shuffle_hash"), on, "left").drop(i, v), b
 
 
 def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Keys of at least ``LEAST_CHARS`` code points that two documents or more
     hold lose all their lines except in the smallest doc_id that holds them.
-    Adds ``n_lines`` (before), ``n_dropped``, ``keep_bitmap`` and ``kept``, the
-    other lines joined by line feeds."""
-    out, r = _with_runs(docs, doc_id, text)
-    runs, n = F.col(r), F.size(split_lines(F.col(text)))
-    return out.withColumns({
-        "n_lines": n.cast("long"),
-        "n_dropped": F.coalesce(F.aggregate(runs, F.lit(0).cast("long"), lambda a, x: a + x["len"]), F.lit(0).cast("long")),
-        "keep_bitmap": keep_bitmap(runs, n),
-        "kept": _kept_text(F.col(text), runs),
-    }).drop(r)
+    Adds ``n_lines`` (before), ``keep_bitmap``, and what follows from it:
+    ``n_dropped`` and ``kept``, the kept lines joined by line feeds."""
+    out, b = _with_bitmaps(docs, doc_id, text)
+    n = F.size(split_lines(F.col(text)))
+    out = out.withColumns({"n_lines": n.cast("long"), "keep_bitmap": F.coalesce(F.col(b), F.array(F.struct(F.lit(0).alias("start"), n.alias("len"))))})
+    kept = F.aggregate("keep_bitmap", F.lit(0).cast("long"), lambda a, r: a + r["len"])
+    return out.withColumns({"n_dropped": F.col("n_lines") - kept, "kept": kept_text(F.col(text), F.col(b))}).drop(b)
 
 
 def without_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = None) -> DataFrame:
     """``docs`` with the kept lines as texts; ``n_chars`` counts them anew where
     lines went."""
-    out, r = _with_runs(docs, doc_id, text)
-    changed = F.col(r).isNotNull()
-    out = out.withColumn(text, F.when(changed, _kept_text(F.col(text), F.col(r))).otherwise(F.col(text)))
+    out, b = _with_bitmaps(docs, doc_id, text)
+    changed = F.col(b).isNotNull()
+    out = out.withColumn(text, F.when(changed, kept_text(F.col(text), F.col(b))).otherwise(F.col(text)))
     if n_chars:
         out = out.withColumn(n_chars, F.when(changed, F.char_length(text).cast("long")).otherwise(F.col(n_chars)))
     return out.select(*docs.columns)

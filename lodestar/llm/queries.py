@@ -41,13 +41,20 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def sharding_to_64k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4 with a limit of 64 KiB, at which small tables split into many shards
+    too; a document over the limit is a shard of its own."""
+    return sharding.shard(_read(spark, sf_dir, "documents", "doc_id", "text"), 64 << 10)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_read(spark, sf_dir, "documents", "doc_id", "text"), *_ranks())
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = line_dedup.line_dedup(_read(spark, sf_dir, "documents", "doc_id", "text"))
-    return docs.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+    runs = F.array_join(F.transform("keep_bitmap", lambda r: F.concat_ws("+", r["start"].cast("string"), r["len"].cast("string"))), " ")
+    return docs.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"), runs.alias("keep_bitmap"))
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +92,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_classifier, op3_mixing, op4_sharding, op5_byte_bpe, op6_line_dedup, op7_embedding_dedup, op8_media, op9_chat_format, op10_minhash, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_classifier, op3_mixing, op4_sharding, op5_byte_bpe, op6_line_dedup, op7_embedding_dedup, op8_media, op9_chat_format, op10_minhash, sharding_to_64k, pipeline)}
 
 _WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -122,8 +129,22 @@ ORACLE_SQL = {
                    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
         k AS (SELECT *, translate(trim(line, {_WHITE}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
         o AS (SELECT key, min(doc_id) AS owner FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
-        j AS (SELECT k.*, o.owner IS NOT NULL AND o.owner <> doc_id AS dropped FROM k LEFT JOIN o ON k.key = o.key)
+        j AS (SELECT k.*, o.owner IS NOT NULL AND o.owner <> doc_id AS dropped FROM k LEFT JOIN o ON k.key = o.key),
+        r AS (SELECT doc_id, min(pos) - 1 AS start, count(*) AS len
+              FROM (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM j WHERE NOT dropped) GROUP BY doc_id, run),
+        b AS (SELECT doc_id, string_agg(start || '+' || len, ' ' ORDER BY start) AS runs FROM r GROUP BY doc_id)
         SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (dropped)::BIGINT AS n_dropped,
-               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
-        FROM j GROUP BY doc_id""",
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256, coalesce(any_value(runs), '') AS keep_bitmap
+        FROM j LEFT JOIN b USING (doc_id) GROUP BY doc_id""",
+    "op7_embedding_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+                             WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+              WHERE list_sum([z[1] * z[2] for z in list_zip(a.e, b.e)]) / sqrt(list_sum([x * x for x in a.e]) * list_sum([x * x for x in b.e])) >= 0.93),
+        n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+        r AS (SELECT a AS id, a AS root FROM l UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id),
+        c AS (SELECT id, min(root) AS root FROM r GROUP BY id)
+        SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(root, vec_id)::BIGINT AS component_id, coalesce(root, vec_id) = vec_id AS kept
+        FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.id = vec_id""",
 }
+ORACLE_SQL["sharding_to_64k"] = ORACLE_SQL["op4_sharding"].replace("16777216", "65536")

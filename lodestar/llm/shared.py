@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from lodestar.sources.shared import materialize
+from lodestar.sources.shared import materialize, settled
 
-__all__ = ["arrow_map", "connected_components", "digest128", "free_name", "materialize"]
+__all__ = ["arrow_map", "connected_components", "digest128", "free_name", "materialize", "settled"]
 
 
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str | StructType, rows: int = 512) -> DataFrame:

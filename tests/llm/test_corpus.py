@@ -23,7 +23,8 @@ RANDOM = np.random.default_rng(9)
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{SMALL}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        con.sql(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
     got, want = QUERIES[name](spark, SMALL).toPandas(), con.sql(ORACLE_SQL[name]).df()
     key = lambda df: sorted(map(str, df[sorted(df.columns)].astype(object).to_dict("split")["data"]))
     assert sorted(got.columns) == sorted(want.columns) and key(got) == key(want)
@@ -66,6 +67,20 @@ def test_distinct_words_of_whole_texts():
     assert [quality.distinct_shares(words[:n]) for n in (1, 200, 201, 400)] == [[1.0], [1.0], [1.0] * 2, [1.0] * 2]
 
 
+def test_op2_by_brute_force(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").withColumn("hash", F.xxhash64("text")).collect()
+    want = dict(zip([r.doc_id for r in docs], brute.quality_scores([r.text for r in docs], [r["hash"] for r in docs])))
+    got = QUERIES["op2_quality_classifier"](spark, SMALL).collect()
+    assert len(got) == len(docs) and all(abs(r.score - want[r.doc_id]) < 1e-4 and r.kept == (r.score >= 0.5) for r in got)
+
+
+def test_sample_is_bounded_by_features(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    few, one = quality.fit(docs, features_most=20_000), quality.fit(docs, features_most=1)
+    used = [int((m.scorer != 0).sum()) for m in (one, few, quality.fit(docs))]
+    assert 1 < used[0] < used[1] < used[2] and few.weak.prior == one.weak.prior
+
+
 def test_held_out_accuracy(spark):
     # of a few hundred documents only two or three are junk of some kinds, which is too few to learn from
     big = "/root/testdata/sf0.1"
@@ -206,11 +221,21 @@ def test_vectors_by_brute_force(spark, monkeypatch):
 
 
 def test_bound_holds():
-    v = RANDOM.normal(size=(80, 20)) * RANDOM.lognormal(size=(80, 1)) * RANDOM.lognormal(0, 2, size=(1, 20))
-    u, q, s, e = embed_dedup.quantised(v)
-    assert (abs(u @ u.T - (q @ q.T) * s[:, None] * s) <= e[:, None] * (1 + e) + e + 1e-12).all()
-    i, j = embed_dedup.close_pairs((u, q, s, e), (u, q, s, e), 0.5)
-    assert set(zip(i.tolist(), j.tolist())) == set(zip(*map(np.ndarray.tolist, np.nonzero(np.einsum("ik,jk->ij", u, u) >= 0.5))))
+    v = embed_dedup.unit_rows(RANDOM.normal(size=(80, 20)) * RANDOM.lognormal(size=(80, 1)) * RANDOM.lognormal(0, 2, size=(1, 20)))
+    q, s, e = x = embed_dedup.quantised(v)
+    cosines = np.einsum("ik,jk->ij", v, v)
+    assert (abs(cosines - (q.astype(float) @ q.T) * s[:, None] * s) <= e[:, None] * (1 + e) + e + 1e-12).all()
+    sure, open_ = embed_dedup.by_bound(x, x, 0.5)
+    assert (cosines[sure] >= 0.5).all() and (cosines[~sure & ~open_] < 0.5).all() and 0 < open_.sum() < sure.sum()
+    i, j = embed_dedup.exact_pairs(v, v, *np.nonzero(open_), 0.5)
+    assert (sure | open_)[cosines >= 0.5].all() and set(zip(i.tolist(), j.tolist())) == set(zip(*map(np.ndarray.tolist, np.nonzero(open_ & (cosines >= 0.5)))))
+
+
+def test_vectors_of_all_sizes(spark):
+    rows = [(1, [1e200, 1e200], 0), (2, [1e200, 1e200], 0), (3, [5e-324, 5e-324], 0), (4, [1e-300, 1e300], 0), (5, [0.0, 2.0], 0), (5, [0.0, 2.0], 0), (5, [3.0, 0.0], 0), (6, [1e308, 0.0], 1)]
+    got = sorted(tuple(r) for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    # the rows of vec_id 5 have 2, 2 and no links, which their rows of the result all show added up
+    assert got == [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 2, 4, True)] + [(5, 4, 4, False)] * 3 + [(6, 0, 6, True)]
 
 
 def test_no_vectors(spark):

@@ -131,7 +131,9 @@ def test_line_dedup(spark, ids):
     rows = out.collect()
     assert sorted((str(r.doc_id), (r.n_lines, r.n_dropped, r.kept)) for r in rows) == want
     for r in rows:
-        assert sum(r.keep_bitmap) == r.n_lines and sum(r.keep_bitmap[1::2]) == r.n_dropped and r.runs == r.doc_id
+        runs = [(x.start, x.start + x.len) for x in r.keep_bitmap]
+        assert r.n_dropped == r.n_lines - sum(b - a for a, b in runs) and r.runs == r.doc_id
+        assert all(a < b <= r.n_lines for a, b in runs) and all(b < c for (_, b), (c, _) in zip(runs, runs[1:]))
     assert line_dedup.line_dedup(empty(spark)).count() == 0
 
 
@@ -230,6 +232,18 @@ def test_rejected(template):
         chat.compile_template(template)
 
 
+@pytest.mark.parametrize("template", ["{{ 1 < 'a' }}", "{{ none + 1 }}", "{{ 3 in 4 }}", "{{ 5 % 0 }}", "{{ 5 | length }}", "{{ x - 'a' }}", "{{ x < y }}", "{% for i in x %}{% endfor %}", "{{ y | length }}"])
+def test_unlike_values(template):
+    # constants when the template is compiled, names when it is rendered
+    with pytest.raises(chat.TemplateError):
+        chat.compile_template(template)({"x": 3, "y": None})
+
+
+@given(st.lists(PIECES, max_size=6).map("".join))
+def test_escaped_texts_hold_no_control(text):
+    assert not any(c in chat.escape(text) for c in chat.CONTROL) and chat.unescape(chat.escape(text)) == text
+
+
 def test_sandbox():
     assert render("{{ x['__class__'] }}{{ x.__class__ }}", x={})[0] == ""
     with pytest.raises(chat.TemplateError):
