@@ -10,6 +10,9 @@ The share of distinct words falls with a text's length, so it is taken in
 windows of 200 words over the whole text: their mean makes the vote, and a text
 with a window that would be bad by itself gets no good vote.
 
+The sample is the distinct texts of least hash, ``SAMPLE`` of them at most, and
+of these the first that have no more than ``FEATURES`` features together.
+
 Rows: null, empty and wordless texts have score 0 and are rejected. Every row
 stands for itself; ties and repeated rows get equal scores. Extra columns stay; a
 column that has the name of one that is added is replaced. A table without any
@@ -28,8 +31,9 @@ from lodestar.llm.shared import arrow_map, free_name, materialize
 GOOD, BAD, NONE = 1, 2, 0
 #: Hashed features of the scorer.
 WIDTH = 1 << 16
-#: Distinct documents, by hash, on which the scorer is fitted at most.
-SAMPLE = 4000
+#: Distinct documents, by hash, on which the scorer is fitted at most, and how
+#: many features all of them may have (8 bytes each, on the driver).
+SAMPLE, FEATURES = 4000, 16_000_000
 #: Bytes of a text whose trigrams are counted at once.
 CHUNK = 1 << 20
 #: Words of a window in which distinct words are counted.
@@ -199,9 +203,10 @@ class Classifier:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, float(self.scorer[index] @ value + self.scorer[-1])))))
 
 
-def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Classifier | None:
+def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE, features_most: int = FEATURES) -> Classifier | None:
     """Votes of all documents fit the weak labels; the ``sample`` distinct texts
-    of least hash fit the scorer. None if there are no texts with words."""
+    of least hash fit the scorer, as far as they have ``features_most`` features
+    (the first always counts). None if there are no texts with words."""
     import numpy as np
 
     rows = docs.select(F.col(text).alias("text"))
@@ -226,10 +231,17 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Classifier
         return step
 
     picked = hashed.where((F.col("hash") <= last) & F.col("text").rlike(r"[\p{L}\p{N}_]")).dropDuplicates(["hash"])
-    got = {r["hash"]: (np.asarray(r["index"]), np.asarray(r["value"])) for r in arrow_map(picked, make_features, "hash long, index array<int>, value array<float>", 64).toPandas().to_dict("records")}
-    chosen = sorted((r.hash, r.votes) for r in chosen if r.hash in got)
-    labels = weak.posterior([v for _, v in chosen])
-    return Classifier(weak, fit_scorer([got[h] for h, _ in chosen], np.asarray(labels)).astype(np.float64))
+    picked = materialize(arrow_map(picked, make_features, "hash long, index array<int>, value array<float>", 64), "features")
+    sizes, total = {r["hash"]: r.n for r in picked.select("hash", F.size("index").alias("n")).collect()}, 0
+    fits = []
+    for r in chosen:
+        if (total := total + sizes.get(r["hash"], 0)) > features_most and fits:
+            break
+        fits += [r] * (r["hash"] in sizes)
+    got = picked.where(F.col("hash") <= fits[-1]["hash"]).toPandas().to_dict("records") if fits else []
+    got = {r["hash"]: (np.asarray(r["index"]), np.asarray(r["value"])) for r in got}
+    labels = weak.posterior([r.votes for r in fits]) if fits else []
+    return Classifier(weak, fit_scorer([got[r["hash"]] for r in fits], labels).astype(np.float64))
 
 
 def score(docs: DataFrame, model: Classifier | None, text: str = "text", threshold: float = 0.5) -> DataFrame:
