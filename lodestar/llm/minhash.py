@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 import re
 import sys
 import zlib
@@ -37,11 +38,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.shared import arrow_map, connected_components, materialize
+from lodestar.llm.shared import arrow_map, connected_components, materialize, settled
 
 WORD = re.compile(r"\w+")
 #: IDF buckets, and how many of them travel in one row.
 BUCKET_BITS, RANGE = 18, 1024
+#: More tasks than this have their IDF counts added up in two steps.
+TASKS = 256
 #: Steps of the sampled distributions.
 STEPS = 4096
 #: Members of a bucket that make a block of its tiles.
@@ -154,12 +157,20 @@ def _buckets(h):
 
 def inverse_frequencies(docs: DataFrame, text: str, words: int):
     """1 + ln((1 + n) / (1 + df)) / ln(buckets) for each bucket, over all
-    documents. It depends on the share of documents, whatever their number."""
+    documents. It depends on the share of documents, whatever their number.
+
+    Each task sends its counts by ranges of buckets; where tasks are many, groups
+    of them are added up first, so that no range gathers a row from every task."""
     import numpy as np
 
-    def count(batches):
+    def sent(total, n):
         import pyarrow as pa
 
+        parts = [(i, total[i * RANGE : (i + 1) * RANGE]) for i in range(len(total) // RANGE)] if n else []
+        rows = [(i, zlib.compress(p.astype("<i8").tobytes(), 1)) for i, p in parts if p.any()] + [(-1, zlib.compress(np.array([n], "<i8").tobytes()))] * bool(n)
+        return pa.RecordBatch.from_pydict({"part": [i for i, _ in rows], "counts": [c for _, c in rows]}, pa.schema([("part", pa.int32()), ("counts", pa.binary())]))
+
+    def count(batches):
         total, n = np.zeros(1 << BUCKET_BITS, np.int64), 0
         for batch in batches:
             for t in batch.column(0):
@@ -168,19 +179,30 @@ def inverse_frequencies(docs: DataFrame, text: str, words: int):
                     found = _buckets(h)  # as sorted as the hashes, whose first bits they are
                     total[found[_distinct(found)]] += 1
                     n += 1
-        parts = [(i, total[i * RANGE : (i + 1) * RANGE]) for i in range(len(total) // RANGE)] if n else []
-        rows = [(i, zlib.compress(p.astype("<i8").tobytes(), 1)) for i, p in parts if p.any()] + [(-1, np.array([n], "<i8").tobytes())] * bool(n)
-        yield pa.RecordBatch.from_pydict({"part": [i for i, _ in rows], "counts": [c for _, c in rows]}, pa.schema([("part", pa.int32()), ("counts", pa.binary())]))
+        yield sent(total, n)
+
+    read = lambda c: np.frombuffer(zlib.decompress(c), "<i8")
+
+    def some(batches):
+        total, n = np.zeros(1 << BUCKET_BITS, np.int64), 0
+        for batch in batches:
+            for i, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if i < 0:
+                    n += int(read(c)[0])
+                else:
+                    total[i * RANGE : (i + 1) * RANGE] += read(c)
+        yield sent(total, n)
 
     def add(pdf):
         import pandas as pd
 
-        plain = int(pdf["part"].iloc[0]) < 0
-        total = sum(np.frombuffer(c if plain else zlib.decompress(c), "<i8") for c in pdf["counts"])
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "counts": [total.astype("<i8").tobytes()]})
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "counts": [zlib.compress(sum(map(read, pdf["counts"])).astype("<i8").tobytes(), 1)]})
 
     kind = "part int, counts binary"
-    found = {r.part: np.frombuffer(r.counts, "<i8") for r in docs.select(text).mapInArrow(count, kind).groupBy("part").applyInPandas(add, kind).collect()}
+    counted = docs.select(text).mapInArrow(count, kind)
+    if (tasks := docs.rdd.getNumPartitions()) > TASKS:
+        counted = counted.withColumn("task", F.spark_partition_id()).repartition(math.isqrt(tasks), "task").select("part", "counts").mapInArrow(some, kind)
+    found = {r.part: read(r.counts) for r in counted.groupBy("part").applyInPandas(add, kind).collect()}
     df = np.zeros(1 << BUCKET_BITS)
     for i, c in found.items():
         if i >= 0:
@@ -416,15 +438,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     idf = inverse_frequencies(source, "text", params.words)
     rows = materialize(signatures(source, idf, params, "doc_id", "text"), "signatures")
+    parts = settled(docs.sparkSession, lambda: classes(source, rows, idf, params), "classes").withColumnRenamed("id", "doc_id")
+    out = rows.select("doc_id").join(parts, "doc_id", "left").withColumn("class_id", F.coalesce("component", "doc_id"))
+    return out.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
+def classes(source: DataFrame, rows: DataFrame, idf, params: Params) -> DataFrame:
+    """``(id, component)`` of the documents that links of exact or near copies
+    join, from ``source(doc_id, text)`` and its signatures."""
     filled = rows.where(F.col("digest") != F.lit(EMPTY))
-    classes = materialize(
+    texts_once = materialize(
         filled.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first(F.struct("total", "sketch", "bands")).alias("s")).select("digest", "rep", "copies", "s.*"), "classes")
-    members = classes.select("rep", F.explode("bands").alias("key"))
+    members = texts_once.select("rep", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last"))
     buckets = materialize(buckets.where("lead != last").select("key", "lead"), "buckets")
     members = materialize(members.join(buckets, "key"), "members")
 
-    totals = classes.select("rep", "total")
+    totals = texts_once.select("rep", "total")
     star = members.where("rep != lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     side = lambda n: totals.select(F.col("rep").alias(n), F.col("total").alias(f"{n}_total"))
     t, u = F.col("a_total"), F.col("b_total")  # the similarity is no more than the lesser over the greater
@@ -434,25 +464,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     texts = materialize(source.join(ids.hint("shuffle_hash"), "doc_id").dropDuplicates(["doc_id", "text"]), "texts")
     edges = verified(star, texts, idf, params)
 
-    parts = materialize(connected_components(edges), "parts")
+    parts = settled(source.sparkSession, lambda: connected_components(edges), "parts")
     own = parts.select(F.col("id").alias("rep"), F.col("component").alias("part"))
     led = parts.select(F.col("id").alias("lead"), F.col("component").alias("lead_part"))
     placed = members.join(own, "rep", "left").join(led, "lead", "left")
     placed = placed.select("key", "rep", "lead", F.coalesce("part", "rep").alias("part"), F.coalesce("lead_part", "lead").alias("lead_part"))
     apart = materialize(placed.where("part != lead_part"), "apart")
     there = placed.join(apart.select("key").distinct(), "key", "left_semi").where("rep != lead")
-    there = materialize(there.select("key", "rep", "part").join(classes.select("rep", "total", "sketch", "bands"), "rep"), "there")
+    there = materialize(there.select("key", "rep", "part").join(texts_once.select("rep", "total", "sketch", "bands"), "rep"), "there")
     # first without texts, to see which members have anyone to be compared with
     busy = materialize(tiles(there, _compare(params, idf, False)).distinct(), "busy").toDF("key", "rep")
     whole = there.join(busy, ["key", "rep"]).join(texts.withColumnRenamed("doc_id", "rep"), "rep")
     edges = edges.unionAll(materialize(tiles(materialize(whole, "whole"), _compare(params, idf, True)).toDF("a", "b"), "links"))
 
-    many = classes.where("copies > 1").select("digest", "rep")
+    many = texts_once.where("copies > 1").select("digest", "rep")
     # rows of one doc_id are one document, so its texts' classes are linked too
     shared = filled.join(many, "digest").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a != b")
-    parts = materialize(connected_components(edges.unionAll(shared)), "parts").withColumnRenamed("id", "doc_id")
-    out = rows.select("doc_id").join(parts, "doc_id", "left").withColumn("class_id", F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    return connected_components(edges.unionAll(shared))
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", params: Params = Params()) -> DataFrame:
@@ -463,7 +491,7 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     from lodestar.llm.shared import free_name
 
     gone, one = free_name(docs, "_gone"), free_name(docs, "_one")
-    drop = materialize(near_duplicates(docs, doc_id, text, params).where("not kept").select(F.col("doc_id").alias(gone)).distinct(), "gone")
+    drop = settled(docs.sparkSession, lambda: near_duplicates(docs, doc_id, text, params).where("not kept").select(F.col("doc_id").alias(gone)).distinct(), "gone")
     named = docs.where(F.col(doc_id).isNotNull())
     kept = named.join(drop.hint("shuffle_hash"), named[doc_id] == drop[gone], "left_anti")
     kept = kept.withColumn(one, F.row_number().over(Window.partitionBy(doc_id).orderBy(text))).where(F.col(one) == 1).drop(one)
