@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.llm import bpe, line_dedup, minhash, mixing, quality
-from lodestar.llm.shared import materialize
+from lodestar.llm.shared import settled
 
 
 def drop_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,5 +52,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        docs = settled(spark, lambda: stage(spark, docs, sf_dir), name)  # noqa: B023  called at once
     return STAGES[-1][1](spark, docs, sf_dir)
