@@ -4,6 +4,7 @@ routes and thresholds, a recommended width, difficulty groups and analyses."""
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -245,6 +246,64 @@ def load_policy(spark, settings: dict, path: str, efs: list[int] | None = None)
     return out
 
 
+def load_or_build(spark, settings: dict, path: str, build: Callable[[], DataFrame], efs: list[int] | None = None) -> tuple[DataFrame, str]:
+    """The policy at a path, and "hit"; where there is none, or one of other
+    settings or with fewer efs, it is built and saved there, and the status is
+    "miss" or "rebuilt"."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return load_policy(spark, settings, path, efs), "hit"
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        status = "miss"
+    except ValueError:
+        status = "rebuilt"
+    save_policy(materialize(build(), "policy"), settings, path)
+    return load_policy(spark, settings, path, efs), status
+
+
+def route_mix(runs: DataFrame, groups: DataFrame) -> DataFrame:
+    """How adaptive runs were routed: by ef, group and width, how many queries and
+    which share of the group."""
+    n = runs.where("method = 'adaptive'").join(groups.select("qid", "group"), "qid").groupBy("ef", "group", "effective_ef").agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("ef", "group")))
+
+
+def overlap(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Queries that two analyses name: how many each, both, and their Jaccard
+    similarity."""
+    a, b = first.select("qid", F.lit(1).alias("a")).distinct(), second.select("qid", F.lit(1).alias("b")).distinct()
+    n = a.join(b, "qid", "full").agg(F.count("a").alias("first"), F.count("b").alias("second"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("both"), F.count(F.lit(1)).alias("any"))
+    return n.select("first", "second", "both", F.try_divide("both", "any").alias("jaccard"))
+
+
+def hits_in_windows(hits: DataFrame, width: int) -> DataFrame:
+    """True neighbours found in each window of ``width`` steps, by query: ``hits``
+    is (qid, step, found)."""
+    w = Window.partitionBy("qid").orderBy("step")
+    new = hits.withColumn("new", F.col("found") - F.coalesce(F.lag("found").over(w), F.lit(0)))
+    return new.groupBy("qid", F.floor((F.col("step") - 1) / width).cast("int").alias("window")).agg(F.sum("new").alias("found"), F.max("step").alias("last"))
+
+
+def recovery_budget(hits: DataFrame, stops: DataFrame, target: int) -> DataFrame:
+    """How many more steps a query that stopped early would have needed to hold
+    ``target`` true neighbours: ``stops`` is (qid, stopped); null if its trace
+    never holds so many, 0 if it did when it stopped."""
+    first = hits.where(F.col("found") >= target).groupBy("qid").agg(F.min("step").alias("first"))
+    more = F.when(F.col("first").isNotNull(), F.greatest(F.lit(0), F.col("first") - F.col("stopped")))
+    return stops.join(first, "qid", "left").select("qid", "stopped", more.alias("more"))
+
+
+def replayed(full: DataFrame, stops: DataFrame, k: int) -> DataFrame:
+    """Recall at the step where a walk stopped, beside that of the whole walk, from
+    the trace (qid, step, found) of the whole one."""
+    at = full.join(stops, "qid").where(F.col("step") <= F.col("stopped")).groupBy("qid").agg(F.max("found").alias("held"))
+    whole = full.groupBy("qid").agg(F.max("found").alias("most"))
+    return whole.join(at, "qid", "left").select("qid", (F.coalesce("held", F.lit(0)) / k).alias("recall"), (F.col("most") / k).alias("full_recall"), ((F.col("most") - F.coalesce("held", F.lit(0))) / k).alias("lost"))
+
+
 def cost_by_step(times: DataFrame) -> DataFrame:
     """Offline cost: the median seconds of each step over its repeats, and its
     share of all steps of its run. ``times`` is (run, step, repeat, seconds)."""

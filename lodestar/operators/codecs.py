@@ -319,7 +319,8 @@ def row_min_max_decode(code: Column) -> Column:
 
 # --- product and residual quantizers ---
 
-def _lloyd(v, k: int, iterations: int, seed: int):
+def lloyd(v, k: int, iterations: int, seed: int):
+    """k centroids of a matrix."""
     import numpy as np
 
     random = np.random.default_rng(seed)
@@ -355,7 +356,7 @@ class ProductQuantizer(RowCodec):
 
         if v.shape[1] % m:
             raise ValueError("slices have equal widths")
-        return ProductQuantizer([_lloyd(x, 1 << bits, iterations, seed + i) for i, x in enumerate(np.split(v, m, axis=1))])
+        return ProductQuantizer([lloyd(x, 1 << bits, iterations, seed + i) for i, x in enumerate(np.split(v, m, axis=1))])
 
     @staticmethod
     def train(base: DataFrame, m: int, bits: int = 8, iterations: int = 25) -> ProductQuantizer:
@@ -459,7 +460,7 @@ class ResidualQuantizer(RowCodec):
 
         left, books = v, []
         for i in range(m):
-            books.append(_lloyd(left, 1 << bits, iterations, 1234 + i))
+            books.append(lloyd(left, 1 << bits, iterations, 1234 + i))
             left = left - books[-1][np.argmin(metric("l2").tile(left, books[-1]), axis=1)]
         return ResidualQuantizer(books, beam)
 

@@ -5,6 +5,8 @@ operating points."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,6 +85,24 @@ def range_weight(distance: Column, radius: float | None = None, steps: list[tupl
     return out
 
 
+def fitted_sigmoid(points: list[tuple[float, float]], rounds: int = 50) -> Callable[[Column], Column]:
+    """A falling sigmoid through (distance, score) pairs, scores from 0 to 1, fitted
+    by least squares; it is 0 beyond the largest distance."""
+    import numpy as np
+
+    x, y = np.array(points, float).T
+    z = np.log(np.clip(y, 1e-3, 1 - 1e-3) / (1 - np.clip(y, 1e-3, 1 - 1e-3)))
+    slope, shift = np.polyfit(x, z, 1) if len(set(x)) > 1 else (0.0, z.mean())
+    for _ in range(rounds):  # Gauss and Newton from the line through the logits
+        p = 1 / (1 + np.exp(-(slope * x + shift)))
+        j = np.column_stack([p * (1 - p) * x, p * (1 - p)])
+        step = np.linalg.lstsq(j, y - p, rcond=None)[0]
+        if ((y - 1 / (1 + np.exp(-((slope + step[0]) * x + shift + step[1])))) ** 2).sum() >= ((y - p) ** 2).sum():
+            break
+        slope, shift = slope + step[0], shift + step[1]
+    return lambda d: F.when(d <= float(x.max()), 1 / (1 + F.exp(-(d * float(slope) + float(shift))))).otherwise(0.0)
+
+
 def latencies(times: DataFrame, by: list[str], ms: str = "ms") -> DataFrame:
     q = F.percentile(ms, F.array(F.lit(0.5), F.lit(0.95)))
     out = times.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(ms).alias("mean_ms"), q.alias("q"), F.min(ms).alias("min_ms"), F.max(ms).alias("max_ms"), F.sum(ms).alias("total_ms"))

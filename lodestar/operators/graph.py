@@ -606,12 +606,15 @@ def bucket_width(ef: Column, mean: Column, tau: Column, gammas: Column, buckets:
 class _Beam:
     """The nearest ``width`` candidates, popped or not, in order."""
 
-    def __init__(self, width: int):
-        self.width, self.rows, self.open = width, [], []
+    def __init__(self, width: int, unbounded: bool = False):
+        self.width, self.rows, self.open, self.unbounded, self.full = width, [], [], unbounded, False
 
     def push(self, d: float, i: int) -> None:
         if len(self.rows) >= self.width:
+            self.full = True  # some candidates have no room
             if d >= self.rows[-1][0]:
+                if self.unbounded:
+                    heapq.heappush(self.open, (d, i))
                 return
             self.rows.pop()
         bisect.insort(self.rows, (d, i))
@@ -620,7 +623,7 @@ class _Beam:
     def pop(self):
         while self.open:
             d, i = heapq.heappop(self.open)
-            if self.rows and (d, i) <= self.rows[-1]:  # else it has been pushed out
+            if self.unbounded or self.rows and (d, i) <= self.rows[-1]:  # else it has been pushed out
                 return d, i
         return None
 
@@ -633,7 +636,7 @@ class _Beam:
 
 
 TRACE = "array<struct<step:int,node:bigint,beam:int,is_full:boolean,full_pops:int,unvisited:int,accepted:int,cfr:double,cfr_smoothed:double,popped_dist:double,furthest_dist:double,best_dist:double,kth_dist:double,hits:int>>"
-FOUND = f"qid long, shard int, ids array<long>, dists array<double>, ndis long, nhops long, full_pops long, window_obs long, cfr_mean double, effective_ef int, first_hit int, trace {TRACE}"
+FOUND = f"qid long, shard int, ids array<long>, dists array<double>, ndis long, nhops long, full_pops long, window_obs long, cfr_mean double, effective_ef int, first_hit int, ended string, trace {TRACE}"
 
 
 @dataclass(frozen=True)
@@ -644,7 +647,11 @@ class Walk:
     with the walk's features; ``predict`` is asked once, after ``after``
     distances, for the budget; ``allowed`` says which ids may be hits;
     ``entries`` are ids at which the lowest level is entered, in place of the
-    way down."""
+    way down, in one beam or, if ``separate``, in a beam for each of them;
+    ``unbounded`` keeps candidates that the beam has no room for in the queue.
+
+    A walk has ``ended`` by its "width" if the beam was nearer than all that was
+    left, "exhausted" if nothing was left, or by its "budget" or a "stop"."""
 
     k: int = 10
     ef: int = 64
@@ -660,6 +667,8 @@ class Walk:
     after: int = 0
     predict: Callable[[dict], float] | None = None
     entries: tuple[int, ...] = ()
+    separate: bool = False
+    unbounded: bool = False
 
 
 def features(ndis: int, hops: int, inserted: int, first: float, results: list[float]) -> dict:
@@ -677,13 +686,15 @@ def walk(g: Graph, q, w: Walk, hidden: int = -1, wanted: frozenset = frozenset()
     hits is reported as ``first_hit``."""
     import numpy as np
 
+    if w.separate and len(w.entries) > 1:
+        return _merged([walk(g, q, replace(w, entries=(e,), separate=False), hidden, wanted) for e in w.entries], w, metric(g.metric).larger_is_better)
     a, n = w.adaptive, len(g.ids)
     width = max(w.ef, 1, w.k)
     entry, level = g.entry, len(g.links) - 1
     if entry == hidden:
         left = [(lv, i) for lv, links in enumerate(g.links) for i in np.flatnonzero((links >= 0).any(axis=1)).tolist() if i != hidden]
         level, entry = max(left, default=(0, next((i for i in range(n) if i != hidden), -1)), key=lambda x: (x[0], -x[1]))
-    out = {"ids": [], "dists": [], "ndis": 0, "nhops": 0, "full_pops": 0, "window_obs": 0, "cfr_mean": None, "effective_ef": width, "first_hit": None, "trace": [] if w.trace else None}
+    out = {"ids": [], "dists": [], "ndis": 0, "nhops": 0, "full_pops": 0, "window_obs": 0, "cfr_mean": None, "effective_ef": width, "first_hit": None, "ended": "exhausted", "trace": [] if w.trace else None}
     if entry < 0:
         return out
     start = [i for i in np.flatnonzero(np.isin(g.ids, w.entries)).tolist() if i != hidden] if w.entries else [entry]
@@ -711,7 +722,7 @@ def walk(g: Graph, q, w: Walk, hidden: int = -1, wanted: frozenset = frozenset()
     seen[start] = True
     if hidden >= 0:
         seen[hidden] = True
-    beam, first, inserted, budget = _Beam(width), min(d_start), 0, w.budget
+    beam, first, inserted, budget = _Beam(width, w.unbounded), min(d_start), 0, w.budget
     hits: list[tuple[float, int]] = []  # a heap of (-distance, -id), the worst first
     within: list[tuple[float, int]] = []
     ok = w.allowed
@@ -742,6 +753,7 @@ def walk(g: Graph, q, w: Walk, hidden: int = -1, wanted: frozenset = frozenset()
     while (popped := beam.pop()) is not None:
         d, node = popped
         if beam.below(d) >= limit:
+            out["ended"] = "width"
             break
         hops += 1
         is_full, cfr = len(beam.rows) >= limit, math.nan
@@ -776,17 +788,36 @@ def walk(g: Graph, q, w: Walk, hidden: int = -1, wanted: frozenset = frozenset()
         if w.predict is not None and budget is None and ndis >= w.after:
             budget = w.predict(features(ndis, hops, inserted, first, [-x for x, _ in hits]))
         if budget is not None and ndis >= budget:
+            out["ended"] = "budget"
             break
         if w.stop is not None and w.interval and ndis - asked >= w.interval:
             asked = ndis
             if w.stop(features(ndis, hops, inserted, first, [-x for x, _ in hits])):
+                out["ended"] = "stop"
                 break
+    if out["ended"] == "exhausted" and (beam.full or limit < width):
+        out["ended"] = "width"
     best = sorted(within) if w.radius is not None else sorted((-x, -i) for x, i in hits)
     sign = -1 if metric(g.metric).larger_is_better else 1
     return out | {"ids": [i for _, i in best], "dists": [sign * x for x, _ in best], "ndis": ndis, "nhops": hops, "full_pops": full, "window_obs": window,
                   "cfr_mean": total / window if window else None, "effective_ef": limit}
 
 
+def _merged(walks: list[dict], w: Walk, larger: bool) -> dict:
+    """Walks from several entries as one: their hits together, what they did added
+    up."""
+    near: dict[int, float] = {}
+    for x in walks:
+        for d, i in zip(x["dists"], x["ids"]):
+            near[i] = min(near.get(i, math.inf), -d if larger else d)
+    best = sorted((d, i) for i, d in near.items())
+    best = best if w.radius is not None else best[: w.k]
+    means = [x["cfr_mean"] for x in walks if x["cfr_mean"] is not None]
+    total = {k: sum(x[k] for x in walks) for k in ("ndis", "nhops", "full_pops", "window_obs")}
+    return total | {"ids": [i for _, i in best], "dists": [-d if larger else d for d, _ in best], "cfr_mean": sum(means) / len(means) if means else None, "effective_ef": max(x["effective_ef"] for x in walks),
+                    "first_hit": None, "ended": walks[-1]["ended"], "trace": [t for x in walks for t in x["trace"]] if w.trace else None}
+
+
 def search(queries: DataFrame, index: DataFrame, w: Walk = Walk(), wanted: DataFrame | None = None, routes: DataFrame | None = None) -> DataFrame:
     """Walk the shards for the queries: a row for each with its hits and what the
     walk did. ``queries`` is (qid, qv); ``wanted`` is (qid, ids). A query's own ef
@@ -849,6 +880,13 @@ def stats(found: DataFrame) -> DataFrame:
     return found.groupBy("qid").agg(F.sum("ndis").alias("ndis"), F.sum("nhops").alias("nhops"), F.sum("full_pops").alias("full_pops"), F.avg("cfr_mean").alias("cfr_mean"), F.max("effective_ef").alias("effective_ef"))
 
 
+def lists_of(index: DataFrame) -> DataFrame:
+    """The rows of an index as inverted lists ``(id, embedding, list_no)``, by the
+    routes of its shards."""
+    rows = members(index).join(index.select("shard", F.col("route").alias("list_no")), "shard").select("id", "list_no")
+    return vectors_of(index).join(rows, "id")
+
+
 def steps(found: DataFrame) -> DataFrame:
     """The trace as rows."""
     return found.select("qid", "shard", F.explode("trace").alias("t")).select("qid", "shard", "t.*")

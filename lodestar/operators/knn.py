@@ -6,6 +6,8 @@ the base before the search is the selector of a filtered search."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -210,6 +212,31 @@ def hamming_counts(queries: DataFrame, base: DataFrame, threshold: int) -> DataF
     return range_search(queries, base, threshold + 1, HAMMING).groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
 
 
+def hamming_matches(queries: DataFrame, base: DataFrame, threshold: int) -> DataFrame:
+    """``(qid, id, dist)`` of the codes within the threshold, it included."""
+    return hamming_range(queries, base, threshold + 1)
+
+
+def handled(queries: DataFrame, base: DataFrame, handler: Callable, schema: str, name: str = "l2", p: float | None = None) -> DataFrame:
+    """A search whose results are whatever ``handler(query ids, ids, distances)``
+    makes of each tile, a dict of the columns of ``schema``: what it needs from
+    several tiles has to be put together afterwards."""
+    m = metric(name)
+    return tiles(queries, base, lambda qids, q, ids, b: handler(qids, ids, m.tile(q, b, p)), schema)
+
+
+def distance_rows(queries: DataFrame, base: DataFrame, name: str = "l2", p: float | None = None) -> DataFrame:
+    """The matrix of all distances, a row for each query: ``(qid, distances)`` in
+    the order of the base's ids. For bases whose distances fit in a row."""
+    def kernel(qids, ids, d):
+        import numpy as np
+
+        return {"qid": np.repeat(qids, len(ids)), "id": np.tile(ids, len(qids)), "dist": d.ravel()}
+
+    found = handled(queries, base, kernel, HITS, name, p)
+    return found.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("id", "dist"))).alias("x")).select("qid", F.col("x.dist").alias("distances"))
+
+
 def nearest_on_line(queries: DataFrame, base: DataFrame) -> DataFrame:
     """The nearest scalar for each query scalar, by one sort: queries
     ``(qid, x)``, base ``(id, x)``. Ties go to the smaller value, then id.

@@ -220,7 +220,8 @@ class Index:
     """A built index. ``codes`` has ``(id, list_no, code)``, a code as few bytes as
     its codec needs; ``blocks`` are the same packed by list, if there are lists. A
     code is of the vector, or, if ``residual``, of its difference from its list's
-    centroid."""
+    centroid. If ``independent``, lists are those of the vectors as they were given,
+    and only what the codes keep is moved."""
 
     spec: Spec
     name: str
@@ -229,6 +230,7 @@ class Index:
     width: int = 0
     coarse: Centroids | Cells | None = None
     residual: bool = False
+    independent: bool = False
     codes: DataFrame | None = None
     blocks: DataFrame | None = None
     graphs: DataFrame | None = None
@@ -243,9 +245,10 @@ class Index:
         return vectors.toDF("id", "embedding")
 
     def coded(self, vectors: DataFrame) -> DataFrame:
-        """``(id, list_no, code)`` of vectors that the transforms have moved."""
-        codec, coarse, residual = self.codec, self.coarse, self.residual
-        shared = vectors.sparkSession.sparkContext.broadcast((codec, coarse))
+        """``(id, list_no, code)`` of vectors that the transforms have moved, or, if
+        lists are independent of them, have yet to move."""
+        residual, transforms = self.residual, self.transforms if self.independent else []
+        shared = vectors.sparkSession.sparkContext.broadcast((self.codec, self.coarse))
 
         def run(batches):
             import numpy as np
@@ -256,6 +259,8 @@ class Index:
                 if batch.num_rows:
                     v = ivf.matrix_of(batch.column(1))
                     where = coarse.assign(v) if coarse else np.zeros(len(v), np.int64)
+                    for t in transforms:
+                        v = t(v)
                     codes = codec.row_bytes(codec.encode(v - coarse.centroid(where) if residual else v))
                     yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(where.astype(np.int32)), pa.array(codes, pa.binary())], names=["id", "list_no", "code"])
 
@@ -295,7 +300,7 @@ class Index:
 
     def chosen(self, queries: DataFrame, nprobe: int, max_codes: int | None = None) -> DataFrame:
         """The lists that a search of ``queries`` scans."""
-        found = self.coarse.probes(self.moved(queries).toDF("qid", "qv"), nprobe)
+        found = self.coarse.probes((queries if self.independent else self.moved(queries)).toDF("qid", "qv"), nprobe)
         return found if max_codes is None else ivf.limited_probes(found, self.blocks, max_codes)
 
     def _hits(self, q: DataFrame, kernel, chosen: DataFrame | None) -> DataFrame:
@@ -354,12 +359,12 @@ class Index:
         if self.graphs is not None or self.copies is not None:
             raise ValueError(f"{self.spec} takes no more rows")
         rows = vectors.toDF("id", "embedding")
-        new = materialize(self.coded(self.moved(rows)), "codes")
+        new = materialize(self.coded(rows if self.independent else self.moved(rows)), "codes")
         out = replace(self, codes=self.codes.unionByName(new))
         if self.blocks is not None:
             out.blocks = self.blocks.unionByName(materialize(ivf.list_blocks(new, "code"), "blocks"))
         if self.refine_codes is not None:
-            out.refine_codes = self.refine_codes.unionByName(materialize(replace(self, codec=self.refine_codec, coarse=None, residual=False).coded(rows), "refine"))
+            out.refine_codes = self.refine_codes.unionByName(materialize(replace(self, codec=self.refine_codec, coarse=None, residual=False, independent=False).coded(rows), "refine"))
         if self.base is not None:
             out.base = self.base.unionByName(rows)
         return out
@@ -410,7 +415,7 @@ TABLES = ("codes", "blocks", "graphs", "copies", "refine_codes", "base")
 def _meta(index: Index) -> bytes:
     from pyspark import cloudpickle
 
-    return cloudpickle.dumps((index.spec, index.name, index.transforms, index.codec, index.width, index.coarse, index.residual, index.refine_codec, tuple(n for n in TABLES if getattr(index, n) is not None)))
+    return cloudpickle.dumps((index.spec, index.name, index.transforms, index.codec, index.width, index.coarse, index.residual, index.independent, index.refine_codec, tuple(n for n in TABLES if getattr(index, n) is not None)))
 
 
 def load(spark: SparkSession, path: str) -> Index:
@@ -418,8 +423,8 @@ def load(spark: SparkSession, path: str) -> Index:
     folders that you trust."""
     from pyspark import cloudpickle
 
-    spec, name, transforms, codec, width, coarse, residual, refine, tables = cloudpickle.loads(bytes(spark.read.parquet(f"{path}/trained").first().trained))
-    return Index(spec, name, transforms, codec, width, coarse, residual, refine_codec=refine, **{n: spark.read.parquet(f"{path}/{n}") for n in tables})
+    spec, name, transforms, codec, width, coarse, residual, independent, refine, tables = cloudpickle.loads(bytes(spark.read.parquet(f"{path}/trained").first().trained))
+    return Index(spec, name, transforms, codec, width, coarse, residual, independent, refine_codec=refine, **{n: spark.read.parquet(f"{path}/{n}") for n in tables})
 
 
 def _elements(codec: codecs.RowCodec, codes: DataFrame) -> int:
@@ -470,11 +475,14 @@ def _transform(step: Step, rows: DataFrame):
     return {"ITQ": lambda: codecs.itq(rows, d), "RR": lambda: codecs.random_rotation(width, d), "HR": lambda: codecs.hadamard_rotation(width), "Pad": lambda: _padded(d), "L2norm": lambda: _unit}[step.kind]()
 
 
-def build(base: DataFrame, text: str, name: str = "l2") -> Index:
+def build(base: DataFrame, text: str, name: str = "l2", independent: bool = False) -> Index:
     """Train and fill the index that ``text`` names over ``(id, embedding)``.
-    Strings that name what isn't built are a ValueError."""
+    Strings that name what isn't built are a ValueError. With ``independent``,
+    lists are made of the vectors before the transforms."""
     spec = parse(text)
     kind = spec.codec.kind
+    if independent and (not spec.coarse or kind == "FlatDedup"):
+        raise ValueError(f"{text!r} has no lists that could be independent")
     if kind == "RaBitQ" and name not in ("l2", "ip"):
         raise ValueError(f"no estimates of {name}")
     given = base.toDF("id", "embedding")
@@ -500,24 +508,32 @@ def build(base: DataFrame, text: str, name: str = "l2") -> Index:
         rows = rows.join(index.copies.select(F.col("representative").alias("id")).distinct(), "id").select("id", "embedding")
     v = codecs.sample(rows)
     if spec.coarse:
-        index.coarse = _coarse_of(spec.coarse, rows, name, spark)
-        index.residual = name in ("l2", "ip") and kind in ("PQ", "RQ", "LSQ", "SQ", "RaBitQ", "LSH") and spec.codec.options.get("type") not in ("fp16", "bf16")
+        index.coarse, index.independent = _coarse_of(spec.coarse, given if independent else rows, name, spark), independent
+        index.residual = not independent and name in ("l2", "ip") and kind in ("PQ", "RQ", "LSQ", "SQ", "RaBitQ", "LSH") and spec.codec.options.get("type") not in ("fp16", "bf16")
         v = v - index.coarse.centroid(index.coarse.assign(v)) if index.residual else v
     index.codec = _codec_of(spec.codec, v)
-    index.codes = materialize(index.coded(rows), "codes")
+    index.codes = materialize(index.coded(given if independent else rows), "codes")
     index.width = _elements(index.codec, index.codes)
     if spec.coarse:
         index.blocks = materialize(ivf.list_blocks(index.codes, "code"), "blocks")
     return index
 
 
+def _centroids(rows: DataFrame, n: int):
+    """n centroids, trained on the codecs' sample while that has enough rows for
+    each, else on all rows."""
+    if n * cluster.POINTS_PER_CENTROID <= codecs.TRAIN_ROWS:
+        return codecs.lloyd(codecs.sample(rows), n, 10, 1234)
+    return cluster.kmeans(rows, cluster.KMeans(n, 10, init="hash"))[0]
+
+
 def _coarse_of(step: Step, rows: DataFrame, name: str, spark: SparkSession) -> Centroids | Cells:
     n = step.options["n"]
     if step.kind == "IMI2x":
         d = len(rows.first().embedding) // 2
-        half = lambda a, b: cluster.kmeans(rows.select("id", F.expr(f"slice(embedding, {a + 1}, {b})").alias("embedding")), cluster.KMeans(1 << n, 10, init="hash"))[0]
+        half = lambda a, b: _centroids(rows.select("id", F.expr(f"slice(embedding, {a + 1}, {b})").alias("embedding")), 1 << n)
         return Cells([half(0, d), half(d, 1 << 20)], name)
-    c, _ = cluster.kmeans(rows, cluster.KMeans(n, 10), "l2")
+    c = _centroids(rows, n)
     out = Centroids(c, name)
     if "m" in step.options:
         m = step.options["m"] or 32

@@ -980,3 +980,226 @@ def uniform_probes(spark, sf_dir):
     n = p.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     inside = F.col("used_fallback") | F.col("lid").between(F.col("bucket_lower"), F.col("bucket_upper"))
     return p.join(n, "id").select("selection_rank", (inside & (F.col("n") == 1)).alias("within"), (F.col("bucket_lower") < F.col("bucket_upper")).alias("ordered"))
+
+
+# --- more searches, runs and analyses ---
+
+@query(f"{sql_hits(_BITS, where='b.id <> q.qid')} SELECT qid, id, dist FROM h WHERE dist <= 24")
+def hamming_matches(spark, sf_dir):
+    codes = _binary(spark, sf_dir)
+    q = codes.where("id % 100 = 0").toDF("qid", "qv")
+    return knn.hamming_matches(q, codes.toDF("id", "embedding"), 24).where("qid <> id")
+
+
+@query(f"{sql_hits(_BITS, where='b.id % 3 <> 1')}, {sql_top()} SELECT qid, rank, id, dist FROM r")
+def binary_flat_changes(spark, sf_dir):
+    """Codes added to others, of which some are removed."""
+    from lodestar.operators.filters import removed
+
+    codes = _binary(spark, sf_dir).toDF("id", "embedding")
+    both = merge.union([codes.where("id % 2 = 0"), codes.where("id % 2 = 1")])
+    return knn.hamming_knn(queries_of(codes), removed(both, codes.where("id % 3 = 1").select("id")), 10)
+
+
+@query(f"{sql_hits(where='true')} SELECT qid, radius, count(*)::BIGINT AS n FROM h, (VALUES (0.5::DOUBLE), (1.0::DOUBLE), (1.5::DOUBLE), (2.0::DOUBLE)) AS t(radius) WHERE dist < radius GROUP BY qid, radius")
+def handled_counts(spark, sf_dir):
+    """A search with a handler of its own: hits within several radii at once."""
+    def handler(qids, ids, d):
+        import numpy as np
+
+        radii = np.array([0.5, 1.0, 1.5, 2.0])
+        n = (d[:, :, None] < radii).sum(axis=1)
+        return {"qid": np.repeat(qids, 4), "radius": np.tile(radii, len(qids)), "n": n.ravel()}
+
+    base = base_of(spark, sf_dir)
+    found = knn.handled(queries_of(base), base, handler, "qid long, radius double, n long")
+    return found.groupBy("qid", "radius").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+@query(f"{sql_hits(where='true')} SELECT qid, count(*)::INT AS n, round(min(dist), 5) + 0.0 AS least, round(sum(dist), 3) AS total, round(arg_max(dist, id), 5) + 0.0 AS last FROM h GROUP BY qid")
+def distance_matrix(spark, sf_dir):
+    base = base_of(spark, sf_dir)
+    d = F.col("distances")
+    return knn.distance_rows(queries_of(base), base).select("qid", F.size(d).alias("n"), (F.round(F.array_min(d), 5) + 0.0).alias("least"), F.round(F.aggregate(d, F.lit(0.0), lambda a, x: a + x), 3).alias("total"), (F.round(F.element_at(d, -1), 5) + 0.0).alias("last"))
+
+
+@query(_EXACT)
+def lists_of_a_graph(spark, sf_dir):
+    """The shards of a routed graph as inverted lists, all of which are searched."""
+    base = base_of(spark, sf_dir)
+    c, _ = cluster.kmeans(base, cluster.KMeans(6, 3))
+    c, q = cluster.centroid_frame(spark, c), queries_of(base)
+    lists = materialize(graph.lists_of(materialize(graph.build(base, "l2", centroids=c), "graph")), "lists")
+    return result(ivf.search(q, c, lists, 10, 6))
+
+
+@query(_BY_COSINE)
+def hnsw_unbounded(spark, sf_dir):
+    """Walks whose queue keeps what the beam has no room for."""
+    return _walked(*_graph(spark, sf_dir), unbounded=True)
+
+
+@query(_BY_COSINE)
+def hnsw_separate_beams(spark, sf_dir):
+    """A beam for each of three entries."""
+    return _walked(*_graph(spark, sf_dir), entries=(2, 11, 37), separate=True)
+
+
+@query("SELECT kind, count(*)::BIGINT AS n FROM embeddings, (VALUES ('budget'), ('exhausted'), ('stop'), ('width')) AS t(kind) WHERE vec_id % 100 = 0 GROUP BY kind")
+def walks_by_end(spark, sf_dir):
+    """Walks that end by each of the four reasons, and say so."""
+    base, index = _graph(spark, sf_dir)
+    out = None
+    for kind, options in {"budget": {"budget": 100}, "exhausted": {"ef": 1 << 20}, "stop": {"interval": 50, "stop": lambda f: True}, "width": {"ef": 16}}.items():
+        found = graph.search(queries_of(base), index, graph.Walk(**{"k": 10, "ef": 256, "hide_self": True, **options}))
+        out = found.select("ended") if out is None else out.unionAll(found.select("ended"))
+    return out.groupBy(F.col("ended").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(sql_looked_over("adaptive"))
+def adaptive_hits(spark, sf_dir):
+    """The hits alone of adaptive walks."""
+    base, index = _graph(spark, sf_dir)
+    q = queries_of(base)
+    found = graph.hits(graph.search(q, index, graph.Walk(k=10, ef=128, adaptive=_ADAPTIVE, hide_self=True)), 10, "cosine")
+    return looked_over(found, base, knn.knn(q, base, 10, "cosine", exclude_self=True), 10, 0.8, "adaptive")
+
+
+@query(sql_looked_over("independent"))
+def index_with_independent_lists(spark, sf_dir):
+    """Lists of the vectors, codes of their 48 first components."""
+    base = base_of(spark, sf_dir)
+    q = queries_of(base)
+    index = factory.build(base, "PCA48,IVF16,SQ8", independent=True)
+    return looked_over(index.search(q, 10, nprobe=8), base, knn.knn(q, base, 10), 10, 0.4, "independent")
+
+
+@query("SELECT index, code_bytes, true AS enough, true AS ordered FROM (VALUES ('IVF16,Flat', 257), ('IVF16,SQ8', 65), ('PQ16x6', 12)) AS t(index, code_bytes)")
+def indexes_compared(spark, sf_dir):
+    """Three indexes over their parameters: the best recall of each, and that
+    points with more recall take more time."""
+    base = base_of(spark, sf_dir)
+    q = queries_of(base)
+    truth = materialize(knn.knn(q, base, 10), "truth")
+    points = sweep.compared(base, q, ["IVF16,Flat", "IVF16,SQ8", "PQ16x6"], truth, most=4)
+    w = Window.partitionBy("index").orderBy("recall")
+    falls = points.withColumn("less", F.lag("seconds").over(w) > F.col("seconds"))
+    floor = F.when(F.col("index") == "PQ16x6", 0.5).otherwise(0.95)
+    return falls.groupBy("index", "code_bytes").agg((F.max("recall") >= F.first(floor)).alias("enough"), (F.count_if("less") == 0).alias("ordered"))
+
+
+@query("SELECT status, true AS same FROM (VALUES ('miss'), ('hit'), ('rebuilt')) AS t(status)")
+def policy_cache(spark, sf_dir):
+    """A policy built where there is none, read again, and built anew for other
+    settings."""
+    path = f"{_folder(spark)}/policy"
+    make = lambda: calibrate.routes(spark.createDataFrame([(64,), (128,)], "ef int"))
+    want, out = sorted(map(tuple, make().collect())), []
+    for settings in ({"k": 10}, {"k": 10}, {"k": 20}):
+        policy, status = calibrate.load_or_build(spark, settings, path, make)
+        out.append((status, sorted(map(tuple, policy.collect())) == want))
+    return spark.createDataFrame(out, "status string, same boolean")
+
+
+#: Traces made of tables: for each of some orders, true hits held at steps by line.
+_TRACES = "t AS (SELECT l_orderkey AS qid, l_linenumber::INT AS step, least(10, floor(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / 10))::INT AS found FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) WHERE l_orderkey % 20 = 0)"
+
+
+def _traces(spark, sf_dir):
+    order = ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    first = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*order))
+    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0").withColumn("nth", first).where("nth = 1")
+    so_far = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey").rowsBetween(Window.unboundedPreceding, 0)
+    found = F.least(F.lit(10), F.floor(F.sum("l_quantity").over(so_far) / 10)).cast("int")
+    return rows.select(F.col("l_orderkey").alias("qid"), F.col("l_linenumber").cast("int").alias("step"), found.alias("found"))
+
+
+@query(f"WITH {_TRACES}, n AS (SELECT *, found - coalesce(lag(found) OVER (PARTITION BY qid ORDER BY step), 0) AS new FROM t) SELECT qid, ((step - 1) // 2)::INT AS window, sum(new)::BIGINT AS found, max(step)::INT AS last FROM n GROUP BY 1, 2")
+def hits_in_windows(spark, sf_dir):
+    return calibrate.hits_in_windows(_traces(spark, sf_dir), 2)
+
+
+@query(f"WITH {_TRACES}, s AS (SELECT qid, max(step) // 2 AS stopped FROM t GROUP BY qid), f AS (SELECT qid, min(step) AS first FROM t WHERE found >= 8 GROUP BY qid) SELECT qid, stopped::INT AS stopped, CASE WHEN first IS NOT NULL THEN greatest(0, first - stopped) ELSE -1 END::INT AS more FROM s LEFT JOIN f USING (qid)")
+def recovery_budgets(spark, sf_dir):
+    """Steps that were missing to eight true hits, -1 where they are never found."""
+    t = _traces(spark, sf_dir)
+    out = calibrate.recovery_budget(t, t.groupBy("qid").agg(F.floor(F.max("step") / 2).cast("int").alias("stopped")), 8)
+    return out.select("qid", "stopped", F.coalesce("more", F.lit(-1)).cast("int").alias("more"))
+
+
+@query(f"WITH {_TRACES}, s AS (SELECT qid, max(step) // 2 AS stopped, max(found) AS most FROM t GROUP BY qid), a AS (SELECT t.qid, max(found) AS held FROM t JOIN s USING (qid) WHERE step <= stopped GROUP BY t.qid) SELECT qid, round(coalesce(held, 0) / 10.0::DOUBLE, 6) AS recall, round(most / 10.0::DOUBLE, 6) AS full_recall, round((most - coalesce(held, 0)) / 10.0::DOUBLE, 6) AS lost FROM s LEFT JOIN a USING (qid)")
+def replayed_stops(spark, sf_dir):
+    t = _traces(spark, sf_dir)
+    out = calibrate.replayed(t, t.groupBy("qid").agg(F.floor(F.max("step") / 2).alias("stopped")), 10)
+    return out.select("qid", *(F.round(c, 6).alias(c) for c in ("recall", "full_recall", "lost")))
+
+
+@query("WITH a AS (SELECT DISTINCT o_custkey FROM orders WHERE o_totalprice > 200000), b AS (SELECT c_custkey FROM customer WHERE c_acctbal > 5000) SELECT (SELECT count(*) FROM a)::BIGINT AS first, (SELECT count(*) FROM b)::BIGINT AS second, (SELECT count(*) FROM a JOIN b ON o_custkey = c_custkey)::BIGINT AS both, round((SELECT count(*) FROM a JOIN b ON o_custkey = c_custkey) / (SELECT count(*) FROM (SELECT o_custkey FROM a UNION SELECT c_custkey FROM b))::DOUBLE, 6) AS jaccard")
+def analyses_overlap(spark, sf_dir):
+    a = table(spark, sf_dir, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("qid"))
+    b = table(spark, sf_dir, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("qid"))
+    return calibrate.overlap(a, b).select("first", "second", "both", F.round("jaccard", 6).alias("jaccard"))
+
+
+@query("WITH r AS (SELECT o_custkey AS qid, (o_orderkey % 3) * 64 + 64 AS ef, o_custkey % 4 * 32 + 32 AS effective_ef, CASE WHEN o_custkey % 5 < 2 THEN 'easy' ELSE 'hard' END AS g FROM orders), n AS (SELECT ef, g, effective_ef, count(*)::BIGINT AS n FROM r GROUP BY ALL) SELECT ef::INT AS ef, g AS \"group\", effective_ef::INT AS effective_ef, n, round(n / sum(n) OVER (PARTITION BY ef, g)::DOUBLE, 6) AS share FROM n")
+def route_mixes(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    runs = o.select(F.col("o_custkey").alias("qid"), ((F.col("o_orderkey") % 3) * 64 + 64).cast("int").alias("ef"), F.lit("adaptive").alias("method"), (F.col("o_custkey") % 4 * 32 + 32).cast("int").alias("effective_ef"))
+    groups = o.select(F.col("o_custkey").alias("qid")).distinct().withColumn("group", F.when(F.col("qid") % 5 < 2, "easy").otherwise("hard"))
+    return calibrate.route_mix(runs, groups).select("ef", "group", "effective_ef", "n", F.round("share", 6).alias("share"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(CASE WHEN l_discount <= 0.02 THEN 1 - (greatest(l_discount, 0) - 0) * 25 * 0.4 WHEN l_discount <= 0.08 THEN 0.8 - (l_discount - 0.02) * 10 ELSE 0 END, 6) AS weight FROM (SELECT l_orderkey, l_linenumber, l_discount FROM lineitem)")
+def range_weights(spark, sf_dir):
+    """Scores of distances along steps."""
+    w = evaluate.range_weight(F.col("l_discount"), steps=[(0.0, 1.0), (0.02, 0.8), (0.08, 0.2)])
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(w, 6).alias("weight"))
+
+
+@query("SELECT i, round(CASE WHEN i <= 10 THEN 1 / (1 + exp(i - 5)) ELSE 0 END, 6) AS weight FROM (SELECT unnest(range(15))::INT AS i)")
+def sigmoid_weights(spark, sf_dir):
+    """The sigmoid that eleven points lie on, found again."""
+    import math
+
+    f = evaluate.fitted_sigmoid([(x, 1 / (1 + math.exp(x - 5))) for x in range(11)])
+    return spark.range(15).select(F.col("id").cast("int").alias("i"), F.round(f(F.col("id").cast("double")), 6).alias("weight"))
+
+
+@query("SELECT n_name AS name, count(*)::BIGINT AS customers, true AS listed FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+def summary_tables(spark, sf_dir):
+    """A summary as CSV and as Markdown, read again."""
+    path = _folder(spark)
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("name")).agg(F.count(F.lit(1)).alias("customers"))
+    datasets.write_summary(rows, path, ["name"])
+    back = spark.read.schema(rows.schema).csv(f"{path}/summary.csv", header=True)
+    lines = spark.read.text(f"{path}/summary.md").select(F.col("value").alias("line"), F.lit(True).alias("listed"))
+    return back.join(lines, F.col("line") == F.concat(F.lit("| "), "name", F.lit(" | "), F.col("customers").cast("string"), F.lit(" |")), "left").select("name", "customers", "listed")
+
+
+@query("SELECT label AS list_no, count(*)::BIGINT AS n, min(vec_id) AS least, max(vec_id) AS most FROM embeddings GROUP BY label")
+def streamed_slices(spark, sf_dir):
+    """The embeddings as a stream of four files, appended batch by batch as slices
+    and counted by label."""
+    from lodestar.streaming import ingest
+
+    path = _folder(spark)
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("list_no"))
+    rows.repartition(4, "id").write.parquet(f"{path}/arriving")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/arriving")
+    ingest.append(stream, f"{path}/base", f"{path}/checkpoint").awaitTermination()
+    base = spark.read.parquet(f"{path}/base")
+    return ingest.latest(base).groupBy("list_no").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.max("id").alias("most"))
+
+
+@query(_OTHERS)
+def streamed_queries(spark, sf_dir):
+    """Queries that arrive as a stream, and what was found for them."""
+    from lodestar.streaming import ingest
+
+    path, base = _folder(spark), base_of(spark, sf_dir)
+    q = queries_of(base).withColumn("qv", F.col("qv").cast("array<double>"))
+    q.repartition(3).write.parquet(f"{path}/arriving")
+    stream = spark.readStream.schema(q.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/arriving")
+    ingest.searched(stream, base, 11, f"{path}/found", f"{path}/checkpoint").awaitTermination()
+    found = spark.read.parquet(f"{path}/found").where("qid <> id").select("qid", "id", "dist")
+    return result(knn.top(found, 10))

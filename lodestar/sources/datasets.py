@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -127,6 +128,28 @@ def query_subset(vectors: DataFrame, ids: DataFrame, id: str = "id") -> DataFram
     return vectors.join(ids.select(id).distinct(), id, "left_semi")
 
 
+def index_path(root: str, dataset: str, index: str, **settings) -> str:
+    """Where an index of a dataset lies: the same settings, the same path."""
+    safe = lambda x: re.sub(r"[^A-Za-z0-9._-]+", "_", str(x))
+    name = "-".join([safe(index), *(f"{k}{safe(v)}" for k, v in sorted(settings.items()))])
+    return f"{root.rstrip('/')}/{safe(dataset)}/{name}"
+
+
+def write_summary(rows: DataFrame, path: str, order: list[str], digits: int = 4) -> None:
+    """A summary table, of a few rows, as ``summary.csv`` and ``summary.md``."""
+    ordered = rows.orderBy(*order)
+    ordered.coalesce(1).write.mode("overwrite").csv(f"{path}/summary.csv", header=True)
+    shown = lambda x: "" if x is None else f"{x:.{digits}f}" if isinstance(x, float) else str(x).replace("|", "\\|")
+    lines = [f"| {' | '.join(rows.columns)} |", "|" + "---|" * len(rows.columns)] + [f"| {' | '.join(map(shown, r))} |" for r in ordered.collect()]
+    spark = rows.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/summary.md")
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(("\n".join(lines) + "\n").encode())
+    finally:
+        out.close()
+
+
 def replace_rows(spark: SparkSession, path: str, rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """A CSV table with the rows of ``rows`` in place of those with their keys,
     sorted; writes a new table at the path and returns it."""

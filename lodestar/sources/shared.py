@@ -69,3 +69,27 @@ def _remove(spark: SparkSession, folders: list[str]) -> None:
     for folder in folders:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def within(spark: SparkSession, seconds: float, make: Callable[[], object]):
+    """What ``make`` returns, if it does so in time; else its jobs are cancelled and
+    it is a TimeoutError."""
+    group, late = f"lodestar-{uuid.uuid4().hex}", threading.Event()
+    context = spark.sparkContext
+
+    def cancel():
+        late.set()
+        context.cancelJobGroup(group)
+
+    context.setJobGroup(group, f"at most {seconds} s", True)
+    timer = threading.Timer(seconds, cancel)
+    timer.start()
+    try:
+        return make()
+    except Exception as e:
+        if late.is_set():
+            raise TimeoutError(f"it took more than {seconds} s") from e
+        raise
+    finally:
+        timer.cancel()
+        context._jsc.clearJobGroup()

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.operators.blocks import BROADCAST_BYTES
+from lodestar.sources.shared import materialize
+
 
 def words(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
@@ -31,9 +34,14 @@ def subword_vectors(vocabulary: DataFrame, dimensions: int, least: int = 3, most
 def embed(docs: DataFrame, vectors: DataFrame, weights: DataFrame, dimensions: int, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, embedding): each document's mean of its words' vectors weighted by
     count and IDF, of unit length; zeros where no word is known. Words are
-    counted within each document before the join, which is on words."""
+    counted within each document before the join, which is on words: known words
+    go to the documents while their vectors are below ``BROADCAST_BYTES``; beyond
+    it, adaptive execution splits what is gathered for words that all documents
+    have."""
     counts = docs.select(F.col(id).alias("id"), F.explode(words(F.col(text))).alias("word")).groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"))
-    known = vectors.join(weights.select("word", "idf"), "word")
+    known = materialize(vectors.join(weights.select("word", "idf"), "word").select("word", "vector", "idf"), "known")
+    size = known.agg(F.coalesce(F.sum(F.octet_length("word") + 8 * dimensions + 32), F.lit(0))).first()[0]
+    known = F.broadcast(known) if size <= BROADCAST_BYTES else known
     weight = F.col("n") * F.col("idf")
     sums = counts.join(known, "word").groupBy("id").agg(F.sum(weight).alias("w"), *(F.sum(weight * F.get("vector", F.lit(d))).alias(f"d{d}") for d in range(dimensions)))
     mean = sums.select("id", F.array(*(F.col(f"d{d}") / F.col("w") for d in range(dimensions))).alias("v"))

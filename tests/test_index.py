@@ -210,6 +210,28 @@ def test_settled_keeps_only_its_result(spark):
     assert not os.path.exists(kept) and not _written.paths
 
 
+def test_jobs_that_take_too_long_are_cancelled(spark):
+    import time
+
+    from lodestar.sources.shared import within
+
+    def slow(batches):
+        for b in batches:
+            time.sleep(30)
+            yield b
+
+    assert within(spark, 60, lambda: spark.range(10).count()) == 10
+    start = time.time()
+    with pytest.raises(TimeoutError):
+        within(spark, 2, lambda: spark.range(4).mapInArrow(slow, "id long").count())
+    assert time.time() - start < 25 and spark.range(3).count() == 3
+
+
+def test_index_paths():
+    one = datasets.index_path("/x/", "glove 100", "IVF16,PQ8x4", m=3, ef=64)
+    assert one == "/x/glove_100/IVF16_PQ8x4-ef64-m3" != datasets.index_path("/x/", "glove 100", "IVF16,PQ8x4", m=4, ef=64)
+
+
 def test_running_sums_by_brute_force(spark):
     from lodestar.operators import ordered
 
