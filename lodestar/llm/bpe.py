@@ -152,7 +152,11 @@ def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: b
     """Encode each text, decode its ids, and return what identifies both:
     ``n_tokens``, ``ids_sha256`` (of decimal ids joined by one space) and
     ``decoded_sha256``, in one pass; with ``ids``, the ids too. Other columns
-    but ``text`` stay; one that has the name of a new one is replaced."""
+    but ``text`` stay; one that has the name of a new one is replaced.
+
+    Rows: a null text is empty, with no ids and the digests of nothing. Every row
+    stands for itself, so repeated rows and ties get equal values; an empty table
+    gives no rows."""
     new = ("n_tokens", "ids_sha256", "decoded_sha256", "ids")[: 3 + ids]
     rest = [c for c in docs.columns if c != text and c.lower() not in new]
     kinds = ("long", "string", "string", "array<int>")

@@ -386,9 +386,12 @@ def compile_template(template: str) -> Callable[[dict], tuple[str, list[tuple[in
     return render
 
 
-def read_turns(formatted: str) -> list[tuple[str, str]]:
-    """The turns of a conversation that ``TEMPLATE`` formatted: role and text."""
-    turns, role, start = [], None, 0
+def read_turns(formatted: str) -> list[tuple[str | None, str]]:
+    """The turns of a conversation that ``TEMPLATE`` formatted: role and text. What
+    another template made is read by the marks it has: a turn for each end mark,
+    with what stands since the last turn or mark as text where no text is marked,
+    and no turns without end marks."""
+    turns, role, text, start = [], None, None, 0
     for m in _MARK.finditer(formatted):
         mark = m[0]
         if mark[0] == "\\":
@@ -402,6 +405,7 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
             text = unescape(formatted[start : m.start()])
         elif mark == "</s>":
             turns.append((role, unescape(formatted[start : m.start()]) if text is None else text))
+            role, text, start = None, None, m.end()
     return turns
 
 

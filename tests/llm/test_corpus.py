@@ -342,8 +342,51 @@ def test_copies_without_words(spark):
     assert {r.doc_id for r in minhash.drop_near_duplicates(d).collect()} == {1, 2, 5, 6, 7, 8, 9, 11}
 
 
+def test_op10_by_brute_force(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    got = {r.doc_id: r.class_id for r in QUERIES["op10_minhash"](spark, SMALL).collect()}
+    assert got == brute.near_classes(docs)
+
+
+def test_all_plain_near_copies_are_linked(spark):
+    # unweighted similarity of five-word shingles, of all pairs, by sets
+    folder = SMALL.replace("sf0.001", "sf0.01")
+    sets, holders = {}, {}
+    for r in spark.read.parquet(f"{folder}/documents.parquet").collect():
+        w = minhash.WORD.findall((r.text or "").lower())
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        for x in sets[r.doc_id]:
+            holders.setdefault(x, []).append(r.doc_id)
+    shared = Counter((a, b) for ids in holders.values() for k, a in enumerate(ids) for b in ids[:k])
+    near = [(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    got = {r.doc_id: r.class_id for r in QUERIES["op10_minhash"](spark, folder).collect()}
+    assert len(near) > 50 and all(got[a] == got[b] for a, b in near)
+
+
 # --- pipeline ---
 
+def test_stages_of_odd_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    kind = spark.read.parquet(f"{SMALL}/documents.parquet").schema
+    good = spark.read.parquet(f"{SMALL}/documents.parquet").limit(60)
+    text = good.where("text is not null and length(text) > 200").first().text
+    odd = [(None, text, "en", None, 3), (9001, None, None, None, None), (9002, "", "en", "web", 0), (9003, text, "en", "web", 5), (9003, text, "en", "web", 5), (9004, "y " * 60000, "en", "web", 120000), (9005, "...", "en", None, 3)]
+    for docs in (good.unionAll(spark.createDataFrame(odd, kind)), good.limit(0)):
+        docs.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        # columns that the stages use for themselves, in names that clash
+        rows = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumn("Score", F.lit("s")).withColumn("kept", F.lit("k")).withColumn("_one", F.lit(1))
+        n = rows.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = shared.materialize(stage(spark, rows, str(tmp_path)), name)
+            assert out.columns == rows.columns and (out.count() > 0) == (n > 0)
+            if name != "mixing" and n:
+                assert {(r.doc_id, r.Score, r.kept) for r in out.collect()} <= {(r.doc_id, r.Score, r.kept) for r in rows.collect()}
+            rows = out
+        last = corpus_pipeline.STAGES[-1][1](spark, rows, str(tmp_path))
+        assert last.count() == rows.count()
+        assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 0
+
 def test_pipeline_by_brute_force(spark):
     import corpus_pipeline
 

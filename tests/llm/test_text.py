@@ -177,6 +177,22 @@ def test_peaks_in_pieces(monkeypatch):
     assert all(np.array_equal(a, b) for a, b in zip(whole, media.fingerprints(payload)))
 
 
+@pytest.mark.parametrize("text", ["", "some text with a rhythm to it " * 12, "日本語 naïve\n" * 30, "aaaa" * 100])
+def test_fingerprints_by_brute_force(text):
+    p = media.to_payload(text)
+    window = [0.5 - 0.5 * np.cos(2 * np.pi * i / (media.FRAME - 1)) for i in range(media.FRAME)]
+    peaks = []
+    for start in range(0, len(p) - media.FRAME + 1, media.HOP):
+        x = [(np.float32(p[start + i]) - 128) * np.float32(window[i]) for i in range(media.FRAME)]
+        wave_ = [np.exp(-2j * np.pi * k * np.arange(media.FRAME) / media.FRAME) for k in range(media.FRAME // 2 + 1)]
+        size = [int(np.rint(abs(sum(np.array(x, np.float64) * w)) * 4)) for w in wave_]
+        top = sorted((-size[k], k) for k in range(1, len(size) - 1) if size[k] > size[k - 1] and size[k] >= size[k + 1])
+        peaks.append([k for _, k in top[: media.PEAKS]])
+    want = sorted((t, a << 16 | b << 8 | d) for t in range(len(peaks)) for d in range(1, media.AHEAD + 1) if t + d < len(peaks) for a in peaks[t] for b in peaks[t + d])
+    times, codes = media.fingerprints(p)
+    assert list(zip(times.tolist(), codes.tolist())) == want
+
+
 def test_media_columns(spark):
     out = media.read_media(media.add_media(docs(spark).withColumn("media", F.lit("x"))))
     for r in out.collect():
@@ -263,6 +279,14 @@ def test_op9(spark):
         assert (got[i].n_turns, got[i].turns_sha256, got[i].loss_chars, got[i].loss_sha256) == (len(turns), brute.sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), brute.sha(loss))
 
 
+def test_other_templates_are_read_by_their_marks(spark):
+    c = spark.createDataFrame([(1, 0, "user", "a [INST] b"), (1, 1, "assistant", "c")], "conv_id long, turn long, role string, text string")
+    plain = chat.read_back(chat.format_conversations(c, "{% for m in messages %}{% generation %}{{ m.text }}{% endgeneration %};{% endfor %}")).first()
+    assert plain.turns == [] and list(plain.loss) == ["a [INST] b", "c"] and plain.formatted_chars == 13
+    ends = chat.read_back(chat.format_conversations(c, "{% for m in messages %}{{ m.text | escape }}</s>{% endfor %}")).first()
+    assert [(t.role, t.text) for t in ends.turns] == [(None, "a [INST] b"), (None, "c")] and ends.loss == []
+
+
 def test_odd_conversations(spark):
     rows = [(1, 0, None, None, 1), (1, 0, "user", "b", 1), (1, None, "user", "first", 1), (1, 0, "user", "b", 1), (None, 3, "assistant", "x", 1)]
     c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted int")
