@@ -319,19 +319,30 @@ def row_min_max_decode(code: Column) -> Column:
 
 # --- product and residual quantizers ---
 
+def nearest_codes(v, book):
+    """The number of the row of ``book`` nearest to each row of ``v``, without the
+    part of the distances that all share."""
+    import numpy as np
+
+    half = (book * book).sum(1) / 2
+    return np.concatenate([np.zeros(0, np.int64), *(np.argmax(v[i : i + 8192] @ book.T - half, axis=1) for i in range(0, len(v), 8192))])
+
+
 def lloyd(v, k: int, iterations: int, seed: int):
     """k centroids of a matrix."""
     import numpy as np
 
     random = np.random.default_rng(seed)
     k = min(k, len(v))
-    c = v[random.choice(len(v), k, replace=False)].copy()
+    c, x = v[random.choice(len(v), k, replace=False)].astype(float), v.astype(np.float32)
     for _ in range(iterations):
-        a = np.argmin(metric("l2").tile(v, c), axis=1)
+        a = nearest_codes(x, c.astype(np.float32))
         n = np.bincount(a, minlength=k)
-        total = np.zeros_like(c)
-        np.add.at(total, a, v)
-        c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)
+        total = np.stack([np.bincount(a, weights=column, minlength=k) for column in v.T], axis=1)
+        new = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)
+        if np.array_equal(new, c):
+            break
+        c = new
     return c
 
 
@@ -370,7 +381,7 @@ class ProductQuantizer(RowCodec):
     def encode(self, v):
         import numpy as np
 
-        return np.stack([np.argmin(metric("l2").tile(x, b), axis=1) for x, b in zip(self.slices(v), self.books)], axis=1)
+        return np.stack([nearest_codes(x, b) for x, b in zip(self.slices(v), self.books)], axis=1)
 
     def decode(self, codes):
         import numpy as np
@@ -420,10 +431,21 @@ def best_of_tile(qids, ids, d, k: int, larger: bool) -> dict:
     """The best k of each row of a tile of distances, ties by id."""
     import numpy as np
 
-    key = np.where(np.isnan(d), np.inf, -d if larger else d)
+    key = -d if larger else d
+    if (lost := np.isnan(key)).any():
+        key = np.where(lost, np.inf, key)
     n = min(k, len(ids))
-    order = np.lexsort((np.broadcast_to(ids, d.shape), key))[:, :n]
-    return {"qid": np.repeat(qids, n), "id": ids[order].ravel(), "dist": np.take_along_axis(d, order, 1).ravel()}
+    if n < len(ids):  # first all that tie with the n-th or beat it
+        limit = np.partition(key, n - 1, axis=1)[:, n - 1 : n]
+        r, c = np.nonzero(key <= limit)
+        order = np.lexsort((ids[c], key[r, c], r))
+        r, c = r[order], c[order]
+        nth = np.arange(len(r)) - np.searchsorted(r, r)
+        r, c = r[nth < n], c[nth < n]
+    else:
+        c = np.lexsort((np.broadcast_to(ids, d.shape), key)).ravel()
+        r = np.repeat(np.arange(len(d)), n)
+    return {"qid": qids[r], "id": ids[c], "dist": d[r, c]}
 
 
 def tiles_of_two_widths(queries: DataFrame, base: DataFrame, kernel, schema: str, tiles) -> DataFrame:
@@ -461,7 +483,7 @@ class ResidualQuantizer(RowCodec):
         left, books = v, []
         for i in range(m):
             books.append(lloyd(left, 1 << bits, iterations, 1234 + i))
-            left = left - books[-1][np.argmin(metric("l2").tile(left, books[-1]), axis=1)]
+            left = left - books[-1][nearest_codes(left, books[-1])]
         return ResidualQuantizer(books, beam)
 
     @staticmethod
@@ -506,13 +528,11 @@ class ResidualQuantizer(RowCodec):
     def refine(self, v, codes, rounds: int = 4):
         """Local search: change one position at a time to its best value while
         the others stand."""
-        import numpy as np
-
         codes = codes.copy()
         for _ in range(rounds):
             for i, b in enumerate(self.books):
                 rest = v - self.decode(codes) + b[codes[:, i]]
-                codes[:, i] = np.argmin(metric("l2").tile(rest, b), axis=1)
+                codes[:, i] = nearest_codes(rest, b)
         return codes
 
 

@@ -16,6 +16,8 @@ from lodestar.operators.blocks import tiles
 from lodestar.sources.shared import materialize
 
 HITS = "qid long, id long, dist double"
+#: Queries of a block whose distances are held at once.
+TOGETHER = 64
 
 
 def _order(larger: bool):
@@ -34,30 +36,38 @@ def knn(queries: DataFrame, base: DataFrame, k: int, name: str | Metric = "l2",
     query's own id. Queries with fewer rows than k to find get them all."""
     m = metric(name)
 
-    def kernel(qids, q, ids, b):
+    def some(qids, q, ids, b):
+        """A few queries at a time, so that their distances stay in cache."""
         import numpy as np
 
         d = m.tile(q, b, p)
-        key = np.where(np.isnan(d), np.inf, -d if m.larger_is_better else d)
+        key = -d if m.larger_is_better else d
+        if (lost := np.isnan(key)).any():
+            key = np.where(lost, np.inf, key)
         if exclude_self:
             own = ids[None, :] == qids[:, None]
-            d, key = np.where(own, np.nan, d), np.where(own, np.inf, key)
+            if own.any():
+                key = np.where(own, np.inf, key)
         n = min(k + exclude_self, len(ids))
-        order = np.argsort(ids, kind="stable")  # so that ties go by id
-        d, key, ids = d[:, order], key[:, order], ids[order]
         if n < len(ids):
-            # keep all that tie with the n-th
+            # all that tie with the n-th, of which the last word is the ranking's
             limit = np.partition(key, n - 1, axis=1)[:, n - 1 : n]
             r, c = np.nonzero(key <= limit)
             if len(r) > 2 * n * len(key):
-                c = np.argsort(key, axis=1, kind="stable")[:, :n].ravel()
+                c = np.lexsort((np.broadcast_to(ids, key.shape), key))[:, :n].ravel()
                 r = np.repeat(np.arange(len(key)), n)
         else:
             r, c = np.indices(key.shape).reshape(2, -1)
         if exclude_self:
             keep = ids[c] != qids[r]
             r, c = r[keep], c[keep]
-        return {"qid": qids[r], "id": ids[c], "dist": d[r, c]}
+        return qids[r], ids[c], d[r, c]
+
+    def kernel(qids, q, ids, b):
+        import numpy as np
+
+        parts = [some(qids[i : i + TOGETHER], q[i : i + TOGETHER], ids, b) for i in range(0, len(qids), TOGETHER)]
+        return dict(zip(("qid", "id", "dist"), map(np.concatenate, zip(*parts))))
 
     return top(tiles(queries, base, kernel, HITS), k, m.larger_is_better)
 
