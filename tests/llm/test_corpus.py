@@ -342,6 +342,13 @@ def test_copies_without_words(spark):
     assert {r.doc_id for r in minhash.drop_near_duplicates(d).collect()} == {1, 2, 5, 6, 7, 8, 9, 11}
 
 
+def test_counts_of_many_tasks(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").repartition(9)
+    one = minhash.inverse_frequencies(docs, "text", 5)
+    monkeypatch.setattr(minhash, "TASKS", 4)
+    assert (minhash.inverse_frequencies(docs, "text", 5) == one).all() and 1 < one.min() < one.max() < 2
+
+
 def test_op10_by_brute_force(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     got = {r.doc_id: r.class_id for r in QUERIES["op10_minhash"](spark, SMALL).collect()}
