@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, chat, embed_dedup, line_dedup, media, minhash, mixing, quality, sharding, token_counts
+from lodestar.llm import bpe, chat, embed_dedup, fingerprints, lexical, line_dedup, media, minhash, mixing, quality, resampling, sharding, token_counts
 
 
 def _ranks() -> tuple[str, str]:
@@ -86,13 +86,25 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited(_read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_read(spark, sf_dir, "documents", "doc_id", "text"), _read(spark, sf_dir, "benchmark", "text"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(_read(spark, sf_dir, "documents", "doc_id", "text"), _read(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_classifier, op3_mixing, op4_sharding, op5_byte_bpe, op6_line_dedup, op7_embedding_dedup, op8_media, op9_chat_format, op10_minhash, sharding_to_64k, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality_classifier, op3_mixing, op4_sharding, op5_byte_bpe, op6_line_dedup, op7_embedding_dedup, op8_media, op9_chat_format, op10_minhash, op11_fingerprints, op12_importance_resampling, op13_lexical_search, sharding_to_64k, pipeline)}
 
 _WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -148,3 +160,73 @@ ORACLE_SQL = {
         FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.id = vec_id""",
 }
 ORACLE_SQL["sharding_to_64k"] = ORACLE_SQL["op4_sharding"].replace("16777216", "65536")
+
+#: The tree of a text ``t`` of the relation ``x``, which has a row number ``i``, as
+#: ``{name}(i, root, p, s, pieces)``: digests of paragraphs and sections, items of pieces.
+_TREE = r"""
+    {name}_p AS (SELECT i, k, d, z, sum(k_ends) OVER (PARTITION BY i ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS sec
+                 FROM (SELECT i, k, z, md5(list_aggregate(list_transform(z, lambda y: md5(y)), 'string_agg', '')) AS d0, coalesce(d0, md5('')) AS d,
+                              (len(z) = 0 OR substr(d, 1, 1) IN ('0', '1'))::INT AS k_ends
+                       FROM (SELECT i, unnest(generate_series(1, len(l))) AS k, regexp_extract_all(unnest(l), '[^.!?]{{0,64}}[.!?]|[^.!?]{{1,64}}') AS z
+                             FROM (SELECT i, string_split(t, chr(10)) AS l FROM {x})))),
+    {name}_s AS (SELECT i, coalesce(sec, 0) AS sec, md5(string_agg(d, '' ORDER BY k)) AS d, count(*) AS n FROM {name}_p GROUP BY ALL),
+    {name}_r AS (SELECT i, md5(string_agg(d, '' ORDER BY sec)) AS root, string_agg(substr(d, 1, 8) || ':' || n, ' ' ORDER BY sec) AS s FROM {name}_s GROUP BY i),
+    {name}_l AS (SELECT i, list(d ORDER BY k) AS ps, string_agg(substr(d, 1, 8) || ':' || len(z) || ':' || coalesce(list_sum(list_transform(z, lambda y: length(y))), 0)::INT, ' ' ORDER BY k) AS p,
+                        flatten(list(list_transform(z, lambda y: substr(md5(y), 1, 8) || ':' || length(y)) ORDER BY k)) AS pieces,
+                        list(list_transform(z, lambda y: substr(md5(y), 1, 8) || ':' || length(y)) ORDER BY k) AS each, list(coalesce(list_sum(list_transform(z, lambda y: length(y))), 0) ORDER BY k) AS chars
+                 FROM {name}_p GROUP BY i),
+    {name} AS (SELECT i, root, root || '|' || s || '|' || p || '|' || coalesce(list_aggregate(pieces, 'string_agg', ' '), '') AS fingerprint, ps, each, chars, list_distinct(pieces) AS pieces
+               FROM {name}_r JOIN {name}_l USING (i))"""
+
+
+def _like(a: str, b: str) -> str:
+    return f"CASE WHEN {a}.root = {b}.root THEN 1.0 WHEN greatest(len({a}.pieces), len({b}.pieces)) = 0 THEN 0.0 ELSE len(list_intersect({a}.pieces, {b}.pieces))::DOUBLE / greatest(len({a}.pieces), len({b}.pieces)) END::DOUBLE"
+
+
+ORACLE_SQL["op11_fingerprints"] = f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, row_number() OVER (ORDER BY doc_id) AS i FROM documents),
+    m AS (SELECT max(i) AS last FROM d),
+    e AS (SELECT d.i, substr(d.t, 1, d.n - d.n // 4) || substr(x.t, 1, d.n // 4) AS t FROM d, m JOIN d x ON x.i = CASE WHEN d.i = last THEN 1 ELSE d.i + 1 END),
+    {_TREE.format(name="a", x="d")},
+    {_TREE.format(name="b", x="e")}
+    , j AS (SELECT doc_id, n::BIGINT AS n_chars, sha256(e.t) AS edited_sha256, a.fingerprint, b.fingerprint AS edited_fingerprint,
+                {_like("a", "b")} AS near_edited, {_like("a", "c")} AS near_next, a.root <> b.root AS differs, a.chars, a.each AS x, b.each AS y,
+                list_position(list_transform(list_zip(a.ps, b.ps), lambda z: z[1] IS NOT DISTINCT FROM z[2]), false) AS w
+           FROM d JOIN e USING (i) JOIN a USING (i) JOIN b USING (i) JOIN m ON true JOIN a c ON c.i = CASE WHEN d.i = last THEN 1 ELSE d.i + 1 END),
+    k AS (SELECT *, list_position(list_transform(list_zip(x[w], y[w]), lambda z: z[1] IS NOT DISTINCT FROM z[2]), false) AS v FROM j)
+    SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
+           CASE WHEN differs THEN (coalesce(list_sum(chars[1:w - 1]), 0) + w - 1 + coalesce(list_sum(list_transform(x[w][1:v - 1], lambda q: split_part(q, ':', 2)::BIGINT)), 0))::BIGINT END AS edit_at
+    FROM k"""
+
+_A_TO_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), {_A_TO_Z}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+ORACLE_SQL["op12_importance_resampling"] = f"""
+    WITH bytes AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS tab),
+    d AS (SELECT doc_id, row_number() OVER () AS i, {_WORDS} AS ws FROM documents),
+    q AS (SELECT {_WORDS} AS ws FROM benchmark),
+    v AS (SELECT DISTINCT w FROM (SELECT unnest(ws) AS w FROM d UNION ALL SELECT unnest(ws) FROM q)),
+    h AS (SELECT w, xor(list_reduce(list_transform(range(strlen(w)), lambda i: ('0x' || substr(hex(encode(w)), 2 * i + 1, 2))::BIGINT),
+                                    lambda c, b: xor(c // 256, tab[(xor(c, b) % 256) + 1]), 4294967295::BIGINT), 4294967295) % 10000 AS bucket FROM v, bytes),
+    f AS (SELECT i, bucket FROM (SELECT i, unnest(ws) AS w FROM d) JOIN h USING (w)),
+    t AS (SELECT bucket, count(*) AS t FROM (SELECT unnest(ws) AS w FROM q) JOIN h USING (w) GROUP BY bucket),
+    s AS (SELECT bucket, count(*) AS s FROM f GROUP BY bucket),
+    g AS (SELECT range AS bucket, floor(1000 * ln(((coalesce(t, 0) + 1) * ((SELECT coalesce(sum(s), 0) FROM s) + 10000))::DOUBLE
+                                                  / ((coalesce(s, 0) + 1) * ((SELECT coalesce(sum(t), 0) FROM t) + 10000))::DOUBLE))::BIGINT AS gain
+          FROM range(10000) LEFT JOIN t ON t.bucket = range LEFT JOIN s ON s.bucket = range),
+    w AS (SELECT i, sum(gain)::BIGINT AS gain, count(*) AS n FROM f JOIN g USING (bucket) GROUP BY i),
+    r AS (SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce((gain - ((gain % n) + n) % n) // n, 0)::BIGINT AS weight,
+                 ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT AS h FROM d LEFT JOIN w USING (i)),
+    x AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM r),
+    y AS (SELECT *, row_number() OVER (ORDER BY n_features >= 20 DESC, score DESC, doc_id NULLS LAST) AS nth FROM x)
+    SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND nth <= 10 * (SELECT count(*) FROM x WHERE n_features >= 20) // 100 THEN nth END::BIGINT AS rank FROM y"""
+
+ORACLE_SQL["op13_lexical_search"] = f"""
+    WITH d AS (SELECT doc_id, row_number() OVER () AS i, {_WORDS} AS ws FROM documents),
+    n AS (SELECT count(*)::BIGINT AS nn, sum(len(ws))::BIGINT AS ll FROM d WHERE len(ws) > 0),
+    q AS (SELECT DISTINCT item_id, w FROM (SELECT item_id, unnest({_WORDS}) AS w FROM benchmark)),
+    p AS (SELECT doc_id, i, n, w, count(*)::BIGINT AS tf FROM (SELECT doc_id, i, len(ws)::BIGINT AS n, unnest(ws) AS w FROM d) SEMI JOIN q USING (w) GROUP BY ALL),
+    f AS (SELECT w, floor(1000 * ln((2 * nn + 2) / (2 * df + 1)))::BIGINT AS weight FROM (SELECT w, count(*) AS df FROM p GROUP BY w), n),
+    s AS (SELECT item_id, doc_id, i, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // ll))))::BIGINT AS score FROM p JOIN f USING (w) JOIN q USING (w), n GROUP BY ALL),
+    r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score FROM s WHERE score > 0)
+    SELECT * FROM r WHERE rank <= 50"""
