@@ -13,7 +13,7 @@ parted by ``|``. Items of a level are parted by spaces: the first eight digits o
 the digest, a colon, and how many items of the next level belong to it; a
 paragraph has its code points behind a second colon, and of a piece the number is
 its code points. Equal roots mean equal texts (128 bits; no defence against texts
-made to collide). Branches that differ tell where: ``first_edit`` descends only
+made to collide). Branches that differ tell where: ``with_first_edit`` descends only
 into the first differing section, and ``changed_pieces`` lists all new pieces.
 
 Rows: a null text is empty; an empty text has one section of one paragraph
@@ -104,11 +104,12 @@ def _differs(a: Column, b: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Of 0 to 1: 1 if the roots are equal, else the distinct pieces that both
-    texts have, as a part of those of the one with more."""
+    """Of 0 to 1: 1 if the roots are equal, else the code points of the distinct
+    pieces that both texts have, as a part of those of the one with more."""
     x, y = F.array_distinct(_level(a, 3)), F.array_distinct(_level(b, 3))
-    most = F.greatest(F.size(x), F.size(y))
-    return F.when(root(a) == root(b), F.lit(1.0)).when(most == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(x, y)) / most)
+    chars = lambda pieces: F.aggregate(pieces, F.lit(0).cast("long"), lambda n, p: n + F.substring_index(p, ":", -1).cast("int"))
+    most = F.greatest(chars(x), chars(y))
+    return F.when(root(a) == root(b), F.lit(1.0)).when(most == 0, F.lit(0.0)).otherwise(chars(F.array_intersect(x, y)) / most)
 
 
 def with_first_edit(rows: DataFrame, a: str, b: str, out: str = "edit_at") -> DataFrame:

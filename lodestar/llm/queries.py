@@ -180,7 +180,9 @@ _TREE = r"""
 
 
 def _like(a: str, b: str) -> str:
-    return f"CASE WHEN {a}.root = {b}.root THEN 1.0 WHEN greatest(len({a}.pieces), len({b}.pieces)) = 0 THEN 0.0 ELSE len(list_intersect({a}.pieces, {b}.pieces))::DOUBLE / greatest(len({a}.pieces), len({b}.pieces)) END::DOUBLE"
+    chars = lambda x: f"coalesce(list_sum(list_transform({x}, lambda y: split_part(y, ':', 2)::BIGINT)), 0)"
+    most = f"greatest({chars(f'{a}.pieces')}, {chars(f'{b}.pieces')})"
+    return f"CASE WHEN {a}.root = {b}.root THEN 1.0 WHEN {most} = 0 THEN 0.0 ELSE {chars(f'list_intersect({a}.pieces, {b}.pieces)')}::DOUBLE / {most} END::DOUBLE"
 
 
 ORACLE_SQL["op11_fingerprints"] = f"""

@@ -79,11 +79,12 @@ def test_edited_by_brute_force(spark, odd):
                 new = text[: len(text) - q] + n[:q]
                 fits.append((len(text), brute.sha(new), text, new))
         text, new = next((t, e) for n, h, t, e in fits if (n, h) == (r.n_chars, r.edited_sha256))
-        a, b = ({(x[2]) for x in leaves(y)} for y in (text, new))
+        a, b = ({x[2] for x in leaves(y)} for y in (text, new))
+        chars = lambda pieces: sum(map(len, pieces))
         if text == new:
             assert r.near_edited == 1 and r.edit_at is None and r.fingerprint == r.edited_fingerprint
         else:
-            assert abs(r.near_edited - (len(a & b) / max(len(a), len(b), 1))) < 1e-9 and r.fingerprint.split("|")[0] != r.edited_fingerprint.split("|")[0]
+            assert abs(r.near_edited - chars(a & b) / max(chars(a), chars(b), 1)) < 1e-9 and r.fingerprint.split("|")[0] != r.edited_fingerprint.split("|")[0]
             first = next((i for i, (x, y) in enumerate(zip(text, new)) if x != y), min(len(text), len(new)))
             assert r.edit_at <= first and first - r.edit_at <= 65
         assert len(r.fingerprint.split("|")) == 4 and sum(int(x.split(":")[1]) for x in r.fingerprint.split("|")[3].split()) + text.count("\n") == len(text)
@@ -100,12 +101,13 @@ def test_next_of_one_and_of_none(spark):
 def test_quarters_of_a_table(spark):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     ids = sorted(docs)
-    for r in QUERIES["op11_fingerprints"](spark, SMALL).collect():
+    got = QUERIES["op11_fingerprints"](spark, SMALL).collect()
+    assert np.mean([r.near_edited for r in got]) > 0.68 and np.mean([r.near_next for r in got]) < 0.01
+    for r in got:
         text, following = docs[r.doc_id], docs[ids[(ids.index(r.doc_id) + 1) % len(ids)]]
         q = len(text) // 4
         assert (r.n_chars, r.edited_sha256) == (len(text), brute.sha(text[: len(text) - q] + following[:q]))
-        assert r.near_edited > 0.4 or len(text) < 1000 and r.near_edited >= r.near_next
-        assert r.near_next < 0.3
+        assert r.near_edited > max(0.3, r.near_next) or len(text) < 1000 and r.near_edited >= r.near_next
 
 
 def test_edits_are_located(spark):
@@ -175,7 +177,7 @@ def test_resampling_of_odd_rows(spark, odd):
     assert len(out) == odd.count() and {r.n_features for r in out if r.doc_id == 7} == {400_000} and {r.n_features for r in out if r.doc_id == 8} == {1}
     assert resampling.resample(odd.limit(0), target).count() == 0
     assert resampling.resample(odd, target.limit(0)).count() == odd.count()
-    many = odd.select("text", F.explode(F.sequence(F.lit(1), F.lit(20))).cast("long").alias("doc_id")).where("length(text) > 1300000")
+    many = spark.range(20).select(F.col("id").alias("doc_id"), F.lit("word1 " * 30).alias("text"))
     kept = resampling.resampled(many, target)
     assert kept.columns == many.columns and kept.count() == many.count() // 10
 
