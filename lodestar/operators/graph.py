@@ -382,7 +382,8 @@ def build(base: DataFrame, name: str = "l2", m: int = 16, candidates: int = 64,
         from lodestar.sources.shared import materialize
 
         placed = materialize(assign_lists(rows, centroids, name).toDF("id", "v", "list_no"), "placed")
-        dealt = in_blocks(placed, shard_rows, "id").select("id", "v", F.col("list_no").alias("route"), (F.col("list_no") + F.lit(1 << 16) * F.col("block")).alias("shard"))
+        routes = (placed.agg(F.max("list_no")).first()[0] or 0) + 1  # so that no two routes share a shard's number
+        dealt = in_blocks(placed, shard_rows, "id").select("id", "v", F.col("list_no").alias("route"), (F.col("list_no") + F.lit(routes) * F.col("block")).cast("int").alias("shard"))
 
     def make(pdf):
         import numpy as np

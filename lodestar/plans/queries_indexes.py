@@ -6,7 +6,6 @@ stated with it."""
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -17,17 +16,13 @@ from lodestar.operators import calibrate, cluster, codecs, evaluate, graph, ivf,
 from lodestar.plans import factory, offline, sweep
 from lodestar.plans.registry import L2, RESULT, VECTORS, base_of, queries_of, query, result, sql_hits, sql_sum, sql_top, table
 from lodestar.sources import datasets, vecs
-from lodestar.sources.shared import materialize, shared_dir
+from lodestar.sources.shared import materialize, new_folder
 
 _EXACT = f"{sql_hits(where='true')}, {sql_top()} {RESULT}"
 _OTHERS = f"{sql_hits()}, {sql_top()} {RESULT}"
 _COSINE = f"1 - {sql_sum('z[1] * z[2]')} / (sqrt(list_sum([x * x for x in q.v])) * sqrt(list_sum([x * x for x in b.v])))"
 
 
-def _folder(spark) -> str:
-    return f"{shared_dir(spark)}/lodestar-{uuid.uuid4().hex}"
-
-
 # --- factory strings ---
 
 def looked_over(found, base, truth, k: int, floor: float, label: str, larger: bool = False):
@@ -109,7 +104,7 @@ for _name, _text, _floor, _search, _metric in FACTORY:
 @query(_EXACT)
 def index_saved_and_loaded(spark, sf_dir):
     """All lists of an index that was written and read again."""
-    base, path = base_of(spark, sf_dir), _folder(spark)
+    base, path = base_of(spark, sf_dir), new_folder(spark)
     factory.build(base, "IVF16,Flat").save(path)
     return result(factory.load(spark, path).search(queries_of(base), 10, nprobe=16))
 
@@ -164,7 +159,7 @@ def offline_lists(spark, sf_dir):
     """Statistics, duplicates, training, shards, merge, search, refinement and
     evaluation as steps that write what the next one reads."""
     base = base_of(spark, sf_dir)
-    run = offline.run(base, queries_of(base), "IVF16,SQ8", _folder(spark), shards=3, k=10, nprobe=16, k_factor=4)
+    run = offline.run(base, queries_of(base), "IVF16,SQ8", new_folder(spark), shards=3, k=10, nprobe=16, k_factor=4)
     return result(run["refined"])
 
 
@@ -548,7 +543,7 @@ def hnsw_updated(spark, sf_dir):
 
 @query(_BY_COSINE)
 def hnsw_saved_and_loaded(spark, sf_dir):
-    base, path = base_of(spark, sf_dir), _folder(spark)
+    base, path = base_of(spark, sf_dir), new_folder(spark)
     graph.load_or_build(base, path, "cosine")
     return _walked(base, graph.load_or_build(base, path, "cosine"))
 
@@ -797,10 +792,11 @@ def hits_within_epsilon(spark, sf_dir):
 # --- sources ---
 
 def _round_trip(spark, sf_dir, kind: str, scale: int = 1):
-    base, path = base_of(spark, sf_dir), _folder(spark)
-    rows = base.select("id", F.transform("embedding", lambda x: F.floor((x + 1) * 100).cast("float") if scale > 1 else x).alias("embedding")).orderBy("id")
+    base, path = base_of(spark, sf_dir), new_folder(spark)
+    rows = base.select("id", F.transform("embedding", lambda x: F.floor((x + F.lit(1).cast("float")) * F.lit(scale).cast("float")).cast("float") if scale > 1 else x).alias("embedding")).orderBy("id")
     vecs.write_vectors(rows, f"{path}/x.{kind}", kind)
-    return vecs.read_vectors(spark, f"{path}/x.{kind}").select("id", F.size("embedding").alias("width"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+    # cut into ranges of 16 KiB, so that many tasks read it
+    return vecs.read_vectors(spark, f"{path}/x.{kind}", split_bytes=16 << 10).select("id", F.size("embedding").alias("width"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
 _PLACE = "(row_number() OVER (ORDER BY vec_id) - 1)::BIGINT AS id, 64 AS width"
@@ -814,7 +810,7 @@ for _kind in ("ivecs", "bvecs", "ibin"):
 @query("SELECT (row_number() OVER (ORDER BY vec_id) - 1)::BIGINT AS id, len([x for x in embedding if x > 0.1])::INT AS n, round(coalesce(list_sum([x::DOUBLE for x in embedding if x > 0.1]), 0), 4) AS total FROM embeddings")
 def sparse_files(spark, sf_dir):
     """Components over a tenth as a sparse matrix in a file."""
-    path = f"{_folder(spark)}/x.npz"
+    path = f"{new_folder(spark)}/x.npz"
     base = base_of(spark, sf_dir).select("id", F.filter(F.transform("embedding", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: s["x"] > 0.1).alias("s"))
     vecs.write_sparse(base.select("id", F.col("s.i").alias("indices"), F.col("s.x").cast("array<double>").alias("values")), path)
     total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x)
@@ -840,11 +836,36 @@ def dataset_parts(spark, sf_dir):
 @query(f"{sql_hits(where='true')}, {sql_top()} {RESULT}")
 def dataset_files(spark, sf_dir):
     """A dataset written as files of each layout and read again, with its truth."""
-    path, d = _folder(spark), datasets.embeddings(spark, sf_dir)
+    path, d = new_folder(spark), datasets.embeddings(spark, sf_dir)
     datasets.save(datasets.Dataset("x-l2", d.base, d.queries, truth=knn.knn(d.queries, d.base, 10)), path)
     return result(datasets.load(spark, path, "x-l2", "parquet", ("base", "queries", "truth")).ground_truth(10))
 
 
+@query(f"SELECT layout, qid, rank, id FROM (VALUES ('bin'), ('vecs')) l(layout), ({sql_hits(where='true')}, {sql_top()} SELECT (qid // 100)::BIGINT AS qid, rank, id FROM r)")
+def dataset_layouts(spark, sf_dir):
+    """The truth of a dataset that lies in files of the other two layouts: base,
+    queries and neighbours' places are written by executors and read in ranges."""
+    path, d, out = new_folder(spark), datasets.embeddings(spark, sf_dir), None
+    truth = materialize(knn.knn(d.queries, d.base, 10), "truth").groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda h: h["id"]).alias("ids"))
+    for layout, ids in (("bin", "ibin"), ("vecs", "ivecs")):
+        names = datasets.LAYOUTS[layout]
+        where = lambda part: f"{path}/{names[part].format(name='x')}"
+        vecs.write_vectors(d.base, where("base"), ids.replace("i", "f", 1))
+        vecs.write_vectors(d.queries, where("queries"), ids.replace("i", "f", 1))
+        vecs.write_vectors(truth, where("truth"), ids)
+        row = datasets.load(spark, path, "x", layout, ("base", "queries", "truth")).ground_truth().select(F.lit(layout).alias("layout"), "qid", "rank", "id")
+        out = row if out is None else out.unionAll(row)
+    return out
+
+
+@query("SELECT ((vec_id * 33554433 + 16777217) % 4294967291)::BIGINT AS neighbour, (row_number() OVER (ORDER BY vec_id) - 1)::BIGINT AS id FROM embeddings")
+def neighbour_ids_in_files(spark, sf_dir):
+    """Ids beyond 2^24 and 2^31 keep their value in files of neighbours."""
+    base, path = base_of(spark, sf_dir), new_folder(spark)
+    vecs.write_vectors(base.select("id", F.array((F.col("id") * 33554433 + 16777217) % 4294967291)), f"{path}/x.ibin", "ibin")
+    return vecs.read_vectors(spark, f"{path}/x.ibin").select(F.col("embedding")[0].alias("neighbour"), "id")
+
+
 @query("SELECT name, space FROM (VALUES ('glove-100-angular', 'cosine'), ('sift-128-euclidean', 'l2'), ('msmarco-v1', 'ip'), ('text2image-10M', 'ip'), ('coco-t2i-512', 'cosine'), ('nytimes-256', 'cosine'), ('unknown', 'l2')) AS t(name, space)")
 def dataset_spaces(spark, sf_dir):
     """The space that a dataset's name tells."""
@@ -1092,7 +1113,7 @@ def indexes_compared(spark, sf_dir):
 def policy_cache(spark, sf_dir):
     """A policy built where there is none, read again, and built anew for other
     settings."""
-    path = f"{_folder(spark)}/policy"
+    path = f"{new_folder(spark)}/policy"
     make = lambda: calibrate.routes(spark.createDataFrame([(64,), (128,)], "ef int"))
     want, out = sorted(map(tuple, make().collect())), []
     for settings in ({"k": 10}, {"k": 10}, {"k": 20}):
@@ -1168,7 +1189,7 @@ def sigmoid_weights(spark, sf_dir):
 @query("SELECT n_name AS name, count(*)::BIGINT AS customers, true AS listed FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
 def summary_tables(spark, sf_dir):
     """A summary as CSV and as Markdown, read again."""
-    path = _folder(spark)
+    path = new_folder(spark)
     rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("name")).agg(F.count(F.lit(1)).alias("customers"))
     datasets.write_summary(rows, path, ["name"])
     back = spark.read.schema(rows.schema).csv(f"{path}/summary.csv", header=True)
@@ -1182,7 +1203,7 @@ def streamed_slices(spark, sf_dir):
     and counted by label."""
     from lodestar.streaming import ingest
 
-    path = _folder(spark)
+    path = new_folder(spark)
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("list_no"))
     rows.repartition(4, "id").write.parquet(f"{path}/arriving")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/arriving")
@@ -1196,7 +1217,7 @@ def streamed_queries(spark, sf_dir):
     """Queries that arrive as a stream, and what was found for them."""
     from lodestar.streaming import ingest
 
-    path, base = _folder(spark), base_of(spark, sf_dir)
+    path, base = new_folder(spark), base_of(spark, sf_dir)
     q = queries_of(base).withColumn("qv", F.col("qv").cast("array<double>"))
     q.repartition(3).write.parquet(f"{path}/arriving")
     stream = spark.readStream.schema(q.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/arriving")

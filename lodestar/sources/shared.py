@@ -36,14 +36,19 @@ class _Written(threading.local):
 _written = _Written()
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder for what a query writes, which ``clear`` removes."""
+    _written.paths.append(f"{shared_dir(spark)}/lodestar-{uuid.uuid4().hex}")
+    return _written.paths[-1]
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: later
     jobs start from files that survive lost executors, not from shuffle files,
     and random or sampled steps before it run once. The table stays until
     ``settled`` or ``clear`` removes it."""
     spark = df.sparkSession
-    folder = f"{shared_dir(spark)}/lodestar-{uuid.uuid4().hex}"
-    _written.paths.append(folder)
+    folder = new_folder(spark)
     df.write.parquet(f"{folder}/{name}")
     return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 

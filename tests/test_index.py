@@ -267,6 +267,44 @@ def test_vector_files(spark, tmp_path):
         vecs.check_chunks(["a_0", "a_2"])
 
 
+@pytest.mark.parametrize("kind", sorted(vecs.KINDS))
+def test_files_are_cut_and_chunked(spark, tmp_path, kind):
+    ids = [16_777_217, 33_554_433, 7, 2**31 - 1] if "i" in kind[:2] and kind != "fbin" else [1, 2, 7, 200]
+    n = 41
+    rows = spark.createDataFrame([(1000 - i, [float(ids[i % 4]), float(i)]) for i in range(n)] + [(5000, None)], "id long, v array<double>").repartition(3)
+    path = f"file://{tmp_path}/many.{kind}"
+    names = vecs.write_vectors(rows, path, kind, chunk_bytes=100)
+    assert len(names) > 2
+    want = [[ids[i % 4], i] for i in range(n - 1, -1, -1)]
+    one = tmp_path / f"one.{kind}"
+    raw = [open(x.replace("file://", ""), "rb").read() for x in names]
+    headed = kind in vecs.HEADED
+    one.write_bytes((np.array([n, 2], "<i4").tobytes() if headed else b"") + b"".join(r[8 * headed :] for r in raw))
+    whole = vecs._read_whole(spark, str(one), kind)
+    for split in (1, 60, 1 << 20):
+        for found in (vecs.read_vectors(spark, path, split_bytes=split), vecs.read_vectors(spark, f"file://{one}", split_bytes=split), whole):
+            assert [r.embedding for r in found.orderBy("id").collect()] == want
+    found = vecs.read_vectors(spark, f"file://{one}", split_bytes=one.stat().st_size // 5)
+    assert found.rdd.getNumPartitions() >= 4 and [r.id for r in found.orderBy("id").collect()] == list(range(n))
+    assert vecs.read_vectors(spark, path).schema["embedding"].dataType.elementType.simpleString() == ("bigint" if kind in ("ivecs", "ibin") else "float")
+
+
+def test_vector_files_without_rows(spark, tmp_path):
+    (tmp_path / "x.fvecs").write_bytes(b"")
+    assert vecs.read_vectors(spark, f"file://{tmp_path}/x.fvecs").count() == 0
+    assert vecs.write_vectors(spark.createDataFrame([], "id long, v array<float>"), f"file://{tmp_path}/y.fvecs") == []
+
+
+def test_sparse_ids_go_on(spark, tmp_path):
+    rows = spark.createDataFrame([(i, [i % 3, 5], [float(i), 1.0]) if i % 4 else (i, [], []) for i in range(30)], "id long, indices array<int>, values array<double>")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        names = vecs.write_sparse(rows.repartition(4), f"file://{tmp_path}/s")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(names) > 1 and sorted(map(tuple, vecs.read_sparse(spark, f"file://{tmp_path}/s").collect())) == sorted(map(tuple, rows.collect()))
+
+
 def test_synthetic_is_stable(spark):
     a, b = datasets.synthetic(spark, 8, 20, 5), datasets.synthetic(spark, 8, 20, 5)
     assert sorted(map(str, a.base.collect())) == sorted(map(str, b.base.repartition(3).collect()))
