@@ -8,23 +8,25 @@ bit get a directory of their own below it.
 
 Rows: a null text has 0 bytes; a null doc_id is a key of its own. Rows of one
 doc_id always share a shard, so a shard with only one doc_id isn't split
-further; if it is over the limit it is marked ``oversized``."""
+further; if it is over the limit it is marked ``oversized``. A text of any length
+lies whole in one shard; an empty table has no shards."""
 
 from __future__ import annotations
 
 import math
-import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from lodestar.llm.shared import free_name, materialize
-from lodestar.sources.shared import shared_dir
+from lodestar.sources.shared import new_folder
 
 BITS = 60
 #: Bytes of text that a shard may hold.
 LIMIT = 16 << 20
+#: Shards up to so many are sent to all tasks; more meet the rows in a shuffle.
+FEW = 20_000
 #: Bits of a directory beyond those that even buckets would need; bits of the next one below.
 SLACK, DEEPER = 4, 8
 
@@ -73,12 +75,16 @@ def assign(docs: DataFrame, limit: int = LIMIT, doc_id: str = "doc_id", text: st
 
 
 def placed(docs: DataFrame, shards: DataFrame, doc_id: str = "doc_id") -> tuple[DataFrame, str]:
-    """``docs`` with the name of each row's shard, and that column's name. Shards
-    are few, as each pair of them exceeds the limit, so they go to the rows and
-    texts don't move for it."""
+    """``docs`` with the name of each row's shard, and that column's name. Up to
+    ``FEW`` shards go to the rows, and texts don't move for it; more of them meet
+    the rows by the hash of their doc_ids, of which ``shards`` has a row each."""
     known = materialize(shards.select("depth", "prefix", "shard").distinct(), "known")
     s, h = free_name(docs, "shard"), free_name(docs, "_hash")
     out, names = docs.withColumn(h, hash_bits(F.col(doc_id))), []
+    if known.count() > FEW:
+        key, by_hash = free_name(docs, "_key"), shards.select(hash_bits(F.col("doc_id")).alias("key"), "shard").distinct()
+        out = out.join(by_hash.toDF(key, s), F.col(h) == F.col(key), "left")
+        return out.select(*(docs[c] for c in docs.columns), s), s
     for d in sorted(r.depth for r in known.select("depth").distinct().collect()):
         p, n = free_name(docs, f"_prefix{d}"), free_name(docs, f"_shard{d}")
         here = known.where(F.col("depth") == d).select(F.col("prefix").alias(p), F.col("shard").alias(n))
@@ -101,10 +107,10 @@ def shard(docs: DataFrame, limit: int = LIMIT, doc_id: str = "doc_id", text: str
     row that lies there, with the columns of ``assign``: sizes are those of the
     written texts, shards those of their folders."""
     spark = docs.sparkSession
-    path, s = f"{shared_dir(spark)}/lodestar-{uuid.uuid4().hex}/shards", free_name(docs, "shard")
+    path, s = f"{new_folder(spark)}/shards", free_name(docs, "shard")
     write_shards(docs, path, limit, doc_id, text)
     there = spark.read.schema(StructType([*docs.schema.fields, StructField(s, StringType())])).parquet(path)
     rows = materialize(there.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"), F.col(s).alias("shard")), "there")
     sums = rows.groupBy("shard").agg(F.sum("bytes").alias("shard_bytes"), F.count(F.lit(1)).alias("shard_docs"))
     depth, prefix = (F.split("shard", "-")[i] for i in (0, 1))
-    return rows.join(F.broadcast(sums), "shard").select("doc_id", "bytes", depth.cast("int").alias("depth"), F.conv(prefix, 16, 10).cast("long").alias("prefix"), "shard", "shard_bytes", "shard_docs", (F.col("shard_bytes") > limit).alias("oversized"))
+    return rows.join(sums, "shard").select("doc_id", "bytes", depth.cast("int").alias("depth"), F.conv(prefix, 16, 10).cast("long").alias("prefix"), "shard", "shard_bytes", "shard_docs", (F.col("shard_bytes") > limit).alias("oversized"))

@@ -115,6 +115,43 @@ def test_token_count_columns(spark):
     assert token_counts.token_counts(empty(spark), brute.RANKS, brute.PATTERN).count() == 0
 
 
+def test_long_runs(spark):
+    # above the bound at which the encoder's own splitter fails, and below it, where it tells the ids
+    encode, lengths = token_counts.encoder(brute.RANKS, brute.PATTERN)
+    for run in (" ", "\n", " \t\n", "\u3000"):
+        for text in (f"a{run * 30_000}b c", run * 25_000, f"{run * 21_000} x\n{run * 5}"):
+            assert token_counts.LONG_WHITE.search(text) and encode(text) == ENCODING.encode_ordinary(text)
+    texts = [" " * 1_200_000 + "x", "\n" * 1_100_000, "word " * 600_000, "x" * 3_000_000]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in token_counts.token_counts(d, brute.RANKS, brute.PATTERN, by_line=False).collect():
+        assert r.n_tokens == sum(s.n_tokens for s in r.sections) > 0 and r.sections[-1].end == len(texts[r.doc_id])
+
+
+def test_op1_sections_by_a_plain_loop(spark):
+    want = []
+    for r in spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id % 7 = 0").collect():
+        text = r.text or ""
+        ids = ENCODING.encode_ordinary(text)
+        starts, at = [0], 0
+        for c in text[:-1]:
+            at += 1
+            if c == "\n":
+                starts.append(at)
+        ends = [*starts[1:], len(text)]
+        firsts = [len(text[:a].encode()) for a in starts]
+        lasts = [len(text[:b].encode()) for b in ends]
+        n, crossing, place = [0] * len(starts), [0] * len(starts), 0
+        for t in ids:
+            size = len(ENCODING.decode_single_token_bytes(t))
+            k = max(i for i, f in enumerate(firsts) if f <= place)
+            n[k] += 1
+            place += size
+            crossing[k] += place > lasts[k]
+        want += [(r.doc_id, len(ids), k, starts[k], ends[k], n[k], crossing[k]) for k in range(len(starts))]
+    got = QUERIES["op1_token_counts"](spark, SMALL).where("doc_id % 7 = 0").collect()
+    assert sorted((r.doc_id, r.doc_tokens, r.section, r.start, r.end, r.n_tokens, r.n_crossing) for r in got) == sorted(want)
+
+
 def test_op1(spark):
     want = {r.doc_id: len(ENCODING.encode_ordinary(r.text or "")) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     got = {r.doc_id: (r.total, r.whole) for r in QUERIES["op1_token_counts"](spark, SMALL).groupBy("doc_id").agg(F.sum("n_tokens").alias("total"), F.max("doc_tokens").alias("whole")).collect()}
