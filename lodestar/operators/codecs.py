@@ -13,16 +13,22 @@ from pyspark.sql import functions as F
 from lodestar.functions.metrics import metric
 from lodestar.operators.knn import pair_distances, top
 
-#: Rows on which a codec is trained at most.
-TRAIN_ROWS = 65536
+#: Rows on which a codec is trained at most, and bytes of their components.
+TRAIN_ROWS, TRAIN_BYTES = 65536, 256 << 20
 
 
 def sample(base: DataFrame, n: int = TRAIN_ROWS, seed: int = 42):
-    """A matrix of the n rows of least hash."""
+    """A matrix of the n rows of least hash, fewer where they are wide: at most
+    ``TRAIN_BYTES`` of 32-bit components go to the driver."""
     import numpy as np
 
-    rows = base.toDF("id", "v").where("v is not null").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n)
-    return np.array([r.v for r in rows.collect()], float)
+    rows = base.toDF("id", "v").where("v is not null")
+    first = rows.select(F.size("v")).first()
+    n = max(1, min(n, TRAIN_BYTES // (4 * max(1, first[0])))) if first else n
+    found = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n).select(F.col("v").cast("array<float>" if rows.schema["v"].dataType.elementType.simpleString() == "float" else "array<double>").alias("v")).toArrow()
+    if not found.num_rows:
+        return np.zeros((0, 0))
+    return found.column(0).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(found.num_rows, -1)
 
 
 def mapped(base: DataFrame, f: Callable, kind: str = "array<double>") -> DataFrame:
@@ -512,14 +518,17 @@ class ResidualQuantizer(RowCodec):
         import numpy as np
 
         out = np.zeros((len(v), len(self.books)), int)
-        for r, x in enumerate(v):
-            codes, left = np.zeros((1, 0), int), x[None, :]
+        for at in range(0, len(v), 1024):  # the beams of many rows at a time
+            left = v[at : at + 1024, None, :]
+            n = len(left)
+            rows, codes = np.arange(n)[:, None], np.zeros((n, 1, 0), int)
             for b in self.books:
-                d = metric("l2").tile(left, b)
-                pick = np.argsort(d, axis=None, kind="stable")[: self.beam]
-                i, j = np.unravel_index(pick, d.shape)
-                codes, left = np.column_stack([codes[i], j]), left[i] - b[j]
-            out[r] = codes[0]
+                flat = left.reshape(-1, v.shape[1])
+                d = metric("l2").tile(flat, b).reshape(n, -1)
+                pick = np.argsort(d, axis=1, kind="stable")[:, : self.beam]
+                i, j = np.divmod(pick, len(b))
+                codes, left = np.concatenate([codes[rows, i], j[:, :, None]], axis=2), left[rows, i] - b[j]
+            out[at : at + n] = codes[:, 0]
         return self.refine(v, out, self.searches) if self.searches else out
 
     def decode(self, codes):

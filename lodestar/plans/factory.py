@@ -10,7 +10,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.operators import cluster, codecs, graph, ivf, merge
+from lodestar.operators import additive, cluster, codecs, graph, ivf, levels, merge
 from lodestar.operators.blocks import tiles
 from lodestar.operators.knn import HITS, top
 from lodestar.sources.shared import materialize
@@ -19,6 +19,9 @@ _TRANSFORM = re.compile(r"(PCAWR|PCAW|PCAR|PCA|OPQ|RR|HR|ITQ|L2norm|Pad)(\d+)?(?
 _COARSE = re.compile(r"(IVF|IMI2x)(\d+)(k)?(?:_HNSW(\d+)?)?$")
 _CODEC = re.compile(r"(?:(Flat|FlatDedup)|(SQ)(4|6|8|fp16|bf16)|PQ(\d+)(?:x(\d+))?|RQ(\d+)x(\d+)|LSH(r?t?)|LSQ(\d+)x(\d+)|RaBitQ(\d)?|HNSW(\d+)?|NSG(\d+)?)$")
 
+#: Codes of slices as sums, fixed levels, no bits, two stages, signs of waves.
+_MORE = re.compile(r"(?:(PRQ|PLSQ)(\d+)x(\d+)x(\d+)|SQtqmse([1-8])|(SQ0)|PQ(\d+)\+(\d+)(?:x(\d+))?|(?:(ITQ|PCAR|PCA|RR)(\d+),)?SH([\d.]+)([gchm]?))$")
+
 
 @dataclass(frozen=True)
 class Step:
@@ -52,6 +55,14 @@ def _name(s: Step) -> str:
         return f"{s.kind}{o['m']}x{o['bits']}"
     if s.kind == "LSH":
         return "LSH" + o.get("flags", "")
+    if s.kind in ("PRQ", "PLSQ"):
+        return f"{s.kind}{o['slices']}x{o['m']}x{o['bits']}"
+    if s.kind == "PQ+":
+        return f"PQ{o['m']}+{o['refine']}x{o['bits']}"
+    if s.kind == "SH":
+        return (f"{o['by']}{o['d']}," if o["by"] else "") + f"SH{o['period']:g}{o['flag']}"
+    if s.kind == "SQ0":
+        return s.kind
     n = o.get("d", o.get("m", o.get("bits", "")))
     return f"{s.kind}{n if n is not None else ''}" + (f"_{o['out']}" if o.get("out") else "") + (f",{o['storage']}" if "storage" in o else "")
 
@@ -72,6 +83,16 @@ def _split(text: str) -> list[str]:
 
 
 def _codec(part: str) -> Step | None:
+    if m := _MORE.match(part):
+        if m[1]:
+            return Step(m[1], {"slices": int(m[2]), "m": int(m[3]), "bits": int(m[4])})
+        if m[5]:
+            return Step("SQtqmse", {"bits": int(m[5])})
+        if m[6]:
+            return Step("SQ0")
+        if m[7]:
+            return Step("PQ+", {"m": int(m[7]), "refine": int(m[8]), "bits": int(m[9] or 8)})
+        return Step("SH", {"by": m[10], "d": int(m[11]) if m[11] else None, "period": float(m[12]), "flag": m[13] or "g"})
     m = _CODEC.match(part)
     if not m:
         return None
@@ -93,10 +114,21 @@ def _codec(part: str) -> Step | None:
     return Step(kind, {"m": int((m[12] if kind == "HNSW" else m[13]) or 32)})
 
 
+def _with_projections(parts: list[str]) -> list[str]:
+    """Parts in which a projection stays with the hash that is made of it."""
+    out: list[str] = []
+    for p in parts:
+        if p.startswith("SH") and out and re.fullmatch(r"(ITQ|PCAR|PCA|RR)\d+", out[-1]):
+            out[-1] += "," + p
+        else:
+            out.append(p)
+    return out
+
+
 def parse(text: str) -> Spec:
     """The steps of a factory string; what isn't understood is an error."""
     transforms, coarse, codec, id_map, refine = [], None, None, False, None
-    for part in _split(text):
+    for part in _with_projections(_split(text)):
         if part in ("IDMap", "IDMap2"):
             id_map = True
         elif m := re.fullmatch(r"Refine\((.+)\)|RFlat", part):
@@ -128,11 +160,13 @@ def _refused(spec: Spec) -> str | None:
     k = spec.codec.kind
     if spec.coarse and k in ("HNSW", "NSG"):
         return "graphs have no lists; a graph over centroids is IVFn_HNSWm"
-    if k == "FlatDedup" and not spec.coarse:
-        return "FlatDedup is for lists"
-    if spec.refine and spec.refine.kind in ("LSH", "HNSW", "NSG", "FlatDedup"):
+    if k in ("FlatDedup", "SQ0", "PQ+", "SH") and not spec.coarse:
+        return f"{k} is for lists"
+    if spec.coarse and spec.coarse.kind == "IMI2x" and k == "SH":
+        return "a multi-index has no thresholds by list"
+    if spec.refine and spec.refine.kind in ("LSH", "HNSW", "NSG", "FlatDedup", "SQ0", "SH"):
         return f"{spec.refine.kind} can't rank again"
-    if spec.codec.options.get("storage", "").startswith(("LSH", "HNSW", "NSG", "FlatDedup")):
+    if spec.codec.options.get("storage", "").startswith(("LSH", "HNSW", "NSG", "FlatDedup", "SQ0", "SH")):
         return f"graphs don't store {spec.codec.options['storage']}"
     if spec.coarse and spec.coarse.kind == "IMI2x" and ("m" in spec.coarse.options or spec.coarse.options["n"] > 12):
         return "a multi-index has 1 to 12 bits for each half and no graph"
@@ -152,6 +186,16 @@ def code_size(spec: Spec, d: int) -> int:
         size = math.ceil(o["m"] * o["bits"] / 8)
     elif k == "LSH":
         size = math.ceil(d / 8)
+    elif k in ("PRQ", "PLSQ"):
+        size = math.ceil(o["slices"] * o["m"] * o["bits"] / 8) + 4
+    elif k == "PQ+":
+        size = math.ceil((o["m"] + o["refine"]) * o["bits"] / 8)
+    elif k == "SQtqmse":
+        size = math.ceil(d * o["bits"] / 8) + 4
+    elif k == "SH":
+        size = math.ceil((o["d"] or d) / 8)
+    elif k == "SQ0":
+        size = 0
     elif k == "RaBitQ":
         size = math.ceil(d * o["bits"] / 8) + 8
     else:
@@ -261,7 +305,8 @@ class Index:
                     where = coarse.assign(v) if coarse else np.zeros(len(v), np.int64)
                     for t in transforms:
                         v = t(v)
-                    codes = codec.row_bytes(codec.encode(v - coarse.centroid(where) if residual else v))
+                    moved = v - coarse.centroid(where) if residual else v
+                    codes = codec.row_bytes(codec.encode_in(moved, where) if getattr(codec, "by_list", False) else codec.encode(moved))
                     yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(where.astype(np.int32)), pa.array(codes, pa.binary())], names=["id", "list_no", "code"])
 
         return vectors.toDF("id", "embedding").where("id is not null and embedding is not null").select(F.col("id").cast("long").alias("id"), "embedding").mapInArrow(run, "id long, list_no int, code binary")
@@ -288,6 +333,8 @@ class Index:
         codec, coarse, residual, name = self.codec, self.coarse, self.residual, self.name
 
         def run(q, codes, list_no):
+            if getattr(codec, "by_list", False):
+                return codec.distances_in(q, codes, list_no)
             if not residual:
                 return codec.distances(q, codes, name)
             c = coarse.centroid(list_no)
@@ -314,6 +361,8 @@ class Index:
         """The k nearest rows of ``(qid, qv)``."""
         q = self.moved(queries).toDF("qid", "qv")
         wide = int(k * k_factor) if self.spec.refine else k
+        if isinstance(self.codec, additive.TwoStage):
+            self = replace(self, codec=replace(self.codec, keep=int(max(1, k_factor) * wide)))
         if self.graphs is not None:
             out = graph.hits(graph.search(q, self.graphs, graph.Walk(k=wide, ef=max(ef, wide))), wide, self.name)
         else:
@@ -432,6 +481,8 @@ def _elements(codec: codecs.RowCodec, codes: DataFrame) -> int:
     itself knows."""
     if isinstance(codec, codecs.ProductQuantizer | codecs.ResidualQuantizer):
         return len(codec.books)
+    if hasattr(codec, "width"):
+        return codec.width
     if isinstance(codec, codecs.ScalarRows):
         return len(codec.of.low)
     if isinstance(codec, codecs.RaBitQ):
@@ -460,9 +511,25 @@ def _codec_of(step: Step, v) -> codecs.RowCodec:
     if step.kind == "LSH":
         rotation = codecs.random_rotation(v.shape[1], v.shape[1]) if "r" in o["flags"] else None
         return codecs.Signs(np.median(rotation(v) if rotation else v, axis=0) if "t" in o["flags"] else None, rotation)
+    if step.kind in ("PRQ", "PLSQ"):
+        return additive.ProductAdditive.train_on(v, o["slices"], o["m"], o["bits"], step.kind == "PLSQ")
+    if step.kind == "PQ+":
+        return additive.TwoStage.train_on(v, o["m"], o["refine"], o["bits"])
+    if step.kind == "SQtqmse":
+        return levels.FixedLevels(v.shape[1], o["bits"])
+    if step.kind == "SQ0":
+        return levels.ZeroBits(v.shape[1])
     raise ValueError(f"{step.kind} is no codec")
 
 
+def _spectral(step: Step, v, coarse: Centroids, rows: DataFrame) -> levels.SpectralHash:
+    """Signs of waves along the projections that a step names."""
+    o, width = step.options, v.shape[1]
+    d = o["d"] or width
+    project = {"ITQ": lambda: codecs.itq(rows, d), "PCA": lambda: codecs.pca(rows, d), "PCAR": lambda: codecs.pca(rows, d, 0.0, True)}.get(o["by"], lambda: codecs.random_rotation(width, d))()
+    return levels.SpectralHash.train_on(v, coarse.assign(v), coarse.matrix, project, o["period"], o["flag"])
+
+
 def _transform(step: Step, rows: DataFrame):
     width = len(rows.first().embedding)
     d = step.options["d"] or width
@@ -509,9 +576,9 @@ def build(base: DataFrame, text: str, name: str = "l2", independent: bool = Fals
     v = codecs.sample(rows)
     if spec.coarse:
         index.coarse, index.independent = _coarse_of(spec.coarse, given if independent else rows, name, spark), independent
-        index.residual = not independent and name in ("l2", "ip") and kind in ("PQ", "RQ", "LSQ", "SQ", "RaBitQ", "LSH") and spec.codec.options.get("type") not in ("fp16", "bf16")
+        index.residual = not independent and name in ("l2", "ip") and kind in ("PQ", "RQ", "LSQ", "SQ", "RaBitQ", "LSH", "PRQ", "PLSQ", "PQ+", "SQtqmse", "SQ0") and spec.codec.options.get("type") not in ("fp16", "bf16")
         v = v - index.coarse.centroid(index.coarse.assign(v)) if index.residual else v
-    index.codec = _codec_of(spec.codec, v)
+    index.codec = _spectral(spec.codec, v, index.coarse, rows) if kind == "SH" else _codec_of(spec.codec, v)
     index.codes = materialize(index.coded(given if independent else rows), "codes")
     index.width = _elements(index.codec, index.codes)
     if spec.coarse:

@@ -88,6 +88,18 @@ FACTORY = (
     ("factory_hnsw_sq8", "HNSW32,SQ8", 0.85, {"ef": 128}, "l2"),
     ("factory_hnsw_pq", "HNSW32,PQ16x8", 0.5, {"ef": 128}, "l2"),
     ("factory_nsg", "NSG32", 0.95, {"ef": 128}, "l2"),
+    ("factory_prq", "PRQ2x4x6", 0.4, {}, "l2"),
+    ("factory_prq_ip", "PRQ2x4x6", 0.5, {}, "ip"),
+    ("factory_plsq", "PLSQ2x4x6", 0.45, {}, "l2"),
+    ("factory_ivf_prq", "IVF16,PRQ4x2x6", 0.5, {"nprobe": 8}, "l2"),
+    ("factory_tqmse4", "RR64,SQtqmse4", 0.8, {}, "l2"),
+    ("factory_tqmse8", "RR64,SQtqmse8", 0.95, {}, "l2"),
+    ("factory_ivf_tqmse2", "IVF16,SQtqmse2", 0.6, {"nprobe": 8}, "l2"),
+    ("factory_ivf_sq0", "IVF64,SQ0", 0.15, {"nprobe": 16}, "l2"),
+    ("factory_ivf_spectral", "IVF16,ITQ32,SH1.5c", 0.25, {"nprobe": 8}, "l2"),
+    ("factory_ivf_spectral_refine", "IVF16,PCA32,SH1m,Refine(Flat)", 0.45, {"nprobe": 8}, "l2"),
+    ("factory_ivf_two_stage", "IVF16,PQ8+16", 0.75, {"nprobe": 8}, "l2"),
+    ("factory_ivf_two_stage_ip", "IVF16,PQ8+16", 0.65, {"nprobe": 8}, "ip"),
 )
 
 
