@@ -5,9 +5,9 @@ take as queries every row whose id is divisible by 100."""
 
 from __future__ import annotations
 
-from lodestar.plans import queries_approximate, queries_codecs, queries_evaluation, queries_indexes, queries_search
+from lodestar.plans import queries_approximate, queries_codecs, queries_evaluation, queries_indexes, queries_search, queries_walks
 from lodestar.plans.registry import ORACLE_SQL, QUERIES
 
-MODULES = (queries_search, queries_evaluation, queries_approximate, queries_indexes, queries_codecs)
+MODULES = (queries_search, queries_evaluation, queries_approximate, queries_indexes, queries_codecs, queries_walks)
 
 __all__ = ["MODULES", "ORACLE_SQL", "QUERIES"]

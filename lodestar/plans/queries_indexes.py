@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import vectors
 from lodestar.functions.metrics import distance
-from lodestar.operators import calibrate, cluster, codecs, evaluate, graph, ivf, knn, merge, panorama
+from lodestar.operators import calibrate, cluster, codecs, evaluate, graph, ivf, knn, merge, panorama, stops
 from lodestar.plans import factory, offline, sweep
 from lodestar.plans.registry import L2, RESULT, VECTORS, base_of, queries_of, query, result, sql_hits, sql_sum, sql_top, table
 from lodestar.sources import datasets, vecs
@@ -771,18 +771,15 @@ def width_sweep(spark, sf_dir):
 @query("SELECT kind, true AS kept, true AS saves FROM (VALUES ('budget'), ('learned stop'), ('predicted budget')) AS t(kind)")
 def learned_stops(spark, sf_dir):
     """Walks that end early, by a budget, by a model that watches them and by one
-    that is asked once: they compute fewer distances and keep most of the recall."""
-    import numpy as np
-
-    base, index = _graph(spark, sf_dir)
-    q = queries_of(base)
+    that is asked once, both trained on the walks of all other rows over all shards:
+    they compute fewer distances and keep most of the recall."""
+    base, index = _graph(spark, sf_dir, shards=2)
+    q, probes = queries_of(base), base.where("id % 100 <> 0").toDF("qid", "qv")
     truth = materialize(knn.knn(q, base, 10, "cosine", exclude_self=True), "truth")
-    g = graph.load(index.first().asDict())
-    probes = list(range(1, 90, 9))
-    true = [frozenset(int(g.ids[j]) for j in np.argsort(1 - g.vectors[i] @ g.vectors.T)[1:11]) for i in probes]
-    log = graph.recall_log(g, [g.vectors[i] for i in probes], graph.Walk(k=10, ef=128), 60, true, probes)
-    predict = graph.train_stop(log)
-    walks = {"budget": {"budget": 300}, "learned stop": {"interval": 60, "stop": graph.stop_at(predict, 0.95, 10)}, "predicted budget": {"after": 100, "predict": lambda f: 300.0}}
+    w = graph.Walk(k=10, ef=128, hide_self=True)
+    log = materialize(stops.walk_log(probes, index, knn.knn(probes, base, 10, "cosine", exclude_self=True), w), "log")
+    _, budget = stops.train_budget(log, 80.0, 0.8)
+    walks = {"budget": {"budget": 150}, "learned stop": {"interval": 20, "stop": graph.stop_at(stops.train_watch(log), 0.95, 10)}, "predicted budget": {"after": 80, "predict": lambda f: 1.5 * budget(f)}}
     full = graph.stats(graph.search(q, index, graph.Walk(k=10, ef=128, hide_self=True))).agg(F.sum("ndis").alias("all"))
     out = None
     for kind, options in walks.items():
