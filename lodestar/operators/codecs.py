@@ -220,6 +220,9 @@ def unpack_rows(raw: bytes, n: int, width: int, bits: int):
 
     if bits in (8, 16, 32):
         return np.frombuffer(raw, f"<u{bits // 8}").reshape(n, width).astype(np.int64)
+    if bits == 4 and not width % 2:
+        rows = np.frombuffer(raw, np.uint8).reshape(n, -1)
+        return np.stack([rows & 15, rows >> 4], axis=2).reshape(n, width).astype(np.int64)
     rows = np.frombuffer(raw, np.uint8).reshape(n, -1)
     planes = np.unpackbits(rows, axis=1, count=width * bits, bitorder="little").reshape(n, width, bits)
     return (planes.astype(np.int64) << np.arange(bits)).sum(axis=2)
@@ -365,7 +368,16 @@ class ProductQuantizer(RowCodec):
         """By the tables of each query: what a scan adds up."""
         if name not in ("l2", "ip"):
             return metric(name).tile(q, self.decode(codes))
-        return sum(t[:, codes[:, i]] for i, t in enumerate(self.table(q, name)))
+        import numpy as np
+
+        tables, columns = self.table(q, name), np.ascontiguousarray(codes.T.astype(np.intp))
+        out = np.empty((len(q), len(codes)))
+        for at in range(0, len(q), 16):  # a few queries at a time, so that their sums stay in cache
+            part = out[at : at + 16]
+            np.take(tables[0][at : at + 16], columns[0], axis=1, out=part, mode="clip")
+            for t, c in zip(tables[1:], columns[1:]):
+                part += np.take(t[at : at + 16], c, axis=1, mode="clip")
+        return out
 
     @staticmethod
     def train_on(v, m: int, bits: int = 8, iterations: int = 25, seed: int = 1234) -> ProductQuantizer:

@@ -166,9 +166,15 @@ def search(queries: DataFrame, centroids: DataFrame, lists: DataFrame, k: int, n
     return search_preassigned(queries, probes(queries, centroids, nprobe, name), lists, k, name)
 
 
+def probed(lists: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of the lists that some query has chosen: others are neither
+    shuffled nor packed, and of lists that lie in folders (``save_lists``) not read."""
+    return lists.join(chosen.select("list_no").distinct(), "list_no", "left_semi")
+
+
 def search_preassigned(queries: DataFrame, chosen: DataFrame, lists: DataFrame, k: int, name: str = "l2") -> DataFrame:
     """The k nearest rows among the lists chosen for each query."""
-    return search_blocks(queries, chosen, list_blocks(lists), k, name)
+    return search_blocks(queries, chosen, list_blocks(probed(lists, chosen)), k, name)
 
 
 def big_batch_search(queries: DataFrame, chosen: DataFrame, lists: DataFrame, k: int, name: str = "l2", batches: int = 4, done: DataFrame | None = None) -> DataFrame:
@@ -178,7 +184,7 @@ def big_batch_search(queries: DataFrame, chosen: DataFrame, lists: DataFrame, k:
     from lodestar.sources.shared import materialize
 
     m, of = metric(name), F.pmod(F.xxhash64("list_no"), F.lit(batches)).cast("int")
-    blocks = materialize(list_blocks(lists), "blocks")
+    blocks = materialize(list_blocks(probed(lists, chosen)), "blocks")
     have = {r.batch for r in done.select("batch").distinct().collect()} if done is not None else set()
     found = [] if done is None else [done.select("qid", "id", "dist", "batch")]
     for i in range(batches):
@@ -205,7 +211,7 @@ def range_search(queries: DataFrame, chosen: DataFrame, lists: DataFrame, radius
     """Hits strictly within the radius; with ``max_empty``, a query's probes end
     once so many in a row have found nothing."""
     m = metric(name)
-    blocks = list_blocks(lists)
+    blocks = list_blocks(probed(lists, chosen))
 
     def kernel(qids, q, ids, b, list_no):
         import numpy as np

@@ -155,11 +155,10 @@ def quantile_probes(spark, sf_dir):
     return out.select("selection_rank", "id", F.round("lid", 4).alias("lid"), F.round("bucket_lower", 4).alias("bucket_lower"), F.round("bucket_upper", 4).alias("bucket_upper"))
 
 
-@query("WITH e AS (SELECT unnest([64, 80, 96, 128, 160, 192, 256, 320, 384, 512, 640, 768, 1024])::INT AS ef), r AS (SELECT ef, j - 1 AS route_idx, greatest(1, ef * j // 4)::INT AS route_ef FROM e, range(1, 4) t(j)) SELECT ef, route_idx::INT AS route_idx, route_ef, greatest(1, route_ef // 2)::INT AS pair_ef FROM r")
+@query("WITH e AS (SELECT DISTINCT (p_size * 16)::INT AS ef FROM part), r AS (SELECT ef, j - 1 AS route_idx, greatest(1, ef * j // 4)::INT AS route_ef FROM e, range(1, 4) t(j)) SELECT ef, route_idx::INT AS route_idx, route_ef, greatest(1, route_ef // 2)::INT AS pair_ef FROM r")
 def route_table(spark, sf_dir):
-    from lodestar.plans.sweep import EFS
-
-    return calibrate.routes(spark.createDataFrame([(e,) for e in EFS], "ef int"))
+    """Routes of the widths that sizes of parts stand for."""
+    return calibrate.routes(table(spark, sf_dir, "part").select((F.col("p_size") * 16).alias("ef")).distinct())
 
 
 #: Orders as probes: a recall and a ratio for each, at two widths.

@@ -623,14 +623,20 @@ def hnsw_graph_stats(spark, sf_dir):
     return s.agg(F.max(F.when(low, F.col("nodes"))).alias("nodes"), F.every(F.col("most") <= F.when(low, 32).otherwise(16)).alias("within_limits"), F.every("fewer").alias("thinner"), F.every(~low | (F.col("mutual_share") > 0.5)).alias("mutual"))
 
 
-@query("SELECT level, true AS about FROM (VALUES (0), (1), (2)) AS t(level)")
+@query("SELECT level, true AS about FROM (VALUES (0), (1)) AS t(level)")
 def hnsw_levels(spark, sf_dir):
-    """Of a million nodes, each level has a sixteenth of those below it."""
-    import numpy as np
+    """Each level has about a sixteenth of the nodes below it, over shards of the
+    line items."""
+    def drawn(key, pdf):
+        import pandas as pd
+
+        levels = graph.draw_levels(len(pdf), 16, int(key[0]))
+        return pd.DataFrame({"n": [len(pdf)] * 2, "level": [0, 1], "above": [int((levels >= i + 1).sum()) for i in range(2)]})
 
-    levels = graph.draw_levels(1_000_000, 16)
-    share = [(i, bool(abs((levels >= i + 1).mean() * 16 ** (i + 1) - 1) < (0.02, 0.05, 0.2)[i])) for i in range(3)]
-    return spark.createDataFrame(share, "level int, about boolean")
+    shards = table(spark, sf_dir, "lineitem").groupBy(F.pmod("l_orderkey", F.lit(8))).applyInPandas(drawn, "n long, level int, above long")
+    sums = shards.groupBy("level").agg(F.sum("above").alias("above"), F.sum("n").alias("n"))
+    off = F.abs(F.col("above") * F.pow(F.lit(16.0), F.col("level") + 1) / F.col("n") - 1)
+    return sums.select("level", (off < F.when(F.col("level") == 0, 0.25).otherwise(0.8)).alias("about"))
 
 
 @query("SELECT vec_id AS qid, true AS diverse FROM embeddings")
@@ -702,36 +708,49 @@ def adaptive_trace(spark, sf_dir):
     return rows.join(graph.stats(found), "qid").select("qid", "in_order", "ratios", F.coalesce(F.abs(mean - F.col("cfr_mean")) < 1e-9, mean.isNull() & F.col("cfr_mean").isNull()).alias("mean"), "hits")
 
 
-@query("SELECT mean, ef, (CASE WHEN mean > 0.8 THEN ef WHEN mean / 0.8 <= 0.5 THEN greatest(10, ef // 4) WHEN mean / 0.8 <= 0.75 THEN greatest(10, ef * 2 // 4) WHEN mean / 0.8 <= 0.9 THEN greatest(10, ef * 3 // 4) ELSE ef END)::INT AS width FROM (SELECT unnest(range(0, 21)) / 20.0::DOUBLE AS mean), (VALUES (16), (64), (80), (1000)) AS t(ef)")
+def _widths(spark, sf_dir, rule, unit: int):
+    """A walk's rule over the means and widths that line items stand for: their
+    discounts, times ten, and their numbers."""
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_discount") * 10).alias("mean"), (F.col("l_linenumber") * unit).alias("ef")).distinct()
+
+    def run(parts):
+        for pdf in parts:
+            yield pdf.assign(width=[rule.width(int(e), 10, float(m)) for m, e in zip(pdf["mean"], pdf["ef"])])
+
+    return rows.mapInPandas(run, "mean double, ef int, width int")
+
+
+_MEANS = "(SELECT DISTINCT l_discount * 10::DOUBLE AS mean, (l_linenumber * {unit})::INT AS ef FROM lineitem)"
+
+
+@query(f"SELECT mean, ef, (CASE WHEN mean > 0.8 THEN ef WHEN mean / 0.8 <= 0.5 THEN least(ef, greatest(10, ef // 4)) WHEN mean / 0.8 <= 0.75 THEN least(ef, greatest(10, ef * 2 // 4)) WHEN mean / 0.8 <= 0.9 THEN least(ef, greatest(10, ef * 3 // 4)) ELSE ef END)::INT AS width FROM {_MEANS.format(unit=16)}")
 def adaptive_widths(spark, sf_dir):
-    """Widths by the rule of a walk, for means from 0 to 1."""
-    a = graph.Adaptive(tau=0.8, gammas=(0.5, 0.75, 0.9))
-    rows = [(i / 20.0, ef, a.width(ef, 10, i / 20.0)) for i in range(21) for ef in (16, 64, 80, 1000)]
-    return spark.createDataFrame(rows, "mean double, ef int, width int")
+    """Widths by the rule of a walk."""
+    return _widths(spark, sf_dir, graph.Adaptive(tau=0.8, gammas=(0.5, 0.75, 0.9)), 16)
 
 
-@query("SELECT mean, ef, (CASE WHEN mean > 0.8 THEN ef WHEN mean / 0.8 <= 0.5 THEN least(ef, greatest(128, ef // 4)) WHEN mean / 0.8 <= 0.75 THEN least(ef, greatest(128, ef // 2)) ELSE least(ef, greatest(256, ef * 3 // 4)) END)::INT AS width FROM (SELECT unnest(range(0, 21)) / 20.0::DOUBLE AS mean), (VALUES (64), (200), (1000)) AS t(ef)")
+@query(f"SELECT mean, ef, (CASE WHEN mean > 0.8 THEN ef WHEN mean / 0.8 <= 0.5 THEN least(ef, greatest(128, ef // 4)) WHEN mean / 0.8 <= 0.75 THEN least(ef, greatest(128, ef // 2)) ELSE least(ef, greatest(256, ef * 3 // 4)) END)::INT AS width FROM {_MEANS.format(unit=150)}")
 def adaptive_tiers(spark, sf_dir):
     """The same by three fixed steps."""
-    a = graph.Adaptive(tau=0.8, tiers=True, super_gamma=0.5, mid_gamma=0.75)
-    rows = [(i / 20.0, ef, a.width(ef, 10, i / 20.0)) for i in range(21) for ef in (64, 200, 1000)]
-    return spark.createDataFrame(rows, "mean double, ef int, width int")
+    return _widths(spark, sf_dir, graph.Adaptive(tau=0.8, tiers=True, super_gamma=0.5, mid_gamma=0.75), 150)
 
 
-_BAD = {"window": {"start": 5, "end": 3}, "decay": {"decay": 1.5}, "buckets": {"buckets": 1}, "falling": {"gammas": (0.9, 0.5)}, "beyond one": {"gammas": (1.5,)}}
-
-
-@query(f"SELECT name, true AS refused FROM (VALUES {', '.join(f'({n!r})' for n in _BAD)}) AS t(name)")
+@query("SELECT DISTINCT p_size AS size, p_size NOT BETWEEN 2 AND 8 AS buckets, p_size > 16 AS window, p_size > 20 AS decay, p_size > 25 AS gammas FROM part")
 def adaptive_refusals(spark, sf_dir):
-    """Parameters that make no sense."""
-    def refused(options):
+    """Parameters that make no sense, among those that sizes of parts stand for."""
+    def refused(**options) -> bool:
         try:
             graph.Adaptive(**options)
         except ValueError:
             return True
         return False
 
-    return spark.createDataFrame([(n, refused(o)) for n, o in _BAD.items()], "name string, refused boolean")
+    def run(parts):
+        for pdf in parts:
+            n = [int(x) for x in pdf["size"]]
+            yield pdf.assign(buckets=[refused(buckets=x) for x in n], window=[refused(start=x, end=16) for x in n], decay=[refused(decay=x / 20) for x in n], gammas=[refused(gammas=(0.5, x / 25)) if x / 25 >= 0.5 else False for x in n])
+
+    return table(spark, sf_dir, "part").select(F.col("p_size").alias("size")).distinct().mapInPandas(run, "size int, buckets boolean, window boolean, decay boolean, gammas boolean")
 
 
 @query("SELECT vec_id AS qid, true AS held, true AS first FROM embeddings WHERE vec_id % 100 = 0")
@@ -875,19 +894,30 @@ def neighbour_ids_in_files(spark, sf_dir):
     return vecs.read_vectors(spark, f"{path}/x.ibin").select(F.col("embedding")[0].alias("neighbour"), "id")
 
 
-@query("SELECT name, space FROM (VALUES ('glove-100-angular', 'cosine'), ('sift-128-euclidean', 'l2'), ('msmarco-v1', 'ip'), ('text2image-10M', 'ip'), ('coco-t2i-512', 'cosine'), ('nytimes-256', 'cosine'), ('unknown', 'l2')) AS t(name, space)")
+_SUFFIX = ("100-angular", "128-euclidean", "v1", "t2i-512")
+
+
+@query(f"SELECT name, CASE n_nationkey % 4 WHEN 0 THEN 'cosine' WHEN 3 THEN 'ip' ELSE 'l2' END AS space FROM (SELECT n_nationkey, 'set' || n_nationkey || '-' || {list(_SUFFIX)}[n_nationkey % 4 + 1] AS name FROM nation)")
 def dataset_spaces(spark, sf_dir):
-    """The space that a dataset's name tells."""
+    """The space that a dataset's name tells, for names made of nations' numbers."""
     from lodestar.functions.metrics import space_of
 
-    names = ("glove-100-angular", "sift-128-euclidean", "msmarco-v1", "text2image-10M", "coco-t2i-512", "nytimes-256", "unknown")
-    return spark.createDataFrame([(n, space_of(n)) for n in names], "name string, space string")
+    key = F.col("n_nationkey")
+    rows = table(spark, sf_dir, "nation").select(F.concat(F.lit("set"), key.cast("string"), F.lit("-"), F.get(F.array(*map(F.lit, _SUFFIX)), (key % 4).cast("int"))).alias("name"))
+
+    def run(parts):
+        for pdf in parts:
+            yield pdf.assign(space=[space_of(n) for n in pdf["name"]])
 
+    return rows.mapInPandas(run, "name string, space string")
 
-@query("SELECT 1000::BIGINT AS n, 24 AS width, true AS bounded, true AS same")
+
+@query("SELECT count(*)::BIGINT AS n, 24 AS width, true AS bounded, true AS same FROM customer")
 def dataset_synthetic(spark, sf_dir):
-    """Rows of a synthetic dataset: in [-1, 1], and alike at every run."""
-    make = lambda: datasets.synthetic(spark, 24, 1000, 10).base
+    """A synthetic dataset with a row for each customer: in [-1, 1], and alike at
+    every run."""
+    rows = table(spark, sf_dir, "customer").count()
+    make = lambda: datasets.synthetic(spark, 24, rows, 10).base
     worst = F.max(F.array_max(F.transform("embedding", lambda x: F.abs(x))))
     same = vectors.checksum(make()).first() == vectors.checksum(make().repartition(5)).first()
     return make().agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("width"), (worst <= 1).alias("bounded")).withColumn("same", F.lit(same))
@@ -948,16 +978,16 @@ def code_histogram(spark, sf_dir):
     return vectors.code_counts(table(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("code")))
 
 
-@query("SELECT 1000::BIGINT AS n, true AS uniform, true AS normal, true AS same")
+@query("SELECT count(*)::BIGINT AS n, true AS uniform, true AS normal, true AS same FROM orders")
 def random_numbers(spark, sf_dir):
-    """Vectors that depend on ids and a seed: their means and spreads."""
-    rows = spark.range(1000)
+    """Vectors that depend on the keys of orders and a seed: their means and spreads."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
     u, n = vectors.random_vectors(rows, 50), vectors.random_vectors(rows, 50, normal=True)
     stats = lambda d, a: d.select(F.explode("embedding").alias("x")).agg(F.avg("x").alias(f"{a}m"), F.stddev_pop("x").alias(f"{a}s"))
     same = vectors.checksum(u).first() == vectors.checksum(vectors.random_vectors(rows.repartition(7), 50)).first()
     near = lambda c, v: F.abs(F.col(c) - v) < 0.02
-    both = stats(u, "u").join(stats(n, "n"), F.lit(True))
-    return both.select(F.lit(1000).cast("long").alias("n"), (near("um", 0.5) & near("us", 0.288675)).alias("uniform"), (near("nm", 0) & near("ns", 1)).alias("normal"), F.lit(same).alias("same"))
+    both = stats(u, "u").join(stats(n, "n"), F.lit(True)).join(rows.agg(F.count(F.lit(1)).alias("n")), F.lit(True))
+    return both.select("n", (near("um", 0.5) & near("us", 0.288675)).alias("uniform"), (near("nm", 0) & near("ns", 1)).alias("normal"), F.lit(same).alias("same"))
 
 
 @query(f"{sql_hits()}, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM h) WHERE rank <= 10), f AS (SELECT qid FROM t WHERE dist < 1.6 GROUP BY qid HAVING count(*) >= 10), o AS (SELECT qid, id, dist FROM t WHERE dist < 1.6 AND qid NOT IN (SELECT qid FROM f) UNION ALL SELECT qid, id, dist FROM h WHERE dist < 1.6 AND qid IN (SELECT qid FROM f)) SELECT qid, id, round(dist, 5) AS dist FROM o")
@@ -1120,10 +1150,10 @@ def indexes_compared(spark, sf_dir):
 
 @query("SELECT status, true AS same FROM (VALUES ('miss'), ('hit'), ('rebuilt')) AS t(status)")
 def policy_cache(spark, sf_dir):
-    """A policy built where there is none, read again, and built anew for other
-    settings."""
+    """A policy for the widths that sizes of parts stand for, built where there is
+    none, read again, and built anew for other settings."""
     path = f"{new_folder(spark)}/policy"
-    make = lambda: calibrate.routes(spark.createDataFrame([(64,), (128,)], "ef int"))
+    make = lambda: calibrate.routes(table(spark, sf_dir, "part").select((F.col("p_size") * 16).alias("ef")).distinct())
     want, out = sorted(map(tuple, make().collect())), []
     for settings in ({"k": 10}, {"k": 10}, {"k": 20}):
         policy, status = calibrate.load_or_build(spark, settings, path, make)
@@ -1186,13 +1216,13 @@ def range_weights(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(w, 6).alias("weight"))
 
 
-@query("SELECT i, round(CASE WHEN i <= 10 THEN 1 / (1 + exp(i - 5)) ELSE 0 END, 6) AS weight FROM (SELECT unnest(range(15))::INT AS i)")
+@query("SELECT DISTINCT p_size AS i, round(CASE WHEN p_size <= 10 THEN 1 / (1 + exp(p_size - 5)) ELSE 0 END, 6) AS weight FROM part")
 def sigmoid_weights(spark, sf_dir):
-    """The sigmoid that eleven points lie on, found again."""
-    import math
-
-    f = evaluate.fitted_sigmoid([(x, 1 / (1 + math.exp(x - 5))) for x in range(11)])
-    return spark.range(15).select(F.col("id").cast("int").alias("i"), F.round(f(F.col("id").cast("double")), 6).alias("weight"))
+    """The sigmoid that points at the sizes of parts up to ten lie on, found again."""
+    sizes = table(spark, sf_dir, "part").select(F.col("p_size").alias("i")).distinct()
+    points = sizes.where("i <= 10").select(F.col("i").cast("double").alias("x"), (1 / (1 + F.exp(F.col("i") - 5.0))).alias("y")).orderBy("x").collect()
+    f = evaluate.fitted_sigmoid([(r.x, r.y) for r in points])
+    return sizes.select("i", F.round(f(F.col("i").cast("double")), 6).alias("weight"))
 
 
 @query("SELECT n_name AS name, count(*)::BIGINT AS customers, true AS listed FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")

@@ -48,6 +48,20 @@ def test_beams_of_many_rows_are_those_of_each():
     assert np.array_equal(np.concatenate([codec.encode(V[i : i + 7]) for i in range(0, 50, 7)])[:50], got[:50])
 
 
+@pytest.mark.parametrize("bits,width", [(1, 9), (4, 6), (4, 7), (6, 5), (8, 3), (12, 4)])
+def test_packed_rows(bits, width):
+    codes = RANDOM.integers(0, 1 << bits, (20, width))
+    rows = codecs.pack_rows(codes, bits)
+    assert np.array_equal(codecs.unpack_rows(rows.tobytes(), 20, width, bits), codes)
+
+
+def test_product_scans():
+    codec = codecs.ProductQuantizer.train_on(V, 4, 4)
+    codes, q = codec.encode(V), RANDOM.normal(size=(37, 16))
+    assert np.allclose(codec.distances(q, codes), ((q[:, None] - codec.decode(codes)) ** 2).sum(2))
+    assert np.allclose(codec.distances(q, codes, "ip"), q @ codec.decode(codes).T) and codec.distances(q[:0], codes).shape == (0, 400)
+
+
 def test_two_stages():
     codec = additive.TwoStage.train_on(V, 4, 8, 4)
     codes = codec.encode(V)
