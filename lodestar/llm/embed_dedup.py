@@ -76,22 +76,22 @@ def exact_pairs(ux, uy, i, j, threshold: float):
     return i[ok], j[ok]
 
 
-def forest(n: int, pairs) -> list[tuple[int, int]]:
-    """Edges (i, root) of the components of ``pairs`` among n rows; roots are
-    each component's first row."""
-    root = list(range(n))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
+def forest(n: int, i, j):
+    """Each row's root, for the components of the pairs (i, j) among n rows: the
+    component's first row. In rounds over all pairs at once: the larger of two
+    roots is hung under the smallest that a pair leads to, then all rows point at
+    the tops of their trees."""
+    import numpy as np
 
-    for i, j in pairs:
-        a, b = find(i), find(j)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-    return [(i, r) for i in range(n) if (r := find(i)) != i]
+    root = np.arange(n)
+    while len(i):
+        a, b = root[i], root[j]
+        open_ = a != b
+        i, j, a, b = i[open_], j[open_], a[open_], b[open_]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := root[root], root):
+            root = up
+    return root
 
 
 def _found(ids_x, ids_y, i, j):
@@ -104,9 +104,10 @@ def _found(ids_x, ids_y, i, j):
     order = np.argsort(ids, kind="stable")  # so that roots are the smallest ids
     rank = np.empty(len(ids), np.int64)
     rank[order] = np.arange(len(ids))
-    edges = forest(len(ids), zip(rank[i].tolist(), rank[j].tolist()))
+    root = forest(len(ids), rank[i], rank[j])
+    hung = np.flatnonzero(root != np.arange(len(root)))
     ordered = ids[order]
-    return [(int(ids[k]), int(links[k]), None) for k in np.flatnonzero(links)] + [(int(ordered[a]), 0, int(ordered[b])) for a, b in edges]
+    return [(a, n, None) for a, n in zip(ids[links > 0].tolist(), links[links > 0].tolist())] + [(a, 0, b) for a, b in zip(ordered[hung].tolist(), ordered[root[hung]].tolist())]
 
 
 def _pairs_of(x, y, threshold: float):

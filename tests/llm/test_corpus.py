@@ -40,6 +40,13 @@ def test_components(spark):
     assert shared.connected_components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
 
 
+@given(st.integers(1, 40), st.lists(st.tuples(st.integers(0, 39), st.integers(0, 39)), max_size=60))
+def test_forest(n, pairs):
+    pairs = [(a % n, b % n) for a, b in pairs]
+    i, j = np.array([a for a, _ in pairs], int), np.array([b for _, b in pairs], int)
+    assert dict(enumerate(embed_dedup.forest(n, i, j).tolist())) == brute.components(range(n), pairs)
+
+
 # --- quality ---
 
 def test_weak_labels_find_accuracies():
