@@ -17,6 +17,7 @@ from lodestar.functions.metrics import metric
 from lodestar.operators.blocks import BASE_ROWS, BROADCAST_BYTES, QUERY_ROWS, tiles
 from lodestar.operators.codecs import RowCodec, best_of_tile
 from lodestar.operators.knn import HITS, knn, top
+from lodestar.sources.shared import materialize
 
 #: Distances between rows and centroids that are held at once.
 CELLS = 1 << 22
@@ -134,12 +135,15 @@ def list_blocks(lists: DataFrame, value: str = "embedding", most: int = BASE_ROW
 
 def list_tiles(queries: DataFrame, chosen: DataFrame, blocks: DataFrame, kernel: Callable, schema: str, codec: RowCodec | None = None, width: int = 0) -> DataFrame:
     """``kernel(query ids, query matrix, ids, matrix, list number)`` for each block
-    of the lists chosen for the queries with each block of their queries. The
-    matrix has the vectors, or with a ``codec`` the codes, ``width`` elements
-    each."""
+    of the lists chosen for the queries with each block of their queries, which go
+    to the blocks where they are below ``BROADCAST_BYTES``. The matrix has the
+    vectors, or with a ``codec`` the codes, ``width`` elements each."""
     q = queries.toDF("qid", "qv").select("qid", F.col("qv").cast("array<double>").alias("qv")).join(chosen.select("qid", "list_no"), "qid")
     q = in_blocks(q, QUERY_ROWS, "qid").groupBy("list_no", F.col("block").alias("q_block")).agg(F.collect_list(F.struct("qid", "qv")).alias("q"))
-    work = q.join(blocks, "list_no").select(F.col("q.qid").alias("qids"), F.col("q.qv").alias("qv"), "ids", "data", "list_no")
+    q = materialize(q, "probes")
+    size = q.agg(F.sum(F.size("q") * (F.size(F.col("q")[0]["qv"]) * 8 + 64))).first()[0] or 0
+    q = F.broadcast(q) if size <= BROADCAST_BYTES else q  # then the blocks aren't moved
+    work = blocks.join(q, "list_no").select(F.col("q.qid").alias("qids"), F.col("q.qv").alias("qv"), "ids", "data", "list_no")
     kind = _parse_datatype_string(schema)
     arrow = to_arrow_schema(kind)
 
@@ -181,8 +185,6 @@ def big_batch_search(queries: DataFrame, chosen: DataFrame, lists: DataFrame, k:
     """The same list by list in ``batches`` of lists, each written before the
     next begins; ``done`` are the hits ``(qid, id, dist, batch)`` of a run that
     broke off, whose batches aren't computed again."""
-    from lodestar.sources.shared import materialize
-
     m, of = metric(name), F.pmod(F.xxhash64("list_no"), F.lit(batches)).cast("int")
     blocks = materialize(list_blocks(probed(lists, chosen)), "blocks")
     have = {r.batch for r in done.select("batch").distinct().collect()} if done is not None else set()
