@@ -62,7 +62,7 @@ _NEAREST = "list_position(list_transform({book}, lambda r: round({l2}, 12)), lis
     g AS (SELECT *, {', '.join(f'[z[1] - z[2] for z in list_zip(x{s}, b{s}0[c{s}0])] AS y{s}' for s in range(SLICES))} FROM f),
     h AS (SELECT *, {', '.join(f'{_NEAREST.format(book=f"b{s}1", l2=sql_sum("(z[1] - z[2]) * (z[1] - z[2])", f"y{s}", "r"))} AS c{s}1' for s in range(SLICES))} FROM g),
     k AS (SELECT id, e, c00, c01, c10, c11, [z[1] + z[2] for z in list_zip(b00[c00], b01[c01])] || [z[1] + z[2] for z in list_zip(b10[c10], b11[c11])] AS kept FROM h)
-    SELECT id, [c00 - 1, c01 - 1, c10 - 1, c11 - 1]::BIGINT[] AS code, round(list_sum([x * x for x in kept]), 4) AS length,
+    SELECT id, concat_ws(' ', c00 - 1, c01 - 1, c10 - 1, c11 - 1) AS code, round(list_sum([x * x for x in kept]), 4) AS length,
            round(list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(e, kept)]), 4) AS error FROM k""")
 def product_additive_codes(spark, sf_dir):
     """Sums of given book rows for each half of a vector, with the squared length
@@ -72,7 +72,7 @@ def product_additive_codes(spark, sf_dir):
     codes = codecs.mapped(base, codec.encode).toDF("id", "code")
     lost = F.aggregate(F.zip_with("kept", "embedding", lambda a, x: (a - x) * (a - x)), F.lit(0.0), lambda a, x: a + x)
     rows = codes.join(codecs.mapped(codes, codec.decode).toDF("id", "kept"), "id").join(base, "id")
-    return rows.select("id", F.transform(F.slice("code", 1, 4), lambda x: x.cast("long")).alias("code"), F.round(F.element_at("code", -1), 4).alias("length"), F.round(lost, 4).alias("error"))
+    return rows.select("id", F.array_join(F.transform(F.slice("code", 1, 4), lambda x: x.cast("long").cast("string")), " ").alias("code"), F.round(F.element_at("code", -1), 4).alias("length"), F.round(lost, 4).alias("error"))
 
 
 @query("SELECT 'PRQ2x4x6' AS codec, 6 AS bytes, true AS less_than_pq, true AS sound FROM (VALUES (1)) UNION ALL SELECT 'PLSQ2x4x6', 6, true, true")
