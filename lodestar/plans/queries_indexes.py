@@ -587,7 +587,7 @@ def hnsw_links_in_order(spark, sf_dir):
 def hnsw_random_links(spark, sf_dir):
     """Links to random rows: a beam over all of them still finds the nearest."""
     base, index = _graph(spark, sf_dir)
-    return _walked(base, materialize(graph.changed(index, lambda g: graph.random_links(g, 16)), "random"))
+    return _walked(base, materialize(graph.changed(index, lambda g: graph.random_links(g, 16)), "random"), ef=max(WIDE, base.count()))
 
 
 @query(_BY_COSINE)

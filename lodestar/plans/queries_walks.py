@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestar.operators import evaluate, graph, joined_walk, knn, sparse, stops
+from lodestar.operators import coded_walk, evaluate, graph, joined_walk, knn, sparse, stops
+from lodestar.operators.codecs import RaBitQ
 from lodestar.plans import factory
 from lodestar.plans.queries_indexes import _COSINE
 from lodestar.plans.registry import RESULT, base_of, queries_of, query, result, sql_hits, sql_top, table
@@ -80,6 +81,69 @@ def joined_walk_documents(spark, sf_dir):
     return found.select("qid", "id", F.round("dist", 5).alias("dist"))
 
 
+# --- walks over codes ---
+
+@query(f"{sql_hits()}, {sql_top()} {RESULT}")
+def coded_walk_hits(spark, sf_dir):
+    """Beams over all rows by estimates from codes of two bits with certain bounds:
+    the pools, measured by vectors, hold the nearest rows."""
+    base = base_of(spark, sf_dir)
+    links, entries = materialize(joined_walk.links_of(_near(base, "l2")), "links"), materialize(joined_walk.entry_points(base), "entries")
+    codes = coded_walk.coded(base, RaBitQ.train(base, 2), None)
+    q = queries_of(base).join(base.agg(F.count(F.lit(1)).alias("ef")), F.lit(True))
+    return result(coded_walk.walk(q, base, codes, links, entries, 10, pops=100, hide_self=True)[0])
+
+
+#: Bits of a component whose estimates are held against distances.
+CODE_BITS = (1, 2, 4, 8)
+
+
+@query(f"WITH q AS (SELECT vec_id FROM embeddings WHERE vec_id % 100 = 0) SELECT bits, count(*)::BIGINT AS pairs, true AS within, true AS mostly, true AS falls FROM q, embeddings b, (VALUES {', '.join(f'({b})' for b in CODE_BITS)}) AS t(bits) GROUP BY bits")
+def code_estimates(spark, sf_dir):
+    """Estimates of all distances of the query set by 1 to 8 bits a component: none
+    is farther off than the certain bound, nine of ten lie within the probable one,
+    and twice the bits have less than the error of half."""
+    base, out, before = base_of(spark, sf_dir), None, float("inf")
+    q = queries_of(base)
+    exact = materialize(knn.range_search(q, base, float("inf"), "l2"), "exact")
+    for bits in CODE_BITS:
+        codes = coded_walk.coded(base, RaBitQ.train(base, bits), None)
+        rows = coded_walk.estimates(exact, coded_walk.moved_queries(q, codes), codes)
+        off = F.abs(F.col("est") - F.col("dist"))
+        width = len(base.first()["embedding"])
+        row = rows.agg(F.count(F.lit(1)).alias("pairs"), F.every(off <= F.col("slack") + 1e-6).alias("within"), F.avg((off <= F.col("slack") * (1.9 / (width - 1) ** 0.5) + 1e-6).cast("double")).alias("share"), F.avg(off).alias("error")).first()
+        one = spark.createDataFrame([(bits, row.pairs, row.within, row.share >= 0.9, row.error < before)], "bits int, pairs long, within boolean, mostly boolean, falls boolean")
+        out, before = one if out is None else out.unionAll(one), row.error
+    return out
+
+
+#: Widths whose policy is calibrated over codes and over vectors, and their routes.
+CODED_EFS = (24, 48)
+
+
+@query(f"SELECT ef, j - 1 AS route_idx, ef * j // 4 AS route_ef, count(*)::BIGINT AS queries, true AS differs, true AS kept, true AS narrower FROM embeddings, (VALUES {', '.join(f'({e})' for e in CODED_EFS)}) AS t(ef), (VALUES (1), (2), (3)) AS r(j) WHERE vec_id % 10 = 5 GROUP BY ALL")
+def coded_walk_policy(spark, sf_dir):
+    """Thresholds calibrated for walks over codes of one bit: they differ from those
+    of exact distances by over a hundredth; walks of a tenth of all rows that they
+    narrow lose at most a twentieth of the hits, and some are narrowed."""
+    base = base_of(spark, sf_dir)
+    near = materialize(knn.knn(base.toDF("qid", "qv"), base, 20, "l2", exclude_self=True), "near")
+    links, entries = materialize(joined_walk.links_of(near.where(F.col("rank") <= NEAR)), "links"), materialize(joined_walk.entry_points(base), "entries")
+    kinds = {"codes": coded_walk.coded(base, RaBitQ.train(base, 1)), "vectors": coded_walk.uncoded(base)}
+    policies = {kind: coded_walk.calibrated(base, codes, links, entries, near, CODED_EFS, n_probes=50)["policy"] for kind, codes in kinds.items()}
+    q = base.where("id % 10 = 5").select(F.col("id").alias("qid"), F.col("embedding").alias("qv"), F.explode(F.array(*map(F.lit, CODED_EFS))).alias("ef"))
+    runs = {}
+    for kind, policy in (("whole", None), ("routed", policies["codes"])):
+        hits, did = coded_walk.walk(q, base, kinds["codes"], links, entries, 10, policy, hide_self=True)
+        r = coded_walk.recalls(hits, q, near, 10).join(did, ["qid", "ef"])
+        runs[kind] = r.groupBy("ef").agg(F.count(F.lit(1)).alias("queries"), F.avg("recall").alias(f"{kind}_recall"), F.count_if(F.col("effective_ef") < F.col("ef")).alias(f"{kind}_narrowed"))
+    both = runs["routed"].join(runs["whole"].drop("queries"), "ef")
+    vectors = policies["vectors"].select("ef", "route_idx", F.col("theta").alias("vectors_theta"))
+    rows = policies["codes"].join(vectors, ["ef", "route_idx"]).join(both, "ef")
+    differs = F.abs(F.col("theta") - F.col("vectors_theta")) > 0.01
+    return rows.select("ef", "route_idx", "route_ef", "queries", differs.alias("differs"), (F.col("routed_recall") >= F.col("whole_recall") - 0.05).alias("kept"), (F.col("routed_narrowed") > 0).alias("narrower"))
+
+
 # --- ends that are learned ---
 
 def _log(spark, sf_dir, shards: int = 2):
