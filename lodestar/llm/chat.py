@@ -2,7 +2,8 @@
 
 The template language has text, ``{{ expression }}``, ``{% if %}``, ``{% elif %}``,
 ``{% else %}``, ``{% for x in expression %}``, ``{% set x = expression %}`` and
-``{% generation %}``. A template is parsed into a syntax tree, constant parts are
+``{% generation %}``. A dash inside a tag's brace, ``{%-`` or ``-%}``, takes away the
+white space of the template on that side. A template is parsed into a syntax tree, constant parts are
 folded, and the tree becomes Python closures. It is sandboxed: an expression
 reaches only the names it is given, items of dicts and lists, the loop's counters
 and the filters below; there are no calls, no attributes and no assignments
@@ -211,7 +212,7 @@ def closure(tree) -> Callable[[dict], object]:
 
 # --- statements ---
 
-_TAG = re.compile(r"\{%-?\s*(.*?)\s*-?%\}|\{\{-?(.*?)-?\}\}", re.S)
+_TAG = re.compile(r"(?:\{%(-?)\s*(.*?)\s*(-?)%\}|\{\{(-?)(.*?)(-?)\}\})", re.S)
 
 
 @dataclass
@@ -223,12 +224,14 @@ class _Cursor:
 def parse(template: str) -> list:
     """The statements: ("text", s), ("put", expression), ("if", [(test, body)]),
     ("for", name, expression, body), ("set", name, expression), ("mask", body)."""
-    parts, at = [], 0
+    parts, at, trim = [], 0, False
     for m in _TAG.finditer(template):
-        parts.append(("text", template[at : m.start()]))
-        parts.append(("tag", m[1]) if m[1] is not None else ("put", m[2]))
-        at = m.end()
-    parts.append(("text", template[at:]))
+        text = template[at : m.start()]
+        text = text.lstrip() if trim else text
+        parts.append(("text", text.rstrip() if m[1] or m[4] else text))
+        parts.append(("tag", m[2]) if m[2] is not None else ("put", m[5]))
+        at, trim = m.end(), bool(m[3] or m[6])
+    parts.append(("text", template[at:].lstrip() if trim else template[at:]))
     cursor = _Cursor([p for p in parts if p[0] != "text" or p[1]])
     body, end = _body(cursor, ())
     return body

@@ -14,7 +14,8 @@ document repeats.
 
 Rows: a null text is an empty line. A row whose doc_id is null keeps all its
 lines and doesn't count as a document. Rows of one doc_id count as one document,
-whatever their texts. Extra columns stay; the columns added replace any of the
+whatever their texts. A line of any length is one hash; an empty table gives an
+empty result. Extra columns stay; the columns added replace any of the
 same name."""
 
 from __future__ import annotations

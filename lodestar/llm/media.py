@@ -6,8 +6,10 @@ reader takes the samples back out of the file, short-time Fourier transforms
 find spectral peaks, and pairs of peaks become time-coded fingerprints.
 
 Rows: a null text is empty and becomes one block of spaces; a null media file
-has a null payload and no fingerprints. Every row stands for itself. Extra
-columns stay; a column that has the name of one that is added is replaced."""
+has a null payload and no fingerprints. A text of any length is one file in its
+row, up to the format's 4 GB; an empty table gives an empty result. Every row
+stands for itself. Extra columns stay; a column that has the name of one that is
+added is replaced."""
 
 from __future__ import annotations
 

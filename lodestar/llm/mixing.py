@@ -7,8 +7,8 @@ source's size repeats whole epochs first.
 
 Rows: a null text has no tokens and is taken 0 times. A null source is a source
 of its own, the last. Rows of one doc_id share a random key and are ordered by
-the rest of the row; rows alike in all columns are interchangeable. An empty
-table gives an empty result."""
+the rest of the row; rows alike in all columns are interchangeable. A text of
+any length is one number, its size. An empty table gives an empty result."""
 
 from __future__ import annotations
 

@@ -277,6 +277,8 @@ def test_language():
 def test_constants_fold():
     assert chat.parse("a{{ 1 + 2 }}{% if 1 == 2 %}no{% elif 'x' | upper == 'X' %}yes{% endif %}b") == [("text", "a3yesb")]
     assert chat.parse("{{ x + (1 + 2) }}") == [("put", ("+", ("name", "x"), ("const", 3)))]
+    assert chat.parse("a \n {%- if x -%} \t b {% endif %} c {{- 1 -}}\n d") == [("text", "a"), ("if", [(("name", "x"), [("text", "b ")])]), ("text", " c1d")]
+    assert chat.parse("a {{- x }} b {{ x -}} ") == [("text", "a"), ("put", ("name", "x")), ("text", " b "), ("put", ("name", "x"))]
 
 
 @pytest.mark.parametrize("template", ["{{ x.__class__ }}{{ x() }}", "{{ x | nothing }}", "{% for x %}{% endfor %}", "{% if x %}", "{{ 1 + }}", "{% import os %}", "{% endif %}", "{{ open }}('x'){{ a b }}"])
