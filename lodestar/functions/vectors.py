@@ -81,15 +81,15 @@ def partition(v: Column, least: int, most: int) -> Column:
 
 
 def bucket_sort(rows: DataFrame, value: str = "value", id: str = "id") -> DataFrame:
-    """``(value, n, before, ids)``: the ids of each value in order, and how many rows
-    have a smaller value. Values are few enough for one sorted pass over them; ids
-    of a value are one array, so ``code_counts`` is for values that very many have."""
-    from pyspark.sql import Window
-
-    n = rows.groupBy(value).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(id)).alias("ids"))
-    before = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    sums = F.broadcast(n.select(F.col(value).alias("_value"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")))
-    return n.join(sums, F.col(value).eqNullSafe(F.col("_value"))).select(value, "n", "before", "ids")
+    """``(value, id, place, n, before)``: each row's place, from 1, in the order of
+    values, null first, and ids; how many rows have its value, and how many come
+    before all of these. No task holds the rows of a value, nor all values."""
+    from lodestar.operators.ordered import numbered
+    from lodestar.sources.shared import materialize
+
+    placed = materialize(numbered(rows.select(value, id), [value, id], "place"), "placed")
+    n = placed.groupBy(F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("n"), (F.min("place") - 1).alias("before"))
+    return placed.join(n, F.col(value).eqNullSafe(F.col("_value"))).select(value, id, "place", "n", "before")
 
 
 def histogram(rows: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import vectors
 from lodestar.functions.metrics import distance
-from lodestar.operators import calibrate, cluster, codecs, evaluate, graph, ivf, knn, merge, panorama, stops
-from lodestar.plans import factory, offline, sweep
+from lodestar.operators import calibrate, cluster, codecs, evaluate, graph, ivf, joined_walk, knn, merge, panorama, stops
+from lodestar.plans import factory, inspection, offline, sweep
 from lodestar.plans.registry import L2, RESULT, VECTORS, base_of, queries_of, query, result, sql_hits, sql_sum, sql_top, table
 from lodestar.sources import datasets, vecs
 from lodestar.sources.shared import materialize, new_folder
@@ -611,6 +611,20 @@ def hnsw_integrity(spark, sf_dir):
     return graph.integrity(graph.edges(index), base)
 
 
+@query(_BY_COSINE)
+def hnsw_renumbered(spark, sf_dir):
+    """The links of the lowest level with nodes renumbered, walked as joins over rows
+    with the new numbers: hits by their old numbers are the nearest rows."""
+    base, index = _graph(spark, sf_dir)
+    turn = materialize(base.select(F.col("id").alias("old"), (-F.col("id") - 1).alias("new")), "turn")
+    links = materialize(graph.permuted(graph.edges(index).where("level = 0"), turn).select("node", "neighbour"), "links")
+    turned = materialize(base.join(turn, F.col("id") == F.col("old")).select(F.col("new").alias("id"), "embedding"), "turned")
+    q = queries_of(base).select((-F.col("qid") - 1).alias("qid"), "qv")
+    found, _ = joined_walk.walk(q, turned, links, joined_walk.entry_points(turned), 10, base.count(), "cosine", pops=100, hide_self=True)
+    back = found.join(turn.toDF("i", "id"), "id").select((-F.col("qid") - 1).alias("qid"), "rank", F.col("i").alias("id"), "dist")
+    return result(back)
+
+
 @query("SELECT count(*)::BIGINT AS nodes, true AS within_limits, true AS thinner, true AS mutual FROM embeddings")
 def hnsw_graph_stats(spark, sf_dir):
     """Nodes of the lowest level, that no node has more links than its level
@@ -962,10 +976,9 @@ def smallest_part(spark, sf_dir):
     return rows.select("id", F.round(F.col("p.threshold").cast("double"), 6).alias("threshold"), F.size("p.positions").alias("n"))
 
 
-@query("SELECT label AS value, count(*)::BIGINT AS n, (SELECT count(*) FROM embeddings e WHERE e.label < embeddings.label)::BIGINT AS before, string_agg(vec_id, ' ' ORDER BY vec_id) AS ids FROM embeddings GROUP BY label")
+@query("SELECT label AS value, vec_id AS id, row_number() OVER (ORDER BY label NULLS FIRST, vec_id) AS place, count(*) OVER (PARTITION BY label) AS n, rank() OVER (ORDER BY label NULLS FIRST) - 1 AS before FROM embeddings")
 def bucket_sorted(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("value"), F.col("vec_id").alias("id"))
-    return vectors.bucket_sort(rows).select("value", "n", "before", F.array_join("ids", " ").alias("ids"))
+    return vectors.bucket_sort(table(spark, sf_dir, "embeddings").select(F.col("label").alias("value"), F.col("vec_id").alias("id")))
 
 
 @query("SELECT bin, (SELECT count(*) FROM lineitem WHERE l_quantity >= 0 AND l_quantity < 60 AND least(floor(l_quantity / 60 * 8), 7) = bin)::BIGINT AS n FROM (SELECT unnest(range(8))::INT AS bin)")
@@ -1263,3 +1276,17 @@ def streamed_queries(spark, sf_dir):
     ingest.searched(stream, base, 11, f"{path}/found", f"{path}/checkpoint").awaitTermination()
     found = spark.read.parquet(f"{path}/found").where("qid <> id").select("qid", "id", "dist")
     return result(knn.top(found, 10))
+
+
+@query("SELECT count(*)::BIGINT AS rows, 32::BIGINT AS projected, 16::BIGINT AS lists, count(*)::BIGINT AS listed, (count(*) * 4)::BIGINT AS bytes, 128::BIGINT AS entries, true AS same FROM embeddings")
+def index_tables(spark, sf_dir):
+    """An index as tables of projections, lists, books and codes, and whether each
+    vector put together from them is the one that the index keeps."""
+    index = factory.build(base_of(spark, sf_dir), "PCA32,IVF16,PQ8x4")
+    kept, again = index.kept().toDF("id", "kept"), inspection.together(index)
+    off = F.array_max(F.zip_with("kept", "embedding", lambda a, b: F.abs(a - b)))
+    rows = kept.join(again, "id", "left").agg(F.count(F.lit(1)).alias("rows"), F.every(F.coalesce(off, F.lit(1.0)) < 1e-9).alias("same"))
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    lists = inspection.lists(index).agg(F.count(F.lit(1)).alias("lists"), F.sum("n").alias("listed"), F.sum("bytes").alias("bytes"))
+    out = rows.join(count(inspection.projections(index), "projected"), F.lit(True)).join(lists, F.lit(True)).join(count(inspection.books(index), "entries"), F.lit(True))
+    return out.select("rows", "projected", "lists", "listed", "bytes", "entries", "same")

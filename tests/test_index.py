@@ -376,3 +376,35 @@ def test_uniform_probes_by_brute_force(spark, n):
     rows = [(v, i) for i, v in enumerate(lids.tolist())]
     out = sorted(calibrate.uniform_probes(spark.createDataFrame(rows, "lid double, id long"), n).collect())
     assert [p.id for p in out] == plain_uniform(rows, n, min(lids), max(lids))
+
+
+def test_index_as_tables(spark):
+    from lodestar.plans import inspection
+
+    base = frame(spark, RANDOM.normal(size=(300, 8)))
+    index = factory.build(base, "PCA6,IVF4,PQ3x3")
+    matrix = np.array([r.weights for r in inspection.projections(index).orderBy("row").collect()])
+    added = np.array([r.added for r in inspection.projections(index).orderBy("row").collect()])
+    v = {r.id: np.array(r.embedding) for r in base.collect()}
+    moved = {r.id: np.array(r.embedding) for r in index.moved(base).collect()}
+    assert all(np.allclose(matrix @ v[i] + added, moved[i], atol=1e-6) for i in v)
+    kept = {r.id: r.embedding for r in index.kept().collect()}
+    again = {r.id: r.embedding for r in inspection.together(index).collect()}
+    assert kept.keys() == again.keys() and all(np.allclose(kept[i], again[i]) for i in kept)
+    lists = inspection.lists(index).collect()
+    assert sorted(r.list_no for r in lists) == [0, 1, 2, 3] and sum(r.n for r in lists) == 300 and sum(r.bytes for r in lists) == 600
+    assert inspection.books(index).count() == 3 * 8 and all(0 <= c < 8 for r in inspection.codes(index).collect() for c in r.codes)
+    flat = factory.build(base, "SQ8")
+    assert inspection.centroids(flat).count() == inspection.books(flat).count() == inspection.projections(flat).count() == 0
+    assert [r.n for r in inspection.lists(flat).collect()] == [300]
+    with pytest.raises(ValueError):
+        inspection.together(flat)
+
+
+def test_bucket_sort(spark):
+    from lodestar.functions import vectors
+
+    rows = spark.createDataFrame([(2, 7), (None, 9), (2, 1), (1, 3), (None, 4), (2, 1)], "value int, id long")
+    found = sorted(map(tuple, vectors.bucket_sort(rows).collect()), key=lambda r: r[2])
+    assert found == [(None, 4, 1, 2, 0), (None, 9, 2, 2, 0), (1, 3, 3, 1, 2), (2, 1, 4, 3, 3), (2, 1, 5, 3, 3), (2, 7, 6, 3, 3)]
+    assert vectors.bucket_sort(rows.where("false")).count() == 0
