@@ -47,6 +47,21 @@ class Coded:
     moved: Callable[[DataFrame], DataFrame]
 
 
+def share(width: int, eps: float | None) -> float:
+    """Which part of the certain bound the probable one is."""
+    return 1.0 if eps is None else min(1.0, eps / max(1, width - 1) ** 0.5)
+
+
+def slack(codes, eps: float | None):
+    """Of codes as ``RaBitQ.encode`` makes them, the bound on ``|v - w|``."""
+    import numpy as np
+
+    length, cosine = codes[:, -3], codes[:, -1]
+    sound = np.abs(cosine) > 1e-12
+    away = np.where(sound, length * np.sqrt(np.maximum(0.0, 1 / np.where(sound, cosine, 1.0) ** 2 - 1)), length)
+    return away * share(codes.shape[1] - 3, eps) * (1 + 1e-9) + 1e-12
+
+
 def coded(base: DataFrame, codec: RaBitQ, eps: float | None = 1.9) -> Coded:
     """Codes of ``(id, embedding)``; without ``eps`` their bounds are certain."""
     rows = base.toDF("id", "embedding").where("id is not null and embedding is not null")
@@ -57,11 +72,8 @@ def coded(base: DataFrame, codec: RaBitQ, eps: float | None = 1.9) -> Coded:
         c = codec.encode(v)
         length, size, cosine = c[:, -3], c[:, -2], c[:, -1]
         sound = np.abs(cosine) > 1e-12
-        safe = np.where(sound, cosine, 1.0)
-        factor = np.where(sound, length / np.maximum(size, 1e-30) / safe, 0.0)
-        away = np.where(sound, length * np.sqrt(np.maximum(0.0, 1 / safe**2 - 1)), length)
-        share = 1.0 if eps is None else min(1.0, eps / max(1, v.shape[1] - 1) ** 0.5)
-        return np.column_stack([c[:, :-3], factor, length, away * share * (1 + 1e-9) + 1e-12])
+        factor = np.where(sound, length / np.maximum(size, 1e-30) / np.where(sound, cosine, 1.0), 0.0)
+        return np.column_stack([c[:, :-3], factor, length, slack(c, eps)])
 
     at = lambda back: F.element_at("embedding", -back)
     levels = F.slice("embedding", 1, F.size("embedding") - 3).cast("array<smallint>")

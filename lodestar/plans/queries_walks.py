@@ -3,9 +3,11 @@ and of k-means over sparse rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestar.operators import coded_walk, evaluate, graph, joined_walk, knn, sparse, stops
+from lodestar.operators.blocks import tiles
 from lodestar.operators.codecs import RaBitQ
 from lodestar.plans import factory
 from lodestar.plans.queries_indexes import _COSINE
@@ -103,18 +105,26 @@ def code_estimates(spark, sf_dir):
     """Estimates of all distances of the query set by 1 to 8 bits a component: none
     is farther off than the certain bound, nine of ten lie within the probable one,
     and twice the bits have less than the error of half."""
-    base, out, before = base_of(spark, sf_dir), None, float("inf")
-    q = queries_of(base)
-    exact = materialize(knn.range_search(q, base, float("inf"), "l2"), "exact")
-    for bits in CODE_BITS:
-        codes = coded_walk.coded(base, RaBitQ.train(base, bits), None)
-        rows = coded_walk.estimates(exact, coded_walk.moved_queries(q, codes), codes)
-        off = F.abs(F.col("est") - F.col("dist"))
-        width = len(base.first()["embedding"])
-        row = rows.agg(F.count(F.lit(1)).alias("pairs"), F.every(off <= F.col("slack") + 1e-6).alias("within"), F.avg((off <= F.col("slack") * (1.9 / (width - 1) ** 0.5) + 1e-6).cast("double")).alias("share"), F.avg(off).alias("error")).first()
-        one = spark.createDataFrame([(bits, row.pairs, row.within, row.share >= 0.9, row.error < before)], "bits int, pairs long, within boolean, mostly boolean, falls boolean")
-        out, before = one if out is None else out.unionAll(one), row.error
-    return out
+    base = base_of(spark, sf_dir)
+    codecs = {bits: RaBitQ.train(base, bits) for bits in CODE_BITS}
+    kinds = "bits int, pairs long, within long, mostly long, off double"
+
+    def kernel(qids, q, ids, b):
+        import numpy as np
+
+        exact = ((q * q).sum(1)[:, None] + (b * b).sum(1) - 2 * (q @ b.T)).clip(0)
+        out = []
+        for bits, codec in codecs.items():
+            codes = codec.encode(b)
+            off = np.abs(codec.estimate(q, codes) - exact)
+            bound = 2 * np.linalg.norm(q - codec.center, axis=1)[:, None] * coded_walk.slack(codes, None)
+            out.append((bits, off.size, int((off <= bound + 1e-6).sum()), int((off <= bound * coded_walk.share(b.shape[1], 1.9) + 1e-6).sum()), float(off.sum())))
+        return dict(zip(("bits", "pairs", "within", "mostly", "off"), map(np.array, zip(*out))))
+
+    sums = tiles(queries_of(base), base, kernel, kinds).groupBy("bits").agg(*(F.sum(c).alias(c) for c in ("pairs", "within", "mostly", "off")))
+    error = F.col("off") / F.col("pairs")
+    falls = F.coalesce(error < F.lag(error).over(Window.orderBy("bits")), F.lit(True))  # four rows
+    return sums.select("bits", "pairs", (F.col("within") == F.col("pairs")).alias("within"), (F.col("mostly") >= 0.9 * F.col("pairs")).alias("mostly"), falls.alias("falls"))
 
 
 #: Widths whose policy is calibrated over codes and over vectors, and their routes.
