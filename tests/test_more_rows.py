@@ -43,7 +43,7 @@ def test_three_levels_of_a_million_nodes(spark):
 
 
 #: Searches that are fitted to nine tenths of the hits.
-REACH = ["factory_ivf_prq", "factory_ivf_rabitq", "factory_ivf_rq", "factory_ivf_spectral", "factory_ivf_spectral_refine"]
+REACH = ["factory_ivf_prq", "factory_ivf_rabitq", "factory_ivf_rq", "factory_ivf_spectral", "factory_ivf_spectral_refine", "factory_ivf_sq0"]
 
 
 @pytest.mark.parametrize("name", REACH)
