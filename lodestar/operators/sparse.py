@@ -1,23 +1,26 @@
 """k-means over sparse rows ``(id, indices, values)``.
 
-Rows are assigned by an equi-join on the dimension between their entries and an
-inverted table of the centroids; sums by (row, list) of products, combined in each
-task, are inner products with the lists that share a dimension. All other lists
-have inner product 0, so the one of least length stands for them. New centroids are
-sums of entries by (list, dimension).
+Entries of rows and of centroids are packed in blocks, without zeros. Each block of
+rows meets each block of centroids; inner products of their rows are sums over the
+dimensions that both have, made where the blocks meet, so pairs of rows and lists are
+never rows of a table: a row leaves a block of centroids with the nearest of it.
+Lists that share no dimension with a row have inner product 0.
 
-Nothing is densified, and centroids stay a table: what goes to the driver is one
-squared length for each centroid. Rows without entries belong to the centroid of
-least length; a list that gets no rows keeps its centroid. Null rows are left out;
-entries of one row and dimension are added up."""
+Centroids stay a table, and nothing of them goes to the driver. Rows without entries
+belong to the centroid of least length; a list that gets no rows keeps its centroid.
+Null rows are left out; entries of one row and dimension are added up."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.operators.blocks import BROADCAST_BYTES, GROUP_BLOCKS
 from lodestar.sources.shared import materialize
 
+#: Rows and lists of a block.
+ROWS, LISTS = 1024, 1024
+
 
 def entries(rows: DataFrame) -> DataFrame:
     """``(id, dim, x)`` for each entry that isn't 0."""
@@ -25,23 +28,66 @@ def entries(rows: DataFrame) -> DataFrame:
     return each.select("id", F.col("e.dim").alias("dim"), F.col("e.x").alias("x")).where("x <> 0").groupBy("id", "dim").agg(F.sum("x").alias("x"))
 
 
+def _blocks(rows: DataFrame, n: int, name: str) -> DataFrame:
+    """Rows ``(key, dims, xs)`` in about ``n`` blocks: their keys, how many entries
+    each has, and the entries."""
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(n)).cast("int"))
+    packed = rows.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("key", "dims", "xs"))).alias("r"))
+    return packed.select(F.col("block").alias(name), F.col("r.key").alias(f"{name}_keys"), F.transform("r", lambda x: F.size(x["dims"])).alias(f"{name}_sizes"), F.flatten("r.dims").alias(f"{name}_dims"), F.flatten("r.xs").alias(f"{name}_xs"))
+
+
+def _by_dimension(dims, owners, xs):
+    """``{dimension: (owners, values)}``."""
+    import numpy as np
+
+    order = np.argsort(dims, kind="stable")
+    dims, owners, xs = dims[order], owners[order], xs[order]
+    each, first = np.unique(dims, return_index=True)
+    return {int(d): (owners[i:j], xs[i:j]) for d, i, j in zip(each, first, [*first[1:], len(dims)])}
+
+
 def assign(cells: DataFrame, ids: DataFrame, centroids: DataFrame, n: int) -> DataFrame:
     """``(id, list_no, dist)``: the nearest of ``n`` centroids ``(list_no, dim, c)``
-    by squared L2, of equal ones the first. ``cells`` are the rows' entries, ``ids``
-    has a row for each of them."""
-    lengths = {r.list_no: r.n for r in centroids.groupBy("list_no").agg(F.sum(F.col("c") * F.col("c")).alias("n")).collect()}
-    length = [lengths.get(i, 0.0) for i in range(n)]
-    by_length = F.lit(sorted(range(n), key=lambda i: (length[i], i))).cast("array<int>")
-    table = F.lit(length).cast("array<double>")
-    dots = cells.join(centroids.where("c <> 0"), "dim").groupBy("id", "list_no").agg(F.sum(F.col("x") * F.col("c")).alias("dot"))
-    near = dots.select("id", F.struct((F.get(table, F.col("list_no")) - 2 * F.col("dot")).alias("d"), "list_no").alias("near"))
-    shared = near.groupBy("id").agg(F.min("near").alias("near"), F.collect_list("near.list_no").alias("met"))
-    own = cells.groupBy("id").agg(F.sum(F.col("x") * F.col("x")).alias("own"))
-    rows = ids.select("id").distinct().join(own, "id", "left").join(shared, "id", "left")
-    other = F.get(F.array_except(by_length, F.coalesce("met", F.array().cast("array<int>"))), F.lit(0))
-    rest = F.when(other.isNotNull(), F.struct(F.get(table, other).alias("d"), other.alias("list_no")))
-    best = F.least("near", rest)  # passes over nulls
-    return rows.select("id", best["list_no"].alias("list_no"), (best["d"] + F.coalesce("own", F.lit(0.0))).alias("dist"))
+    by squared L2, of equal ones (to 12 digits) the first. ``cells`` are the rows'
+    entries, ``ids`` has a row for each of them."""
+    spark = cells.sparkSession
+    of = lambda t, key, x: t.groupBy(F.col(key).cast("long").alias("key")).agg(F.collect_list(F.struct("dim", x)).alias("e")).select("key", F.col("e.dim").cast("array<long>").alias("dims"), F.col(f"e.{x}").cast("array<double>").alias("xs"))
+    none = [F.array().cast("array<long>").alias("dims"), F.array().cast("array<double>").alias("xs")]
+    with_all = lambda keys, t: keys.join(t, "key", "left").select("key", *(F.coalesce(c, e).alias(c) for c, e in zip(("dims", "xs"), none)))
+    rows = with_all(ids.select(F.col("id").cast("long").alias("key")).distinct(), of(cells, "id", "x"))
+    lists = with_all(spark.range(n).select(F.col("id").alias("key")), of(centroids.where("c <> 0"), "list_no", "c"))
+    many, groups = max(1, -(-ids.count() // ROWS)), max(1, -(-n // LISTS))
+    # a task has few blocks of rows, and all lists while they are small
+    b, c = _blocks(rows, many, "b").repartition(many, "b"), _blocks(lists, groups, "c")
+    b = b.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    if centroids.count() * 16 + n * 16 <= BROADCAST_BYTES:
+        work = b.join(F.broadcast(c), "c")
+    else:  # each block of lists meets chunks of the rows, each under a key of its own
+        chunks = max(1, many // GROUP_BLOCKS)
+        c = c.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+        work = b.withColumn("chunk", F.pmod("b", F.lit(chunks))).join(c, ["c", "chunk"])
+    work = work.select("b_keys", "b_sizes", "b_dims", "b_xs", "c_keys", "c_sizes", "c_dims", "c_xs")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for r in range(batch.num_rows):
+                ids, sizes, dims, xs, lists, c_sizes, c_dims, cs = (batch.column(i)[r].values.to_numpy(zero_copy_only=False) for i in range(8))
+                at, c_at = np.repeat(np.arange(len(ids)), sizes), np.repeat(np.arange(len(lists)), c_sizes)
+                dot, theirs = np.zeros((len(ids), len(lists))), _by_dimension(c_dims, c_at, cs)
+                for d, (i, x) in _by_dimension(dims, at, xs).items():
+                    if d in theirs:
+                        j, c = theirs[d]
+                        dot[np.ix_(i, j)] += x[:, None] * c
+                length, own = np.bincount(c_at, cs * cs, len(lists)), np.bincount(at, xs * xs, len(ids))
+                dist = length - 2 * dot + own[:, None]
+                best = np.argmin(np.where(np.isnan(dist), np.inf, np.round(dist, 12)), axis=1)  # lists are in order
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(lists[best].astype(np.int32)), pa.array(dist[np.arange(len(ids)), best])], names=["id", "list_no", "dist"])
+
+    near = work.mapInArrow(run, "id long, list_no int, dist double")
+    return near.groupBy("id").agg(F.min_by(F.struct("list_no", "dist"), F.struct(F.round("dist", 12), "list_no")).alias("best")).select("id", "best.list_no", "best.dist")
 
 
 def moved(cells: DataFrame, assigned: DataFrame, centroids: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from lodestar.operators import graph
+from lodestar.operators import graph, sparse
 from lodestar.plans import queries_indexes
 from lodestar.plans.catalog import QUERIES
 from lodestar.sources.shared import clear
@@ -71,3 +71,22 @@ def test_beams_with_room_for_all_compute_distances_at_once(name, monkeypatch):
         assert fast["ids"] == slow["ids"] and np.allclose(fast["dists"], slow["dists"])
         assert {k: x for k, x in fast.items() if k not in ("ids", "dists")} == {k: x for k, x in slow.items() if k not in ("ids", "dists")}
         assert hidden >= 0 or fast["nhops"] >= 300
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_sparse_assignment_makes_no_row_for_each_pair(spark, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr(sparse, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(sparse, "GROUP_BLOCKS", 1)
+    monkeypatch.setattr(sparse, "ROWS", 16)
+    monkeypatch.setattr(sparse, "LISTS", 7)
+    dense = np.random.default_rng(2).normal(size=(60, 9)) * (np.random.default_rng(4).random((60, 9)) < 0.4)
+    cells = spark.createDataFrame([(i, int(j), float(x)) for i, v in enumerate(dense) for j, x in enumerate(v) if x], "id long, dim int, x double")
+    given = cells.where("id < 20").selectExpr("int(id) AS list_no", "dim", "x AS c")
+    found = sparse.assign(cells, spark.range(60), given, 20)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "id#" in plan and "dot" not in plan  # sums by row and list
+    got, d = {r.id: r for r in found.collect()}, ((dense[:, None] - dense[:20]) ** 2).sum(2)
+    assert len(got) == 60
+    for i, row in enumerate(d):
+        assert got[i].list_no == min(range(20), key=lambda k: (round(row[k], 9), k)) and np.isclose(got[i].dist, row.min())
