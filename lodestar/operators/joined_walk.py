@@ -29,7 +29,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.metrics import metric
-from lodestar.operators.knn import knn
+from lodestar.operators.blocks import tiles
+from lodestar.operators.codecs import best_of_tile
+from lodestar.operators.knn import HITS, knn, top
 from lodestar.sources.shared import materialize
 
 #: Links of a row at most, candidates whose links a round follows, rounds at most.
@@ -149,3 +151,61 @@ def walk(queries: DataFrame, base: DataFrame, links: DataFrame, entries: DataFra
     if stop is None:
         out = out.where(F.col("rank") <= k)
     return out.select("qid", "rank", "id", (sign * F.col("dist")).alias("dist")), log
+
+
+# --- what walks have missed ---
+
+def within(queries: DataFrame, base: DataFrame, bounds: DataFrame, name: str = "l2", hide_self: bool = False, most: int | None = None) -> DataFrame:
+    """``(qid, id, dist)`` of all rows that are no farther from a query than its bound
+    ``(qid, bound)``; a query without one has no bound. Of a block of rows only the
+    nearest ``most``."""
+    m = metric(name)
+    sign = -1.0 if m.larger_is_better else 1.0
+    q = queries.toDF("qid", "qv").where("qid is not null and qv is not null").join(bounds.select("qid", "bound"), "qid", "left")
+    # the bound travels as one more component
+    q = q.select("qid", F.concat(F.col("qv").cast("array<double>"), F.array(F.coalesce(F.col("bound"), F.lit(sign * math.inf)))))
+    b = base.toDF("id", "v").where("id is not null and v is not null").select("id", F.concat(F.col("v").cast("array<double>"), F.array(F.lit(0.0))))
+
+    def kernel(qids, x, ids, v):
+        import numpy as np
+
+        d, bound = m.tile(x[:, :-1], v[:, :-1], None), sign * x[:, -1]
+        far = sign * d > (bound + 1e-9 * (1 + np.abs(bound)))[:, None]  # sums in another order
+        if hide_self:
+            far |= ids[None, :] == qids[:, None]
+        out = []
+        for i in np.flatnonzero(~far.all(axis=1)):
+            c = np.flatnonzero(~far[i])
+            out.append(best_of_tile(qids[i : i + 1], ids[c], d[i : i + 1, c], most or len(c), m.larger_is_better))
+        none = {"qid": qids[:0], "id": ids[:0], "dist": d[0, :0]}
+        return {k: np.concatenate([o[k] for o in out or [none]]) for k in none}
+
+    return tiles(q, b, kernel, HITS)
+
+
+def completed(found: DataFrame, queries: DataFrame, base: DataFrame, k: int = 10, name: str = "l2", hide_self: bool = False) -> DataFrame:
+    """The k nearest of all rows, from hits ``(qid, rank, id, dist)`` of walks: what is
+    no farther than a query's k-th hit, be it a hit or missed."""
+    bounds = materialize(found.where(F.col("rank") == k).select("qid", F.col("dist").alias("bound")), "bounds")
+    return top(within(queries, base, bounds, name, hide_self, k), k, metric(name).larger_is_better)
+
+
+def completed_documents(found: DataFrame, queries: DataFrame, base: DataFrame, of: DataFrame, n: int, name: str = "l2", hide_self: bool = False) -> DataFrame:
+    """``(qid, id, dist)``: all rows of the ``n`` nearest documents of ``(id, doc)``,
+    from rows ``(qid, id, dist)`` of walks that met n documents or more: documents
+    that have a row no farther than the n-th, and all of their rows."""
+    m, docs = metric(name), of.toDF("id", "doc")
+    sign = F.lit(-1.0 if m.larger_is_better else 1.0)
+    place = F.row_number().over(Window.partitionBy("qid").orderBy("near", "doc"))
+
+    def nearest(rows: DataFrame) -> DataFrame:
+        by = rows.join(docs, "id").groupBy("qid", "doc").agg(F.min(sign * F.col("dist")).alias("near"))
+        return by.withColumn("place", place).where(F.col("place") <= n)
+
+    bounds = materialize(nearest(found.select("qid", "id", "dist")).where(F.col("place") == n).select("qid", (sign * F.col("near")).alias("bound")), "bounds")
+    best = materialize(nearest(within(queries, base, bounds, name, hide_self)).select("qid", "doc"), "best")
+    pairs = best.join(docs, "doc").select("qid", "id")
+    if hide_self:
+        pairs = pairs.where("qid <> id")
+    q, v = queries.toDF("qid", "qv"), base.toDF("id", "v").where("v is not null")
+    return pairs.join(v, "id").join(q, "qid").select("qid", "id", m.column(F.col("qv"), F.col("v")).alias("dist"))

@@ -27,6 +27,24 @@ def _linked(base):
     return materialize(joined_walk.links_of(_near(base)), "links"), materialize(joined_walk.entry_points(base), "entries")
 
 
+#: Rows of a list, lists that a row's neighbours are looked for in, and width and
+#: candidates a round of walks whose misses are looked for afterwards.
+LIST_ROWS, LISTS, BEAM, AHEAD = 2048, 4, 64, 16
+
+
+def _linked_by_lists(base, name: str = "cosine"):
+    """Links of all rows to near ones, and entry points. Of more rows than that many
+    lists hold, near ones are those in the lists next to a row: work that grows as the
+    rows, for walks that need no exact links."""
+    lists = base.count() // LIST_ROWS
+    if lists <= LISTS:
+        near = _near(base, name)
+    else:
+        near = factory.build(base, f"IVF{lists},Flat", name).search(base.toDF("qid", "qv"), NEAR + 1, nprobe=LISTS)
+        near = materialize(near.where("qid <> id"), "near")
+    return materialize(joined_walk.links_of(near), "links"), materialize(joined_walk.entry_points(base), "entries")
+
+
 #: Kind of links, how many, width of beams, least recall.
 WALKS = (("near", 32, 64, 0.95), ("near, as codes", 16, 24, 0.8), ("random", 16, 24, 0.8))
 
@@ -52,11 +70,12 @@ def joined_walk_recall(spark, sf_dir):
 
 @query(f"{sql_hits(_COSINE)}, {sql_top()} {RESULT}")
 def joined_walk_hits(spark, sf_dir):
-    """A beam over all rows of the small tables, a hundred candidates a round: the
-    hits are the nearest rows."""
+    """Walks with a beam of 64, and what they missed: the hits are the nearest rows."""
     base = base_of(spark, sf_dir)
-    links, entries = _linked(base)
-    return result(joined_walk.walk(queries_of(base), base, links, entries, 10, base.count(), "cosine", pops=100, hide_self=True)[0])
+    links, entries = _linked_by_lists(base)
+    q = queries_of(base)
+    found = materialize(joined_walk.walk(q, base, links, entries, 10, BEAM, "cosine", pops=AHEAD, hide_self=True)[0], "found")
+    return result(joined_walk.completed(found, q, base, 10, "cosine", hide_self=True))
 
 
 @query(f"{sql_hits(_COSINE)} SELECT qid, id, round(dist, 5) AS dist FROM h WHERE dist < 0.72")

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from lodestar.operators import graph, sparse
+from lodestar.operators import coded_walk, graph, joined_walk, sparse
 from lodestar.plans import queries_indexes
 from lodestar.plans.catalog import QUERIES
 from lodestar.sources.shared import clear
@@ -90,3 +90,41 @@ def test_sparse_assignment_makes_no_row_for_each_pair(spark, monkeypatch, small)
     assert len(got) == 60
     for i, row in enumerate(d):
         assert got[i].list_no == min(range(20), key=lambda k: (round(row[k], 9), k)) and np.isclose(got[i].dist, row.min())
+
+
+def near_rows(v, q, qid, k):
+    d = ((v - q) ** 2).sum(1)
+    return [(i, d[i]) for i in sorted((i for i in range(len(v)) if i != qid), key=lambda i: (d[i], i))[:k]]
+
+
+def test_what_walks_missed_is_found(spark):
+    v = np.random.default_rng(8).normal(size=(200, 6))
+    base = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, embedding array<double>")
+    q = base.where("id < 6").toDF("qid", "qv")
+    # poor hits for some queries, too few for one, and none for the last
+    poor = [(i, r + 1, 100 + r, float(((v[100 + r] - v[i]) ** 2).sum())) for i in range(5) for r in range(2 if i == 4 else 3)]
+    poor = [(i, r, j, d) for i in range(5) for r, (d, j) in enumerate(sorted((d, j) for a, _, j, d in poor if a == i), 1)]
+    found = spark.createDataFrame(poor, "qid long, rank int, id long, dist double")
+    got = joined_walk.completed(found, q, base, 3, hide_self=True).orderBy("qid", "rank").collect()
+    want = [(i, *x) for i in range(6) for x in near_rows(v, v[i], i, 3)]
+    assert [(r.qid, r.id) for r in got] == [x[:2] for x in want] and np.allclose([r.dist for r in got], [x[2] for x in want])
+    docs = base.selectExpr("id", "id div 4 AS doc")
+    rows = joined_walk.completed_documents(found, q, base, docs, 2, hide_self=True).collect()
+    for i in range(6):
+        order = list(dict.fromkeys(j // 4 for j, _ in near_rows(v, v[i], i, 200)))[:2]
+        assert sorted(r.id for r in rows if r.qid == i) == sorted(j for j in range(200) if j // 4 in order and j != i)
+    clear(spark)
+
+
+@pytest.mark.parametrize("name, module", [("joined_walk_hits", joined_walk)])
+def test_beams_are_bounded(spark, monkeypatch, name, module):
+    seen, one = [], module.walk
+
+    def walk(q, base, *more, stop=None, **options):
+        seen.append(stop.collect if stop else q.agg({"ef": "max"}).first()[0] if "ef" in q.columns else more[3])
+        return one(q, base, *more, **({"stop": stop} if stop else {}), **options)
+
+    monkeypatch.setattr(module, "walk", walk)
+    assert QUERIES[name](spark, SMALL).count() > 0
+    assert seen == [64]
+    clear(spark)
