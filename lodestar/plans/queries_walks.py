@@ -93,13 +93,14 @@ def joined_walk_epsilon(spark, sf_dir):
     p AS (SELECT qid, doc, row_number() OVER (PARTITION BY qid ORDER BY near, doc) AS place FROM d)
     SELECT h.qid, h.id, round(h.dist, 5) AS dist FROM h JOIN p ON p.qid = h.qid AND p.doc = h.id // 4 WHERE place <= 5""")
 def joined_walk_documents(spark, sf_dir):
-    """Walks that count documents, of four rows each: all rows of a query's five
-    nearest documents, by each one's nearest row."""
+    """Walks that count documents, of four rows each, and what they missed: all rows
+    of a query's five nearest documents, by each one's nearest row."""
     base = base_of(spark, sf_dir)
-    links, entries = _linked(base)
-    of = base.select("id", F.floor(F.col("id") / 4).alias("doc"))
-    found, _ = joined_walk.walk(queries_of(base), base, links, entries, name="cosine", stop=joined_walk.Documents(of, 5, base.count()), pops=100, hide_self=True)
-    return found.select("qid", "id", F.round("dist", 5).alias("dist"))
+    links, entries = _linked_by_lists(base)
+    q, of = queries_of(base), base.select("id", F.floor(F.col("id") / 4).alias("doc"))
+    found, _ = joined_walk.walk(q, base, links, entries, name="cosine", stop=joined_walk.Documents(of, 5, BEAM), pops=AHEAD, hide_self=True)
+    rows = joined_walk.completed_documents(materialize(found, "found"), q, base, of, 5, "cosine", hide_self=True)
+    return rows.select("qid", "id", F.round("dist", 5).alias("dist"))
 
 
 # --- walks over codes ---
