@@ -107,13 +107,13 @@ def joined_walk_documents(spark, sf_dir):
 
 @query(f"{sql_hits()}, {sql_top()} {RESULT}")
 def coded_walk_hits(spark, sf_dir):
-    """Beams over all rows by estimates from codes of two bits with certain bounds:
-    the pools, measured by vectors, hold the nearest rows."""
+    """Walks by estimates from codes of two bits with certain bounds, whose pools are
+    measured by vectors, and what they missed: the hits are the nearest rows."""
     base = base_of(spark, sf_dir)
-    links, entries = materialize(joined_walk.links_of(_near(base, "l2")), "links"), materialize(joined_walk.entry_points(base), "entries")
-    codes = coded_walk.coded(base, RaBitQ.train(base, 2), None)
-    q = queries_of(base).join(base.agg(F.count(F.lit(1)).alias("ef")), F.lit(True))
-    return result(coded_walk.walk(q, base, codes, links, entries, 10, pops=100, hide_self=True)[0])
+    links, entries = _linked_by_lists(base, "l2")
+    codes, q = coded_walk.coded(base, RaBitQ.train(base, 2), None), queries_of(base)
+    found = materialize(coded_walk.walk(q.withColumn("ef", F.lit(BEAM)), base, codes, links, entries, 10, pops=AHEAD, hide_self=True)[0], "found")
+    return result(joined_walk.completed(found, q, base, 10, hide_self=True))
 
 
 #: Bits of a component whose estimates are held against distances.

@@ -116,7 +116,7 @@ def test_what_walks_missed_is_found(spark):
     clear(spark)
 
 
-@pytest.mark.parametrize("name, module", [("joined_walk_hits", joined_walk), ("joined_walk_documents", joined_walk)])
+@pytest.mark.parametrize("name, module", [("joined_walk_hits", joined_walk), ("joined_walk_documents", joined_walk), ("coded_walk_hits", coded_walk)])
 def test_beams_are_bounded(spark, monkeypatch, name, module):
     seen, one = [], module.walk
 
