@@ -3,6 +3,8 @@ and of k-means over sparse rows."""
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from lodestar.operators.codecs import RaBitQ
 from lodestar.plans import factory
 from lodestar.plans.queries_indexes import _COSINE
 from lodestar.plans.registry import RESULT, base_of, queries_of, query, result, sql_hits, sql_top, table
-from lodestar.sources.shared import materialize
+from lodestar.sources.shared import materialize, together
 
 #: Neighbours from which links are made.
 NEAR = 16
@@ -161,11 +163,13 @@ def coded_walk_policy(spark, sf_dir):
     near = materialize(knn.knn(base.toDF("qid", "qv"), base, 20, "l2", exclude_self=True), "near")
     links, entries = materialize(joined_walk.links_of(near.where(F.col("rank") <= NEAR)), "links"), materialize(joined_walk.entry_points(base), "entries")
     kinds = {"codes": coded_walk.coded(base, RaBitQ.train(base, 1)), "vectors": coded_walk.uncoded(base)}
-    policies = {kind: coded_walk.calibrated(base, codes, links, entries, near, CODED_EFS, n_probes=50)["policy"] for kind, codes in kinds.items()}
+    calibrated = together(*(partial(coded_walk.calibrated, base, codes, links, entries, near, CODED_EFS, n_probes=50) for codes in kinds.values()))
+    policies = {kind: out["policy"] for kind, out in zip(kinds, calibrated)}
     q = base.where("id % 10 = 5").select(F.col("id").alias("qid"), F.col("embedding").alias("qv"), F.explode(F.array(*map(F.lit, CODED_EFS))).alias("ef"))
-    runs = {}
-    for kind, policy in (("whole", None), ("routed", policies["codes"])):
-        hits, did = coded_walk.walk(q, base, kinds["codes"], links, entries, 10, policy, hide_self=True)
+    found, log = coded_walk.walks(q, base, kinds["codes"], links, entries, 10, [None, policies["codes"]], hide_self=True)
+    found, runs = materialize(found, "found"), {}
+    for way, kind in enumerate(("whole", "routed")):
+        hits, did = (rows.where(F.col("way") == way).drop("way") for rows in (found, log))
         r = coded_walk.recalls(hits, q, near, 10).join(did, ["qid", "ef"])
         runs[kind] = r.groupBy("ef").agg(F.count(F.lit(1)).alias("queries"), F.avg("recall").alias(f"{kind}_recall"), F.count_if(F.col("effective_ef") < F.col("ef")).alias(f"{kind}_narrowed"))
     both = runs["routed"].join(runs["whole"].drop("queries"), "ef")

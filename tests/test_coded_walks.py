@@ -146,3 +146,17 @@ def test_odd_tables(spark, made):
     flat = coded_walk.coded(alike, RaBitQ.train(alike, 1), None)
     hits, _ = coded_walk.walk(q.limit(1), alike, flat, ring, alike.where("id = 0"), 10)
     assert [r.id for r in sorted(hits.collect(), key=lambda r: r["rank"])] == list(range(10))
+
+
+def test_walks_of_several_policies_share_rounds(spark, made):
+    base, _, links, entries, _ = made
+    policy = spark.createDataFrame([(30, 0, 12, 0.9, 1.0)], "ef int, route_idx int, route_ef int, tau double, gamma double")
+    codes, q = coded_walk.coded(base, RaBitQ.train(base, 1)), asked(spark, 12, 30)
+    both = coded_walk.walks(q, base, codes, links, entries, 5, [None, policy])
+    for way, one in enumerate((None, policy)):
+        alone = coded_walk.walk(q, base, codes, links, entries, 5, one)
+        for rows, want in zip(both, alone):
+            got = {tuple(r) for r in rows.where(F.col("way") == way).select(want.columns).collect()}
+            # a row that one walk has dropped and another holds isn't estimated again for it
+            drop = lambda rows: {r[:2] + r[3:] for r in rows} if "ndis" in want.columns else rows
+            assert got and drop(got) == drop({tuple(r) for r in want.collect()})
