@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from lodestar.operators import coded_walk, evaluate, graph, joined_walk, knn, sparse
+from lodestar.operators import coded_walk, evaluate, graph, joined_walk, knn, sparse, stops
 from lodestar.plans import factory, queries_indexes, ranked
 from lodestar.plans.catalog import QUERIES
 from lodestar.sources.shared import clear
@@ -152,3 +152,30 @@ def test_what_refining_codes_lose_is_made_up_for(spark, tmp_path):
     rows = found.search(q, 10).collect()
     assert len(rows) == 150 and all(np.isclose(r.dist, ((vectors[r.qid] - kept[r.id]) ** 2).sum()) for r in rows)
     clear(spark)
+
+
+def test_links_are_made_of_bounded_blocks(monkeypatch):
+    v = np.random.default_rng(6).normal(size=(300, 8))
+    whole = graph.link(v, "cosine", 8, 16)
+    cells, one = [], graph._rank_distance
+
+    def counted(vectors, name):
+        dist = one(vectors, name)
+        return lambda a, b: cells.append(len(a) * len(b)) or dist(a, b)
+
+    monkeypatch.setattr(graph, "_rank_distance", counted)
+    monkeypatch.setattr(graph, "CELLS", 1 << 14)
+    assert (graph.link(v, "cosine", 8, 16) == whole).all()
+    assert max(cells) <= 1 << 14
+
+
+def test_budgets_follow_what_walks_need(spark, tmp_path, monkeypatch):
+    budgets, one = [], graph.search
+    monkeypatch.setattr(graph, "search", lambda q, index, w=graph.Walk(), *more: budgets.append(w.budget) or one(q, index, w, *more))
+    rows = QUERIES["learned_stops"](spark, embeddings(spark, tmp_path, 1600)).collect()
+    assert sorted(r.kind for r in rows) == ["budget", "learned stop", "predicted budget"] and all(r.kept and r.saves for r in rows)
+    [budget] = [b for b in budgets if b is not None]
+    log = spark.createDataFrame([(i, 0, 10.0 * j, j / 10, True) for i in range(10) for j in range(1, 11) if j != 8 or i < 9], "qid long, shard int, ndis double, recall double, useful boolean")
+    assert stops.enough(log, 0.8, 0.9) == 81 and stops.enough(log, 0.8, 0.5) == 80
+    assert 150 < budget < 700
+    clear(spark)
